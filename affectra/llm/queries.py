@@ -3,14 +3,62 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, table
+from .decontaminate import find_leaks
+from .gifmedia import digests, stored
+from .linededup import remove_repeated_runs
 from .packing import pack_documents
+from .sharding import shard
+
+#: Bytes of text in a shard.
+SHARD_BYTES = 1 << 20
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_pack": op1_pack}
-SQL: dict[str, str] = {}
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = remove_repeated_runs(documents(spark, sf_dir).select("doc_id", "text"))
+    return left.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+OP2_SQL = """
+WITH x AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS raw FROM documents),
+l AS (SELECT doc_id, unnest(range(len(raw))) AS s, unnest(raw) AS line FROM x),
+w AS (SELECT doc_id, s, trim(line, ' ') || chr(10) || trim(lead(line) OVER (PARTITION BY doc_id ORDER BY s), ' ') AS k FROM l),
+f AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS r FROM w WHERE k IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, s + o AS s FROM f, (VALUES (0), (1)) AS t(o) WHERE r > 1)
+SELECT l.doc_id, count(*) AS n_lines, count(g.s) AS n_removed,
+  sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.s) FILTER (WHERE g.s IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.s = l.s GROUP BY l.doc_id
+"""
+
+
+def op3_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(stored(documents(spark, sf_dir)))
+
+
+def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
+    return shard(docs, SHARD_BYTES).select("doc_id", "n_bytes", "shard", F.col("shard_depth").cast("long").alias("shard_depth"), "shard_bytes")
+
+
+OP5_SQL = f"""
+WITH r AS (SELECT doc_id, coalesce(strlen(text), 0) AS b, ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15))::BIGINT AS h FROM documents),
+e AS (SELECT doc_id, b, d, h >> (60 - d)::BIGINT AS p FROM r, range(0, 61) AS t(d)),
+s AS (SELECT d, p, CAST(sum(b) AS BIGINT) AS bytes FROM e GROUP BY d, p),
+m AS (SELECT e.doc_id, min(e.d) FILTER (WHERE s.bytes <= {SHARD_BYTES} OR e.d = 60) AS depth FROM e JOIN s ON s.d = e.d AND s.p = e.p GROUP BY e.doc_id)
+SELECT e.doc_id, CAST(e.b AS BIGINT) AS n_bytes, right(lpad(bin(e.p), 64, '0'), m.depth::INT) AS shard, CAST(m.depth AS BIGINT) AS shard_depth, s.bytes AS shard_bytes
+FROM e JOIN m ON m.doc_id = e.doc_id AND m.depth = e.d JOIN s ON s.d = e.d AND s.p = e.p
+"""
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op1_pack": op1_pack, "op2_line_dedup": op2_line_dedup, "op3_gif": op3_gif, "op5_shard": op5_shard, "op7_decontaminate": op7_decontaminate}
+SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op5_shard": OP5_SQL}
