@@ -11,6 +11,7 @@ from .gifmedia import digests, stored
 from .linededup import remove_repeated_runs
 from .packing import pack_documents
 from .sharding import shard
+from .substrings import remove_repeated_windows
 
 #: Bytes of text in a shard.
 SHARD_BYTES = 1 << 20
@@ -60,5 +61,23 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_pack": op1_pack, "op2_line_dedup": op2_line_dedup, "op3_gif": op3_gif, "op5_shard": op5_shard, "op7_decontaminate": op7_decontaminate}
-SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op5_shard": OP5_SQL}
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = remove_repeated_windows(documents(spark, sf_dir))
+    return got.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP8_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS x FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS s, unnest(x) AS word FROM w),
+k AS (SELECT doc_id, s, md5(array_to_string(list(word) OVER r, ' ')) AS k, count(*) OVER r AS n FROM p WINDOW r AS (PARTITION BY doc_id ORDER BY s ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+f AS (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS r FROM k WHERE n = 20),
+c AS (SELECT p.doc_id, p.s, p.word, coalesce(max(CASE WHEN f.r > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY p.doc_id ORDER BY p.s ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 0) AS gone
+  FROM p LEFT JOIN f ON f.doc_id = p.doc_id AND f.s = p.s)
+SELECT d.doc_id, count(c.s) AS n_words, CAST(coalesce(sum(c.gone), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(string_agg(c.word, ' ' ORDER BY c.s) FILTER (WHERE c.gone = 0), '')) AS kept_sha256
+FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
+QUERIES = {"op8_substrings": op8_substrings, "op1_pack": op1_pack, "op2_line_dedup": op2_line_dedup, "op3_gif": op3_gif, "op5_shard": op5_shard, "op7_decontaminate": op7_decontaminate}
+SQL: dict[str, str] = {"op8_substrings": OP8_SQL, "op2_line_dedup": OP2_SQL, "op5_shard": OP5_SQL}
