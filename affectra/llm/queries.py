@@ -9,6 +9,7 @@ from .common import documents, table
 from .decontaminate import find_leaks
 from .gifmedia import digests, stored
 from .linededup import remove_repeated_runs
+from .neardup import near_duplicates
 from .packing import pack_documents
 from .sharding import shard
 from .substrings import remove_repeated_windows
@@ -79,5 +80,9 @@ FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
 
-QUERIES = {"op8_substrings": op8_substrings, "op1_pack": op1_pack, "op2_line_dedup": op2_line_dedup, "op3_gif": op3_gif, "op5_shard": op5_shard, "op7_decontaminate": op7_decontaminate}
+def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
+QUERIES = {"op10_neardup": op10_neardup, "op8_substrings": op8_substrings, "op1_pack": op1_pack, "op2_line_dedup": op2_line_dedup, "op3_gif": op3_gif, "op5_shard": op5_shard, "op7_decontaminate": op7_decontaminate}
 SQL: dict[str, str] = {"op8_substrings": OP8_SQL, "op2_line_dedup": OP2_SQL, "op5_shard": OP5_SQL}
