@@ -128,13 +128,14 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], seed: int = 7) -> RuleMo
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: Column | None = None) -> RuleModel:
-    """Fit on at most SAMPLE_ROWS labelled documents; folds: which rows may teach (all but fold 2 of 4 by default)."""
+    """Fit on the documents of at most SAMPLE_ROWS labels; folds: which labels may teach (all but fold 2 of 4 by default)."""
     stats = statistics(text_or_empty(text_col))
     names = list(stats)
     may = folds if folds is not None else id_crc(id_col) % 4 != 2
-    marked = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y"))
-    rows = docs.where(F.col(id_col).isNotNull() & may).join(marked, F.col(id_col) == F.col("_id"))
-    got = rows.select("_id", "_y", *(c.alias(k) for k, c in stats.items())).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_ROWS).collect()
+    marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & may).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y"))
+    taught = F.broadcast(marked.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_ROWS))  # so texts needn't be dealt by id
+    got = docs.join(taught, F.col(id_col) == F.col("_id")).select("_id", "_y", *(c.alias(k) for k, c in stats.items())).collect()
+    got.sort(key=lambda r: (r["_id"], *map(float, r[2:])))
     x = np.array([[float(r[k]) for k in names] for r in got]).reshape(len(got), len(names))
     return fit(x, np.array([float(r["_y"]) for r in got]), names)
 

@@ -48,14 +48,14 @@ def directory(sized: DataFrame, limit: int) -> DataFrame:
         sums = levels.groupBy("depth", F.call_function("shiftright", F.col("p"), (F.lit(stop) - F.col("depth")).cast("int")).alias("prefix")).agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))
         large = sums.where((F.col("bytes") > limit) & (F.col("depth") < stop)).select((F.col("depth") + 1).alias("depth"), "prefix")
         halves = large.select("depth", F.explode(F.array(F.col("prefix") * 2, F.col("prefix") * 2 + 1)).alias("prefix"))
-        reached = sums.where(F.col("depth") > start).join(halves, ["depth", "prefix"], "left_semi").unionByName(sums.where(F.col("depth") == start))
+        reached = written(sums.where(F.col("depth") > start).join(halves, ["depth", "prefix"], "left_semi").unionByName(sums.where(F.col("depth") == start)), "directory")
         leaves = reached.where((F.col("bytes") <= limit) | (F.col("depth") == BITS))
         done = leaves if done is None else done.unionByName(leaves)
         over = reached.where((F.col("bytes") > limit) & (F.col("depth") == stop)).select("prefix")
         if stop == BITS or over.isEmpty():
             return done
         big = big.withColumn("prefix", _prefix(F.col("h"), stop)).join(over, "prefix", "left_semi").select("h", "bytes")
-        start = stop
+        start = stop  # a round per STEP bits, as far as prefixes are oversized
 
 
 def shard(df: DataFrame, limit: int, key: str = "doc_id", size: str | Column = "text") -> DataFrame:
@@ -63,24 +63,24 @@ def shard(df: DataFrame, limit: int, key: str = "doc_id", size: str | Column = "
 
     limit: bytes of `size` (null counts 0) in a shard. Rows with null keys, and
     repeated rows, are kept; a single row larger than limit has a shard of its
-    own kind of page. An empty table stays empty. Columns of df that have these
+    own, over the limit. An empty table stays empty. Columns of df that have these
     names are replaced.
     """
     bytes_ = F.coalesce(F.octet_length(F.col(size) if isinstance(size, str) else size), F.lit(0)).cast("long")
-    made = ("shard", "shard_depth", "shard_bytes", "_h", "_size")
+    made = ("shard", "shard_depth", "shard_bytes", "_h", "_size", "_a", "_p", "_rows")
     rows = df.drop(*made).withColumns({"_h": key_hash(key), "_size": bytes_})
     found = written(directory(rows.select(F.col("_h").alias("h"), F.col("_size").alias("bytes")), limit), "directory")
     n, depths = found.agg(F.count("*"), F.array_sort(F.collect_set("depth"))).first()  # BITS + 1 depths at most
     if not n:
         return rows.select(*df.drop(*made).columns, F.lit("").alias("shard"), F.lit(0).alias("shard_depth"), F.lit(0).cast("long").alias("shard_bytes"))
-    shards = found.select(F.col("depth").alias("shard_depth"), F.col("prefix").alias("_p"), F.col("bytes").alias("shard_bytes"))
+    shards = found.select(F.col("depth").alias("shard_depth"), F.col("prefix").alias("_p"), F.col("bytes").alias("shard_bytes"), F.col("rows").alias("_rows"))
     shards = F.broadcast(shards) if n <= DIRECTORY_ROWS else shards
     # a row asks at each depth that has shards; shards are disjoint, so just one answers
     asked = rows.select("*", F.explode(F.array(*(F.struct(F.lit(d).alias("shard_depth"), _prefix(F.col("_h"), d).alias("_p")) for d in depths))).alias("_a"))
     placed = asked.select(*rows.columns, "_a.*").join(shards, ["shard_depth", "_p"])
     name = F.when(F.col("shard_depth") == 0, "").otherwise(F.lpad(F.bin("_p"), F.col("shard_depth"), F.lit("0")))
     pages = F.ceil(F.col("shard_bytes") * 2 / limit)
-    page = F.when((F.col("shard_bytes") > limit) & (F.col("shard_depth") == BITS), F.concat(F.lit("+"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), pages).cast("string"))).otherwise("")
+    page = F.when((F.col("shard_bytes") > limit) & (F.col("_rows") > 1) & (F.col("shard_depth") == BITS), F.concat(F.lit("+"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), pages).cast("string"))).otherwise("")
     return placed.select(*df.drop(*made).columns, F.concat(name, page).alias("shard"), "shard_depth", "shard_bytes")
 
 
