@@ -14,6 +14,7 @@ from .packing import pack_documents
 from .rules import score, train
 from .sharding import shard
 from .substrings import remove_repeated_windows
+from .suffixarray import remove_earlier_strings
 from .suffixtree import score_texts
 
 #: Bytes of text in a shard.
@@ -96,5 +97,10 @@ def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(documents(spark, sf_dir))
 
 
-QUERIES = {"op4_quality": op4_quality, "op6_suffix_tree": op6_suffix_tree, "op10_neardup": op10_neardup, "op8_substrings": op8_substrings, "op1_pack": op1_pack, "op2_line_dedup": op2_line_dedup, "op3_gif": op3_gif, "op5_shard": op5_shard, "op7_decontaminate": op7_decontaminate}
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = remove_earlier_strings(documents(spark, sf_dir))
+    return got.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op9_suffix_array": op9_suffix_array, "op4_quality": op4_quality, "op6_suffix_tree": op6_suffix_tree, "op10_neardup": op10_neardup, "op8_substrings": op8_substrings, "op1_pack": op1_pack, "op2_line_dedup": op2_line_dedup, "op3_gif": op3_gif, "op5_shard": op5_shard, "op7_decontaminate": op7_decontaminate}
 SQL: dict[str, str] = {"op8_substrings": OP8_SQL, "op2_line_dedup": OP2_SQL, "op5_shard": OP5_SQL}

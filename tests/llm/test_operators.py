@@ -291,6 +291,24 @@ def test_substrings_with_many_batches(spark, docs, monkeypatch):
     assert {r.doc_id: r.kept for r in remove_repeated_windows(docs).collect()} == one
 
 
+@pytest.mark.parametrize("size", [1 << 22, 3000])
+def test_suffix_array(spark, docs, plain, size, monkeypatch):
+    from affectra.llm import batches, suffixarray
+
+    monkeypatch.setattr(batches, "BATCH_BYTES", size)
+    monkeypatch.setattr(suffixarray, "BUCKET_BYTES", size)
+    length, seen, want = 50, set(), {}
+    for d in sorted(plain):
+        t = plain[d].encode()
+        own = [t[i : i + length] for i in range(len(t) - length + 1)]
+        gone = {j for i, x in enumerate(own) if x in seen for j in range(i, i + length)}
+        seen |= set(own)
+        want[d] = len(t), len(gone), bytes(x for i, x in enumerate(t) if i not in gone)
+    got = suffixarray.remove_earlier_strings(docs).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, bytes(r.kept)) for r in got} == want and any(x[1] for x in want.values())
+    assert suffixarray.remove_earlier_strings(empty(spark)).count() == 0
+
+
 def brute_components(plain, width, percent):
     sets = {}
     for d, t in plain.items():
