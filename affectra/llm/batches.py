@@ -17,7 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_bytes, text_or_empty
+from affectra.functions.cluster import ship
+
+from .common import text_bytes, text_or_empty
 
 #: Bytes of text in a batch, and hashes in a bucket, on average.
 BATCH_BYTES, BUCKET_HASHES = 6 << 20, 1_000_000
