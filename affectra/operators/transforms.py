@@ -27,7 +27,7 @@ def rescale_auto(df: DataFrame, columns: list[str]) -> DataFrame:
         if scale is None:
             raise ValueError(f"{c}: {lo} to {hi} fits no known scale")
         x = (F.col(c) - scale[0]) / (scale[1] - scale[0])
-        out = out.withColumn(c, F.when(F.isnan(c), F.col(c)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))))
+        out = out.withColumn(c, F.when(F.col(c).isNull() | F.isnan(c), F.col(c)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))))
     return out
 
 

@@ -25,7 +25,7 @@ LABELS = ("hap", "sad", "ang", "dis")
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(utt_idx, line) of a text file; the newline at its end makes no line."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.regexp_replace("value", "\r?\n$", "").alias("v"))
+    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "\r?\n$", "").alias("v"))
     return whole.select(F.posexplode(F.split("v", "\r?\n", -1)).alias("utt_idx", "line")).withColumn("utt_idx", F.col("utt_idx").cast("long"))
 
 
