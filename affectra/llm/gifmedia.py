@@ -9,6 +9,7 @@ histogram each.
 from __future__ import annotations
 
 import struct
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +20,13 @@ from .common import map_arrow, text_or_empty, written
 
 WIDTH, MAX_HEIGHT = 64, 8192
 #: A grey ramp: index = grey value.
+_PLACES = np.arange(16)
+_FULL = np.full(4096, 12), np.arange(4097) * 12
 PALETTE = bytes(v for i in range(256) for v in (i, i, i))
 
 
-def lzw_encode(data: bytes, bits: int = 8) -> bytes:
-    """GIF's LZW: a clear code, codes of growing width, an end code."""
+def lzw_encode(data: bytes, bits: int = 8, defer: bool = False) -> bytes:
+    """GIF's LZW: a clear code, codes of growing width, an end code; defer keeps a full table instead of clearing it."""
     clear = 1 << bits
     codes, ends = [clear], []  # ends: codes so far at each clear, where widths start anew
     append = codes.append
@@ -42,7 +45,7 @@ def lzw_encode(data: bytes, bits: int = 8) -> bytes:
         if size < 4096:
             table[k] = size
             size += 1
-        else:
+        elif not defer:
             append(clear)
             ends.append(len(codes))
             table.clear()
@@ -52,21 +55,23 @@ def lzw_encode(data: bytes, bits: int = 8) -> bytes:
         append(cur)
     append(clear + 1)
     ends.append(len(codes))
-    c = np.array(codes, dtype=np.uint32)
-    width = np.empty(len(c), dtype=np.int64)
-    at = 1
-    width[0] = bits + 1
-    for e in ends:  # the width of the code at place i behind a clear
-        i = np.arange(e - at)
-        width[at:e] = np.minimum(12, np.floor(np.log2(np.maximum(clear + 1 + i, 1))).astype(np.int64) + 1)
+    wide, at = np.empty(len(codes), dtype=np.int64), 1
+    wide[0] = bits + 1
+    for e in ends:
+        wide[at:e] = 12
+        wide[at : min(e, at + 4096)] = _widths(bits)[0][: e - at]
         at = e
-    stop = np.cumsum(width)
-    out = np.zeros(int(stop[-1]), dtype=np.uint8)
-    start = stop - width
-    for b in range(12):
-        ok = width > b
-        out[start[ok] + b] = c[ok] >> b & 1
-    return np.packbits(out, bitorder="little").tobytes()
+    each = np.unpackbits(np.array(codes, dtype="<u2").view(np.uint8), bitorder="little").reshape(-1, 16)
+    return np.packbits(each[_PLACES < wide[:, None]], bitorder="little").tobytes()
+
+
+@lru_cache
+def _widths(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Widths of the codes behind a clear code by their place, and the bits before each; a full table keeps 12 bits."""
+    size = (1 << bits) + 1 + np.arange(4096)
+    width = np.minimum(12, np.array([int(n).bit_length() for n in size]))
+    width[0] = bits + 1
+    return width, np.concatenate([[0], np.cumsum(width)])
 
 
 def lzw_decode(data: bytes, bits: int, most: int) -> bytes:
@@ -76,31 +81,33 @@ def lzw_decode(data: bytes, bits: int, most: int) -> bytes:
     together; each code's string is a stretch of what is already out.
     """
     clear = 1 << bits
-    b = np.unpackbits(np.frombuffer(data + b"\0\0", dtype=np.uint8), bitorder="little")
+    raw = np.frombuffer(data + b"\0\0\0", dtype=np.uint8).astype(np.int64)
+    width, start = _widths(bits)
+    full = False  # whether the table has stayed full since the last clear code
     room = len(data) * 8
-    i = np.arange(8192)
-    width = np.minimum(12, np.floor(np.log2(clear + 1 + i)).astype(np.int64) + 1)
-    width[0] = bits + 1
-    start = np.concatenate([[0], np.cumsum(width)])
     out = bytearray()
     at = 0
-    weights = 1 << np.arange(12)
+    pos: list[int] = []
+    lens: list[int] = []
     while at < room and len(out) < most:
-        n = int(np.searchsorted(start, room - at, "right")) - 1
+        if full:
+            width, start = _FULL
+        n = min(int(np.searchsorted(start, room - at, "right")) - 1, len(width))
         if n <= 0:
             break
-        n = min(n, len(width))
-        codes = np.zeros(n, dtype=np.int64)
-        for k in range(12):
-            ok = width[:n] > k
-            codes[ok] += b[at + start[:n][ok] + k] * weights[k]
+        first = at + start[:n]
+        k = first >> 3
+        codes = (raw[k] | raw[k + 1] << 8 | raw[k + 2] << 16) >> (first & 7) & (1 << width[:n]) - 1
         stop = np.flatnonzero((codes == clear) | (codes == clear + 1))
         n = int(stop[0]) if len(stop) else n
-        pos, lens = [0] * n, [1] * n
+        if not full:
+            pos, lens = [], []
+        put, measure = pos.append, lens.append
         o = len(out)
-        for j, c in enumerate(codes[:n].tolist()):
-            pos[j] = o
+        for j, c in enumerate(codes[:n].tolist(), len(pos)):
+            put(o)
             if c < clear:
+                measure(1)
                 out.append(c)
                 o += 1
             else:
@@ -108,19 +115,24 @@ def lzw_decode(data: bytes, bits: int, most: int) -> bytes:
                 if e >= j or e < 0:
                     return bytes(out[:most])
                 p, k = pos[e], lens[e] + 1
-                lens[j] = k
+                measure(k)
                 if p + k <= o:
                     out += out[p : p + k]
                 else:  # the string's last sample is its own first
                     out += out[p : p + k - 1]
                     out.append(out[p])
                 o += k
-        if not len(stop) or codes[n] == clear + 1:
-            if not len(stop) and n == len(width):
-                at += int(start[n])
-                continue
-            break
-        at += int(start[n + 1])
+        if len(stop):
+            if codes[n] == clear + 1:
+                break
+            at += int(start[n + 1])
+            full = False
+            width, start = _widths(bits)
+        else:
+            at += int(start[n])
+            full = True
+            if n < len(width):
+                break
     return bytes(out[:most])
 
 

@@ -130,7 +130,8 @@ def test_gif_round_trip_and_rules():
     r = random.Random(0)
     for n in (1, 2, 63, 64, 700, 4096, 70_000):
         for data in (bytes(r.randrange(256) for _ in range(n)), b"ab" * n, bytes(n)):
-            assert gif.lzw_decode(gif.lzw_encode(data), 8, len(data)) == data
+            for defer in (False, True):
+                assert gif.lzw_decode(gif.lzw_encode(data, 8, defer), 8, len(data)) == data
     payload = bytes(r.randrange(256) for _ in range(64 * 9000))
     got = gif.frames(gif.encode(payload))
     assert b"".join(f["indices"].tobytes() for f in got) == payload and [f["start_ms"] for f in got] == [0, 100]
