@@ -36,11 +36,11 @@ def _windows_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 class Stretches:
-    """Anchors of a batch's texts, in order: hash, first window, number of windows, text's place; and the joined bytes."""
+    """Anchors of a batch's texts, in order: hash, first window, number of windows, text's place, hash of the content; and the joined bytes."""
 
-    def __init__(self, texts: list[bytes], length: int):
+    def __init__(self, texts: list[bytes], length: int, contents: bool = True):
         gram = min(GRAM, length)
-        parts: list[list] = [[], [], [], []]
+        parts: list[list] = [[], [], [], [], []]
         i = base = 0
         while i < len(texts):
             j, n = i, 0
@@ -59,24 +59,28 @@ class Stretches:
                 new = np.ones(len(ok), dtype=bool)
                 new[1:] = at[1:] != at[:-1]
                 first = np.flatnonzero(new)
-                for p, x in zip(parts, (h[at[first]], base + ok[first], np.diff(np.append(first, len(ok))), i + doc[ok[first]]), strict=True):
+                begin, windows = ok[first], np.diff(np.append(first, len(ok)))
+                content = np.zeros(0, dtype=np.uint64)
+                if contents:
+                    sums = np.zeros(len(a) + 1, dtype=np.uint64)
+                    np.cumsum(BYTES[a] * powers(BASES[1], len(a)), out=sums[1:], dtype=np.uint64)
+                    size = windows + length - 1
+                    content = mix((sums[begin + size] - sums[begin]) * powers(BASES[1], len(a), True)[begin] + size.astype(np.uint64))
+                for p, x in zip(parts, (h[at[first]], base + begin, windows, i + doc[begin], content), strict=True):
                     p.append(x)
             base += n
             i = j
         none = np.zeros(0, dtype=np.int64)
         self.h = np.concatenate(parts[0] or [none.astype(np.uint64)])
-        self.start, self.windows, self.doc = (np.concatenate(p or [none]) for p in parts[1:])
+        self.start, self.windows, self.doc = (np.concatenate(p or [none]) for p in parts[1:4])
+        self.content = np.concatenate(parts[4] or [none.astype(np.uint64)])
         self.bytes = np.frombuffer(b"".join(texts), dtype=np.uint8)
         self.length = length
 
     def distinct(self, again: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the anchors marked `again`: their places, sorted by hash, text and content; which are the first of equal stretches; and each one's first."""
         which = np.flatnonzero(again)
-        size = self.windows[which] + self.length - 1
-        sums = np.zeros(len(self.bytes) + 1, dtype=np.uint64)
-        np.cumsum(BYTES[self.bytes] * powers(BASES[1], len(self.bytes)), out=sums[1:], dtype=np.uint64)
-        s = self.start[which]
-        content = mix((sums[s + size] - sums[s]) * powers(BASES[1], len(self.bytes) + 1, True)[s] + size.astype(np.uint64))
+        content = self.content[which]
         order = np.lexsort((which, content, self.h[which]))
         which, content = which[order], content[order]
         new = np.ones(len(which), dtype=bool)
@@ -120,7 +124,7 @@ def remove_earlier_strings(docs: DataFrame, length: int = 50, id_col: str = "doc
     bits, wide = buckets(total // 14), max(0, int(np.ceil(np.log2(max(1, total // 2 / BUCKET_BYTES)))))
 
     def hashes(ids, texts):
-        h = Stretches(texts, length).h
+        h = Stretches(texts, length, contents=False).h
         return h, (mix(h ^ U(BASES[2])) >> U(56)).astype(np.uint8)
 
     known = answer(send(parts, hashes, bits), later_only=False).select(F.lit(0).alias("kind"), "b", "k", "p")
@@ -189,13 +193,15 @@ def remove_earlier_strings(docs: DataFrame, length: int = 50, id_col: str = "doc
             mask[at[k] + np.frombuffer(p, dtype=np.uint32, offset=8 * n).astype(np.int64)] = np.frombuffer(p, dtype=np.uint64, count=n)
         every = mask[group]
         every[s.doc[which] != s.doc[first[group]]] = ~U(0)  # an earlier text of the batch has the whole stretch
-        w = s.windows[which]
-        inside = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
-        bit = np.repeat(every, w) >> inside.astype(np.uint64) & U(1)
-        starts = (np.repeat(s.start[which], w) + inside)[bit.astype(bool)]
+        w, begin = s.windows[which], s.start[which]
         cover = np.zeros(len(s.bytes) + 1, dtype=np.int32)
-        np.add.at(cover, starts, 1)
-        np.add.at(cover, starts + length, -1)
+        whole = every & (U(1) << w.astype(np.uint64)) - U(1) == (U(1) << w.astype(np.uint64)) - U(1)
+        np.add.at(cover, begin[whole], 1)  # all its windows: one run
+        np.add.at(cover, begin[whole] + w[whole] + length - 1, -1)
+        for i in range(length):
+            some = ~whole & (i < w) & (every >> U(i) & U(1)).astype(bool)
+            np.add.at(cover, begin[some] + i, 1)
+            np.add.at(cover, begin[some] + i + length, -1)
         gone = np.cumsum(cover[:-1]) > 0
         out: list[list] = [[], [], [], []]
         at = 0
