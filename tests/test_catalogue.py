@@ -1,6 +1,7 @@
 """Every catalogue query with SQL against DuckDB; the others keep their invariants."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from affectra.plans import catalogue as C
@@ -19,7 +20,7 @@ def duck():
 
 def rows(df):
     df = df[sorted(df.columns)]
-    return sorted(tuple("" if x != x or x is None else f"{x:.6g}" if isinstance(x, float) else str(x) for x in r) for r in df.astype(object).itertuples(index=False, name=None))
+    return sorted(tuple("" if pd.isna(x) else f"{x:.6g}" if isinstance(x, float) else str(x) for x in r) for r in df.astype(object).itertuples(index=False, name=None))
 
 
 def number(r):
