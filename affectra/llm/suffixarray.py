@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .batches import BASES, BYTES, U, answer, batched, buckets, flagged, mix, powers, rolling, rows_of, send
 
 #: Bytes in an anchor's gram, and bytes of stretches in a bucket, on average.
-GRAM, BUCKET_BYTES = 24, 3 << 20
+GRAM, BUCKET_BYTES = 24, 1 << 19
 CHUNK = 1 << 18
 
 
