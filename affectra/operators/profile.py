@@ -26,9 +26,17 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, sample deviation, minimum, exact quartiles and maximum of each column."""
-    stats = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "q25": lambda c: F.percentile(c, F.lit(0.25)), "q50": lambda c: F.percentile(c, F.lit(0.5)), "q75": lambda c: F.percentile(c, F.lit(0.75)), "max": F.max}
+    stats = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "q": lambda c: F.percentile(c, F.array(*map(F.lit, (0.25, 0.5, 0.75)))), "max": F.max}
     wide = df.agg(*(f(F.col(c)).alias(f"{k}|{c}") for c in columns for k, f in stats.items()))
-    return wide.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), *(F.col(f"`{k}|{c}`").alias(k) for k in stats)) for c in columns))).alias("x")).select("x.*")
+
+    def cells(c: str):
+        for k in stats:
+            if k == "q":
+                yield from (F.get(f"`q|{c}`", F.lit(i)).alias(q) for i, q in enumerate(("q25", "q50", "q75")))
+            else:
+                yield F.col(f"`{k}|{c}`").alias(k)
+
+    return wide.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), *cells(c)) for c in columns))).alias("x")).select("x.*")
 
 
 def skew_kurtosis(df: DataFrame, column: str) -> DataFrame:
