@@ -4,10 +4,11 @@ A document's shingle hashes pass through one permutation; a second permutation,
 circularly shifted by k, gives coordinate k of its signature. Equal sets become
 one representative first, so exact copies cost nothing more. Representatives
 that agree in a band meet in its bucket, and each is verified against the
-bucket's smallest id: pairs grow with members, not with their square. What then
-shares a bucket but no component is compared pair by pair; buckets too large for
-that are first split by every other band. Nothing is capped: the smallest
-sub-buckets are compared in full.
+bucket's hub, the member with the largest buckets: pairs grow with members, not
+with their square. What then shares a small bucket but no component is compared
+pair by pair. In larger buckets two sets can only be similar enough if they share
+one of their rarest shingles, and only such pairs of different components are
+verified. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from .common import map_arrow, text_or_empty, written
 from .substrings import word_hashes
 
 #: Members of a bucket up to which all its unlinked pairs are compared at once.
-SMALL_BUCKET = 64
+SMALL_BUCKET = 4
 
 
 def shingles(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -112,6 +113,38 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return map_arrow(both, run, "a long, b long")
 
 
+def _rare_pairs(open_sets: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of open_sets (u set, r id, n size, c component), of different components, that may be similar enough.
+
+    Shingles are ordered by how many sets hold them, rarest first. Two sets whose
+    first common shingle leaves x and y shingles from there on have at most
+    min(x, y) in common, which must reach percent / (100 + percent) of both sizes.
+    A shingle's largest component is paired with the others only, not with itself.
+    """
+
+    def run(batches):
+        for batch in batches:
+            ids, words = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i in range(0, len(ids), 64):
+                sets = shingles([t.encode() for t in words[i : i + 64]], width)
+                size = [len(s) for s in sets]
+                one = np.array([s.sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[i : i + 64], size)), pa.array(np.repeat(one, size)), pa.array(np.concatenate(sets).view(np.int64))], names=["r", "one", "h"])
+
+    near = texts.join(open_sets.select(F.col("r").alias("d")).distinct(), "d").select("d", "t")
+    held = written(map_arrow(near, run, "r long, one long, h long").select(F.xxhash64("r", "one").alias("u"), "h"), "shingles")
+    shared = held.groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
+    ranked = held.join(shared, "h").groupBy("u").agg(F.sort_array(F.collect_set(F.struct("f", "h"))).alias("s")).join(open_sets, "u").where(F.size("s") * 100 >= F.col("n") * percent)
+    first = F.slice("s", F.lit(1), F.floor((F.size("s") * 100 - F.col("n") * percent) / 100).cast("int") + 1)
+    rare = written(ranked.select("r", "n", "c", F.size("s").alias("of"), F.posexplode(first).alias("i", "s")).select(F.col("s.h").alias("h"), "r", "n", "c", (F.col("of") - F.col("i")).alias("rest")), "rare")
+    top = rare.groupBy("h", "c").agg(F.count("*").alias("m")).groupBy("h").agg(F.max_by("c", F.struct("m", "c")).alias("top"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    x, y = rare.join(top, "h").where("c <> top").alias("x"), rare.alias("y")
+    enough = F.least("x.rest", "y.rest") * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
+    once = (F.col("y.c") == F.col("x.top")) | (F.col("x.r") < F.col("y.r"))
+    pairs = x.join(y, [F.col("x.h") == F.col("y.h"), F.col("x.c") != F.col("y.c"), once, enough])
+    return pairs.select(F.least("x.r", "y.r").alias("a"), F.greatest("x.r", "y.r").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(v, c): for each vertex of edges (a, b) the smallest vertex it reaches.
 
@@ -145,10 +178,12 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
     texts = docs.select(F.col(id_col).cast("long").alias("d"), text_or_empty(text_col).alias("t"))
     size = sets.select("r", F.col("n_shingles").alias("n"))
     member = sets.select(F.col("n_shingles").alias("n"), "r", F.posexplode("bands").alias("i", "k"))
-    bucket = member.groupBy("i", "k").agg(F.min("r").alias("a"), F.count("*").alias("size")).where("size > 1")
+    bucket = member.groupBy("i", "k").agg(F.count("*").alias("size")).where("size > 1")
     met = written(member.join(bucket, ["i", "k"]), "buckets")
+    reach = met.join(met.groupBy("r").agg(F.sum("size").alias("reach")), "r")
+    hub = reach.groupBy("i", "k").agg(F.max_by("r", F.struct("reach", -F.col("r"))).alias("a"))
     fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent  # no smaller set can be similar enough
-    star = met.where("r <> a").select("a", F.col("r").alias("b"), "n").distinct().join(size.select(F.col("r").alias("a"), F.col("n").alias("m")), "a").where(fits).select("a", "b")
+    star = met.join(hub, ["i", "k"]).where("r <> a").select("a", F.col("r").alias("b"), "n").distinct().join(size.select(F.col("r").alias("a"), F.col("n").alias("m")), "a").where(fits).select("a", "b")
     star = written(star, "star")
     edges = written(_verified(star, texts, width, percent), "edges")
     label = components(edges)
@@ -156,12 +191,12 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
     placed = met.join(label, met["r"] == label["v"], "left").select("i", "k", "r", "n", "size", F.coalesce("c", "r").alias("c"))
     mixed = placed.groupBy("i", "k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("i", "k")
     open_ = written(placed.join(mixed, ["i", "k"], "left_semi"), "open")
-    small = open_.where(F.col("size") <= SMALL_BUCKET).select("i", "k", F.lit(-1).alias("j"), F.lit(0).cast("long").alias("l"), "r", "n", "c")
-    large = open_.where(F.col("size") > SMALL_BUCKET).join(sets.select("r", "bands"), "r").select("i", "k", F.posexplode("bands").alias("j", "l"), "r", "n", "c").where("j <> i")
-    group = small.unionByName(large)
-    x, y = group.alias("x"), group.alias("y")
-    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("i", "k", "j", "l")]
-    pairs = x.join(y, [*same, F.col("x.r") < F.col("y.r"), F.col("x.c") != F.col("y.c"), F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent]).select(F.col("x.r").alias("a"), F.col("y.r").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    few = open_.where(F.col("size") <= SMALL_BUCKET).select("i", "k", "r", "n", "c")
+    x, y = few.alias("x"), few.alias("y")
+    pairs = x.join(y, [F.col("x.i") == F.col("y.i"), F.col("x.k") == F.col("y.k"), F.col("x.r") < F.col("y.r"), F.col("x.c") != F.col("y.c"), F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent]).select(F.col("x.r").alias("a"), F.col("y.r").alias("b"))
+    many = open_.where(F.col("size") > SMALL_BUCKET).select("r", "n", "c").distinct().join(sets.select("r", F.col("n_shingles").alias("n"), F.xxhash64("r", "one").alias("u")), ["r", "n"])
+    rare = _rare_pairs(written(many, "many"), texts, width, percent)
+    pairs = written(pairs.union(rare).distinct(), "pairs")
     more = written(_verified(pairs, texts, width, percent), "edges")
     if not more.isEmpty():
         label = components(edges.unionByName(more))
