@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,9 @@ from .batches import BASES, U, mix, rolling
 from .common import map_arrow, text_or_empty, written
 from .substrings import word_hashes
 
+#: Bytes of text whose shingles are made at once in a task (one text at least).
+SLICE = 1 << 21
+
 #: Members of a bucket up to which all its unlinked pairs are compared at once.
 SMALL_BUCKET = 4
 
@@ -46,6 +50,18 @@ def shingles(texts: list[bytes], width: int) -> list[np.ndarray]:
     return out
 
 
+def slices(sizes: list[int]):
+    """Bounds (start, stop) of neighbours whose sizes add up to SLICE at most, one at least."""
+    i = 0
+    while i < len(sizes):
+        j, n = i, 0
+        while j < len(sizes) and (j == i or n + sizes[j] <= SLICE):
+            n += sizes[j]
+            j += 1
+        yield i, j
+        i = j
+
+
 def signatures(sets: list[np.ndarray], coordinates: int) -> np.ndarray:
     """Circulant MinHash signatures, a row for each (non-empty) set."""
     out = np.empty((len(sets), coordinates), dtype=np.uint64)
@@ -71,21 +87,23 @@ def signatures(sets: list[np.ndarray], coordinates: int) -> np.ndarray:
 
 def _signed(docs: DataFrame, width: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
     def run(batches):
-        for b in batches:
-            sets = shingles([t.encode() for t in b.column(1).to_pylist()], width)
-            full = [i for i, s in enumerate(sets) if len(s)]
-            keys: list = [None] * len(sets)
-            if full:
-                sig = signatures([sets[i] for i in full], bands * rows)
-                by_band = sig.reshape(len(full), bands, rows)
-                key = np.zeros((len(full), bands), dtype=np.uint64)
-                for r in range(rows):
-                    key = mix(key * U(BASES[0]) + by_band[:, :, r])
-                for i, k in zip(full, key.view(np.int64).tolist(), strict=True):
-                    keys[i] = k
-            one = [int(s.sum(dtype=np.uint64).astype(np.int64)) for s in sets]
-            two = [int(mix(s.copy()).sum(dtype=np.uint64).astype(np.int64)) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, sets), pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "one", "two", "bands"])
+        for batch in batches:
+            for i, j in slices(pc.binary_length(batch.column(1)).to_pylist()):
+                b = batch.slice(i, j - i)
+                sets = shingles([t.encode() for t in b.column(1).to_pylist()], width)
+                full = [i for i, s in enumerate(sets) if len(s)]
+                keys: list = [None] * len(sets)
+                if full:
+                    sig = signatures([sets[i] for i in full], bands * rows)
+                    by_band = sig.reshape(len(full), bands, rows)
+                    key = np.zeros((len(full), bands), dtype=np.uint64)
+                    for r in range(rows):
+                        key = mix(key * U(BASES[0]) + by_band[:, :, r])
+                    for x, k in zip(full, key.view(np.int64).tolist(), strict=True):
+                        keys[x] = k
+                one = [int(s.sum(dtype=np.uint64).astype(np.int64)) for s in sets]
+                two = [int(mix(s.copy()).sum(dtype=np.uint64).astype(np.int64)) for s in sets]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, sets), pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "one", "two", "bands"])
 
     return map_arrow(docs.select(F.col(id_col).cast("long").alias("d"), text_or_empty(text_col).alias("t")), run, "doc_id long, n_shingles long, one long, two long, bands array<long>")
 
@@ -95,20 +113,20 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     both = pairs.join(texts.select(F.col("d").alias("a"), F.col("t").alias("s")), "a").join(texts.select(F.col("d").alias("b"), "t"), "b").select("a", "b", "s", "t")
 
     def run(batches):
-        last: dict = {}
+        known: dict = {}  # the sets of the last slices' texts
         for batch in batches:
-            a, b, s, t = (batch.column(i).to_pylist() for i in range(4))
-            new = [x for x in dict.fromkeys([*s, *t]) if x not in last]
-            if len(last) > 2000:
-                last.clear()
-                new = list(dict.fromkeys([*s, *t]))
-            last.update(zip(new, shingles([x.encode() for x in new], width), strict=True))
-            ok = []
-            for x, y in zip(s, t, strict=True):
-                p, q = last[x], last[y]
-                n = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(n > 0 and 100 * n >= percent * (len(p) + len(q) - n))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], names=["a", "b"])
+            for i, j in slices(pc.add(pc.binary_length(batch.column(2)), pc.binary_length(batch.column(3))).to_pylist()):
+                s, t = (batch.column(c).slice(i, j - i).to_pylist() for c in (2, 3))
+                every = dict.fromkeys([*s, *t])
+                known = {x: known[x] for x in every if x in known}
+                new = [x for x in every if x not in known]
+                known.update(zip(new, shingles([x.encode() for x in new], width), strict=True))
+                ok = []
+                for x, y in zip(s, t, strict=True):
+                    p, q = known[x], known[y]
+                    n = len(np.intersect1d(p, q, assume_unique=True))
+                    ok.append(n > 0 and 100 * n >= percent * (len(p) + len(q) - n))
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(i, j - i).filter(pa.array(ok)) for c in (0, 1)], names=["a", "b"])
 
     return map_arrow(both, run, "a long, b long")
 
@@ -124,12 +142,12 @@ def _rare_pairs(open_sets: DataFrame, texts: DataFrame, width: int, percent: int
 
     def run(batches):
         for batch in batches:
-            ids, words = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i in range(0, len(ids), 64):
-                sets = shingles([t.encode() for t in words[i : i + 64]], width)
+            for i, j in slices(pc.binary_length(batch.column(1)).to_pylist()):
+                sets = shingles([t.encode() for t in batch.column(1).slice(i, j - i).to_pylist()], width)
                 size = [len(s) for s in sets]
                 one = np.array([s.sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[i : i + 64], size)), pa.array(np.repeat(one, size)), pa.array(np.concatenate(sets).view(np.int64))], names=["r", "one", "h"])
+                ids = np.array(batch.column(0).slice(i, j - i).to_pylist(), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, size)), pa.array(np.repeat(one, size)), pa.array(np.concatenate(sets).view(np.int64))], names=["r", "one", "h"])
 
     near = texts.join(open_sets.select(F.col("r").alias("d")).distinct(), "d").select("d", "t")
     held = written(map_arrow(near, run, "r long, one long, h long").select(F.xxhash64("r", "one").alias("u"), "h"), "shingles")
