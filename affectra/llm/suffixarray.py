@@ -24,6 +24,8 @@ from .batches import BASES, BYTES, U, answer, batched, buckets, flagged, mix, po
 #: Bytes in an anchor's gram, and bytes of stretches in a bucket, on average.
 GRAM, BUCKET_BYTES = 24, 1 << 19
 CHUNK = 1 << 18
+#: Suffixes sorted at once.
+SORTED = 1 << 18
 
 
 def _windows_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -88,24 +90,53 @@ class Stretches:
         return which, new, np.cumsum(new) - 1
 
 
+def _words(padded: np.ndarray, starts: np.ndarray, k: int, length: int) -> np.ndarray:
+    """Bytes k to k + 7 from each start as one number; the last stops at the length."""
+    word = np.zeros(len(starts), dtype=np.uint64)
+    for b in range(k, k + 8):
+        word <<= U(8)
+        if b < length:
+            word |= padded[starts + b]
+    return word
+
+
 def _earlier(blob: np.ndarray, starts: np.ndarray, rank: np.ndarray, length: int) -> np.ndarray:
-    """Whether `length` bytes from each start also start at one of smaller rank, by sorting the suffixes."""
-    if not len(starts):
-        return np.zeros(0, dtype=bool)
+    """Whether `length` bytes from each start also start at one of smaller rank, by sorting the suffixes.
+
+    Strings of equal first bytes are sorted in the same pass; a pass takes SORTED of them or so.
+    """
+    out = np.zeros(len(starts), dtype=bool)
     padded = np.concatenate([blob, np.zeros(8, dtype=np.uint8)])
-    keys = []
-    for k in range(0, length, 8):
-        word = np.zeros(len(starts), dtype=np.uint64)
-        for b in range(8):  # the last word stops at the length
-            word = word << U(8) | (padded[starts + k + b].astype(np.uint64) if k + b < length else U(0))
-        keys.append(word)
-    order = np.lexsort(keys[::-1])
-    run = np.ones(len(order), dtype=bool)
-    run[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
-    ranks = rank[order]
-    least = np.minimum.reduceat(ranks, np.flatnonzero(run))[np.cumsum(run) - 1]
-    out = np.zeros(len(order), dtype=bool)
-    out[order] = ranks > least
+    passes = 1 + len(starts) // SORTED
+    turn = (mix(_words(padded, starts, 0, length)) >> U(32)) % U(passes) if passes > 1 else np.zeros(len(starts), dtype=np.uint64)
+    for i in range(passes):
+        at = np.flatnonzero(turn == U(i))
+        if not len(at):
+            continue
+        keys = [_words(padded, starts[at], k, length) for k in range(0, length, 8)]
+        order = np.lexsort(keys[::-1])
+        run = np.ones(len(order), dtype=bool)
+        run[1:] = False
+        for k in keys:
+            k = k[order]
+            run[1:] |= k[1:] != k[:-1]
+        ranks = rank[at][order]
+        out[at[order]] = ranks > np.minimum.reduceat(ranks, np.flatnonzero(run))[np.cumsum(run) - 1]
+    return out
+
+
+def _contents(blob: np.ndarray, begin: np.ndarray, size: np.ndarray, base: int) -> np.ndarray:
+    """A hash of each stretch's bytes and size, CHUNK bytes at once."""
+    out = np.zeros(len(begin), dtype=np.uint64)
+    i = 0
+    while i < len(begin):
+        j = max(i + 1, int(np.searchsorted(begin, begin[i] + CHUNK)))
+        a = blob[begin[i] : begin[j - 1] + size[j - 1]]
+        sums = np.zeros(len(a) + 1, dtype=np.uint64)
+        np.cumsum(BYTES[a] * powers(base, len(a)), out=sums[1:], dtype=np.uint64)
+        first = begin[i:j] - begin[i]
+        out[i:j] = mix((sums[first + size[i:j]] - sums[first]) * powers(base, len(a), True)[first] + size[i:j].astype(np.uint64))
+        i = j
     return out
 
 
@@ -167,9 +198,18 @@ def remove_earlier_strings(docs: DataFrame, length: int = 50, id_col: str = "doc
         w = np.concatenate(windows)
         size = w + length - 1
         begin = np.cumsum(size) - size
-        inside = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
-        hit = _earlier(np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint8), np.repeat(begin, w) + inside, np.repeat(rank, w), length)
-        mask = np.bitwise_or.reduceat(hit.astype(np.uint64) << inside.astype(np.uint64), np.cumsum(w) - w)
+        blob = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint8)
+        # of equal stretches the first is sorted; the others have every window earlier
+        one, two = (_contents(blob, begin, size, base) for base in BASES[1:])
+        order = np.lexsort((rank, two, one))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+        first = order[new]
+        n = w[first]
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        hit = _earlier(blob, np.repeat(begin[first], n) + inside, np.repeat(rank[first], n), length)
+        mask = (U(1) << w.astype(np.uint64)) - U(1)
+        mask[first] = np.bitwise_or.reduceat(hit.astype(np.uint64) << inside.astype(np.uint64), np.cumsum(n) - n)
         out, at, k = [], 0, table.column("k")[0].as_py()
         for (b, *_), x in zip(rows, windows, strict=True):
             m = mask[at : at + len(x)]
