@@ -68,7 +68,8 @@ class Stretches:
                     np.cumsum(BYTES[a] * powers(BASES[1], len(a)), out=sums[1:], dtype=np.uint64)
                     size = windows + length - 1
                     content = mix((sums[begin + size] - sums[begin]) * powers(BASES[1], len(a), True)[begin] + size.astype(np.uint64))
-                for p, x in zip(parts, (h[at[first]], base + begin, windows, i + doc[begin], content), strict=True):
+                # smallest hashes crowd near zero: mixed again, they part evenly into buckets
+                for p, x in zip(parts, (mix(~h[at[first]]), base + begin, windows, i + doc[begin], content), strict=True):
                     p.append(x)
             base += n
             i = j
