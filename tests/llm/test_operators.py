@@ -342,6 +342,23 @@ def test_near_duplicates(spark, docs, plain, width, percent, small, monkeypatch)
     assert all(r.kept == (r.doc_id == r.component_id) for r in got) and any(not r.kept for r in got)
 
 
+def test_near_duplicates_in_a_large_family(spark):
+    """Copies of one text with 0 to 7 edited words: many share buckets, few are linked, some only by others."""
+    import random
+
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(150)]
+    texts = {}
+    for d in range(150):
+        own = list(words)
+        for at in rng.sample(range(150), d % 8):
+            own[at] = rng.choice(["x", f"y{d}", f"z{d // 2}"])
+        texts[d] = " ".join(own)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = near_duplicates(docs).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(texts, 3, 85)
+
+
 def test_near_duplicates_odd_tables(spark):
     assert near_duplicates(empty(spark)).count() == 0
     odd = spark.createDataFrame([(None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (2, "A B\nc  d"), (9, None)], "doc_id long, text string")
