@@ -1,9 +1,11 @@
 """Line dedup by winnowing over line hashes, in DataFrame operations only.
 
 Runs of at least `run` consecutive lines that also occur earlier (smaller id, or
-further up in the same document) are deleted. In each window of `run` lines the
+further up in the same document) are deleted; where `words` is given, so is a
+repeated line of that many words by itself, a run by its size. In each window of `run` lines the
 smallest line hash (the last on ties) is selected; equal windows select alike, so
-each repeated run shares a selected line: the guaranteed fingerprint. Selected
+each repeated run shares a selected line: the guaranteed fingerprint. A long line
+is a window of its own and selects itself. Selected
 lines are counted; around those that occur more than once, the windows that
 selected them reach to both sides, one to another, as far as the match goes. A
 window is compared by a 128-bit key with its first occurrence only, which a
@@ -15,18 +17,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import WORD, text_or_empty, written
 
 
 def _line_hash(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
-def remove_repeated_runs(docs: DataFrame, run: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeated_runs(docs: DataFrame, run: int = 2, id_col: str = "doc_id", text_col: str = "text", words: int | None = None) -> DataFrame:
     """docs with `text_col` rid of later repeated runs, and n_lines, n_removed.
 
     Lines part at "\\n" and are compared without outer spaces. Null text is
-    empty; documents of fewer than `run` lines keep all. Rows with equal ids are
+    empty. A repeated line of at least `words` words (parted by white space) goes
+    without equal neighbours too; without `words`, documents of fewer than `run`
+    lines keep all. Rows with equal ids are
     ordered by a hash of their text, rows equal in both are copies of one
     another at the same place and keep alike; null ids come first. Columns of
     docs named n_lines or n_removed are replaced.
@@ -36,23 +40,27 @@ def remove_repeated_runs(docs: DataFrame, run: int = 2, id_col: str = "doc_id",
     # the place of a row: its id (null first) and a hash of its text
     place = F.struct(F.col(id_col).isNotNull().alias("a"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("b"), F.xxhash64(text_or_empty(text_col)).alias("c"))
     lines = F.split(text_or_empty(text_col), "\n", -1)
-    hashed = docs.select(place.alias("place"), F.transform(lines, _line_hash).alias("h"), F.transform(lines, lambda x: F.xxhash64(F.trim(x), F.lit(7))).alias("g")).where(F.size("h") >= run)
+    long = F.array().cast("array<int>") if words is None else F.filter(F.transform(lines, lambda x, i: F.when(F.regexp_count(x, F.lit(WORD)) >= words, i)), lambda i: i.isNotNull())
+    hashed = docs.select(place.alias("place"), F.transform(lines, _line_hash).alias("h"), F.transform(lines, lambda x: F.xxhash64(F.trim(x), F.lit(7))).alias("g"), long.alias("long")).where((F.size("h") >= run) | (F.size("long") > 0))
     # the position that each window selects: the last smallest hash of its lines
-    starts = F.sequence(F.lit(0), F.size("h") - run)
+    starts = F.when(F.size("h") >= run, F.sequence(F.lit(0), F.size("h") - run)).otherwise(F.array().cast("array<int>"))
 
     def chosen(s):
         return -F.array_min(F.transform(F.sequence(F.lit(0), F.lit(run - 1)), lambda k: F.struct(F.get(F.col("h"), s + k).alias("h"), (-(s + k)).alias("p"))))["p"]
 
-    def window(s):
-        return F.struct(s.cast("int").alias("s"), F.get(F.col("h"), chosen(s)).alias("f"), F.xxhash64(F.slice("h", s + 1, run)).alias("k1"), F.xxhash64(F.slice("g", s + 1, run)).alias("k2"))
+    def window(s, size, f):
+        return F.struct(s.cast("int").alias("s"), F.lit(size).alias("size"), f.alias("f"), F.xxhash64(F.slice("h", s + 1, size)).alias("k1"), F.xxhash64(F.slice("g", s + 1, size)).alias("k2"))
 
-    windows = written(hashed.select("place", F.explode(F.transform(starts, window)).alias("w")).select("place", "w.*"), "windows")
+    every = F.transform(starts, lambda s: window(s, run, F.get(F.col("h"), chosen(s))))
+    if words is not None and run > 1:  # a key of its own: lines that only windows of `run` share aren't counted with it
+        every = F.concat(every, F.transform("long", lambda s: window(s, 1, F.xxhash64(F.get(F.col("h"), s), F.lit(1)))))
+    windows = written(hashed.select("place", F.explode(every).alias("w")).select("place", "w.*"), "windows")
     repeated = windows.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f")
     around = windows.join(repeated, "f", "left_semi")
     firsts = around.groupBy("k1", "k2").agg(F.min(F.struct("place", "s")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = around.join(firsts, ["k1", "k2"]).where(F.struct("place", "s") > F.col("first")).groupBy("place").agg(F.collect_set("s").alias("later"))
+    later = around.join(firsts, ["k1", "k2"]).where(F.struct("place", "s") > F.col("first")).groupBy("place").agg(F.collect_set(F.struct("s", "size")).alias("later"))
     joined = docs.select(*keep).withColumn("_place", place).join(later, F.col("_place") == F.col("place"), "left")
-    gone = F.array_distinct(F.flatten(F.transform("later", lambda s: F.sequence(s, s + run - 1))))
+    gone = F.array_distinct(F.flatten(F.transform("later", lambda w: F.sequence(w["s"], w["s"] + w["size"] - 1))))
     out = joined.withColumns({"_lines": F.split(text_or_empty(text_col), "\n", -1), "_gone": F.coalesce(gone, F.array().cast("array<int>"))})
     left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
     out = out.withColumn("_left", left)

@@ -126,6 +126,20 @@ def test_line_dedup(spark, docs, plain, run):
     assert remove_repeated_runs(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("run", [1, 2, 3])
+def test_line_dedup_of_one_long_line(spark, run):
+    long, copied = " ".join(f"w{i}" for i in range(30)), " ".join(f"v{i}" for i in range(29))
+    plain = {1: f"a\n{long}\nb", 2: f"c\n {long} \nd", 3: long, 4: f"e\n{copied}\nf", 5: f"g\n{copied}\nh", 6: f"{long}\n{long}", 7: "c\nd\ne\nf", 8: "c\nd\ne\nf", 9: None}
+    got = {r.doc_id: (r.text, r.n_removed) for r in remove_repeated_runs(spark.createDataFrame(list(plain.items()), "doc_id long, text string").repartition(3), run, words=30).collect()}
+    want = {d: t for d, (t, _) in brute_lines({d: t or "" for d, t in plain.items()}, run).items()}
+    if run > 1:
+        assert want[2] == plain[2] and want[3] == plain[3]  # by lines alone both stay
+    for d in (2, 3, 6):
+        want[d] = "\n".join(x for x in want[d].split("\n") if x.strip() != long)
+    assert {d: t or "" for d, (t, _) in got.items()} == want
+    assert got[3] == ("", 1) and got[6] == ("", 2) and (run == 1 or got[5] == (plain[5], 0)) and got[9] == (None, 0)
+
+
 def test_gif_round_trip_and_rules():
     r = random.Random(0)
     for n in (1, 2, 63, 64, 700, 4096, 70_000):
