@@ -14,6 +14,7 @@ part is cut at powers of two, which need no padding.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import bisect_right
@@ -50,13 +51,25 @@ class _Words(dict):
         return got
 
 
+def _added(ranks_path: str) -> tuple[re.Pattern, dict[str, bytes]]:
+    """A pattern of the vocabulary's added tokens, the longest first, and the id of each as bytes."""
+    with open(ranks_path.removesuffix(".tiktoken") + ".json") as f:
+        tokens = json.load(f)["added_tokens"]
+    if any(t[k] for t in tokens for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens are matched as they stand only")
+    added = {t["content"]: np.array([t["id"]], dtype="<u4").tobytes() for t in tokens}
+    return re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")"), added
+
+
 def encoder(ranks_path: str):
     """text -> ids as little-endian unsigned 32-bit bytes.
 
     ranks_path holds a public byte-level BPE vocabulary as ranks. A text is split
     at each space that a visible character follows: the vocabulary's pattern
     always parts pieces there, so words are encoded once and remembered. Texts
-    in which white space follows a space are encoded whole.
+    in which white space follows a space are encoded whole. Added tokens of the
+    .json beside the ranks part a text first: each is one id and what lies between
+    is encoded by itself, the space before one too.
     """
     if ranks_path not in _encoders:
         import base64
@@ -67,16 +80,22 @@ def encoder(ranks_path: str):
         with open(ranks_path) as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(str.split, f)}
         encode = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        _encoders[ranks_path] = encode, _Words(encode)
-    encode, words = _encoders[ranks_path]
+        _encoders[ranks_path] = encode, _Words(encode), *_added(ranks_path)
+    encode, words, markers, added = _encoders[ranks_path]
     odd = _ODD.search
 
-    def ids(text: str) -> bytes:
+    def plain(text: str) -> bytes:
         if odd(text):
             return np.array(encode(text), dtype="<u4").tobytes()
         head, *rest = text.split(" ")
         return np.array(encode(head), dtype="<u4").tobytes() + b"".join(map(words.__getitem__, rest))
 
+    def ids(text: str) -> bytes:
+        if not any(map(text.__contains__, added)):
+            return plain(text)
+        # every other part is a marker
+        return b"".join(added[x] if i % 2 else plain(x) for i, x in enumerate(markers.split(text)) if x)
+
     return ids
 
 

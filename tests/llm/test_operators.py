@@ -73,6 +73,21 @@ def test_encoder_equals_the_tokenizer():
         assert np.frombuffer(ids(x), dtype="<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
 
 
+def test_encoder_knows_the_added_token(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t, ids, m = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), encoder(default_vocabulary()), "<|endoftext|>"
+    odd = [m, f"a {m} b", f"a{m}b", f"{m}{m}", f" {m}  {m} ", f"a\n{m}\n b", f"a b  {m} c", "<|endoftext", "<|<|endoftext|>|>", m.upper()]
+    r = random.Random(5)
+    odd += ["".join(r.choice([m, " ", "  ", "\n", "a", "bc", "<|", "é", "'s", "1"]) for _ in range(12)) for _ in range(2000)]
+    for x in odd:
+        assert np.frombuffer(ids(x), dtype="<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
+    p = pack_documents(spark.createDataFrame([(1, f"a {m} b")], "doc_id long, text string")).toPandas()
+    want = np.array([64, 220, 50256, 275, 0], dtype="<u4").tobytes()
+    assert set(p.doc_tokens) == {5} and {zlib.crc32(want[4 * a : 4 * (a + n)]) for a, n in zip(p.start, p.length, strict=True)} == set(p.ids_crc32)
+
+
 @pytest.mark.parametrize("capacity", [64, 1024])
 def test_packing_places_every_id_once(spark, docs, plain, capacity):
     ids = encoder(default_vocabulary())
