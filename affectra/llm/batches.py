@@ -1,7 +1,8 @@
 """Documents in batches of neighbouring ids, and hash exchanges between batches.
 
-Batches are ranges of ids in order, so "earlier" between batches is a smaller
-batch number and no ids travel with hashes. A batch first resolves repeats
+Batches are ranges of ids in order (rows of one id in order of a hash of the
+text), cut by bytes, so "earlier" between batches is a smaller batch number and
+no ids travel with hashes. A batch first resolves repeats
 within itself (the pre-aggregation: a hot hash leaves a batch once), sends each
 distinct hash to the bucket of its leading bits as packed bytes, and gets back
 the places of hashes that other batches hold. Batches are sorted within, so the
@@ -14,15 +15,17 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from affectra.functions.cluster import ship
 
-from .common import text_bytes, text_or_empty
+from .common import text_bytes, text_or_empty, written
 
-#: Bytes of text in a batch, and hashes in a bucket, on average.
+#: Bytes of text in a batch, and hashes in a bucket on average.
 BATCH_BYTES, BUCKET_HASHES = 6 << 20, 1_000_000
+#: What a row counts besides its text, so that empty ones are bounded too; bytes of text in a range of the running sum.
+ROW_BYTES, RANGE_BYTES = 16, 64 << 20
 
 U = np.uint64
 _MIX1, _MIX2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -64,35 +67,80 @@ def rolling(values: np.ndarray, width: int, base: int) -> np.ndarray:
     return (sums[width:] - sums[:n]) * powers(base, n, True)
 
 
-def batched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
-    """(b, d, t): the number of the batch, id and text; and all bytes of text. Null ids are in batch 0."""
-    ship(docs.sparkSession)
-    total = text_bytes(docs, text_col)
-    n = max(1, -(-total // BATCH_BYTES))
-    cuts: list[int] = []
-    if n > 1:
-        steps = [i / n for i in range(1, n)]
-        cuts = sorted(set(docs.agg(F.percentile_approx(F.col(id_col).cast("long"), steps, max(10_000, 10 * n))).first()[0] or []))
-    d = F.col(id_col).cast("long")
-    return docs.select(_place(d, cuts).cast("int").alias("b"), d.alias("d"), text_or_empty(text_col).alias("t")), total
+def _key(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """The order of rows: id (null first) and a hash of the text."""
+    return F.col(id_col).cast("long"), F.xxhash64(text_or_empty(text_col))
+
 
+def _cuts(docs: DataFrame, total: int, id_col: str, text_col: str) -> tuple[list[tuple], list[tuple]]:
+    """(d, h, b) where batch b begins, and (d, h, before, bytes of a row) of keys whose equal rows alone exceed a batch.
 
-def _place(d, cuts: list[int]):
-    """How many cuts are at or below d, by a balanced tree of comparisons."""
+    A batch is what begins within BATCH_BYTES of the running sum of bytes over
+    the keys in order, which is taken range by range. Both lists have one row in
+    BATCH_BYTES at most.
+    """
+    d, h = _key(id_col, text_col)
+    each = docs.select(d.alias("d"), h.alias("h"), (F.octet_length(text_or_empty(text_col)).cast("long") + ROW_BYTES).alias("s"))
+    keys = each.groupBy("d", "h").agg(F.sum("s").alias("s"), F.max("s").alias("one"))
+    ranges = written(keys.repartitionByRange(1 + total // RANGE_BYTES, F.asc_nulls_first("d"), "h").withColumn("p", F.spark_partition_id()), "ranges")
+    earlier = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    base = ranges.groupBy("p").agg(F.sum("s").alias("all")).select("p", F.coalesce(F.sum("all").over(earlier), F.lit(0)).alias("base"))
+    along = Window.partitionBy("p").orderBy(F.asc_nulls_first("d"), "h")
+    sums = ranges.select("*", F.sum("s").over(along).alias("to"), F.lag(F.struct("s"), 1).over(along).alias("last")).join(F.broadcast(base), "p")
+    end, began = F.col("base") + F.col("to"), F.col("base") + F.col("to") - F.col("s")
+    b, before = F.floor(began / BATCH_BYTES), F.floor((began - F.coalesce(F.col("last.s"), F.lit(0))) / BATCH_BYTES)
+    hot = (F.col("s") > BATCH_BYTES) & (F.col("s") > F.col("one"))
+    got = sums.where(F.col("last").isNull() | (b > before) | hot).select("d", "h", b.alias("b"), (end - F.col("s")).alias("before"), "one", hot.alias("hot")).collect()
+    got.sort(key=lambda r: (r.d is not None, r.d or 0, r.h))
+    return [(r.d, r.h, r.b) for r in got], [(r.d, r.h, r.before, r.one) for r in got if r.hot]
 
-    def tree(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(d >= cuts[mid], tree(mid + 1, hi)).otherwise(tree(lo, mid))
 
-    return tree(0, len(cuts))
+def batched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
+    """(b, d, h, t): the number of the batch, id, hash of the text and text; and all bytes of text.
+
+    Rows are in order of id (null first) and hash. Rows of one id part into
+    batches like others; so do rows equal in id and text, which are counted and
+    dealt out again: only a single text makes a batch larger than BATCH_BYTES
+    and the text that it ends with.
+    """
+    ship(docs.sparkSession)
+    total = text_bytes(docs, text_col)
+    d, h = _key(id_col, text_col)
+    rows = docs.select(d.alias("d"), h.alias("h"), text_or_empty(text_col).alias("t"))
+    cuts, hot = _cuts(docs, total, id_col, text_col)
+    columns = "cast(b as int) as b", "d", "h", "t"
+    parts = rows.withColumn("b", _place(cuts))
+    if hot:
+        spark = docs.sparkSession
+        listed = F.broadcast(spark.createDataFrame(hot, "hd long, hh long, before long, one long"))
+        same = F.col("d").eqNullSafe(F.col("hd")) & (F.col("h") == F.col("hh"))
+        copies = rows.join(listed, same).groupBy("d", "h", "t", "before", "one").agg(F.count("*").alias("n"))
+        dealt = copies.select("d", "h", "t", "before", "one", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+        parts = parts.join(listed, same, "left_anti").selectExpr(*columns).unionByName(dealt.withColumn("b", F.floor((F.col("before") + F.col("i") * F.col("one")) / BATCH_BYTES)).selectExpr(*columns))
+    return parts.selectExpr(*columns), total
+
+
+def _place(cuts: list[tuple]) -> Column:
+    """The batch of the last cut at or below (d, h), by balanced trees of comparisons."""
+    d, h = F.col("d"), F.col("h")
+
+    def tree(cuts: list[tuple], below: int) -> Column:
+        if not cuts:
+            return F.lit(below)
+        mid = len(cuts) // 2
+        cd, ch, b = cuts[mid]
+        reached = h >= ch if cd is None else (d > cd) | ((d == cd) & (h >= ch))
+        return F.when(reached, tree(cuts[mid + 1 :], b)).otherwise(tree(cuts[:mid], below))
+
+    nulls = [c for c in cuts if c[0] is None]
+    rest = cuts[len(nulls) :]
+    return F.when(d.isNull(), tree(nulls, 0)).otherwise(tree(rest, nulls[-1][2] if nulls else 0))
 
 
 def rows_of(table: pa.Table) -> tuple[list, list[bytes]]:
-    """Ids and texts of a batch, in order of id (null first) and text."""
-    rows = sorted(zip(table.column("d").to_pylist(), (t.encode() for t in table.column("t").to_pylist()), strict=True), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-    return [r[0] for r in rows], [r[1] for r in rows]
+    """Ids and texts of a batch, in order of id (null first), hash and text."""
+    rows = sorted(zip(table.column("d").to_pylist(), table.column("h").to_pylist(), (t.encode() for t in table.column("t").to_pylist()), strict=True), key=lambda r: (r[0] is not None, r[0] or 0, *r[1:]))
+    return [r[0] for r in rows], [r[2] for r in rows]
 
 
 def buckets(total_hashes: int) -> int:

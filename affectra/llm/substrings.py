@@ -61,7 +61,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = 20, id_col: str = "do
     """One row per document: doc_id, n_words, n_removed, spans (maximal removed runs of words), kept (the other words joined by a space).
 
     A word goes if a window of `window` words that covers it also starts earlier:
-    in a smaller id (null ids come first; equal ids in order of text), or further
+    in a smaller id (null ids come first; equal ids in order of a hash of the text), or further
     up in the same document. Null text has no words. Repeated rows are documents
     of their own. An empty table gives no rows; other columns aren't carried.
     """

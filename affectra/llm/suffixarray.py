@@ -149,7 +149,7 @@ def remove_earlier_strings(docs: DataFrame, length: int = 50, id_col: str = "doc
 
     A byte goes if a string of `length` bytes that covers it also starts in an
     earlier document: of smaller id (null ids come first; rows of equal id in
-    order of text). length is from 25 to 87. Null text is empty. An empty table
+    order of a hash of the text). length is from 25 to 87. Null text is empty. An empty table
     gives no rows; other columns aren't carried.
     """
     parts, total = batched(docs, id_col, text_col)

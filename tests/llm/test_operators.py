@@ -312,6 +312,35 @@ def test_substrings(spark, docs, plain):
     assert remove_repeated_windows(empty(spark)).count() == 0
 
 
+def test_batches_are_bounded_by_bytes(spark, monkeypatch):
+    from affectra.llm import batches as bt
+
+    monkeypatch.setattr(bt, "BATCH_BYTES", 4000)
+    monkeypatch.setattr(bt, "RANGE_BYTES", 20_000)
+    r = random.Random(4)
+    word = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(50))
+    rows = [(i, "x") for i in range(300)] + [(i, word()) for i in range(300, 340)] + [(None, word()) for _ in range(40)] + [(7, word()) for _ in range(40)]
+    rows += [(9, rows[300][1])] * 40 + [(None, rows[340][1])] * 40 + [(None, None)] * 700
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    parts, total = bt.batched(docs)
+    assert total == sum(len(t or "") for _, t in rows)
+    got = parts.collect()
+    assert Counter((x.d, x.t) for x in got) == Counter((d, t or "") for d, t in rows)
+    size, ends = Counter(), {}
+    for x in got:
+        size[x.b] += len(x.t) + bt.ROW_BYTES
+        k = (x.d is not None, x.d or 0, x.h)
+        lo, hi = ends.get(x.b, (k, k))
+        ends[x.b] = min(lo, k), max(hi, k)
+    assert max(size.values()) <= 4000 + 299 + bt.ROW_BYTES and len(size) >= 15
+    order = [ends[b] for b in sorted(ends)]
+    assert all(a[1] <= z[0] for a, z in zip(order, order[1:], strict=False))
+    left = remove_repeated_windows(docs).collect()
+    whole = Counter(x.doc_id for x in left if x.n_removed == 0 and x.n_words == 50)
+    # of each text the first copy alone is whole: null ids come first, then 7 and 9
+    assert whole == Counter({None: 40, 7: 40} | {i: 1 for i in range(301, 340)} | {9: 1}) and len(left) == len(rows)
+
+
 def test_substrings_with_many_batches(spark, docs, monkeypatch):
     from affectra.llm import batches
 
