@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows in a range of a running sum, on average.
+RANGE_ROWS = 1_000_000
+
 
 def _long(df: DataFrame, row: dict[str, object], value: str) -> DataFrame:
     return df.agg(*(c.alias(k) for k, c in row.items())).select(F.explode(F.array(*(F.struct(F.lit(k).alias("column"), F.col(f"`{k}`").alias(value)) for k in row))).alias("x")).select("x.*")
@@ -24,19 +27,46 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).withColumn("percent", F.bround(F.col("n") / F.lit(max(1, total)) * 100, 2))
 
 
+def places(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value, start, stop, total): the 0-based places, start to stop - 1, of each distinct value among a column's sorted values.
+
+    Running sums go range by range between approximate quantiles, which are
+    collected once: they deal out the work and don't touch the result.
+    """
+    k = 1 + df.count() // RANGE_ROWS
+    cuts = df.agg(*(F.percentile_approx(F.col(c).cast("double"), [i / k for i in range(1, k)], 10 * max(k, 1000)) for c in columns)).first() if k > 1 else [None] * len(columns)
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns)))
+    counts = df.select(cells.alias("x")).select("x.*").where("value is not null").groupBy("column", "value").agg(F.count("*").alias("n"))
+    p = F.lit(0)
+    for c, at in zip(columns, cuts, strict=True):
+        if at:
+            bounds = F.array(*map(F.lit, sorted(set(at))))
+            p = F.when(F.col("column") == c, F.size(F.filter(bounds, lambda x: x < F.col("value")))).otherwise(p)
+    counts = counts.withColumn("p", p)
+    ranges = Window.partitionBy("column")  # k rows at most
+    before = ranges.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.groupBy("column", "p").agg(F.sum("n").alias("all")).select("column", "p", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("base"), F.sum("all").over(ranges).alias("total"))
+    stop = F.col("base") + F.sum("n").over(Window.partitionBy("column", "p").orderBy("value"))
+    return counts.join(base, ["column", "p"]).select("column", "value", (stop - F.col("n")).alias("start"), stop.alias("stop"), "total")
+
+
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, sample deviation, minimum, exact quartiles and maximum of each column."""
-    stats = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "q": lambda c: F.percentile(c, F.array(*map(F.lit, (0.25, 0.5, 0.75)))), "max": F.max}
+    stats = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
     wide = df.agg(*(f(F.col(c)).alias(f"{k}|{c}") for c in columns for k, f in stats.items()))
+    rows = wide.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), *(F.col(f"`{k}|{c}`").alias(k) for k in stats)) for c in columns))).alias("x")).select("x.*")
+
+    def quantile(q: float):
+        at = (F.col("total") - 1) * q
+
+        def value(i):
+            return F.max(F.when((F.col("start") <= i) & (i < F.col("stop")), F.col("value")))
 
-    def cells(c: str):
-        for k in stats:
-            if k == "q":
-                yield from (F.get(f"`q|{c}`", F.lit(i)).alias(q) for i, q in enumerate(("q25", "q50", "q75")))
-            else:
-                yield F.col(f"`{k}|{c}`").alias(k)
+        part = F.max(at - F.floor(at))
+        return (1 - part) * value(F.floor(at)) + part * value(F.ceil(at))
 
-    return wide.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), *cells(c)) for c in columns))).alias("x")).select("x.*")
+    quartiles = places(df, columns).groupBy("column").agg(quantile(0.25).alias("q25"), quantile(0.5).alias("q50"), quantile(0.75).alias("q75"))
+    return rows.join(quartiles, "column", "left").select("column", "n", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def skew_kurtosis(df: DataFrame, column: str) -> DataFrame:

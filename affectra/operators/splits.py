@@ -1,12 +1,12 @@
-"""Splits, folds and seeded samples; group lists are small, rows never reach the driver."""
+"""Splits, folds and seeded samples; neither rows nor speakers reach the driver."""
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .profile import places
+
 
 def loso(df: DataFrame, session: str = "session") -> DataFrame:
     """Each row once for every session held out: fold and role (test or train)."""
@@ -26,31 +26,31 @@ def positional(df: DataFrame, sizes: list[int], index: str) -> DataFrame:
 def by_speaker(df: DataFrame, speaker: str, label: str, valid: float, test: float, seed: int, tries: int = 2000) -> DataFrame:
     """split by speaker so that none is in two splits and training rows have every label.
 
-    The distinct (speaker, label) pairs reach the driver. Speakers are shuffled
-    again and again by one seeded generator until the labels are covered.
+    Speakers are ranked by a seeded hash; those of the first ranks are tested,
+    the next are for validation. Only the two bounding hashes reach the driver.
+    Hashes are drawn again and again until the labels are covered.
     """
     if valid < 0 or test < 0 or valid + test >= 1:
         raise ValueError("ratios must be at least 0 and sum to less than 1")
-    of: dict = {}
-    for s, e in df.select(speaker, label).distinct().collect():
-        of.setdefault(s, set()).add(e)
-    names = sorted(of)
-    if len(names) < 3:
+    pairs = df.select(F.col(speaker).alias("s"), F.col(label).alias("e")).distinct()
+    names = pairs.select("s").distinct()
+    n, labels = names.count(), pairs.select("e").distinct().count()
+    if n < 3:
         raise ValueError("three speakers at least")
-    every = set().union(*of.values())
-    n_valid, n_test = (max(1, round(len(names) * r)) for r in (valid, test))
-    if n_valid + n_test >= len(names):
+    n_valid, n_test = (max(1, round(n * r)) for r in (valid, test))
+    if n_valid + n_test >= n:
         n_valid = n_test = 1
-    rng = random.Random(seed)
-    for _ in range(tries):
-        rng.shuffle(names)
-        part = {s: "test" if i < n_test else "valid" if i < n_test + n_valid else "train" for i, s in enumerate(names)}
-        if set().union(*(of[s] for s in names if part[s] == "train")) == every:
-            break
-    else:
-        raise ValueError("no split covers every label in training")
-    table = df.sparkSession.createDataFrame(list(part.items()), df.select(speaker, F.lit("").alias("split")).schema)
-    return df.drop("split").join(F.broadcast(table), speaker)
+    for draw in range(tries):
+
+        def h(c: str, draw: int = draw):
+            return F.pmod(F.xxhash64(F.col(c), F.lit(seed), F.lit(draw)), F.lit(1 << 52))  # exact as a double
+
+        at = places(names.select(h("s").alias("h")), ["h"])
+        first, last = (F.max(F.when((F.col("start") <= i) & (i < F.col("stop")), F.col("value"))) for i in (n_test - 1, n_test + n_valid - 1))
+        low, high = map(int, at.agg(first, last).first())
+        if pairs.where(h("s") > high).select("e").distinct().count() == labels:
+            return df.withColumn("split", F.when(h(speaker) <= low, "test").when(h(speaker) <= high, "valid").otherwise("train"))
+    raise ValueError("no split covers every label in training")
 
 
 def by_row(df: DataFrame, key: str, valid: float, seed: int) -> DataFrame:

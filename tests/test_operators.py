@@ -194,3 +194,41 @@ def test_stream_scores_like_a_batch(spark, tmp_path):
     q = score_stream(spark, str(tmp_path / "in"), w, labels, str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination()
     assert sorted(spark.read.parquet(str(tmp_path / "out")).collect()) == sorted(scored(df, w, labels).collect())
+
+
+def test_folds_train_on_rows_of_many_tasks(spark):
+    r = np.random.default_rng(3)
+    x, y = r.normal(size=(200, 4)), r.integers(0, 3, 200)
+    x[np.arange(200), y] += 2
+    fold = np.arange(200) % 5
+    rows = spark.createDataFrame([(v.tolist(), int(c), int(f)) for v, c, f in zip(x, y, fold, strict=True)], "feat array<double>, true_class int, fold long").repartition(7)
+    got = H.train_folds(rows, 3)
+    assert "FlatMapGroups" not in got._jdf.queryExecution().toString()  # no fold meets in one task
+    for k, part in got.toPandas().groupby("fold"):
+        w, want = H.fit_class_head(x[fold != k], y[fold != k], 3)
+        part = part.sort_values("epoch")
+        assert np.allclose(part.train_loss, [h["train"] for h in want])
+        right = (np.hstack([x[fold == k], np.ones((40, 1))]) @ w).argmax(axis=1) == y[fold == k]
+        assert np.allclose(part.test_wa, right.mean())
+    assert H.train_folds(rows.limit(0), 3).count() == 0 and set(H.train_folds(rows.where("fold < 2"), 3, epochs=2).toPandas().fold) == {0, 1}
+
+
+def test_quartiles_of_many_ranges(spark, monkeypatch):
+    from affectra.operators import profile as P
+
+    monkeypatch.setattr(P, "RANGE_ROWS", 50)
+    r = np.random.default_rng(2)
+    a, b = r.normal(size=701), r.integers(0, 5, 701)
+    df = spark.createDataFrame([(float(u), int(v) if v else None, None) for u, v in zip(a, b, strict=True)], "a double, b int, c double")
+    got = {x["column"]: x for x in P.describe(df, ["a", "b", "c"]).collect()}
+    for c, v in (("a", a), ("b", b[b > 0])):
+        assert np.allclose([got[c].q25, got[c].q50, got[c].q75], np.quantile(v, [0.25, 0.5, 0.75])) and got[c].n == len(v)
+    assert got["c"].n == 0 and got["c"].q50 is None
+    assert "percentile(" not in P.describe(df, ["a"])._jdf.queryExecution().toString()
+
+
+def test_speaker_split_has_exact_shares_and_no_table_of_speakers(spark):
+    df = spark.range(3000).selectExpr("concat('s', id % 300) as speaker", "id % 7 as emotion")
+    got = S.by_speaker(df, "speaker", "emotion", 0.2, 0.1, seed=3)
+    assert {x.split: x.n for x in got.groupBy("split").agg(F.count_distinct("speaker").alias("n")).collect()} == {"test": 30, "valid": 60, "train": 210}
+    assert got.count() == 3000 and "Join" not in got._jdf.queryExecution().toString()
