@@ -5,10 +5,10 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affectra.llm.common import documents, table, written
+from affectra.llm.common import documents, table, text_or_empty, written
 from affectra.llm.decontaminate import find_leaks
 from affectra.llm.linededup import remove_repeated_runs
 from affectra.llm.neardup import near_duplicates
@@ -32,16 +32,28 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.where(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
+def _text_hash() -> Column:
+    return F.xxhash64(text_or_empty("text"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates (five-word shingles, similarity 0.8)."""
+    """Keeps one document of each group of near duplicates (five-word shingles, similarity 0.8).
+
+    Rows that share an id are one document here and go together; rows without id stay.
+    """
     gone = near_duplicates(docs, width=5, percent=80, bands=36, rows=5).where(~F.col("kept")).select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item, up to a fifth of its words edited."""
-    hit = written(find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    """Drops documents that hold a benchmark item, up to a fifth of its words edited.
+
+    Whether a row goes depends on its text alone, which a 64-bit hash stands
+    for: rows without id go too, and clean rows stay where a hit has their id.
+    """
+    keyed = docs.select(_text_hash().alias("h"), "text")
+    hit = written(find_leaks(keyed, table(spark, sf_dir, "benchmark"), id_col="h").select(F.col("doc_id").alias("_h")).distinct(), "leaks")
+    return docs.join(hit, _text_hash() == F.col("_h"), "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,3 +30,11 @@ def test_stages(spark):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(kept["decontaminate"])
     assert set(before) >= set(kept["decontaminate"])
     assert cp.run(spark, DATA).count() == packed.count()
+
+
+def test_rows_without_id_and_rows_that_share_one(spark):
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").first().text
+    clean, other, far = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyz")
+    rows = [(None, f"{far} {item}"), (None, clean), (5, item), (5, other), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in cp.decontaminate(spark, docs, DATA).collect()} == {(None, clean), (5, other), (6, None)}
