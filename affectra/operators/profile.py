@@ -43,11 +43,11 @@ def places(df: DataFrame, columns: list[str]) -> DataFrame:
             bounds = F.array(*map(F.lit, sorted(set(at))))
             p = F.when(F.col("column") == c, F.size(F.filter(bounds, lambda x: x < F.col("value")))).otherwise(p)
     counts = counts.withColumn("p", p)
-    ranges = Window.partitionBy("column")  # k rows at most
+    ranges = Window.partitionBy("column")  # k rows at most; joined unbroadcast, Spark would deal all rows by the column alone
     before = ranges.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.groupBy("column", "p").agg(F.sum("n").alias("all")).select("column", "p", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("base"), F.sum("all").over(ranges).alias("total"))
     stop = F.col("base") + F.sum("n").over(Window.partitionBy("column", "p").orderBy("value"))
-    return counts.join(base, ["column", "p"]).select("column", "value", (stop - F.col("n")).alias("start"), stop.alias("stop"), "total")
+    return counts.join(F.broadcast(base), ["column", "p"]).select("column", "value", (stop - F.col("n")).alias("start"), stop.alias("stop"), "total")
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
