@@ -95,8 +95,8 @@ def _cuts(docs: DataFrame, total: int, id_col: str, text_col: str) -> tuple[list
     return [(r.d, r.h, r.b) for r in got], [(r.d, r.h, r.before, r.one) for r in got if r.hot]
 
 
-def batched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
-    """(b, d, h, t): the number of the batch, id, hash of the text and text; and all bytes of text.
+def batched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None) -> tuple[DataFrame, int]:
+    """(b, d, h, t and those of extra): the number of the batch, id, hash of the text and text; and all bytes of text.
 
     Rows are in order of id (null first) and hash. Rows of one id part into
     batches like others; so do rows equal in id and text, which are counted and
@@ -106,16 +106,17 @@ def batched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ship(docs.sparkSession)
     total = text_bytes(docs, text_col)
     d, h = _key(id_col, text_col)
-    rows = docs.select(d.alias("d"), h.alias("h"), text_or_empty(text_col).alias("t"))
+    extra = extra or {}
+    rows = docs.select(d.alias("d"), h.alias("h"), text_or_empty(text_col).alias("t"), *(c.alias(k) for k, c in extra.items()))
     cuts, hot = _cuts(docs, total, id_col, text_col)
-    columns = "cast(b as int) as b", "d", "h", "t"
+    columns = "cast(b as int) as b", "d", "h", "t", *extra
     parts = rows.withColumn("b", _place(cuts))
     if hot:
         spark = docs.sparkSession
         listed = F.broadcast(spark.createDataFrame(hot, "hd long, hh long, before long, one long"))
         same = F.col("d").eqNullSafe(F.col("hd")) & (F.col("h") == F.col("hh"))
-        copies = rows.join(listed, same).groupBy("d", "h", "t", "before", "one").agg(F.count("*").alias("n"))
-        dealt = copies.select("d", "h", "t", "before", "one", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+        copies = rows.join(listed, same).groupBy("d", "h", "t", "before", "one", *extra).agg(F.count("*").alias("n"))
+        dealt = copies.select("d", "h", "t", *extra, "before", "one", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
         parts = parts.join(listed, same, "left_anti").selectExpr(*columns).unionByName(dealt.withColumn("b", F.floor((F.col("before") + F.col("i") * F.col("one")) / BATCH_BYTES)).selectExpr(*columns))
     return parts.selectExpr(*columns), total
 

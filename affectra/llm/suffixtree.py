@@ -1,252 +1,285 @@
-"""LM scoring with a probabilistic suffix tree.
-
-The symbols are the bytes of lower-cased words and a terminator behind each word. A context is up to DEPTH
-symbols back to the start of the word. Words are counted in Spark; contexts are
-derived from the counted words, level by level, and one is retained if it is
-frequent enough (a share of at least SHARE of all symbols, so a level has
-1 / SHARE of them at most) and its next-symbol distribution diverges from its
-suffix's by a test on the likelihood gained. Distributions are smoothed with
-those of the suffix. A text's score follows the longest retained suffix of each
-symbol's history.
+"""LM scoring with a probabilistic suffix tree over words.
+
+A symbol is a lower-cased word or the end of a text; a context is the last 1 to
+`depth` words, across word ends. Every context that occurs `least` times in the
+training texts is tried, so the tree grows with the corpus. It is retained if its
+next-symbol distribution diverges from its longest retained suffix's: by the
+leave-one-out log-likelihood that it gains over the suffix in all its
+occurrences, at least `gain`. Distributions are smoothed with the suffix's,
+p(s | x) = (n(x, s) + prior * p(s | suffix)) / (n(x) + prior), down to the base,
+and a token is scored by the longest retained suffix of what precedes it.
+
+Texts are dealt to batches (see batches) once. A batch sends each distinct gram
+(context and symbol, as a hash) with its count to the bucket of its leading bits
+and gets the corpus's count back; gains of contexts travel likewise. Grams of a
+level are sent only where the context of one word less occurred often enough.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
-from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, map_arrow, text_or_empty, written
+from .batches import BASES, U, batched, buckets, mix, split
+from .common import id_crc, map_arrow, text_or_empty
+from .substrings import word_hashes
 
-#: Symbols in a context; its least share of symbols; least gain in natural log-likelihood, and prior weight of the suffix.
-DEPTH, SHARE, GAIN, PRIOR = 6, 2e-5, 12.0, 4.0
-#: START opens a word, STOP closes it; neither can be part of a word.
-START, STOP = 9, 32
-#: A word of at least this share of tokens is in the broadcast part, of 1 / HEAD words at most; others are joined.
-HEAD = 1e-6
-#: Distinct words a task remembers before it hands them on.
-MEMORY = 500_000
+#: Words in a context; its least occurrences; least gain in natural log-likelihood; prior weight of the suffix.
+DEPTH, LEAST, GAIN, PRIOR = 2, 2, 1.0, 2.0
+#: Bits of a gram's hash beyond the logarithm of the corpus's tokens: of 2**SPARE grams one shares its count with another or so.
+SPARE = 20
+#: Gains travel in steps of 1 / STEP.
+STEP = 256
+#: The symbol behind a text's last word, and what words never hash to.
+END = U(0x0123456789ABCDEF)
+#: Bytes of text whose words a task counts at once for the corpus's totals.
+SLICE = 6 << 20
 
+NAMES = ["k", "b", "n", "h", "v"]
+MESSAGE = "k long, b int, n int, h binary, v binary"
+_KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 
-def _tokens(text: str) -> list[bytes]:
-    return text.encode().lower().split()
 
+def pack(x: np.ndarray) -> bytes:
+    """Numbers as planes of bytes, lowest first; planes of zeros at the end are left out."""
+    used = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
+    return np.ascontiguousarray(x, dtype="<u8").view(np.uint8).reshape(-1, 8)[:, :used].T.tobytes()
 
-def count_words(texts: DataFrame) -> DataFrame:
-    """(word, c) of a table (t); word is binary."""
 
-    def run(batches):
-        seen: Counter = Counter()
+def unpack(data: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), dtype=np.uint8)
+    if n and data:
+        out[:, : len(data) // n] = np.frombuffer(data, dtype=np.uint8).reshape(-1, n).T
+    return out.view("<u8")[:, 0].astype(np.uint64)
 
-        def out():
-            got = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
-            seen.clear()
-            return got
 
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                seen.update(_tokens(t))
-            if len(seen) > MEMORY:
-                yield out()
-        yield out()
+def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, END behind each text, and the text of each."""
+    w, counts = word_hashes([t.lower() for t in texts])
+    at = np.cumsum(counts + 1) - 1
+    out = np.empty(len(w) + len(counts), dtype=np.uint64)
+    word = np.ones(len(out), dtype=bool)
+    word[at] = False
+    out[word], out[at] = w, END
+    return out, np.repeat(np.arange(len(counts)), counts + 1)
 
-    return map_arrow(texts, run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
+def _messages(b: int, kind: int, bits: int, width: int, key: np.ndarray, value: np.ndarray) -> list[tuple]:
+    """Rows of MESSAGE of sorted distinct keys of `width` bits, bucket by bucket."""
+    at, names = split(key << U(64 - width), bits)
+    low = U((1 << width - bits) - 1)
+    return [((kind << 32) + int(k), b, int(z - a), pack(np.diff(key[a:z] & low, prepend=U(0))), pack(value[a:z])) for k, a, z in zip(names, at[:-1], at[1:], strict=True) if z > a]
 
-def count_grams(words: DataFrame) -> DataFrame:
-    """(g, n): grams of DEPTH context symbols and the next one, 0 where a word starts later, as big-endian longs."""
 
-    def run(batches):
-        for b in batches:
-            w, c = b.column(0).to_pylist(), b.column(1).to_numpy()
-            if not w:
-                continue
-            a = np.frombuffer(b"".join(bytes([START]) + x + bytes([STOP]) for x in w), dtype=np.uint8)
-            n = np.array([len(x) + 2 for x in w])
-            place = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)  # 0 at START
-            g = np.zeros(len(a), dtype=np.int64)
-            for back in range(DEPTH, -1, -1):
-                v = np.zeros(len(a), dtype=np.int64)
-                v[back:] = a[: max(0, len(a) - back)]
-                g = g << 8 | np.where(place >= back, v, 0)
-            ok = place > 0
-            u, i = np.unique(g[ok], return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(np.bincount(i, weights=np.repeat(c, n)[ok]).astype(np.int64))], names=["g", "n"])
-
-    return map_arrow(words, run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-
-
-def retained(grams: DataFrame, symbols: int) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each level (length of context): contexts, next symbols, counts, of retained contexts and their suffixes.
-
-    Only contexts of enough share reach the driver: 1 / SHARE a level at most.
-    """
-    context, symbol = F.call_function("shiftright", F.col("g"), F.lit(8)), F.col("g").bitwiseAND(255)
-    level = {DEPTH: written(grams, "grams")}
-    for k in range(DEPTH - 1, -1, -1):
-        level[k] = written(level[k + 1].groupBy(F.col("g").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("g")).agg(F.sum("n").alias("n")), "grams")
-    out, suffixes = [], np.zeros(0, dtype=np.int64)
-    for k in range(DEPTH, -1, -1):
-        own = level[k].select(context.alias("x"), symbol.alias("s"), "n")
-        if k:  # where the oldest symbol is 0 the context is a shorter one over again
-            own = own.where(F.call_function("shiftright", F.col("x"), F.lit(8 * (k - 1))) > 0)
-        full = own.join(own.groupBy("x").agg(F.sum("n").alias("m")).where(F.col("m") >= SHARE * symbols), "x")
-        got = full.select("x", "s", "n").toArrow()
-        x, s, n = (got.column(i).to_numpy() for i in range(3))
-        keep = np.ones(len(x), dtype=bool)
-        if k:
-            mask = (1 << 8 * (k - 1)) - 1
-            up = level[k - 1].select(context.alias("y"), symbol.alias("s"), F.col("n").alias("pn"))
-            tested = full.withColumn("y", F.col("x").bitwiseAND(mask)).join(up, ["y", "s"]).join(up.groupBy("y").agg(F.sum("pn").alias("pm")), "y")
-            gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("m") * F.col("pm") / F.col("pn")))
-            chosen = tested.groupBy("x").agg(gain.alias("gain")).where(F.col("gain") >= GAIN).select("x").toArrow().column(0).to_numpy()
-            keep = np.isin(x, np.union1d(chosen, suffixes))
-            suffixes = np.unique(x[keep] & mask)
-        out.append((k, x[keep], s[keep], n[keep]))
-    return out
-
-
-class Tree:
-    """Smoothed log10 probabilities of words, remembered word by word."""
-
-    def __init__(self, levels: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]):
-        self.nodes: dict[bytes, tuple[int, dict[int, int]]] = {}
-        for k, *columns in levels:
-            for x, s, n in zip(*(c.tolist() for c in columns), strict=True):
-                key = x.to_bytes(k, "big") if k else b""
-                m, d = self.nodes.setdefault(key, (0, {}))
-                d[s] = n
-                self.nodes[key] = (m + n, d)
-        self.grams: dict[bytes, float] = {}
-        self.words: dict[bytes, float] = {}
-
-    def chance(self, context: bytes, symbol: int) -> float:
-        """Of a symbol behind the longest retained suffix of context, smoothed with shorter ones."""
-        while context and context not in self.nodes:
-            context = context[1:]
-        if not context:
-            m, d = self.nodes.get(b"", (0, {}))
-            return (d.get(symbol, 0) + 0.5) / (m + 128)  # 256 symbols
-        m, d = self.nodes[context]
-        return (d.get(symbol, 0) + PRIOR * self.chance(context[1:], symbol)) / (m + PRIOR)
-
-    def word(self, word: bytes) -> float:
-        got = self.words.get(word)
-        if got is None:
-            s = bytes([START]) + word + bytes([STOP])
-            got = 0.0
-            for i in range(1, len(s)):
-                g = s[max(0, i - DEPTH) : i + 1]
-                p = self.grams.get(g)
-                if p is None:
-                    p = self.grams[g] = math.log10(self.chance(g[:-1], g[-1]))
-                got += p
-            if len(self.words) >= MEMORY:
-                self.words.clear()
-            if len(self.grams) >= MEMORY:
-                self.grams.clear()
-            self.words[word] = got
-        return got
-
-
-#: Values tried for the spelling's share e.
-SHARES = [i / 40 for i in range(1, 40)]
-
-
-def spelling_share(words: DataFrame, tokens: int, levels: list) -> float:
-    """The share of SHARES under which the words are likeliest, each token left out of its word's count.
-
-    A row of sums for each task reaches the driver.
-    """
-    model = words.sparkSession.sparkContext.broadcast(levels)
+def _table(rows: list[tuple]) -> pa.Table:
+    return pa.table({n: pa.array(c, t) for n, c, t in zip(NAMES, zip(*rows, strict=True) if rows else [[]] * 5, _KINDS, strict=True)})
 
-    def run(batches):
-        tree, shares, total = Tree(model.value), np.array(SHARES), np.zeros(len(SHARES))
-        for b in batches:
-            c = b.column(1).to_numpy().astype(float)
-            p = np.array([10 ** max(-300.0, tree.word(w)) for w in b.column(0).to_pylist()])
-            for i, e in enumerate(shares):
-                total[i] += float((c * np.log((1 - e) * (c - 1) / tokens + e * p)).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["sums"])
 
-    got = map_arrow(words, run, "sums array<double>").select([F.sum(F.get("sums", F.lit(i))) for i in range(len(SHARES))]).first()
-    return SHARES[max(range(len(SHARES)), key=lambda i: got[i] if got[i] is not None else 0)]
+def _sign(x: np.ndarray) -> np.ndarray:
+    """Whole numbers of either sign as natural ones, small ones staying small."""
+    return np.where(x < 0, -2 * x - 1, 2 * x).astype(np.uint64)
+
 
+def _unsign(x: np.ndarray) -> np.ndarray:
+    half = (x >> U(1)).astype(np.int64)
+    return np.where(x & U(1), -half - 1, half)
 
-_held: dict = {}
 
+def _sum(table: pa.Table) -> tuple[list[tuple], list[np.ndarray], np.ndarray, np.ndarray]:
+    """A bucket's rows, the places of each row's keys among all, and keys and values of all."""
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in NAMES), strict=True))
+    ends = np.cumsum([0, *(r[2] for r in rows)])
+    key = np.concatenate([np.cumsum(unpack(r[3], r[2]), dtype=np.uint64) for r in rows])
+    value = np.concatenate([unpack(r[4], r[2]) for r in rows])
+    return rows, list(zip(ends[:-1], ends[1:], strict=True)), key, value
 
-def _model(key: str, broadcast) -> tuple[Tree, dict]:
-    """The tree and the frequent words' counts, built once in a worker."""
-    if key not in _held:
-        _held.clear()
-        levels, words, counts = broadcast.value
-        _held[key] = Tree(levels), dict(zip(words.to_pylist(), counts.tolist(), strict=True))
-    return _held[key]
 
+def add_up(sent: DataFrame, gain: float) -> DataFrame:
+    """(b, k, n, v): what batch b asked bucket k, in its order: counts summed over batches; of gains (odd kinds) whether the sum is at least `gain`."""
 
-def score_texts(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def run(table: pa.Table) -> pa.Table:
+        rows, ends, key, value = _sum(table)
+        order = np.argsort(key, kind="stable")
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = key[order][1:] != key[order][:-1]
+        k = rows[0][0]
+        odd = k >> 32 & 1
+        value = _unsign(value) if odd else value.astype(np.int64)
+        total = np.add.reduceat(value[order], np.flatnonzero(new))
+        total = (total >= round(gain * STEP)).astype(np.uint64) if odd else total.astype(np.uint64)
+        back = np.empty(len(order), dtype=np.uint64)
+        back[order] = total[np.cumsum(new) - 1]
+        return _table([(k, r[1], r[2], b"", pack(back[a:z])) for r, (a, z) in zip(rows, ends, strict=True)])
+
+    return sent.groupBy("k").applyInArrow(run, MESSAGE).select("b", "k", "n", "v")
+
+
+def totals(texts: DataFrame, bits: int) -> tuple[int, int]:
+    """Tokens and distinct tokens of a table of texts (t); words are told apart by 64-bit hashes."""
+
+    def run(batches):
+        for b in batches:
+            texts, size, i = [t.encode() for t in b.column(0).to_pylist()], 0, 0
+            for j, t in enumerate(texts, 1):
+                size += len(t)
+                if size >= SLICE or j == len(texts):
+                    key, n = np.unique(symbols(texts[i:j])[0], return_counts=True)
+                    yield from _table(_messages(0, 0, bits, 64, key, n.astype(np.uint64))).to_batches()
+                    i, size = j, 0
+
+    def count(table: pa.Table) -> pa.Table:
+        _, _, key, value = _sum(table)
+        return pa.table({"n": [int(value.sum())], "v": [len(np.unique(key))]})
+
+    got = map_arrow(texts, run, MESSAGE).groupBy("k").applyInArrow(count, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
+    return int(got[0] or 0), int(got[1] or 0)
+
+
+class Level:
+    """A batch's grams of one length: which tokens end one that is asked for, and the distinct keys."""
+
+    def __init__(self, gram: np.ndarray, asked: np.ndarray, width: int):
+        self.which = np.flatnonzero(asked)
+        key = gram[self.which] >> U(64 - width)
+        order = np.argsort(key)
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = key[order][1:] != key[order][:-1]
+        self.key, self.of = key[order[new]], np.full(len(gram), -1)
+        self.of[self.which[order]] = np.cumsum(new) - 1
+
+    def spread(self, values: np.ndarray) -> np.ndarray:
+        """What each token's gram got; 0 where none was asked for."""
+        return np.where(self.of >= 0, values[np.maximum(self.of, 0)] if len(values) else 0, 0)
+
+
+class Batch:
+    """What a batch knows once it has the answers on the first `known` levels and on the gains of the first `tested`; nothing at -1."""
+
+    def __init__(self, left: pa.Table, right: pa.Table | None, of: Model, known: int, tested: int):
+        self.b, self.ids = left.column("b")[0].as_py(), left.column("d").to_pylist()
+        self.held = np.array(left.column("held").to_pylist(), dtype=bool)
+        self.w, self.doc = symbols([t.encode() for t in left.column("t").to_pylist()])
+        self.taught = ~self.held[self.doc]
+        self.place = np.arange(len(self.w)) - np.searchsorted(self.doc, self.doc)
+        answers: dict[int, list] = {}
+        if right is not None:
+            for k, n, v in sorted(zip(*(right.column(c).to_pylist() for c in ("k", "n", "v")), strict=True)):
+                answers.setdefault(k >> 32, []).append(unpack(v, n))
+        none = [np.zeros(0, dtype=np.uint64)]
+        self.gram, self.levels, self.n = [self.w], [], []
+        for k in range(known + 1):
+            self.levels.append(self._level(of, k))
+            self.n.append(self.levels[k].spread(np.concatenate(answers.get(2 * k, none)).astype(np.int64)))
+        # for each level of contexts, the number of the context before each token among grams of one word less; -1 where none is tried
+        self.context, self.retained = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=bool)]
+        for k in range(1, min(known + 1, of.depth) + 1):
+            c = np.full(len(self.w), -1)
+            c[1:] = np.where((self.place[1:] >= k) & (self.n[k - 1][:-1] >= of.least), self.levels[k - 1].of[:-1], -1)
+            self.context.append(c)
+        for k in range(1, tested + 1):
+            c, flag = self.context[k], np.concatenate(answers.get(2 * k + 1, none)).astype(bool)
+            got = np.zeros(len(self.w), dtype=bool)
+            got[c >= 0] = flag[np.searchsorted(np.unique(c[c >= 0]), c[c >= 0])]
+            self.retained.append(got)
+
+    def _level(self, of: Model, k: int) -> Level:
+        """Grams of level k: all of a word and of two, and those behind contexts that occur often enough."""
+        while len(self.gram) <= k:
+            longer = self.gram[-1].copy()
+            longer[len(self.gram) :] = mix(longer[len(self.gram) :] * U(BASES[1]) + self.w[: -len(self.gram)])
+            self.gram.append(longer)
+        asked = self.place >= k
+        if k > 1:
+            asked[1:] &= self.n[k - 1][:-1] >= of.least
+        return Level(self.gram[k], asked, of.width if k else 64)
+
+    def chances(self, of: Model, depth: int, without: bool) -> np.ndarray:
+        """Probability of each token by its longest retained context of at most `depth` words; without: its own occurrence is left out of the counts."""
+        one = int(without)
+        p = (np.maximum(self.n[0] - one, 0) + 0.1) / (of.tokens - one + 0.1 * (of.kinds + 1))
+        for k in range(1, depth + 1):
+            p = np.where(self.retained[k], self.follow(of, k, p, one), p)
+        return p
+
+    def follow(self, of: Model, k: int, p: np.ndarray, one: int) -> np.ndarray:
+        before = np.concatenate([[0], self.n[k - 1][:-1]])
+        return (np.maximum(self.n[k] - one, 0) + of.prior * p) / (np.maximum(before - one, 0) + of.prior)
+
+    def counts(self, of: Model, k: int) -> list[tuple]:
+        """Messages that ask for level k."""
+        level = self._level(of, k)
+        at = level.of[level.which]
+        n = np.bincount(at, weights=self.taught[level.which], minlength=len(level.key)).astype(np.uint64)
+        return _messages(self.b, 2 * k, of.bits, of.width if k else 64, level.key, n)
+
+    def gains(self, of: Model, k: int) -> list[tuple]:
+        """Messages with what level k's contexts gain over their suffixes here."""
+        p = self.chances(of, k - 1, True)
+        c = self.context[k]
+        has, ok = np.unique(c[c >= 0]), (c >= 0) & self.taught
+        g = np.bincount(c[ok], weights=np.log(self.follow(of, k, p, 1)[ok] / p[ok]), minlength=len(self.levels[k - 1].key))[has]
+        return _messages(self.b, 2 * k + 1, of.bits, of.width if k > 1 else 64, self.levels[k - 1].key[has], _sign(np.rint(g * STEP).astype(np.int64)))
+
+
+class Model:
+    """Parameters and the corpus's totals, the same in all tasks."""
+
+    def __init__(self, depth: int, least: int, prior: float, tokens: int, kinds: int, bits: int):
+        self.depth, self.least, self.prior, self.tokens, self.kinds, self.bits = depth, least, prior, tokens, kinds, bits
+        self.width = min(64, max(1, tokens).bit_length() + SPARE)
+
+
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def score_texts(docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, least: int = LEAST, gain: float = GAIN, prior: float = PRIOR) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from documents that aren't held out (by default every tenth by crc32
-    of the id is). base_score is the smoothed unigram log10 probability with
-    exact counts of all words, score the tree's. Null and empty texts are the
-    end token alone; null ids are training rows; repeated rows count each time
-    and keep a row each. An empty table gives no rows.
+    of the id is). base_score is the smoothed unigram log10 probability, score
+    the tree's, whose empty context is the base: words that never occur in
+    training are one symbol in both. depth is 1 at least. Null and empty texts
+    are the end token alone; null ids are training rows; repeated rows count
+    each time and keep a row each. An empty table gives no rows; other columns
+    aren't carried, whatever their names.
     """
     held = F.coalesce(held_out if held_out is not None else id_crc(id_col) % 10 == 0, F.lit(False))
-    texts = docs.select(F.col(id_col).cast("long").alias("d"), held.alias("held"), text_or_empty(text_col).alias("t"))
-    words = written(count_words(texts.where(~F.col("held")).select("t")), "words")
-    v, tokens, symbols = words.agg(F.count("*"), F.sum("c"), F.sum(F.col("c") * (F.octet_length("word") + 1))).first()
-    ends = texts.where(~F.col("held")).count()
-    tokens, symbols = tokens or 0, symbols or 0
-    n, kinds = tokens + ends, v + (1 if ends else 0)  # the end token counts as one
-    below = math.log10(n + 0.1 * (kinds + 1))
-    levels = retained(count_grams(words), symbols) if symbols else []
-    spelled = spelling_share(words, n, levels) if symbols else 0.5
-    known_share = (1 - spelled) / max(1, n)
-    head = words.where(F.col("c") >= max(1, HEAD * n)).toArrow()  # 1 / HEAD words at most
-    model, key = docs.sparkSession.sparkContext.broadcast((levels, head.column("word").combine_chunks(), head.column("c").to_numpy())), uuid.uuid4().hex
-
-    def run(batches):
-        tree, of = _model(key, model)
-        last = math.log10(ends + 0.1) - below, math.log10(known_share * max(ends, 0.5))
-        row = TaskContext.get().partitionId() << 40
-        for b in batches:
-            rows = []
-            for d, held, t in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                row += 1
-                base, score, n_tokens, known, rare = *last, 1, int(ends > 0), []
-                for w, k in Counter(_tokens(t)).items():
-                    spelling = tree.word(w)
-                    n_tokens += k
-                    c = of.get(w)
-                    if c is None:
-                        rare.append((row, d, held, w, k, 0.0, spelling, 0, 0))
-                    else:
-                        base += k * (math.log10(c + 0.1) - below)
-                        score += k * math.log10(known_share * c + spelled * 10**spelling)
-                        known += k
-                # a blank can't be in a word: this key meets no word and is dealt evenly
-                rows.append((row, d, held, b" %d" % row, 0, base, score, n_tokens, known))
-                rows += rare
-            columns = zip(*rows, strict=True) if rows else [[]] * 9
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds_, strict=True)], names=["r", "d", "held", "word", "k", "base", "score", "n", "known"])
-
-    kinds_ = (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
-    asked = map_arrow(texts, run, "r long, d long, held boolean, word binary, k long, base double, score double, n long, known long")
-    c = F.coalesce("c", F.lit(0))
-
-    def _either(c: Column) -> Column:
-        """log10 of a word's two ways together; in logs where the spelling alone would vanish."""
-        return F.when(c > 0, F.log10(known_share * c + spelled * F.pow(F.lit(10.0), F.col("score")))).otherwise(math.log10(spelled) + F.col("score"))
-
-    per = asked.join(words, "word", "left").select("r", "d", "held", F.when(F.col("k") == 0, F.col("score")).otherwise(F.col("k") * _either(c)).alias("score"), "n", (F.col("base") + F.col("k") * (F.log10(c + 0.1) - below)).alias("base"), (F.col("known") + F.when(c > 0, F.col("k")).otherwise(0)).alias("known"))
-    got = per.groupBy("r", "d", "held").agg(F.sum("n").alias("n"), F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("score").alias("score"))
-    return got.select(F.col("d").alias("doc_id"), F.col("held").alias("held_out"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
+    parts, size = batched(docs, id_col, text_col, {"held": held})
+    bits = buckets(size // 6)
+    tokens, kinds = totals(docs.where(~held).select(text_or_empty(text_col).alias("t")), bits)
+    of = Model(depth, least, prior, tokens, kinds, bits)
+    first = parts.groupBy("b").applyInArrow(lambda t: _table((x := Batch(t, None, of, -1, 0)).counts(of, 0) + x.counts(of, 1)), MESSAGE)
+    answers = [add_up(first, gain)]
+
+    def ask(k: int):
+        """Sends the grams of level k + 1 and the gains of level k."""
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not left.num_rows:
+                return _table([])
+            x = Batch(left, right, of, k, k - 1)
+            return _table((x.counts(of, k + 1) if k < depth else []) + x.gains(of, k))
+
+        return run
+
+    for k in range(1, depth + 1):
+        known = reduce(DataFrame.unionByName, answers)
+        answers.append(add_up(parts.groupBy("b").cogroup(known.groupBy("b")).applyInArrow(ask(k), MESSAGE), gain))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), **{c: pa.array([], pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")}, **{c: pa.array([], pa.float64()) for c in ("base_score", "score")}})
+        x = Batch(left, right, of, depth, depth)
+        n = len(x.ids)
+        base = np.log10((x.n[0] + 0.1) / (tokens + 0.1 * (kinds + 1)))
+        score = np.log10(x.chances(of, depth, False))
+        whole = [np.bincount(x.doc, weights=y, minlength=n) for y in (np.ones(len(x.w)), x.n[0] > 0)]
+        return pa.table({"doc_id": pa.array(x.ids, pa.int64()), "held_out": pa.array(x.held.tolist(), pa.bool_()), "n_tokens": pa.array(whole[0].astype(np.int64)), "n_known": pa.array(whole[1].astype(np.int64)), "train_tokens": pa.array(np.full(n, tokens, dtype=np.int64)), "base_score": np.bincount(x.doc, weights=base, minlength=n), "score": np.bincount(x.doc, weights=score, minlength=n)})
+
+    known = reduce(DataFrame.unionByName, answers)
+    return parts.groupBy("b").cogroup(known.groupBy("b")).applyInArrow(run, RESULT)

@@ -265,33 +265,72 @@ def test_decontamination(spark):
     assert dec.find_leaks(docs.limit(0), spark.createDataFrame(bench, "item_id long, text string")).count() == 0
 
 
-def test_language_model(spark, docs, plain):
-    got = score_texts(docs).collect()
+class BruteTree:
+    """Counts, retained contexts and chances of a suffix tree over lists of words, by plain dictionaries."""
+
+    def __init__(self, texts, depth, least, gain, prior):
+        self.depth, self.prior = depth, prior
+        self.n = Counter(tuple(t[i - k : i + 1]) for t in texts for i in range(len(t)) for k in range(min(depth, i) + 1))
+        self.total, self.kinds = sum(map(len, texts)), len({w for t in texts for w in t})
+        self.before = Counter(tuple(t[i - k : i]) for t in texts for i in range(len(t)) for k in range(1, min(depth, i) + 1))
+        self.kept = set()
+        for k in range(1, depth + 1):
+            gains = Counter()
+            for t in texts:
+                for i in range(k, len(t)):
+                    x = tuple(t[i - k : i])
+                    if self.before[x] >= least:
+                        p = self.chance(t, i, k - 1, 1)
+                        gains[x] += math.log((self.n[(*x, t[i])] - 1 + prior * p) / (self.before[x] - 1 + prior) / p)
+            self.kept |= {x for x, g in gains.items() if round(g * 256) >= gain * 256}
+
+    def chance(self, t, i, depth, one):
+        p = (max(0, self.n[(t[i],)] - one) + 0.1) / (self.total - one + 0.1 * (self.kinds + 1))
+        for k in range(1, min(depth, i) + 1):
+            x = tuple(t[i - k : i])
+            if x in self.kept:
+                p = (max(0, self.n[(*x, t[i])] - one) + self.prior * p) / (max(0, self.before[x] - one) + self.prior)
+        return p
+
+
+@pytest.mark.parametrize(("depth", "least", "size"), [(1, 2, 1 << 22), (2, 2, 1 << 22), (3, 3, 1 << 22), (2, 2, 20_000)])
+def test_language_model(spark, docs, plain, depth, least, size, monkeypatch):
+    from affectra.llm import batches
+
+    monkeypatch.setattr(batches, "BATCH_BYTES", size)
+    monkeypatch.setattr(batches, "BUCKET_HASHES", 300)
+    got = score_texts(docs, depth=depth, least=least).collect()
     held = {d: zlib.crc32(str(d).encode()) % 10 == 0 for d in plain}
-    count = Counter()
-    for d, t in plain.items():
-        if not held[d]:
-            count.update(t.encode().lower().split())
-            count["end"] += 1
-    n, v = sum(count.values()), len(count)
-    assert len(got) == len(plain)
+    words = {d: [*t.encode().lower().split(), "end"] for d, t in plain.items()}
+    tree = BruteTree([w for d, w in words.items() if not held[d]], depth, least, 1.0, 2.0)
+    assert len(got) == len(plain) and (depth == 1 or {1, 2} <= set(map(len, tree.kept)))
     for r in got:
-        w = [*plain[r.doc_id].encode().lower().split(), "end"]
-        assert (r.held_out, r.n_tokens, r.train_tokens) == (held[r.doc_id], len(w), n)
-        assert r.n_known == sum(count[x] > 0 for x in w)
-        assert r.base_score == pytest.approx(sum(math.log10((count[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w))
-        assert r.score < 0 and math.isfinite(r.score)
+        w = words[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.train_tokens) == (held[r.doc_id], len(w), tree.total)
+        assert r.n_known == sum(tree.n[(x,)] > 0 for x in w)
+        assert r.base_score == pytest.approx(sum(math.log10(tree.chance(w, i, 0, 0)) for i in range(len(w))))
+        # a context at the very threshold may fall either way where gains are summed by batch
+        near = 1e-9 if size > 20_000 else 0.02
+        assert r.score == pytest.approx(sum(math.log10(tree.chance(w, i, depth, 0)) for i in range(len(w))), rel=near)
+    known = [*{x[0] for x in tree.n if len(x) == 1}, "unknown"]
+    for x in [*list(tree.kept)[:20], ()]:
+        assert sum(tree.chance([*x, w], len(x), depth, 0) for w in known) == pytest.approx(1)
+
+
+def test_language_model_odd_tables(spark, docs):
     assert score_texts(empty(spark)).count() == 0
-
-
-def test_tree_probabilities_add_up(spark):
-    from affectra.llm.suffixtree import Tree, count_grams, retained
-
-    words = spark.createDataFrame([(bytearray(w.encode()), 40) for w in ["the", "then", "that", "on", "ion", "nation", "tion"]], "word binary, c long")
-    tree = Tree(retained(count_grams(words), 2000))
-    for context in (b"\t", b"\tth", b"tio", b"zz", b""):
-        assert sum(tree.chance(context, s) for s in range(256)) == pytest.approx(1, abs=1e-9)
-    assert len(tree.nodes) > 3 and tree.word(b"nation") > tree.word(b"noitan")
+    odd = spark.createDataFrame([(None, None, 1), (None, "a b", 2), (3, "A b", 3), (3, "A b", 3), (29, "", 4), (29, "c", 5)], "doc_id long, text string, held int")
+    got = score_texts(odd).collect()
+    assert zlib.crc32(b"29") % 10 == 0 and len(got) == 6
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in got) == Counter([(None, False, 1, 1, 10), (None, False, 3, 3, 10), (3, False, 3, 3, 10), (3, False, 3, 3, 10), (29, True, 1, 1, 10), (29, True, 2, 1, 10)])
+    all_held = score_texts(docs, F.lit(True)).collect()
+    assert all(r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score) for r in all_held)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_language_model_beats_its_base_on_held_out_rows(spark, sf):
+    base, score = score_texts(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
+    assert score > base + 0.05 * abs(base)
 
 
 def test_substrings(spark, docs, plain):
