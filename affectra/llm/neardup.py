@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .batches import BASES, U, mix, rolling
 from .common import map_arrow, text_or_empty, written
-from .substrings import word_hashes
+from .substrings import slices, word_hashes
 
 #: Bytes of text whose shingles are made at once in a task (one text at least).
 SLICE = 1 << 21
@@ -50,18 +50,6 @@ def shingles(texts: list[bytes], width: int) -> list[np.ndarray]:
     return out
 
 
-def slices(sizes: list[int]):
-    """Bounds (start, stop) of neighbours whose sizes add up to SLICE at most, one at least."""
-    i = 0
-    while i < len(sizes):
-        j, n = i, 0
-        while j < len(sizes) and (j == i or n + sizes[j] <= SLICE):
-            n += sizes[j]
-            j += 1
-        yield i, j
-        i = j
-
-
 def signatures(sets: list[np.ndarray], coordinates: int) -> np.ndarray:
     """Circulant MinHash signatures, a row for each (non-empty) set."""
     out = np.empty((len(sets), coordinates), dtype=np.uint64)
@@ -88,7 +76,7 @@ def signatures(sets: list[np.ndarray], coordinates: int) -> np.ndarray:
 def _signed(docs: DataFrame, width: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for i, j in slices(pc.binary_length(batch.column(1)).to_pylist()):
+            for i, j in slices(pc.binary_length(batch.column(1)).to_pylist(), SLICE):
                 b = batch.slice(i, j - i)
                 sets = shingles([t.encode() for t in b.column(1).to_pylist()], width)
                 full = [i for i, s in enumerate(sets) if len(s)]
@@ -115,7 +103,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     def run(batches):
         known: dict = {}  # the sets of the last slices' texts
         for batch in batches:
-            for i, j in slices(pc.add(pc.binary_length(batch.column(2)), pc.binary_length(batch.column(3))).to_pylist()):
+            for i, j in slices(pc.add(pc.binary_length(batch.column(2)), pc.binary_length(batch.column(3))).to_pylist(), SLICE):
                 s, t = (batch.column(c).slice(i, j - i).to_pylist() for c in (2, 3))
                 every = dict.fromkeys([*s, *t])
                 known = {x: known[x] for x in every if x in known}
@@ -142,7 +130,7 @@ def _rare_pairs(open_sets: DataFrame, texts: DataFrame, width: int, percent: int
 
     def run(batches):
         for batch in batches:
-            for i, j in slices(pc.binary_length(batch.column(1)).to_pylist()):
+            for i, j in slices(pc.binary_length(batch.column(1)).to_pylist(), SLICE):
                 sets = shingles([t.encode() for t in batch.column(1).slice(i, j - i).to_pylist()], width)
                 size = [len(s) for s in sets]
                 one = np.array([s.sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)

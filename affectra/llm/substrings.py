@@ -44,6 +44,18 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes or [none.astype(np.uint64)]), np.concatenate(counts or [none])
 
 
+def slices(sizes: list[int], most: int):
+    """Bounds (start, stop) of neighbours whose sizes add up to `most` at most, one at least."""
+    i = 0
+    while i < len(sizes):
+        j, n = i, 0
+        while j < len(sizes) and (j == i or n + sizes[j] <= most):
+            n += sizes[j]
+            j += 1
+        yield i, j
+        i = j
+
+
 def windows(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of windows within a text: hashes, check bytes, first words; and the words of each text."""
     w, counts = word_hashes(texts)

@@ -11,23 +11,24 @@ and a token is scored by the longest retained suffix of what precedes it.
 
 Texts are dealt to batches (see batches) once. A batch sends each distinct gram
 (context and symbol, as a hash) with its count to the bucket of its leading bits
-and gets the corpus's count back; gains of contexts travel likewise. Grams of a
-level are sent only where the context of one word less occurred often enough.
+and gets the corpus's count back; gains of contexts follow them there, in the
+order of the grams that the contexts are. Grams of a level are sent only where
+the context of one word less occurred often enough.
 """
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import BASES, U, batched, buckets, mix, split
+from .batches import BASES, BATCH_BYTES, U, batched, buckets, mix, split
 from .common import id_crc, map_arrow, text_or_empty
-from .substrings import word_hashes
+from .substrings import slices, word_hashes
 
 #: Words in a context; its least occurrences; least gain in natural log-likelihood; prior weight of the suffix.
 DEPTH, LEAST, GAIN, PRIOR = 2, 2, 1.0, 2.0
@@ -37,8 +38,8 @@ SPARE = 20
 STEP = 256
 #: The symbol behind a text's last word, and what words never hash to.
 END = U(0x0123456789ABCDEF)
-#: Bytes of text whose words a task counts at once for the corpus's totals.
-SLICE = 6 << 20
+#: Bytes of text whose words a task counts at once for the corpus's totals, and distinct words it remembers before it hands them on.
+SLICE, MEMORY = 6 << 20, 1 << 21
 
 NAMES = ["k", "b", "n", "h", "v"]
 MESSAGE = "k long, b int, n int, h binary, v binary"
@@ -59,21 +60,32 @@ def unpack(data: bytes, n: int) -> np.ndarray:
 
 
 def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, END behind each text, and the text of each."""
+    """Hashes of the words of all texts, END behind each text, and the number of symbols of each."""
     w, counts = word_hashes([t.lower() for t in texts])
     at = np.cumsum(counts + 1) - 1
     out = np.empty(len(w) + len(counts), dtype=np.uint64)
     word = np.ones(len(out), dtype=bool)
     word[at] = False
     out[word], out[at] = w, END
-    return out, np.repeat(np.arange(len(counts)), counts + 1)
+    return out, counts + 1
 
 
-def _messages(b: int, kind: int, bits: int, width: int, key: np.ndarray, value: np.ndarray) -> list[tuple]:
-    """Rows of MESSAGE of sorted distinct keys of `width` bits, bucket by bucket."""
+def ordered(key: np.ndarray, width: int) -> np.ndarray:
+    """An order that sorts keys of `width` bits: leading bits and places are sorted as one number, if those bits tell keys apart."""
+    n = len(key)
+    room = U(n.bit_length())
+    lead = key << U(64 - width) >> room << room
+    got = np.sort(lead | np.arange(n, dtype=np.uint64))
+    order = (got & ((U(1) << room) - U(1))).astype(np.int64)
+    k, same = key[order], got[1:] >> room == got[:-1] >> room
+    return order if (k[1:][same] == k[:-1][same]).all() else np.argsort(key, kind="stable")
+
+
+def _messages(b: int, kind: int, bits: int, width: int, key: np.ndarray, value: np.ndarray, keys: bool = True) -> list[tuple]:
+    """Rows of MESSAGE of sorted distinct keys of `width` bits, bucket by bucket; without the keys where the bucket has them."""
     at, names = split(key << U(64 - width), bits)
     low = U((1 << width - bits) - 1)
-    return [((kind << 32) + int(k), b, int(z - a), pack(np.diff(key[a:z] & low, prepend=U(0))), pack(value[a:z])) for k, a, z in zip(names, at[:-1], at[1:], strict=True) if z > a]
+    return [((kind << 32) + int(k), b, int(z - a), pack(np.diff(key[a:z] & low, prepend=U(0))) if keys else None, pack(value[a:z])) for k, a, z in zip(names, at[:-1], at[1:], strict=True) if z > a]
 
 
 def _table(rows: list[tuple]) -> pa.Table:
@@ -90,71 +102,87 @@ def _unsign(x: np.ndarray) -> np.ndarray:
     return np.where(x & U(1), -half - 1, half)
 
 
-def _sum(table: pa.Table) -> tuple[list[tuple], list[np.ndarray], np.ndarray, np.ndarray]:
-    """A bucket's rows, the places of each row's keys among all, and keys and values of all."""
-    rows = sorted(zip(*(table.column(c).to_pylist() for c in NAMES), strict=True))
-    ends = np.cumsum([0, *(r[2] for r in rows)])
-    key = np.concatenate([np.cumsum(unpack(r[3], r[2]), dtype=np.uint64) for r in rows])
-    value = np.concatenate([unpack(r[4], r[2]) for r in rows])
-    return rows, list(zip(ends[:-1], ends[1:], strict=True)), key, value
+def _sum(rows: list[tuple], values: dict[int, np.ndarray], key: np.ndarray) -> list[np.ndarray]:
+    """For each of a bucket's rows, the values of its keys summed over all rows."""
+    order = ordered(key, 64)
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = key[order][1:] != key[order][:-1]
+    value = np.concatenate([values.get(r[1], np.zeros(r[2], dtype=np.int64)) for r in rows])
+    back = np.empty(len(order), dtype=np.int64)
+    back[order] = np.add.reduceat(value[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+    return np.split(back, np.cumsum([r[2] for r in rows])[:-1])
 
 
-def add_up(sent: DataFrame, gain: float) -> DataFrame:
-    """(b, k, n, v): what batch b asked bucket k, in its order: counts summed over batches; of gains (odd kinds) whether the sum is at least `gain`."""
+def _rows(table: pa.Table) -> tuple[list[tuple], np.ndarray]:
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in NAMES), strict=True), key=lambda r: r[:3])
+    return rows, np.concatenate([np.cumsum(unpack(r[3], r[2]), dtype=np.uint64) for r in rows])
+
+
+def counted(table: pa.Table) -> pa.Table:
+    """What a bucket answers to grams: (b, k, n, v) with counts summed over batches, in the order of each batch."""
+    rows, key = _rows(table)
+    sums = _sum(rows, {r[1]: unpack(r[4], r[2]).astype(np.int64) for r in rows}, key)
+    return _table([(r[0], r[1], r[2], None, pack(x.astype(np.uint64))) for r, x in zip(rows, sums, strict=True)])
 
-    def run(table: pa.Table) -> pa.Table:
-        rows, ends, key, value = _sum(table)
-        order = np.argsort(key, kind="stable")
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = key[order][1:] != key[order][:-1]
-        k = rows[0][0]
-        odd = k >> 32 & 1
-        value = _unsign(value) if odd else value.astype(np.int64)
-        total = np.add.reduceat(value[order], np.flatnonzero(new))
-        total = (total >= round(gain * STEP)).astype(np.uint64) if odd else total.astype(np.uint64)
-        back = np.empty(len(order), dtype=np.uint64)
-        back[order] = total[np.cumsum(new) - 1]
-        return _table([(k, r[1], r[2], b"", pack(back[a:z])) for r, (a, z) in zip(rows, ends, strict=True)])
 
-    return sent.groupBy("k").applyInArrow(run, MESSAGE).select("b", "k", "n", "v")
+def settled(gain: float):
+    """What a bucket answers to a later send: to grams their counts; to gains of contexts, which are grams sent before (left), whether the sum is at least `gain`."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not right.num_rows or right.column("h").null_count == 0:
+            return counted(right) if right.num_rows else _table([])
+        rows, key = _rows(left)
+        gains = {b: _unsign(unpack(v, n)) for b, n, v in zip(*(right.column(c).to_pylist() for c in ("b", "n", "v")), strict=True)}
+        kept = [(x >= round(gain * STEP)).astype(np.uint64) for x in _sum(rows, gains, key)]
+        return _table([(r[0] + (3 << 32), r[1], r[2], None, pack(x)) for r, x in zip(rows, kept, strict=True)])
+
+    return run
 
 
 def totals(texts: DataFrame, bits: int) -> tuple[int, int]:
     """Tokens and distinct tokens of a table of texts (t); words are told apart by 64-bit hashes."""
 
     def run(batches):
+        key, n = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+
+        def out():
+            return _table(_messages(0, 0, bits, 64, key, n.astype(np.uint64))).to_batches()
+
         for b in batches:
-            texts, size, i = [t.encode() for t in b.column(0).to_pylist()], 0, 0
-            for j, t in enumerate(texts, 1):
-                size += len(t)
-                if size >= SLICE or j == len(texts):
-                    key, n = np.unique(symbols(texts[i:j])[0], return_counts=True)
-                    yield from _table(_messages(0, 0, bits, 64, key, n.astype(np.uint64))).to_batches()
-                    i, size = j, 0
+            for i, j in slices(pc.binary_length(b.column(0)).to_pylist(), SLICE):
+                k, m = np.unique(symbols([t.encode() for t in b.column(0).slice(i, j - i).to_pylist()])[0], return_counts=True)
+                key, back = np.unique(np.concatenate([key, k]), return_inverse=True)
+                n = np.bincount(back, weights=np.concatenate([n, m])).astype(np.int64)
+                if len(key) >= MEMORY:
+                    yield from out()
+                    key, n = key[:0], n[:0]
+        yield from out()
 
     def count(table: pa.Table) -> pa.Table:
-        _, _, key, value = _sum(table)
-        return pa.table({"n": [int(value.sum())], "v": [len(np.unique(key))]})
+        rows, key = _rows(table)
+        return pa.table({"n": [sum(int(unpack(r[4], r[2]).sum()) for r in rows)], "v": [len(np.unique(key))]})
 
     got = map_arrow(texts, run, MESSAGE).groupBy("k").applyInArrow(count, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
     return int(got[0] or 0), int(got[1] or 0)
 
 
 class Level:
-    """A batch's grams of one length: which tokens end one that is asked for, and the distinct keys."""
+    """A batch's grams of one length: the distinct keys, and of each token the number of the gram that it ends; -1 where none is asked for."""
 
     def __init__(self, gram: np.ndarray, asked: np.ndarray, width: int):
         self.which = np.flatnonzero(asked)
         key = gram[self.which] >> U(64 - width)
-        order = np.argsort(key)
+        order = ordered(key, width)
+        key = key[order]
         new = np.ones(len(order), dtype=bool)
-        new[1:] = key[order][1:] != key[order][:-1]
-        self.key, self.of = key[order[new]], np.full(len(gram), -1)
+        new[1:] = key[1:] != key[:-1]
+        self.key, self.width = key[new], width
+        self.of = np.full(len(gram), -1)
         self.of[self.which[order]] = np.cumsum(new) - 1
 
     def spread(self, values: np.ndarray) -> np.ndarray:
         """What each token's gram got; 0 where none was asked for."""
-        return np.where(self.of >= 0, values[np.maximum(self.of, 0)] if len(values) else 0, 0)
+        return np.append(values, 0)[self.of].astype(values.dtype)
 
 
 class Batch:
@@ -163,28 +191,27 @@ class Batch:
     def __init__(self, left: pa.Table, right: pa.Table | None, of: Model, known: int, tested: int):
         self.b, self.ids = left.column("b")[0].as_py(), left.column("d").to_pylist()
         self.held = np.array(left.column("held").to_pylist(), dtype=bool)
-        self.w, self.doc = symbols([t.encode() for t in left.column("t").to_pylist()])
-        self.taught = ~self.held[self.doc]
-        self.place = np.arange(len(self.w)) - np.searchsorted(self.doc, self.doc)
+        self.w, self.sizes = symbols([t.encode() for t in left.column("t").to_pylist()])
+        self.taught = np.repeat(~self.held, self.sizes)
+        self.place = np.arange(len(self.w)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
         answers: dict[int, list] = {}
         if right is not None:
             for k, n, v in sorted(zip(*(right.column(c).to_pylist() for c in ("k", "n", "v")), strict=True)):
                 answers.setdefault(k >> 32, []).append(unpack(v, n))
         none = [np.zeros(0, dtype=np.uint64)]
         self.gram, self.levels, self.n = [self.w], [], []
+        # where the context of each level before a token is tried, and where it is retained
+        self.tried, self.retained = [np.zeros(0, dtype=bool)], [np.zeros(0, dtype=bool)]
         for k in range(known + 1):
             self.levels.append(self._level(of, k))
             self.n.append(self.levels[k].spread(np.concatenate(answers.get(2 * k, none)).astype(np.int64)))
-        # for each level of contexts, the number of the context before each token among grams of one word less; -1 where none is tried
-        self.context, self.retained = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=bool)]
-        for k in range(1, min(known + 1, of.depth) + 1):
-            c = np.full(len(self.w), -1)
-            c[1:] = np.where((self.place[1:] >= k) & (self.n[k - 1][:-1] >= of.least), self.levels[k - 1].of[:-1], -1)
-            self.context.append(c)
+            ok = self.place > k
+            ok[1:] &= self.n[k][:-1] >= of.least
+            self.tried.append(ok)
         for k in range(1, tested + 1):
-            c, flag = self.context[k], np.concatenate(answers.get(2 * k + 1, none)).astype(bool)
-            got = np.zeros(len(self.w), dtype=bool)
-            got[c >= 0] = flag[np.searchsorted(np.unique(c[c >= 0]), c[c >= 0])]
+            flag = self.levels[k - 1].spread(np.concatenate(answers.get(2 * k + 1, none)))
+            got = self.tried[k].copy()
+            got[1:] &= flag[:-1] > 0
             self.retained.append(got)
 
     def _level(self, of: Model, k: int) -> Level:
@@ -193,10 +220,7 @@ class Batch:
             longer = self.gram[-1].copy()
             longer[len(self.gram) :] = mix(longer[len(self.gram) :] * U(BASES[1]) + self.w[: -len(self.gram)])
             self.gram.append(longer)
-        asked = self.place >= k
-        if k > 1:
-            asked[1:] &= self.n[k - 1][:-1] >= of.least
-        return Level(self.gram[k], asked, of.width if k else 64)
+        return Level(self.gram[k], self.tried[k] if k > 1 else self.place >= k, of.width if k else 64)
 
     def chances(self, of: Model, depth: int, without: bool) -> np.ndarray:
         """Probability of each token by its longest retained context of at most `depth` words; without: its own occurrence is left out of the counts."""
@@ -213,17 +237,15 @@ class Batch:
     def counts(self, of: Model, k: int) -> list[tuple]:
         """Messages that ask for level k."""
         level = self._level(of, k)
-        at = level.of[level.which]
-        n = np.bincount(at, weights=self.taught[level.which], minlength=len(level.key)).astype(np.uint64)
-        return _messages(self.b, 2 * k, of.bits, of.width if k else 64, level.key, n)
+        n = np.bincount(level.of[level.which], weights=self.taught[level.which], minlength=len(level.key)).astype(np.uint64)
+        return _messages(self.b, 2 * k, of.bits, level.width, level.key, n)
 
     def gains(self, of: Model, k: int) -> list[tuple]:
-        """Messages with what level k's contexts gain over their suffixes here."""
+        """Messages with what level k's contexts gain over their suffixes here; such a context is a gram of level k - 1."""
+        level, ok = self.levels[k - 1], np.flatnonzero(self.tried[k] & self.taught)
         p = self.chances(of, k - 1, True)
-        c = self.context[k]
-        has, ok = np.unique(c[c >= 0]), (c >= 0) & self.taught
-        g = np.bincount(c[ok], weights=np.log(self.follow(of, k, p, 1)[ok] / p[ok]), minlength=len(self.levels[k - 1].key))[has]
-        return _messages(self.b, 2 * k + 1, of.bits, of.width if k > 1 else 64, self.levels[k - 1].key[has], _sign(np.rint(g * STEP).astype(np.int64)))
+        g = np.bincount(level.of[ok - 1], weights=np.log(self.follow(of, k, p, 1)[ok] / p[ok]), minlength=len(level.key))
+        return _messages(self.b, 2 * k - 2, of.bits, level.width, level.key, _sign(np.rint(g * STEP).astype(np.int64)), keys=False)
 
 
 class Model:
@@ -250,11 +272,12 @@ def score_texts(docs: DataFrame, held_out: Column | None = None, id_col: str = "
     """
     held = F.coalesce(held_out if held_out is not None else id_crc(id_col) % 10 == 0, F.lit(False))
     parts, size = batched(docs, id_col, text_col, {"held": held})
-    bits = buckets(size // 6)
+    bits, n = buckets(size // 6), max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // (8 * BATCH_BYTES))
     tokens, kinds = totals(docs.where(~held).select(text_or_empty(text_col).alias("t")), bits)
     of = Model(depth, least, prior, tokens, kinds, bits)
-    first = parts.groupBy("b").applyInArrow(lambda t: _table((x := Batch(t, None, of, -1, 0)).counts(of, 0) + x.counts(of, 1)), MESSAGE)
-    answers = [add_up(first, gain)]
+    parts = parts.repartition(n, "b")  # dealt once for all the exchanges below
+    sent = [parts.groupBy("b").applyInArrow(lambda t: _table((x := Batch(t, None, of, -1, 0)).counts(of, 0) + x.counts(of, 1)), MESSAGE).repartition(n, "k")]
+    answers = [sent[0].groupBy("k").applyInArrow(counted, MESSAGE).select("b", "k", "n", "v").repartition(n, "b")]
 
     def ask(k: int):
         """Sends the grams of level k + 1 and the gains of level k."""
@@ -269,7 +292,9 @@ def score_texts(docs: DataFrame, held_out: Column | None = None, id_col: str = "
 
     for k in range(1, depth + 1):
         known = reduce(DataFrame.unionByName, answers)
-        answers.append(add_up(parts.groupBy("b").cogroup(known.groupBy("b")).applyInArrow(ask(k), MESSAGE), gain))
+        sent.append(parts.groupBy("b").cogroup(known.groupBy("b")).applyInArrow(ask(k), MESSAGE).repartition(n, "k"))
+        before = sent[max(0, k - 2)]  # which has the grams that are level k's contexts
+        answers.append(before.groupBy("k").cogroup(sent[k].groupBy("k")).applyInArrow(settled(gain), MESSAGE).select("b", "k", "n", "v").repartition(n, "b"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -278,8 +303,8 @@ def score_texts(docs: DataFrame, held_out: Column | None = None, id_col: str = "
         n = len(x.ids)
         base = np.log10((x.n[0] + 0.1) / (tokens + 0.1 * (kinds + 1)))
         score = np.log10(x.chances(of, depth, False))
-        whole = [np.bincount(x.doc, weights=y, minlength=n) for y in (np.ones(len(x.w)), x.n[0] > 0)]
-        return pa.table({"doc_id": pa.array(x.ids, pa.int64()), "held_out": pa.array(x.held.tolist(), pa.bool_()), "n_tokens": pa.array(whole[0].astype(np.int64)), "n_known": pa.array(whole[1].astype(np.int64)), "train_tokens": pa.array(np.full(n, tokens, dtype=np.int64)), "base_score": np.bincount(x.doc, weights=base, minlength=n), "score": np.bincount(x.doc, weights=score, minlength=n)})
+        first = np.cumsum(x.sizes) - x.sizes  # no text is without symbols
+        return pa.table({"doc_id": pa.array(x.ids, pa.int64()), "held_out": pa.array(x.held.tolist(), pa.bool_()), "n_tokens": pa.array(x.sizes.astype(np.int64)), "n_known": pa.array(np.add.reduceat((x.n[0] > 0).astype(np.int64), first)), "train_tokens": pa.array(np.full(n, tokens, dtype=np.int64)), "base_score": np.add.reduceat(base, first), "score": np.add.reduceat(score, first)})
 
     known = reduce(DataFrame.unionByName, answers)
     return parts.groupBy("b").cogroup(known.groupBy("b")).applyInArrow(run, RESULT)
