@@ -1,15 +1,15 @@
-"""Suffix-array dedup: strings of `length` bytes that an earlier document has.
+"""Suffix-array dedup: strings of `length` bytes that a document of smaller id has.
 
 Only what can match is sorted. In every window of `length` bytes the smallest
 hash of its GRAM-byte grams is the window's anchor; equal windows have equal
-anchors, so a window can only match windows around anchors that occur again.
+anchors, so a window can only match windows of anchors that occur again.
 Anchors are counted between batches (see batches). The stretches of text around
 repeated anchors, each distinct one once a batch, go to the bucket of their
-anchor, where their suffixes are sorted. There the longest-previous-factor test
-needs no more than the threshold: neighbours in suffix order that share `length`
-bytes form a run, within which the chain of previous and next smaller positions
-ends at the run's first document; a suffix has an earlier match of that length
-just if its own document is later. Answers go back as bits of windows.
+anchor. There their suffixes are sorted to full depth, with the common prefix of
+each two neighbours, and previous and next smaller ids in suffix order give the
+longest previous factor of each suffix: the longer of the prefixes that it
+shares with the nearest suffixes above and below it whose document has a smaller
+id. A window goes if that is `length` at least. Answers are bits of windows.
 """
 
 from __future__ import annotations
@@ -19,13 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import BASES, BYTES, U, answer, batched, buckets, flagged, mix, powers, rolling, rows_of, send
+from .batches import BASES, BYTES, U, answer, batched, buckets, flagged, mix, pack, powers, rolling, rows_of, send, unpack
 
 #: Bytes in an anchor's gram, and bytes of stretches in a bucket, on average.
 GRAM, BUCKET_BYTES = 24, 1 << 19
-CHUNK = 1 << 18
-#: Suffixes sorted at once.
-SORTED = 1 << 18
+#: Bytes hashed at once; windows in a stretch at most, as bits of a number; suffixes sorted at once.
+CHUNK, WINDOWS, SORTED = 1 << 18, 56, 1 << 18
 
 
 def _windows_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -37,108 +36,130 @@ def _windows_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if width > have else x
 
 
+def ids_in_order(ids: list) -> np.ndarray:
+    """Ids as unsigned numbers in the same order; null is the smallest."""
+    return np.array([0 if d is None else d + (1 << 63) for d in ids], dtype=np.uint64)
+
+
 class Stretches:
-    """Anchors of a batch's texts, in order: hash, first window, number of windows, text's place, hash of the content; and the joined bytes."""
+    """Neighbouring windows of one anchor in a batch's texts, in order: anchor, first window, number of windows, id, hash of the content; and the joined bytes."""
 
-    def __init__(self, texts: list[bytes], length: int, contents: bool = True):
+    def __init__(self, ids: list, texts: list[bytes], length: int, contents: bool = True):
         gram = min(GRAM, length)
+        ends = np.cumsum([len(t) for t in texts])
+        ids_ = ids_in_order(ids)
+        self.bytes, self.length = np.frombuffer(b"".join(texts), dtype=np.uint8), length
         parts: list[list] = [[], [], [], [], []]
-        i = base = 0
-        while i < len(texts):
-            j, n = i, 0
-            while j < len(texts) and (n == 0 or n + len(texts[j]) < CHUNK):
-                n += len(texts[j])
-                j += 1
-            a = np.frombuffer(b"".join(texts[i:j]), dtype=np.uint8)
-            if len(a) >= length:
-                h = mix(rolling(BYTES[a], gram, BASES[0]))
-                bits = U(int(len(a)).bit_length())
-                least = _windows_min(h >> bits << bits | np.arange(len(h), dtype=np.uint64), length - gram + 1)
-                ends = np.cumsum([len(t) for t in texts[i:j]])
-                doc = np.searchsorted(ends, np.arange(len(least)), "right")
-                ok = np.flatnonzero(ends[np.minimum(doc, len(ends) - 1)] - np.arange(len(least)) >= length)
-                at = (least[ok] & ((U(1) << bits) - U(1))).astype(np.int64)
-                new = np.ones(len(ok), dtype=bool)
-                new[1:] = at[1:] != at[:-1]
-                first = np.flatnonzero(new)
-                begin, windows = ok[first], np.diff(np.append(first, len(ok)))
-                content = np.zeros(0, dtype=np.uint64)
-                if contents:
-                    sums = np.zeros(len(a) + 1, dtype=np.uint64)
-                    np.cumsum(BYTES[a] * powers(BASES[1], len(a)), out=sums[1:], dtype=np.uint64)
-                    size = windows + length - 1
-                    content = mix((sums[begin + size] - sums[begin]) * powers(BASES[1], len(a), True)[begin] + size.astype(np.uint64))
-                # smallest hashes crowd near zero: mixed again, they part evenly into buckets
-                for p, x in zip(parts, (mix(~h[at[first]]), base + begin, windows, i + doc[begin], content), strict=True):
-                    p.append(x)
-            base += n
-            i = j
+        for c in range(0, max(0, len(self.bytes) - length + 1), CHUNK):
+            a = self.bytes[c : c + CHUNK + length - 1]
+            least = _windows_min(mix(rolling(BYTES[a], gram, BASES[0])), length - gram + 1)
+            at = np.arange(c, c + len(least))
+            doc = np.searchsorted(ends, at, "right")
+            ok = np.flatnonzero(ends[np.minimum(doc, len(ends) - 1)] - at >= length)
+            if not len(ok):
+                continue
+            new = np.ones(len(ok), dtype=bool)
+            new[1:] = (least[ok][1:] != least[ok][:-1]) | (ok[1:] != ok[:-1] + 1) | (doc[ok][1:] != doc[ok][:-1])
+            place = np.arange(len(ok))
+            new |= (place - np.maximum.accumulate(np.where(new, place, 0))) % WINDOWS == 0  # one gram over and over
+            first = np.flatnonzero(new)
+            begin, windows = ok[first], np.diff(np.append(first, len(ok)))
+            content = np.zeros(0, dtype=np.uint64)
+            if contents:
+                sums = np.zeros(len(a) + 1, dtype=np.uint64)
+                np.cumsum(BYTES[a] * powers(BASES[1], len(a)), out=sums[1:], dtype=np.uint64)
+                size = windows + length - 1
+                content = mix((sums[begin + size] - sums[begin]) * powers(BASES[1], len(a), True)[begin] + size.astype(np.uint64))
+            # smallest hashes crowd near zero: mixed again, they part evenly into buckets
+            for p, x in zip(parts, (mix(~least[begin]), c + begin, windows, ids_[doc[begin]], content), strict=True):
+                p.append(x)
         none = np.zeros(0, dtype=np.int64)
-        self.h = np.concatenate(parts[0] or [none.astype(np.uint64)])
-        self.start, self.windows, self.doc = (np.concatenate(p or [none]) for p in parts[1:4])
-        self.content = np.concatenate(parts[4] or [none.astype(np.uint64)])
-        self.bytes = np.frombuffer(b"".join(texts), dtype=np.uint8)
-        self.length = length
+        self.h, self.id, self.content = (np.concatenate(parts[i] or [none.astype(np.uint64)]) for i in (0, 3, 4))
+        self.start, self.windows = (np.concatenate(parts[i] or [none]) for i in (1, 2))
 
     def distinct(self, again: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the anchors marked `again`: their places, sorted by hash, text and content; which are the first of equal stretches; and each one's first."""
+        """Of the stretches marked `again`: their places, sorted by anchor, content and text; which are the first of equal ones; and each one's first."""
         which = np.flatnonzero(again)
-        content = self.content[which]
-        order = np.lexsort((which, content, self.h[which]))
-        which, content = which[order], content[order]
+        which = which[np.lexsort((which, self.content[which], self.h[which]))]
+        same = (self.content[which][1:] == self.content[which][:-1]) & (self.h[which][1:] == self.h[which][:-1]) & (self.windows[which][1:] == self.windows[which][:-1])
         new = np.ones(len(which), dtype=bool)
-        new[1:] = (content[1:] != content[:-1]) | (self.h[which][1:] != self.h[which][:-1])
+        pair = np.flatnonzero(same)
+        left, right, size = self.start[which[pair]], self.start[which[pair + 1]], self.windows[which[pair]] + self.length - 1
+        padded = words(self.bytes)
+        for k in range(0, int(size.max(initial=0)), 8):  # hashes only say what to compare
+            same[pair] &= cut(padded[left + k], size - k) == cut(padded[right + k], size - k)
+        new[1:] = ~same
         return which, new, np.cumsum(new) - 1
 
 
-def _words(padded: np.ndarray, starts: np.ndarray, k: int, length: int) -> np.ndarray:
-    """Bytes k to k + 7 from each start as one number; the last stops at the length."""
-    word = np.zeros(len(starts), dtype=np.uint64)
-    for b in range(k, k + 8):
-        word <<= U(8)
-        if b < length:
-            word |= padded[starts + b]
-    return word
+def words(blob: np.ndarray) -> np.ndarray:
+    """At each place the 8 bytes from there on as a number, those first that come first; zeros behind the end."""
+    padded = np.concatenate([blob, np.zeros(WINDOWS + 256, dtype=np.uint8)])
+    return np.ndarray((len(padded) - 7,), dtype=">u8", buffer=padded, strides=(1,))
+
+
+def cut(word: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Words of which only the first `left` bytes count."""
+    keep = np.clip(left, 0, 8).astype(np.uint64)
+    return np.where(keep > 0, word.astype(np.uint64) >> (U(8) * (U(8) - np.maximum(keep, U(1)))) << (U(8) * (U(8) - np.maximum(keep, U(1)))), U(0))
 
 
-def _earlier(blob: np.ndarray, starts: np.ndarray, rank: np.ndarray, length: int) -> np.ndarray:
-    """Whether `length` bytes from each start also start at one of smaller rank, by sorting the suffixes.
+def suffix_order(blob: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the strings of `size` bytes from each start, and of each two neighbours in it the common prefix (0 for the first)."""
+    padded = words(blob)
+    keys = [cut(padded[start + k], size - k) for k in range(0, int(size.max(initial=0)), 8)]
+    order = np.lexsort((size, *keys[::-1]))
+    lcp, going = np.zeros(len(order), dtype=np.int64), np.ones(max(0, len(order) - 1), dtype=bool)
+    for k in keys:
+        k = k[order]
+        differ = k[1:] ^ k[:-1]
+        agree = sum((differ < U(1 << bits)).astype(np.int64) for bits in range(0, 64, 8))  # leading bytes
+        lcp[1:][going] += agree[going]
+        going &= differ == 0
+    lcp[1:] = np.minimum(lcp[1:], np.minimum(size[order][1:], size[order][:-1]))
+    return order, lcp
 
-    Strings of equal first bytes are sorted in the same pass; a pass takes SORTED of them or so.
+
+def longest_previous(lcp: np.ndarray, value: np.ndarray, least: int) -> np.ndarray:
+    """Longest previous factors, in suffix order: the longest prefix shared with a suffix of smaller value; 0 where it is below `least`.
+
+    Of the suffixes with smaller values the nearest above and the nearest below
+    share most. Places leap all at once over values that aren't smaller, as far
+    as those have leapt, with the least common prefix on the way.
+    """
+    best = np.zeros(len(lcp), dtype=np.int64)
+    for flip in (False, True):
+        v = value[::-1] if flip else value
+        shared = np.append(lcp[1:], 0)[::-1].copy() if flip else lcp.copy()
+        before = np.arange(len(v)) - 1
+        open_ = np.flatnonzero((before >= 0) & (shared >= least))
+        while len(open_):
+            open_ = open_[v[before[open_]] >= v[open_]]
+            by = before[open_]
+            ahead, least_shared = before[by], np.minimum(shared[open_], shared[by])
+            before[open_], shared[open_] = ahead, np.where(ahead >= 0, least_shared, 0)
+            open_ = open_[(ahead >= 0) & (least_shared >= least)]
+        got = np.where((before >= 0) & (shared >= least), shared, 0)
+        best = np.maximum(best, got[::-1] if flip else got)
+    return best
+
+
+def repeated(blob: np.ndarray, begin: np.ndarray, windows: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
+    """For each stretch the bits of its windows whose longest previous factor is `length` at least.
+
+    Suffixes that begin alike are sorted in one pass; a pass takes SORTED of them or so.
     """
-    out = np.zeros(len(starts), dtype=bool)
-    padded = np.concatenate([blob, np.zeros(8, dtype=np.uint8)])
-    passes = 1 + len(starts) // SORTED
-    turn = (mix(_words(padded, starts, 0, length)) >> U(32)) % U(passes) if passes > 1 else np.zeros(len(starts), dtype=np.uint64)
+    inside = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+    start, size = np.repeat(begin, windows) + inside, np.repeat(windows + length - 1, windows) - inside
+    value, hit = np.repeat(ids, windows), np.zeros(len(start), dtype=bool)
+    passes = 1 + len(start) // SORTED
+    turn = mix(words(blob)[start].astype(np.uint64)) % U(passes)
     for i in range(passes):
         at = np.flatnonzero(turn == U(i))
-        if not len(at):
-            continue
-        keys = [_words(padded, starts[at], k, length) for k in range(0, length, 8)]
-        order = np.lexsort(keys[::-1])
-        run = np.ones(len(order), dtype=bool)
-        run[1:] = False
-        for k in keys:
-            k = k[order]
-            run[1:] |= k[1:] != k[:-1]
-        ranks = rank[at][order]
-        out[at[order]] = ranks > np.minimum.reduceat(ranks, np.flatnonzero(run))[np.cumsum(run) - 1]
-    return out
-
-
-def _contents(blob: np.ndarray, begin: np.ndarray, size: np.ndarray, base: int) -> np.ndarray:
-    """A hash of each stretch's bytes and size, CHUNK bytes at once."""
-    out = np.zeros(len(begin), dtype=np.uint64)
-    i = 0
-    while i < len(begin):
-        j = max(i + 1, int(np.searchsorted(begin, begin[i] + CHUNK)))
-        a = blob[begin[i] : begin[j - 1] + size[j - 1]]
-        sums = np.zeros(len(a) + 1, dtype=np.uint64)
-        np.cumsum(BYTES[a] * powers(base, len(a)), out=sums[1:], dtype=np.uint64)
-        first = begin[i:j] - begin[i]
-        out[i:j] = mix((sums[first + size[i:j]] - sums[first]) * powers(base, len(a), True)[first] + size[i:j].astype(np.uint64))
-        i = j
-    return out
+        if len(at):
+            order, lcp = suffix_order(blob, start[at], size[at])
+            hit[at[order]] = longest_previous(lcp, value[at][order], length) >= length
+    return np.bitwise_or.reduceat(hit.astype(np.uint64) << inside.astype(np.uint64), np.cumsum(windows) - windows)
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary"
@@ -147,23 +168,24 @@ RESULT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:lo
 def remove_earlier_strings(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, spans (maximal removed runs of bytes), kept (the other bytes).
 
-    A byte goes if a string of `length` bytes that covers it also starts in an
-    earlier document: of smaller id (null ids come first; rows of equal id in
-    order of a hash of the text). length is from 25 to 87. Null text is empty. An empty table
-    gives no rows; other columns aren't carried.
+    A byte goes if a string of `length` bytes that covers it also starts in a
+    document of smaller id. Rows without id come before all others; rows of
+    equal id, or without, take nothing from one another. length is from 25 to
+    255. Null text is empty; repeated rows keep a row each. An empty table gives
+    no rows; other columns aren't carried, whatever their names.
     """
     parts, total = batched(docs, id_col, text_col)
     bits, wide = buckets(total // 14), max(0, int(np.ceil(np.log2(max(1, total // 2 / BUCKET_BYTES)))))
 
     def hashes(ids, texts):
-        h = Stretches(texts, length, contents=False).h
+        h = Stretches(ids, texts, length, contents=False).h
         return h, (mix(h ^ U(BASES[2])) >> U(56)).astype(np.uint8)
 
     known = answer(send(parts, hashes, bits), later_only=False).select(F.lit(0).alias("kind"), "b", "k", "p")
 
     def marked(table: pa.Table, answers: pa.Table) -> tuple[list, list[bytes], Stretches, tuple]:
         ids, texts = rows_of(table)
-        s = Stretches(texts, length)
+        s = Stretches(ids, texts, length)
         hit, _ = flagged(s.h, bits, answers)
         order = np.argsort(s.h, kind="stable")
         same = s.h[order][1:] == s.h[order][:-1]
@@ -177,8 +199,8 @@ def remove_earlier_strings(docs: DataFrame, length: int = 50, id_col: str = "doc
         return first, np.searchsorted(h, np.arange(1 << wide, dtype=np.uint64) << U(64 - wide)) if wide else np.array([0])
 
     def stretch(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["k", "b", "docs", "windows", "data"]
-        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        names = ["k", "b", "low", "ids", "windows", "data"]
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         if not left.num_rows:
             return pa.table({n: pa.array([], t) for n, t in zip(names, kinds, strict=True)})
         _, _, s, (which, new, _) = marked(left, right)
@@ -189,30 +211,30 @@ def remove_earlier_strings(docs: DataFrame, length: int = 50, id_col: str = "doc
                 f = first[a:z]
                 size = s.windows[f] + length - 1
                 index = np.repeat(s.start[f] - np.cumsum(size) + size, size) + np.arange(size.sum())
-                rows.append((k, left.column("b")[0].as_py(), s.doc[f].astype(np.uint32).tobytes(), s.windows[f].astype(np.uint8).tobytes(), s.bytes[index].tobytes()))
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(names, zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)})
+                low = s.id[f].min()
+                rows.append((k, left.column("b")[0].as_py(), int(low.view(np.int64)), pack(s.id[f] - low), s.windows[f].astype(np.uint8).tobytes(), s.bytes[index].tobytes()))
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(names, zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)})
 
     def resolve(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("b", "docs", "windows", "data")), strict=True))
-        windows = [np.frombuffer(r[2], dtype=np.uint8).astype(np.int64) for r in rows]
-        rank = np.concatenate([np.frombuffer(r[1], dtype=np.uint32).astype(np.int64) + (i << 32) for i, r in enumerate(rows)])
-        w = np.concatenate(windows)
-        size = w + length - 1
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("b", "low", "ids", "windows", "data")), strict=True))
+        w = [np.frombuffer(r[3], dtype=np.uint8).astype(np.int64) for r in rows]
+        ids = np.concatenate([unpack(r[2], len(x)) + np.array([r[1]]).view(np.uint64) for r, x in zip(rows, w, strict=True)])
+        windows = np.concatenate(w)
+        size = windows + length - 1
         begin = np.cumsum(size) - size
-        blob = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint8)
-        # of equal stretches the first is sorted; the others have every window earlier
-        one, two = (_contents(blob, begin, size, base) for base in BASES[1:])
-        order = np.lexsort((rank, two, one))
+        blob = np.frombuffer(b"".join(r[4] for r in rows), dtype=np.uint8)
+        # of equal stretches the one of the smallest id is sorted; larger ids have every window earlier
+        order, lcp = suffix_order(blob, begin, size)
         new = np.ones(len(order), dtype=bool)
-        new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
-        first = order[new]
-        n = w[first]
-        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        hit = _earlier(blob, np.repeat(begin[first], n) + inside, np.repeat(rank[first], n), length)
-        mask = (U(1) << w.astype(np.uint64)) - U(1)
-        mask[first] = np.bitwise_or.reduceat(hit.astype(np.uint64) << inside.astype(np.uint64), np.cumsum(n) - n)
+        new[1:] = (lcp[1:] < size[order][1:]) | (size[order][1:] != size[order][:-1])
+        of = np.empty(len(order), dtype=np.int64)
+        of[order] = np.cumsum(new) - 1
+        by_id = np.lexsort((ids, of))
+        first = by_id[np.flatnonzero(np.diff(of[by_id], prepend=-1))]
+        mask = repeated(blob, begin[first], windows[first], ids[first], length)[of]
+        mask = np.where(ids > ids[first][of], (U(1) << windows.astype(np.uint64)) - U(1), mask)
         out, at, k = [], 0, table.column("k")[0].as_py()
-        for (b, *_), x in zip(rows, windows, strict=True):
+        for (b, *_), x in zip(rows, w, strict=True):
             m = mask[at : at + len(x)]
             at += len(x)
             p = np.flatnonzero(m)
@@ -220,7 +242,7 @@ def remove_earlier_strings(docs: DataFrame, length: int = 50, id_col: str = "doc
                 out.append((b, m[p].tobytes() + p.astype(np.uint32).tobytes()))
         return pa.table({"kind": pa.array([1] * len(out), pa.int32()), "b": pa.array([x[0] for x in out], pa.int32()), "k": pa.array([k] * len(out), pa.int32()), "p": pa.array([x[1] for x in out], pa.binary())})
 
-    sent = parts.groupBy("b").cogroup(known.groupBy("b")).applyInArrow(stretch, "k int, b int, docs binary, windows binary, data binary")
+    sent = parts.groupBy("b").cogroup(known.groupBy("b")).applyInArrow(stretch, "k int, b int, low long, ids binary, windows binary, data binary")
     resolved = sent.groupBy("k").applyInArrow(resolve, "kind int, b int, k int, p binary")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -233,13 +255,13 @@ def remove_earlier_strings(docs: DataFrame, length: int = 50, id_col: str = "doc
             n = len(p) // 12
             mask[at[k] + np.frombuffer(p, dtype=np.uint32, offset=8 * n).astype(np.int64)] = np.frombuffer(p, dtype=np.uint64, count=n)
         every = mask[group]
-        every[s.doc[which] != s.doc[first[group]]] = ~U(0)  # an earlier text of the batch has the whole stretch
+        every[s.id[which] > s.id[first[group]]] = ~U(0)  # a text of smaller id in the batch has the whole stretch
         w, begin = s.windows[which], s.start[which]
         cover = np.zeros(len(s.bytes) + 1, dtype=np.int32)
         whole = every & (U(1) << w.astype(np.uint64)) - U(1) == (U(1) << w.astype(np.uint64)) - U(1)
         np.add.at(cover, begin[whole], 1)  # all its windows: one run
         np.add.at(cover, begin[whole] + w[whole] + length - 1, -1)
-        for i in range(length):
+        for i in range(WINDOWS):
             some = ~whole & (i < w) & (every >> U(i) & U(1)).astype(bool)
             np.add.at(cover, begin[some] + i, 1)
             np.add.at(cover, begin[some] + i + length, -1)

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import BASES, BATCH_BYTES, U, batched, buckets, mix, split
+from .batches import BASES, BATCH_BYTES, U, batched, buckets, mix, pack, split, unpack
 from .common import id_crc, map_arrow, text_or_empty
 from .substrings import slices, word_hashes
 
@@ -46,19 +46,6 @@ MESSAGE = "k long, b int, n int, h binary, v binary"
 _KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 
 
-def pack(x: np.ndarray) -> bytes:
-    """Numbers as planes of bytes, lowest first; planes of zeros at the end are left out."""
-    used = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
-    return np.ascontiguousarray(x, dtype="<u8").view(np.uint8).reshape(-1, 8)[:, :used].T.tobytes()
-
-
-def unpack(data: bytes, n: int) -> np.ndarray:
-    out = np.zeros((n, 8), dtype=np.uint8)
-    if n and data:
-        out[:, : len(data) // n] = np.frombuffer(data, dtype=np.uint8).reshape(-1, n).T
-    return out.view("<u8")[:, 0].astype(np.uint64)
-
-
 def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, END behind each text, and the number of symbols of each."""
     w, counts = word_hashes([t.lower() for t in texts])

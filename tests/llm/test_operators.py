@@ -389,24 +389,64 @@ def test_substrings_with_many_batches(spark, docs, monkeypatch):
     assert {r.doc_id: r.kept for r in remove_repeated_windows(docs).collect()} == one
 
 
+def brute_strings(rows, length):
+    """(id, bytes, removed, kept) of each row, sorted, by a dictionary of all strings."""
+    key = lambda d: (d is not None, d or 0)
+    least = {}
+    for d, t in rows:
+        for i in range(len(t) - length + 1):
+            x = t[i : i + length]
+            least[x] = min(least.get(x, key(d)), key(d))
+    out = []
+    for d, t in rows:
+        gone = np.zeros(len(t), dtype=bool)
+        for i in range(len(t) - length + 1):
+            if least[t[i : i + length]] < key(d):
+                gone[i : i + length] = True
+        out.append((key(d), len(t), int(gone.sum()), bytes(x for x, g in zip(t, gone, strict=True) if not g)))
+    return sorted(out)
+
+
 @pytest.mark.parametrize("size", [1 << 22, 3000])
-def test_suffix_array(spark, docs, plain, size, monkeypatch):
+@pytest.mark.parametrize("length", [50, 33])
+def test_suffix_array(spark, docs, plain, size, length, monkeypatch):
     from affectra.llm import batches, suffixarray
 
     monkeypatch.setattr(batches, "BATCH_BYTES", size)
     monkeypatch.setattr(suffixarray, "BUCKET_BYTES", size)
-    length, seen, want = 50, set(), {}
-    for d in sorted(plain):
-        t = plain[d].encode()
-        own = [t[i : i + length] for i in range(len(t) - length + 1)]
-        gone = {j for i, x in enumerate(own) if x in seen for j in range(i, i + length)}
-        seen |= set(own)
-        want[d] = len(t), len(gone), bytes(x for i, x in enumerate(t) if i not in gone)
-    got = suffixarray.remove_earlier_strings(docs).collect()
-    assert {r.doc_id: (r.n_bytes, r.n_removed, bytes(r.kept)) for r in got} == want and any(x[1] for x in want.values())
+    monkeypatch.setattr(suffixarray, "SORTED", 4 * size)
+    monkeypatch.setattr(suffixarray, "CHUNK", 1 << 18 if size > 3000 else 700)
+    long = " ".join(f"{i * i % 977}" for i in range(400))
+    rows = [(d, t.encode()) for d, t in plain.items()]
+    rows += [(None, long.encode()), (None, long.encode()), (50, long.encode()), (50, (long + " tail").encode()), (3, plain[30].encode()), (3, plain[33].encode()), (200, b"ab" * 4000), (201, b"ba" * 900 + b"c" * 300)]
+    table = spark.createDataFrame([(d, t.decode()) for d, t in rows], "doc_id long, text string").repartition(3)
+    got = suffixarray.remove_earlier_strings(table, length).collect()
+    want = brute_strings(rows, length)
+    assert sorted(((r.doc_id is not None, r.doc_id or 0), r.n_bytes, r.n_removed, bytes(r.kept)) for r in got) == want and any(x[2] for x in want)
+    for r in got:
+        assert sum(s.stop - s.start for s in r.spans) == r.n_removed and all(a.stop < b.start for a, b in zip(r.spans, r.spans[1:], strict=False))
     assert suffixarray.remove_earlier_strings(empty(spark)).count() == 0
 
 
+def test_longest_previous_factors():
+    from affectra.llm import suffixarray as sa
+
+    r = random.Random(3)
+    for n, letters in [(1, "a"), (40, "ab"), (300, "abc"), (200, "a"), (400, "abcdefghijkl")]:
+        text = "".join(r.choice(letters) for _ in range(n)).encode()
+        blob, start = np.frombuffer(text, dtype=np.uint8), np.arange(n)
+        size = np.minimum(n - start, 40)
+        order, lcp = sa.suffix_order(blob, start, size)
+        parts = [text[i : i + k] for i, k in zip(order, size[order], strict=True)]
+        common = lambda x, y: next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+        assert parts == sorted(parts) and lcp.tolist() == [0, *(common(x, y) for x, y in zip(parts, parts[1:], strict=False))]
+        value = np.array([r.randrange(6) for _ in range(n)])
+        for least in (1, 5):
+            got = sa.longest_previous(lcp, value[order], least)
+            want = [max((common(x, y) for y, j in zip(parts, order, strict=True) if value[j] < value[i]), default=0) for x, i in zip(parts, order, strict=True)]
+            assert got.tolist() == [x if x >= least else 0 for x in want]
+
+
 def brute_components(plain, width, percent):
     sets = {}
     for d, t in plain.items():
