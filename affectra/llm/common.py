@@ -46,6 +46,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def column(name: str) -> Column:
+    """The column of that very name, dots and blanks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(df: DataFrame) -> Column:
+    """All columns of df as one struct, so that names made on the way can't clash with them."""
+    return F.struct(*map(column, df.columns)) if df.columns else F.struct(F.lit(0).alias("none"))
+
+
+def unpacked(names: list[str], other: dict[str, Column] | None = None) -> list[Column]:
+    """Columns of the struct `row` by name; those in `other` are taken from there."""
+    return [(other or {}).get(c, F.col("row").getField(c)).alias(c) for c in names]
+
+
 def text_or_empty(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 

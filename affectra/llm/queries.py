@@ -30,12 +30,14 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-OP2_SQL = """
+#: A run is two lines, or one line of 50 words.
+OP2_SQL = r"""
 WITH x AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS raw FROM documents),
 l AS (SELECT doc_id, unnest(range(len(raw))) AS s, unnest(raw) AS line FROM x),
 w AS (SELECT doc_id, s, trim(line, ' ') || chr(10) || trim(lead(line) OVER (PARTITION BY doc_id ORDER BY s), ' ') AS k FROM l),
 f AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS r FROM w WHERE k IS NOT NULL),
-g AS (SELECT DISTINCT doc_id, s + o AS s FROM f, (VALUES (0), (1)) AS t(o) WHERE r > 1)
+o AS (SELECT doc_id, s, row_number() OVER (PARTITION BY trim(line, ' ') ORDER BY doc_id, s) AS r FROM l WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 50),
+g AS (SELECT doc_id, s + o AS s FROM f, (VALUES (0), (1)) AS t(o) WHERE r > 1 UNION SELECT doc_id, s FROM o WHERE r > 1)
 SELECT l.doc_id, count(*) AS n_lines, count(g.s) AS n_removed,
   sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.s) FILTER (WHERE g.s IS NULL), '')) AS kept_sha256
 FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.s = l.s GROUP BY l.doc_id
@@ -87,6 +89,20 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+OP10_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS x FROM documents),
+p AS (SELECT doc_id, x, unnest(range(1, greatest(len(x) - 1, CASE WHEN len(x) > 0 THEN 2 ELSE 1 END))) AS i FROM w),
+h AS (SELECT DISTINCT doc_id, array_to_string(x[i:i + 2], ' ') AS h FROM p),
+n AS (SELECT doc_id, count(*) AS n FROM h GROUP BY doc_id),
+s AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_have FROM h a JOIN h b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM s JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both_have >= 85 * (x.n + y.n - both_have)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS v, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.v WHERE r.c < e.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
+FROM documents d JOIN (SELECT v, min(c) AS c FROM r GROUP BY v) m ON m.v = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
@@ -102,5 +118,19 @@ def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP9_SQL = r"""
+WITH x AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS x FROM documents),
+p AS (SELECT doc_id, unnest(range(len(x))) AS s, unnest(x) AS byte FROM x),
+w AS (SELECT *, CASE WHEN count(*) OVER r = 50 THEN md5(array_to_string(list(byte) OVER r, '')) END AS k FROM p
+  WINDOW r AS (PARTITION BY doc_id ORDER BY s ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+f AS (SELECT *, k IS NOT NULL AND doc_id > min(doc_id) OVER (PARTITION BY k) AS earlier FROM w),
+c AS (SELECT doc_id, s, byte, max(CASE WHEN earlier THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM f),
+t AS (SELECT *, CASE WHEN gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY s), 0) = 0 THEN 1 ELSE 0 END AS begins FROM c)
+SELECT d.doc_id, count(t.s) AS n_bytes, CAST(coalesce(sum(t.gone), 0) AS BIGINT) AS n_removed, CAST(coalesce(sum(t.begins), 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(string_agg(t.byte, '' ORDER BY t.s) FILTER (WHERE t.gone = 0), ''))) AS kept_sha256
+FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
 QUERIES = {"op9_suffix_array": op9_suffix_array, "op4_quality": op4_quality, "op6_suffix_tree": op6_suffix_tree, "op10_neardup": op10_neardup, "op8_substrings": op8_substrings, "op1_pack": op1_pack, "op2_line_dedup": op2_line_dedup, "op3_gif": op3_gif, "op5_shard": op5_shard, "op7_decontaminate": op7_decontaminate}
-SQL: dict[str, str] = {"op8_substrings": OP8_SQL, "op2_line_dedup": OP2_SQL, "op5_shard": OP5_SQL}
+SQL: dict[str, str] = {"op8_substrings": OP8_SQL, "op2_line_dedup": OP2_SQL, "op5_shard": OP5_SQL, "op9_suffix_array": OP9_SQL, "op10_neardup": OP10_SQL}

@@ -15,7 +15,7 @@ from affectra.llm import decontaminate as dec
 from affectra.llm import gifmedia as gif
 from affectra.llm import queries as q
 from affectra.llm import rules
-from affectra.llm.linededup import remove_repeated_runs
+from affectra.llm.linededup import remove_repeated_runs, repeated_runs
 from affectra.llm.neardup import near_duplicates
 from affectra.llm.packing import default_vocabulary, encoder, ends_of, pack_documents, sequences
 from affectra.llm.sharding import shard
@@ -115,7 +115,7 @@ def test_packing_odd_tables(spark):
     assert len(p) >= 4 and p.length.sum() == 3 + 1 + 1 + 2
 
 
-def brute_lines(plain, run):
+def brute_lines(plain, run, words=None):
     seen, out = {}, {}
     for d in sorted(plain):
         lines = plain[d].split("\n")
@@ -127,15 +127,24 @@ def brute_lines(plain, run):
                 gone |= set(range(s, s + run))
             else:
                 seen[k] = (d, s)
+        for s, k in enumerate(keys):
+            if words is not None and len(k.encode().split()) >= words:
+                if (k, "alone") in seen:
+                    gone.add(s)
+                seen[k, "alone"] = d
         out[d] = "\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone)
     return out
 
 
-@pytest.mark.parametrize("run", [1, 2, 3])
-def test_line_dedup(spark, docs, plain, run):
-    got = remove_repeated_runs(docs, run)
+@pytest.mark.parametrize(("run", "words"), [(1, None), (2, None), (2, 30), (3, 20), (4, None), (5, 50)])
+def test_line_dedup(spark, docs, plain, run, words):
+    r = random.Random(run)
+    block = [r.choice("abcdef") for _ in range(30)]
+    plain = plain | {1000 + i: "\n".join(block[(k := r.randrange(25)) : k + r.randrange(1, 9)] + [r.choice("ghij")] + block[(k := r.randrange(25)) : k + r.randrange(1, 9)]) for i in range(40)}
+    docs = docs.unionByName(spark.createDataFrame([(d, t) for d, t in plain.items() if d >= 1000], "doc_id long, text string"), True)
+    got = remove_repeated_runs(docs, run, words=words)
     assert got.columns == [*docs.columns, "n_lines", "n_removed"]
-    want = brute_lines(plain, run)
+    want = brute_lines(plain, run, words)
     for r in got.collect():
         assert (r.text or "", r.n_removed) == want[r.doc_id]
     assert remove_repeated_runs(empty(spark)).count() == 0
@@ -508,3 +517,9 @@ def test_clashing_columns(spark):
     assert remove_repeated_runs(df).first().n_removed == 2
     assert shard(df, 10).first().shard is not None
     assert pd.notna(rules.score(df, rules.RuleModel([], [], 0.0)).first().quality_score)
+
+
+def test_runs_of_lines_are_maximal(spark):
+    plain = {1: "a\nb\nc\nd\ne", 2: "x\nb\nc\nd\ny\na\nb", 3: "c\nd\ne\nz"}
+    got = repeated_runs(spark.createDataFrame(list(plain.items()), "doc_id long, text string")).collect()
+    assert {(r.place.b, r.start, r.stop, r.source.b, r.source_start) for r in got} == {(2, 1, 4, 1, 1), (2, 5, 7, 1, 0), (3, 0, 3, 1, 2)}

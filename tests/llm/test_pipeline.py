@@ -19,7 +19,7 @@ def test_stages(spark):
     good = [d for d, y in labels.items() if y == 1]
     assert sum(d in kept["quality"] for d in good) >= 0.97 * len(good)
     assert sum(d not in kept["quality"] for d, y in labels.items() if y == 0) >= 0.9 * sum(y == 0 for y in labels.values())
-    want = {d: t for d, (t, n) in brute_lines(kept["quality"], 2).items() if not (n and not t.strip(" "))}
+    want = {d: t for d, (t, n) in brute_lines(kept["quality"], 2, 50).items() if not (n and not t.strip(" "))}
     assert kept["line_dedup"] == want
     parts = brute_components(kept["line_dedup"], 5, 80)
     assert set(kept["near_dedup"]) == {d for d, (_, c) in parts.items() if d == c}
