@@ -15,6 +15,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,14 +139,25 @@ def _place(cuts: list[tuple]) -> Column:
     return F.when(d.isNull(), tree(nulls, 0)).otherwise(tree(rest, nulls[-1][2] if nulls else 0))
 
 
+_zip, _unzip = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def squeeze(data: bytes) -> bytes:
+    return _zip.compress(data)
+
+
+def expand(data: bytes) -> bytes:
+    return _unzip.decompress(data)
+
+
 def pack(x: np.ndarray) -> bytes:
-    """Numbers as planes of bytes, lowest first; planes of zeros at the end are left out."""
+    """Numbers as planes of bytes, lowest first, planes of zeros at the end left out, compressed."""
     used = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
-    return np.ascontiguousarray(x, dtype="<u8").view(np.uint8).reshape(-1, 8)[:, :used].T.tobytes()
+    return squeeze(np.ascontiguousarray(x, dtype="<u8").view(np.uint8).reshape(-1, 8)[:, :used].T.tobytes())
 
 
 def unpack(data: bytes, n: int) -> np.ndarray:
-    out = np.zeros((n, 8), dtype=np.uint8)
+    out, data = np.zeros((n, 8), dtype=np.uint8), expand(data)
     if n and data:
         out[:, : len(data) // n] = np.frombuffer(data, dtype=np.uint8).reshape(-1, n).T
     return out.view("<u8")[:, 0].astype(np.uint64)
@@ -181,21 +193,21 @@ def firsts(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[new], later
 
 
-MESSAGE = "k int, b int, h binary"
+MESSAGE = "k int, b int, n int, h binary, c binary"
 
 
 def send(docs: DataFrame, hashes: Callable[[list, list[bytes]], tuple[np.ndarray, np.ndarray]], bits: int) -> DataFrame:
-    """Distinct hashes of each batch, dealt to buckets: rows (k bucket, b batch, h 8-byte hashes then their check bytes)."""
+    """Distinct hashes of each batch, dealt to buckets: rows (k bucket, b batch, n, h steps between sorted 64-bit hashes, c their 32-bit checks)."""
 
     def run(table: pa.Table) -> pa.Table:
         ids, texts = rows_of(table)
         h, check = hashes(ids, texts)
         place, _ = firsts(h)
-        s, c = h[place], check[place]
+        s, c = h[place], check[place].astype(np.uint32)
         at, names = split(s, bits)
-        out = [(int(k), s[a:z].tobytes() + c[a:z].tobytes()) for k, a, z in zip(names, at[:-1], at[1:], strict=True) if z > a]
+        out = [(int(k), int(z - a), pack(np.diff(s[a:z], prepend=U(0))), c[a:z].tobytes()) for k, a, z in zip(names, at[:-1], at[1:], strict=True) if z > a]
         b = table.column("b")[0].as_py()
-        return pa.table({"k": pa.array([x[0] for x in out], pa.int32()), "b": pa.array([b] * len(out), pa.int32()), "h": pa.array([x[1] for x in out], pa.binary())})
+        return pa.table({"k": pa.array([x[0] for x in out], pa.int32()), "b": pa.array([b] * len(out), pa.int32()), "n": pa.array([x[1] for x in out], pa.int32()), "h": pa.array([x[2] for x in out], pa.binary()), "c": pa.array([x[3] for x in out], pa.binary())})
 
     return docs.groupBy("b").applyInArrow(run, MESSAGE)
 
@@ -204,10 +216,9 @@ def answer(sent: DataFrame, later_only: bool) -> DataFrame:
     """(b, k, p): places, in what batch b sent to bucket k, of hashes that other batches sent; later_only: earlier batches."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table.column("b").to_pylist(), table.column("h").to_pylist(), strict=True))
-        n = [len(h) // 9 for _, h in rows]
-        h = np.concatenate([np.frombuffer(x, dtype=np.uint64, count=m) for (_, x), m in zip(rows, n, strict=True)])
-        c = np.concatenate([np.frombuffer(x, dtype=np.uint8, offset=8 * m) for (_, x), m in zip(rows, n, strict=True)])
+        rows = sorted(zip(*(table.column(x).to_pylist() for x in ("b", "n", "h", "c")), strict=True))
+        h = np.concatenate([np.cumsum(unpack(x, m), dtype=np.uint64) for _, m, x, _ in rows])
+        c = np.concatenate([np.frombuffer(x, dtype=np.uint32) for *_, x in rows])
         order = np.argsort(h, kind="stable")
         same = h[order][1:] == h[order][:-1]
         if (same & (c[order][1:] != c[order][:-1])).any():
@@ -217,9 +228,9 @@ def answer(sent: DataFrame, later_only: bool) -> DataFrame:
         flag[order[1:][same]] = True
         if not later_only:
             flag[order[:-1][same]] = True
-        ends = np.cumsum([0, *n])
+        ends = np.cumsum([0, *(m for _, m, *_ in rows)])
         k = table.column("k")[0].as_py()
-        out = [(b, p.astype(np.uint32).tobytes()) for (b, _), i, j in zip(rows, ends[:-1], ends[1:], strict=True) if len(p := np.flatnonzero(flag[i:j]))]
+        out = [(b, p.astype(np.uint32).tobytes()) for (b, *_), i, j in zip(rows, ends[:-1], ends[1:], strict=True) if len(p := np.flatnonzero(flag[i:j]))]
         return pa.table({"b": pa.array([x[0] for x in out], pa.int32()), "k": pa.array([k] * len(out), pa.int32()), "p": pa.array([x[1] for x in out], pa.binary())})
 
     return sent.groupBy("k").applyInArrow(run, "b int, k int, p binary")

@@ -179,7 +179,7 @@ def remove_earlier_strings(docs: DataFrame, length: int = 50, id_col: str = "doc
 
     def hashes(ids, texts):
         h = Stretches(ids, texts, length, contents=False).h
-        return h, (mix(h ^ U(BASES[2])) >> U(56)).astype(np.uint8)
+        return h, (mix(h ^ U(BASES[2])) >> U(32)).astype(np.uint32)
 
     known = answer(send(parts, hashes, bits), later_only=False).select(F.lit(0).alias("kind"), "b", "k", "p")
 

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import BASES, BATCH_BYTES, U, batched, buckets, mix, pack, split, unpack
+from .batches import BASES, BATCH_BYTES, U, batched, buckets, expand, mix, pack, split, squeeze, unpack
 from .common import id_crc, map_arrow, text_or_empty
 from .substrings import slices, word_hashes
 
@@ -176,9 +176,14 @@ class Batch:
     """What a batch knows once it has the answers on the first `known` levels and on the gains of the first `tested`; nothing at -1."""
 
     def __init__(self, left: pa.Table, right: pa.Table | None, of: Model, known: int, tested: int):
-        self.b, self.ids = left.column("b")[0].as_py(), left.column("d").to_pylist()
-        self.held = np.array(left.column("held").to_pylist(), dtype=bool)
-        self.w, self.sizes = symbols([t.encode() for t in left.column("t").to_pylist()])
+        self.b, self.ids, texts, held = left.column("b")[0].as_py(), [], [], []
+        for ids, kept_back, ends, z in zip(*(left.column(c).to_pylist() for c in ("d", "held", "ends", "z")), strict=True):
+            blob = expand(z)
+            self.ids += ids
+            held += kept_back
+            texts += [blob[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+        self.held = np.array(held, dtype=bool)
+        self.w, self.sizes = symbols(texts)
         self.taught = np.repeat(~self.held, self.sizes)
         self.place = np.arange(len(self.w)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
         answers: dict[int, list] = {}
@@ -235,6 +240,25 @@ class Batch:
         return _messages(self.b, 2 * k - 2, of.bits, level.width, level.key, _sign(np.rint(g * STEP).astype(np.int64)), keys=False)
 
 
+def bundled(parts: DataFrame) -> DataFrame:
+    """(b, d ids, held, ends, z): texts of one batch that a task reads together, end to end and compressed."""
+
+    def run(batches):
+        for t in batches:
+            where: dict[int, list[int]] = {}
+            for i, b in enumerate(t.column(0).to_pylist()):
+                where.setdefault(b, []).append(i)
+            rows = []
+            for b, i in where.items():
+                of = t.take(pa.array(i))
+                texts = [x.encode() for x in of.column(2).to_pylist()]
+                rows.append((b, of.column(1).to_pylist(), of.column(3).to_pylist(), np.cumsum([len(x) for x in texts]).tolist(), squeeze(b"".join(texts))))
+            kinds = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], names=["b", "d", "held", "ends", "z"])
+
+    return map_arrow(parts.select("b", "d", "t", "held"), run, "b int, d array<long>, held array<boolean>, ends array<long>, z binary")
+
+
 class Model:
     """Parameters and the corpus's totals, the same in all tasks."""
 
@@ -262,7 +286,7 @@ def score_texts(docs: DataFrame, held_out: Column | None = None, id_col: str = "
     bits, n = buckets(size // 6), max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // (8 * BATCH_BYTES))
     tokens, kinds = totals(docs.where(~held).select(text_or_empty(text_col).alias("t")), bits)
     of = Model(depth, least, prior, tokens, kinds, bits)
-    parts = parts.repartition(n, "b")  # dealt once for all the exchanges below
+    parts = bundled(parts).repartition(n, "b")  # dealt once for all the exchanges below
     sent = [parts.groupBy("b").applyInArrow(lambda t: _table((x := Batch(t, None, of, -1, 0)).counts(of, 0) + x.counts(of, 1)), MESSAGE).repartition(n, "k")]
     answers = [sent[0].groupBy("k").applyInArrow(counted, MESSAGE).select("b", "k", "n", "v").repartition(n, "b")]
 
