@@ -187,6 +187,59 @@ def test_gif_round_trip_and_rules():
     assert gif.frames(b"") == [] and gif.frames(b"GIF89a" + bytes(7)) == []
 
 
+def plain_gif(data):
+    """Frames (indices, delay in hundredths) of a GIF with a global palette, and the palette, by the textbook."""
+    at = 13 + (3 << (data[10] & 7) + 1)
+    palette, out, delay = data[13:at], [], 0
+    while data[at] != 0x3B:
+        if data[at] == 0x21:
+            delay, at = data[at + 4] | data[at + 5] << 8, at + 8
+            continue
+        bits, at, body = data[at + 10], at + 11, b""
+        while data[at]:
+            body, at = body + data[at + 1 : at + 1 + data[at]], at + 1 + data[at]
+        at += 1
+        number, n, got, table, last = int.from_bytes(body, "little"), bits + 1, bytearray(), None, None
+        while True:
+            code, number = number & (1 << n) - 1, number >> n
+            if code == 1 << bits:
+                table, last, n = [bytes([i]) for i in range(1 << bits)] + [b"", b""], None, bits + 1
+                continue
+            if code == (1 << bits) + 1:
+                break
+            word = table[code] if code < len(table) else last + last[:1]
+            got += word
+            if last is not None and len(table) < 4096:
+                table.append(last + word[:1])
+            n, last = min(12, max(n, len(table).bit_length())), word
+        out.append((bytes(got), delay))
+    return out, palette
+
+
+def test_gif_against_a_plain_reader(spark):
+    r = random.Random(8)
+    texts = ["", "a", "é" * 40, "".join(chr(r.randrange(1, 900)) for _ in range(9000)), " ".join(r.choice(["so", "what", "now"]) for _ in range(4000)), "z" * 600_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    read = {x.doc_id: x for x in gif.read_media(gif.to_media(df)).collect()}
+    features = {x.doc_id: x for x in gif.digests(gif.stored(df)).collect()}
+    for d, t in enumerate(texts):
+        found, palette = plain_gif(bytes(read[d].media))
+        payload = t.encode() + bytes(-len(t.encode()) % 64 or (0 if t else 64))
+        assert b"".join(x for x, _ in found) == payload == bytes(read[d].payload)
+        assert features[d].media_sha256 == hashlib.sha256(bytes(read[d].media)).hexdigest() and features[d].media_bytes == len(read[d].media)
+        canvas = bytearray()
+        text, start = [], 0
+        for (x, delay), f in zip(found, read[d].frames, strict=True):
+            canvas[: len(x)] = x  # the last frame may leave rows of the one before
+            want = [sum(palette[3 * v + i] // 32 == b for v in canvas) for i in range(3) for b in range(8)] if len(x) < 9000 else f.histogram
+            assert list(f.histogram) == want and sum(f.histogram) == 3 * len(canvas) and (f.start_ms, f.delay_ms) == (start, 10 * delay)
+            text.append(f"64x{len(x) // 64}@{start}+{10 * delay}:{','.join(map(str, want))}")
+            start += 10 * delay
+        assert features[d].feature == ";".join(text)
+    red = gif.histogram(np.array([[[255, 0, 31, 255], [255, 32, 0, 0]]], dtype=np.uint8))
+    assert red == [0] * 7 + [1] + [1] + [0] * 7 + [1] + [0] * 7
+
+
 def test_gif_table(spark, docs, plain):
     got = gif.digests(gif.stored(docs)).collect()
     assert len(got) == len(plain)
@@ -239,6 +292,22 @@ def test_shard_of_one_hot_key_has_pages(spark):
     assert len(got) > 10 and sum(r["count"] for r in got) == 300
 
 
+def test_pages_of_hot_keys_are_within_the_limit(spark, monkeypatch):
+    from affectra.llm import sharding
+
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 50)
+    monkeypatch.setattr(sharding, "DIRECTORY_ROWS", 3)
+    r = random.Random(2)
+    rows = [(None if i % 3 else 7, "x" * r.choice([0, 1, 99, 700, 1999, 2000])) for i in range(900)] + [(7, "y" * 5000), (8, "z" * 5000)] + [(i, "x" * 50) for i in range(100, 400)]
+    got = shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 2000).collect()
+    assert Counter((x.doc_id, x.text) for x in got) == Counter(rows)
+    size, count = Counter(), Counter(x.shard for x in got)
+    for x in got:
+        size[x.shard] += len(x.text)
+    assert all(x.shard_bytes == size[x.shard] and (size[x.shard] <= 2000 or count[x.shard] == 1) for x in got)
+    assert sum("+" in x for x in size) < 2.5 * sum(n for x, n in size.items() if "+" in x) / 2000
+
+
 def distance(item, text):
     """Least edits between item and any stretch of text, by the plain table."""
     row = [0] * (len(text) + 1)
