@@ -9,6 +9,7 @@ histogram each.
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -158,21 +159,26 @@ def _deinterlace(a: np.ndarray) -> np.ndarray:
 
 
 def frames(gif: bytes) -> list[dict]:
-    """Timed frames: start_ms, delay_ms, disposal, indices (the stored samples), canvas (height, width, RGBA after the frame).
+    """All of each_frame, each with a canvas of its own."""
+    return [f | {"canvas": f["canvas"].copy()} for f in each_frame(gif)]
+
+
+def each_frame(gif: bytes) -> Iterator[dict]:
+    """Timed frames: start_ms, delay_ms, disposal, indices (the stored samples), canvas (height, width, RGBA after the frame, until the next one).
 
     Disposal 2 clears a frame's area to transparency before the next one, 3 puts
     back what was there; transparent indices leave the canvas as it is. A file
     that breaks off gives the frames before that.
     """
     if gif[:6] not in (b"GIF87a", b"GIF89a") or len(gif) < 13:
-        return []
+        return
     w, h, flags = *struct.unpack_from("<HH", gif, 6), gif[10]
     at, common = 13, None
     if flags & 0x80:
         n = 3 << (flags & 7) + 1
         common, at = gif[at : at + n], at + n
     canvas = np.zeros((h, w, 4), dtype=np.uint8)
-    out, start, delay, disposal, clear = [], 0, 0, 0, None
+    start, delay, disposal, clear = 0, 0, 0, None
 
     def data(at: int) -> tuple[bytes, int]:
         got = []
@@ -215,7 +221,7 @@ def frames(gif: bytes) -> list[dict]:
             drawn = np.ones(seen.shape, dtype=bool) if clear is None else seen != clear
             area[drawn, :3] = colours[seen[drawn]]
             area[drawn, 3] = 255
-            out.append({"start_ms": start, "delay_ms": delay, "disposal": disposal, "indices": idx, "canvas": canvas.copy()})
+            yield {"start_ms": start, "delay_ms": delay, "disposal": disposal, "indices": idx, "canvas": canvas}
             start += delay
             if disposal == 2:
                 area[:] = 0
@@ -224,14 +230,12 @@ def frames(gif: bytes) -> list[dict]:
             delay, disposal, clear = 0, 0, None
         else:
             break
-    return out
 
 
 def histogram(canvas: np.ndarray, bins: int = 8) -> list[int]:
-    """Visible pixels by brightness, in `bins` equal steps."""
-    seen = canvas[canvas[..., 3] > 0]
-    grey = seen[:, :3].astype(np.uint32).sum(axis=1) // 3
-    return np.bincount(grey * bins // 256, minlength=bins).tolist()
+    """Visible pixels by their red, then green, then blue, each in `bins` equal steps (bins divides 256)."""
+    seen = canvas if canvas[..., 3].all() else canvas[canvas[..., 3] > 0]
+    return [n for i in range(3) for n in np.bincount(seen[..., i].ravel(), minlength=256).reshape(bins, -1).sum(axis=1).tolist()]
 
 
 FRAME = "array<struct<start_ms:int,delay_ms:int,disposal:int,width:int,height:int,histogram:array<long>>>"
@@ -252,17 +256,23 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def read_media(media: DataFrame) -> DataFrame:
     """Frames and payload of each GIF: the columns of media, frames (timed, with histograms), payload.
 
-    Null or broken media have no frames and an empty payload.
+    A frame's histogram counts visible pixels of its canvas by red, green and
+    blue, in 8 steps each. Null or broken media have no frames and an empty
+    payload. Of media's own columns those named frames or payload are replaced.
     """
+    media = media.select([c for c in media.columns if c not in ("frames", "payload")])
     names = media.columns
 
     def run(batches):
         for b in batches:
             rows, loads = [], []
             for g in b.column("media").to_pylist():
-                got = frames(g or b"")
-                loads.append(b"".join(f["indices"].tobytes() for f in got))
-                rows.append([{"start_ms": f["start_ms"], "delay_ms": f["delay_ms"], "disposal": f["disposal"], "width": f["indices"].shape[1], "height": f["indices"].shape[0], "histogram": histogram(f["canvas"])} for f in got])
+                load, row = [], []
+                for f in each_frame(g or b""):
+                    load.append(f["indices"].tobytes())
+                    row.append({"start_ms": f["start_ms"], "delay_ms": f["delay_ms"], "disposal": f["disposal"], "width": f["indices"].shape[1], "height": f["indices"].shape[0], "histogram": histogram(f["canvas"])})
+                loads.append(b"".join(load))
+                rows.append(row)
             kind = pa.list_(pa.struct([(k, pa.int32()) for k in ("start_ms", "delay_ms", "disposal", "width", "height")] + [("histogram", pa.list_(pa.int64()))]))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, kind), pa.array(loads, pa.binary())], names=[*names, "frames", "payload"])
 

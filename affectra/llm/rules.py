@@ -14,12 +14,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, text_or_empty
+from .common import column, id_crc, packed, text_or_empty, unpacked
 
 #: Labelled rows that the classifier is fitted on at most (the smallest by a hash of the id).
 SAMPLE_ROWS = 8_000
-#: Trees, their depth, thresholds tried for a statistic, rules kept for the lasso, its penalty and steps.
-TREES, DEPTH, CUTS, RULES, PENALTY, STEPS = 40, 3, 24, 160, 0.002, 400
+#: Trees, rows drawn for each of them, their depth, thresholds tried for a statistic, rules kept for the lasso, its penalty and steps.
+TREES, TREE_ROWS, DEPTH, CUTS, RULES, PENALTY, STEPS = 40, 2_000, 3, 24, 160, 0.002, 400
 
 
 def statistics(text: Column) -> dict[str, Column]:
@@ -101,7 +101,7 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], seed: int = 7) -> RuleMo
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0.02, 0.98, CUTS))) for j in range(x.shape[1])]
     paths: list[tuple] = []
     for _ in range(TREES):
-        _grow(x, y, rng.choice(len(y), size=min(len(y), 2_000), replace=True), cuts, rng, (), paths)
+        _grow(x, y, rng.choice(len(y), size=min(len(y), TREE_ROWS), replace=True), cuts, rng, (), paths)
     paths = sorted({tuple(sorted(p)) for p in paths})
 
     def holds(p) -> np.ndarray:
@@ -128,23 +128,39 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], seed: int = 7) -> RuleMo
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: Column | None = None) -> RuleModel:
-    """Fit on the documents of at most SAMPLE_ROWS labels; folds: which labels may teach (all but fold 2 of 4 by default)."""
-    stats = statistics(text_or_empty(text_col))
-    names = list(stats)
+    """Fit on the documents of at most SAMPLE_ROWS labels; folds: which labels may teach (all but fold 2 of 4 by default).
+
+    Of an id's labels the largest counts; labels other than 0 and 1, and null
+    ids, teach nothing; each row of a repeated id teaches. Labels tie in the
+    sample by a hash of the id, thresholds and rules by their order. Without rows
+    that teach, or with one class alone, the model is that class's smoothed rate.
+    Other columns of both tables may have any names.
+    """
+    names = list(statistics(F.lit("")))
     may = folds if folds is not None else id_crc(id_col) % 4 != 2
-    marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & may).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y"))
-    taught = F.broadcast(marked.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_ROWS))  # so texts needn't be dealt by id
-    got = docs.join(taught, F.col(id_col) == F.col("_id")).select("_id", "_y", *(c.alias(k) for k, c in stats.items())).collect()
-    got.sort(key=lambda r: (r["_id"], *map(float, r[2:])))
+    marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & may).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
+    taught = F.broadcast(marked.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS))  # so texts needn't be dealt by id
+    texts = docs.select(column(id_col).alias("id"), column(text_col).alias("text"))
+    stats = statistics(text_or_empty("text"))
+    got = texts.join(taught, "id").select("id", "y", *(c.alias(k) for k, c in stats.items())).collect()
+    got.sort(key=lambda r: (r["id"], *map(float, r[2:])))
     x = np.array([[float(r[k]) for k in names] for r in got]).reshape(len(got), len(names))
-    return fit(x, np.array([float(r["_y"]) for r in got]), names)
+    return fit(x, np.array([float(r["y"]) for r in got]), names)
 
 
 def score(docs: DataFrame, model: RuleModel, text_col: str = "text") -> DataFrame:
-    """docs with quality_score (0 to 1, higher is better). Null text scores as empty; a column of this name is replaced."""
-    stats = statistics(text_or_empty(text_col))
-    names = {k: f"_stat_{k}" for k in stats}
-    keep = [F.col(c) for c in docs.columns if c != "quality_score"]
-    wide = docs.select(*keep, *(c.cast("double").alias(names[k]) for k, c in stats.items()))
-    renamed = RuleModel([tuple((names[n], a, t) for n, a, t in r) for r in model.rules], model.weights, model.bias)
-    return wide.select(*keep, renamed.column().alias("quality_score"))
+    """docs with quality_score (0 to 1, higher is better).
+
+    Null text scores as empty; each row is scored by itself, repeated or not. An
+    empty table stays empty. Other columns may have any names; one named
+    quality_score is replaced.
+    """
+    wide = scored(docs, model, text_col)
+    return wide.select(*unpacked([c for c in docs.columns if c != "quality_score"]), "quality_score")
+
+
+def scored(docs: DataFrame, model: RuleModel, text_col: str = "text") -> DataFrame:
+    """(row, quality_score): the rows of docs as structs, each with its score."""
+    stats = statistics(text_or_empty(column(text_col)))
+    wide = docs.select(packed(docs).alias("row"), *(c.cast("double").alias(k) for k, c in stats.items()))
+    return wide.select("row", model.column().alias("quality_score"))
