@@ -8,7 +8,9 @@ bucket's hub, the member with the largest buckets: pairs grow with members, not
 with their square. What then shares a small bucket but no component is compared
 pair by pair. In larger buckets two sets can only be similar enough if they share
 one of their rarest shingles, and only such pairs of different components are
-verified. Nothing is capped.
+verified. Nothing is capped. Counts by bucket or shingle are written before they
+are joined, so Spark sees their size and splits the partition of a hot key
+instead of leaving it to one task.
 """
 
 from __future__ import annotations
@@ -139,11 +141,11 @@ def _rare_pairs(open_sets: DataFrame, texts: DataFrame, width: int, percent: int
 
     near = texts.join(open_sets.select(F.col("r").alias("d")).distinct(), "d").select("d", "t")
     held = written(map_arrow(near, run, "r long, one long, h long").select(F.xxhash64("r", "one").alias("u"), "h"), "shingles")
-    shared = held.groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
+    shared = written(held.groupBy("h").agg(F.count("*").alias("f")).where("f > 1"), "shared")
     ranked = held.join(shared, "h").groupBy("u").agg(F.sort_array(F.collect_set(F.struct("f", "h"))).alias("s")).join(open_sets, "u").where(F.size("s") * 100 >= F.col("n") * percent)
     first = F.slice("s", F.lit(1), F.floor((F.size("s") * 100 - F.col("n") * percent) / 100).cast("int") + 1)
     rare = written(ranked.select("r", "n", "c", F.size("s").alias("of"), F.posexplode(first).alias("i", "s")).select(F.col("s.h").alias("h"), "r", "n", "c", (F.col("of") - F.col("i")).alias("rest")), "rare")
-    top = rare.groupBy("h", "c").agg(F.count("*").alias("m")).groupBy("h").agg(F.max_by("c", F.struct("m", "c")).alias("top"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    top = written(rare.groupBy("h", "c").agg(F.count("*").alias("m")).groupBy("h").agg(F.max_by("c", F.struct("m", "c")).alias("top"), F.count("*").alias("parts")).where("parts > 1").drop("parts"), "top")
     x, y = rare.join(top, "h").where("c <> top").alias("x"), rare.alias("y")
     enough = F.least("x.rest", "y.rest") * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
     once = (F.col("y.c") == F.col("x.top")) | (F.col("x.r") < F.col("y.r"))
@@ -175,19 +177,21 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
     Documents link where 100 * intersection >= percent * union of their sets of
     distinct `width`-word shingles; component_id is the smallest id reachable. A
     linked pair of similarity s meets in no band with probability
-    (1 - s**rows)**bands: 3e-7 at 0.85, 6e-5 at 0.8. Texts without words link
-    with nothing. Rows of equal id are one vertex; a row without id is kept
-    alone, with a null component. An empty table gives no rows.
+    (1 - s**rows)**bands: 3e-7 at 0.85, 6e-5 at 0.8. Sets hold 64-bit hashes of
+    shingles; sets of one size and equal 128-bit sums of hashes count as equal.
+    Texts without words link with nothing. Rows of equal id are one vertex; a row
+    without id is kept alone, with a null component. An empty table gives no
+    rows; other columns aren't carried, whatever their names.
     """
     signed = written(_signed(docs, width, bands, rows, id_col, text_col), "signatures")
     sets = written(signed.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "one", "two").agg(F.min("doc_id").alias("r"), F.first("bands").alias("bands")), "sets")
     texts = docs.select(F.col(id_col).cast("long").alias("d"), text_or_empty(text_col).alias("t"))
     size = sets.select("r", F.col("n_shingles").alias("n"))
     member = sets.select(F.col("n_shingles").alias("n"), "r", F.posexplode("bands").alias("i", "k"))
-    bucket = member.groupBy("i", "k").agg(F.count("*").alias("size")).where("size > 1")
+    bucket = written(member.groupBy("i", "k").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     met = written(member.join(bucket, ["i", "k"]), "buckets")
     reach = met.join(met.groupBy("r").agg(F.sum("size").alias("reach")), "r")
-    hub = reach.groupBy("i", "k").agg(F.max_by("r", F.struct("reach", -F.col("r"))).alias("a"))
+    hub = written(reach.groupBy("i", "k").agg(F.max_by("r", F.struct("reach", -F.col("r"))).alias("a")), "hubs")
     fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent  # no smaller set can be similar enough
     star = met.join(hub, ["i", "k"]).where("r <> a").select("a", F.col("r").alias("b"), "n").distinct().join(size.select(F.col("r").alias("a"), F.col("n").alias("m")), "a").where(fits).select("a", "b")
     star = written(star, "star")
@@ -195,7 +199,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, bands: i
     label = components(edges)
     # buckets that still hold several components
     placed = met.join(label, met["r"] == label["v"], "left").select("i", "k", "r", "n", "size", F.coalesce("c", "r").alias("c"))
-    mixed = placed.groupBy("i", "k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("i", "k")
+    mixed = written(placed.groupBy("i", "k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("i", "k"), "mixed")
     open_ = written(placed.join(mixed, ["i", "k"], "left_semi"), "open")
     few = open_.where(F.col("size") <= SMALL_BUCKET).select("i", "k", "r", "n", "c")
     x, y = few.alias("x"), few.alias("y")
