@@ -27,16 +27,29 @@ def tanh(x: Column) -> Column:
     return F.transform(x, lambda v: F.tanh(v))
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), where value is computed once a row however often lambdas inside `use` name it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _sum(x: Column, f=lambda v: v) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda s, v: s + f(v))
+
+
 def layer_norm(x: Column, eps: float = 1e-5) -> Column:
-    n = F.size(x)
-    mean = F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / n
-    var = F.aggregate(x, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean)) / n
-    return F.transform(x, lambda v: (v - mean) / F.sqrt(var + eps))
+    """Values less their mean over their population deviation; time in proportion to the length."""
+
+    def scaled(a: Column) -> Column:
+        return bound(_sum(a) / F.size(a), lambda mean: bound(F.sqrt(_sum(a, lambda v: (v - mean) * (v - mean)) / F.size(a) + eps), lambda dev: F.transform(a, lambda v: (v - mean) / dev)))
+
+    return bound(x, scaled)
 
 
 def softmax(x: Column) -> Column:
-    e = F.transform(x, lambda v: F.exp(v - F.array_max(x)))
-    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+    def shares(e: Column) -> Column:
+        return bound(_sum(e), lambda total: F.transform(e, lambda v: v / total))
+
+    return bound(x, lambda a: bound(F.array_max(a), lambda top: bound(F.transform(a, lambda v: F.exp(v - top)), shares)))
 
 
 def argmax(x: Column) -> Column:
@@ -108,9 +121,15 @@ def contributions(vad: DataFrame, weights: list[list[float]], bias: list[float],
     return terms.withColumn("logit", sum((F.col(f"{d}_term") for d in dims), F.col("bias")))
 
 
-def contrast(terms: DataFrame, dims: tuple[str, ...]) -> DataFrame:
-    """The predicted class against its runner-up: differences of bias and terms, whose sum is the margin."""
-    w = Window.partitionBy("utt_id").orderBy(F.desc("logit"), "class_idx")
-    names = ["class_idx", "bias", *(f"{d}_term" for d in dims), "logit"]
-    two = terms.withColumns({"rank": F.row_number().over(w), **{f"next_{n}": F.lead(n).over(w) for n in names}}).where("rank = 1")
-    return two.select("utt_id", "class_idx", "next_class_idx", *((F.col(n) - F.col(f"next_{n}")).alias(f"delta_{n}") for n in names[1:]))
+def contrast(vad: DataFrame, weights: list[list[float]], bias: list[float], dims: tuple[str, ...], places: int = 9) -> DataFrame:
+    """The predicted class against its runner-up: differences of bias and terms, whose sum is the margin.
+
+    Classes are ranked within the row, so nothing is shuffled. Logits are compared
+    to `places` decimals; ties go to the smaller index.
+    """
+    logit = lambda ws, b: sum((F.lit(w) * F.col(d) for w, d in zip(ws, dims, strict=True)), F.lit(b))
+    each = F.array(*(F.struct((-F.round(logit(ws, b), places)).alias("neg"), F.lit(c).alias("class_idx"), F.lit(b).alias("bias"), *((F.lit(w) * F.col(d)).alias(f"{d}_term") for w, d in zip(ws, dims, strict=True))) for c, (ws, b) in enumerate(zip(weights, bias, strict=True))))
+    two = vad.select("utt_id", F.slice(F.array_sort(each), 1, 2).alias("r"))
+    a, b = F.get("r", F.lit(0)), F.get("r", F.lit(1))
+    names = ["bias", *(f"{d}_term" for d in dims)]
+    return two.select("utt_id", a["class_idx"].alias("class_idx"), b["class_idx"].alias("next_class_idx"), *((a[n] - b[n]).alias(f"delta_{n}") for n in names), (b["neg"] - a["neg"]).alias("delta_logit"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrays import bound
+
 #: What keeps a degenerate CCC finite.
 EPSILON = 1e-8
 #: The dimensions in their order everywhere.
@@ -20,12 +22,13 @@ def _only(x: Column, ok: Column) -> Column:
 
 
 def both(p: str | Column, t: str | Column) -> Column:
+    """Where there is a prediction and a finite target. A prediction that is NaN counts, and shows in the result."""
     p, t = (F.col(x) if isinstance(x, str) else x for x in (p, t))
-    return finite(p) & finite(t)
+    return p.isNotNull() & finite(t)
 
 
 def ccc(p: str, t: str, ok: Column | None = None, least: int = 1, absent: float | None = None) -> Column:
-    """Concordance correlation over rows where ok (by default both are finite); `absent` where fewer than `least` rows."""
+    """Concordance correlation over rows where ok (by default those with a finite target); `absent` where fewer than `least` rows."""
     ok = both(p, t) if ok is None else ok & both(p, t)
     x, y = _only(F.col(p), ok), _only(F.col(t), ok)
     value = 2 * F.covar_pop(x, y) / (F.var_pop(x) + F.var_pop(y) + F.pow(F.avg(x) - F.avg(y), F.lit(2)) + EPSILON)
@@ -85,8 +88,7 @@ def report(cells: DataFrame) -> DataFrame:
 
 
 def log_sum_exp(logits: Column) -> Column:
-    top = F.array_max(logits)
-    return top + F.log(F.aggregate(F.transform(logits, lambda x: F.exp(x - top)), F.lit(0.0), lambda a, x: a + x))
+    return bound(logits, lambda z: bound(F.array_max(z), lambda top: top + F.log(F.aggregate(z, F.lit(0.0), lambda a, x: a + F.exp(x - top)))))
 
 
 def cross_entropy(logits: Column, target: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .profile import places
@@ -53,10 +53,103 @@ def by_speaker(df: DataFrame, speaker: str, label: str, valid: float, test: floa
     raise ValueError("no split covers every label in training")
 
 
-def by_row(df: DataFrame, key: str, valid: float, seed: int) -> DataFrame:
-    """train or valid by a seeded hash of the row's key; speakers may be in both, so leaky is true."""
-    u = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) / 1_000_000
-    return df.withColumns({"split": F.when(u < valid, "valid").otherwise("train"), "leaky": F.lit(True)})
+#: Speakers or rows that a split in the drawn order of a random generator may list on the driver.
+LISTED = 1_000_000
+
+
+def by_speaker_drawn(df: DataFrame, speaker: str, label: str, valid: float = 0.2, test: float = 0.2, seed: int = 42, tries: int = 2000) -> DataFrame:
+    """split by speaker as Python's generator of that seed shuffles the sorted speakers: the first are for validation, the next tested.
+
+    For studies of at most LISTED speakers whose split must be the known one;
+    by_speaker has no such bound. Each try shuffles the sorted list afresh.
+    """
+    import random
+
+    if valid < 0 or test < 0 or valid + test >= 1:
+        raise ValueError("ratios must be at least 0 and sum to less than 1")
+    who = F.col(speaker).cast("string")
+    names = [r[0] for r in df.select(who).distinct().limit(LISTED + 1).collect()]
+    if not 3 <= len(names) <= LISTED:
+        raise ValueError(f"three speakers at least, and {LISTED} at most: by_speaker takes more")
+    names.sort()
+    has: dict[str, set] = {}
+    for s, e in df.select(who, F.col(label).cast("string")).distinct().collect():
+        has.setdefault(s, set()).add(e)
+    labels = set().union(*has.values())
+    n_valid, n_test = (max(1, round(len(names) * r)) for r in (valid, test))
+    if n_valid + n_test >= len(names):
+        n_valid = n_test = 1
+    rng = random.Random(seed)
+    for _ in range(tries):
+        order = names.copy()
+        rng.shuffle(order)
+        if set().union(*(has[s] for s in order[n_valid + n_test :])) == labels:
+            rows = [(s, "valid" if i < n_valid else "test" if i < n_valid + n_test else "train") for i, s in enumerate(order)]
+            table = df.sparkSession.createDataFrame(rows, "_s string, split string")
+            return df.join(table, who == F.col("_s")).drop("_s")
+    raise ValueError("no split covers every label in training")
+
+
+def _bounds(n: int, valid: float, test: float) -> tuple[int, int]:
+    """Validation and test rows of n: all train below three rows, no validation below four."""
+    if n < 3:
+        return 0, 0
+    n_test = max(1, round(n * test)) if test > 0 else 0
+    n_valid = max(1, round(n * valid)) if valid > 0 and n >= 4 else 0
+    return (0, 1) if n_test + n_valid >= n else (n_valid, n_test)
+
+
+def by_row(df: DataFrame, key: str, valid: float, seed: int, test: float = 0.0) -> DataFrame:
+    """train, valid or test by a seeded hash of the row's key, in exact numbers; speakers may be in several, so leaky is true.
+
+    Only the two bounding hashes reach the driver. Rows of equal key go together,
+    which may shift the numbers.
+    """
+    h = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 52))  # exact as a double
+    n_valid, n_test = _bounds(df.count(), valid, test)
+    at = places(df.select(h.alias("h")), ["h"])
+    first, last = (F.max(F.when((F.col("start") <= i) & (i < F.col("stop")), F.col("value"))) for i in (n_test - 1, n_test + n_valid - 1))
+    low, high = (-1 if x is None else int(x) for x in at.agg(first, last).first())
+    return df.withColumns({"split": F.when(h <= low, "test").when(h <= high, "valid").otherwise("train"), "leaky": F.lit(True)})
+
+
+def by_row_drawn(df: DataFrame, index: str, seed: int = 42, valid: float = 0.1, test: float = 0.1) -> DataFrame:
+    """split of rows 0 to n - 1 by a NumPy permutation of that seed: its first are tested, the next are for validation ("val").
+
+    For tables of at most LISTED rows whose split must be the known one; by_row has no such bound.
+    """
+    import numpy as np
+
+    n = df.count()
+    if n > LISTED:
+        raise ValueError(f"{n} rows; by_row takes more than {LISTED}")
+    order = np.arange(n)
+    np.random.default_rng(seed).shuffle(order)
+    n_valid, n_test = _bounds(n, valid, test)
+    rows = [(int(i), "test" if k < n_test else "val") for k, i in enumerate(order[: n_test + n_valid])]
+    table = df.sparkSession.createDataFrame(rows, "_i long, _split string")
+    return df.join(table, F.col(index) == F.col("_i"), "left").withColumn("split", F.coalesce("_split", F.lit("train"))).drop("_i", "_split")
+
+
+def by_column(df: DataFrame, column: str) -> DataFrame:
+    """split from a column that names it, without outer blanks and in lower case."""
+    return df.withColumn("split", F.lower(F.trim(column)))
+
+
+def by_session(df: DataFrame, session: str, held: str) -> DataFrame:
+    """One session is tested, the others train."""
+    return df.withColumn("split", F.when(F.col(session).cast("string") == held, "test").otherwise("train"))
+
+
+def validate_on_test(df: DataFrame, split: str = "split") -> DataFrame:
+    """Test rows serve as validation rows too, once more as role "valid"; all others train."""
+    role = F.when(F.col(split) == "test", F.array(F.lit("test"), F.lit("valid"))).otherwise(F.array(F.lit("train")))
+    return df.withColumn("role", F.explode(role))
+
+
+def epoch_order(df: DataFrame, key: str, seed: int, epoch: int) -> DataFrame:
+    """Rows in a seeded order of the epoch's own, for what reads them in turn."""
+    return df.orderBy(F.xxhash64(key, F.lit(seed), F.lit(epoch)), key)
 
 
 def sample_corpora(corpora: dict[str, DataFrame], shares: dict[str, float], seed: int) -> DataFrame:
@@ -73,6 +166,14 @@ def leakage(df: DataFrame, speaker: str = "speaker", split: str = "split") -> Da
 
 
 def best_epoch(history: DataFrame, metric: str, largest: bool, run: str = "run_id") -> DataFrame:
-    """The first epoch with the best value in each run."""
-    order = F.desc(metric) if largest else F.asc(metric)
-    return history.withColumn("_r", F.row_number().over(Window.partitionBy(run).orderBy(order, "epoch"))).where("_r = 1").drop("_r")
+    """The first epoch with the best value in each run, by one aggregate; epochs without a value count last."""
+    x = F.col(metric)
+    order = F.struct(x.isNull(), -x if largest else x, "epoch")
+    best = F.min_by(F.struct(*(c for c in history.columns if c != run)), order)
+    return history.groupBy(run).agg(best.alias("b")).select(*(F.col(run) if c == run else F.col("b")[c].alias(c) for c in history.columns))
+
+
+def last_epoch(history: DataFrame, run: str = "run_id") -> DataFrame:
+    """The last epoch of each run."""
+    last = F.max_by(F.struct(*(c for c in history.columns if c != run)), "epoch")
+    return history.groupBy(run).agg(last.alias("b")).select(*(F.col(run) if c == run else F.col("b")[c].alias(c) for c in history.columns))

@@ -72,7 +72,23 @@ def absolute(path: Column, root: str) -> Column:
 
 
 def relative(path: Column, root: str) -> Column:
-    return F.ltrim(F.regexp_replace(path, "^" + root, ""), F.lit("/"))
+    """The path without the root that it begins with, and without slashes before what follows."""
+    return F.ltrim(F.when(F.startswith(path, F.lit(root)), F.substr(path, F.lit(len(root) + 1))).otherwise(path), F.lit("/"))
+
+
+def suffix(path: Column) -> Column:
+    """The last dot of the name and what follows; empty for none, or where it begins or ends the name."""
+    return F.regexp_extract(path, r"[^/](\.[^./]+)$", 1)
+
+
+def cleaned(text: Column) -> Column:
+    """Without outer white space, in lower case."""
+    return F.lower(F.regexp_replace(text, r"^\s+|\s+$", ""))
+
+
+def up_to(n: Column, multiple: int = 320) -> Column:
+    """How many samples fill n up to a multiple."""
+    return F.pmod(-n, F.lit(multiple))
 
 
 def cache_key(path: Column, size: Column, modified: Column, encoder: str) -> Column:

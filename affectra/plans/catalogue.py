@@ -14,6 +14,7 @@ from affectra.operators import splits as S
 from affectra.operators import train as H
 from affectra.operators import transforms as T
 from affectra.operators import validate as V
+from affectra.operators.offsets import offsets
 
 from . import proxies as X
 
@@ -235,15 +236,6 @@ def offset_index(spark, sf):
     return offsets(X.lengths(spark, sf))
 
 
-def offsets(lengths: DataFrame, key: str = "utt_idx", block: int = 4096) -> DataFrame:
-    """Exclusive running sum of n_frames in order of key, by blocks of keys: only block totals meet in one window."""
-    b = F.floor(F.col(key) / block)
-    inner = Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = lengths.groupBy(b.alias("_b")).agg(F.sum("n_frames").alias("_n"))
-    before = blocks.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
-    return lengths.withColumn("_b", b).withColumn("_i", F.coalesce(F.sum("n_frames").over(inner), F.lit(0))).join(before, "_b").select(key, "n_frames", (F.col("_i") + F.col("_o")).alias("frame_offset"))
-
-
 @query(
     "WITH n AS (SELECT l_orderkey AS utt_idx, count(*) AS n_frames FROM lineitem GROUP BY 1 HAVING NOT (l_orderkey BETWEEN 100 AND 199)) SELECT utt_idx, n_frames, (coalesce(sum(n_frames) OVER (ORDER BY utt_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS frame_offset FROM n"
 )
@@ -364,9 +356,12 @@ EXPLAIN_W, EXPLAIN_B = [[1.0, 0.0, 0.5], [-0.5, 1.0, 0.0], [0.0, -1.0, 0.5], [-1
 TERMS = X.PRED + ", w(class_idx, bias, wv, wa, wd) AS (VALUES (0, 0.1, 1.0, 0.0, 0.5), (1, -0.2, -0.5, 1.0, 0.0), (2, 0.3, 0.0, -1.0, 0.5), (3, 0.0, -1.0, 0.5, -0.5)), x AS (SELECT utt_id, class_idx, bias::DOUBLE AS b, wv * pv AS v, wa * pa AS a, wd * pd AS d, bias + wv * pv + wa * pa + wd * pd AS z FROM pred, w WHERE pd IS NOT NULL)"
 
 
+def _explained(spark, sf):
+    return X.pred(spark, sf).where("pd is not null").select("utt_id", F.col("pv").alias("valence"), F.col("pa").alias("arousal"), F.col("pd").alias("dominance"))
+
+
 def _terms(spark, sf):
-    vad = X.pred(spark, sf).where("pd is not null").select("utt_id", F.col("pv").alias("valence"), F.col("pa").alias("arousal"), F.col("pd").alias("dominance"))
-    return A.contributions(vad, EXPLAIN_W, EXPLAIN_B, M.DIMS)
+    return A.contributions(_explained(spark, sf), EXPLAIN_W, EXPLAIN_B, M.DIMS)
 
 
 @query("WITH " + TERMS + " SELECT utt_id, class_idx, round(b, 6) AS bias, round(v, 6) + 0.0 AS valence_term, round(a, 6) + 0.0 AS arousal_term, round(d, 6) + 0.0 AS dominance_term, round(z, 6) + 0.0 AS logit FROM x")
@@ -380,7 +375,7 @@ def logit_contributions(spark, sf):
     + ", r AS (SELECT *, row_number() OVER (PARTITION BY utt_id ORDER BY round(z, 9) DESC, class_idx) AS r FROM x) SELECT s.utt_id, s.class_idx, t.class_idx AS next_class_idx, round(s.b - t.b, 6) AS delta_bias, round(s.v - t.v, 6) AS delta_valence, round(s.a - t.a, 6) AS delta_arousal, round(s.d - t.d, 6) AS delta_dominance, round(s.z - t.z, 6) AS margin FROM r s JOIN r t ON t.utt_id = s.utt_id AND s.r = 1 AND t.r = 2"
 )
 def contrast_runner_up(spark, sf):
-    c = A.contrast(_terms(spark, sf).withColumn("logit", F.round("logit", 9)), M.DIMS)
+    c = A.contrast(_explained(spark, sf), EXPLAIN_W, EXPLAIN_B, M.DIMS)
     return c.select("utt_id", "class_idx", "next_class_idx", r6("delta_bias", "delta_bias"), *(r6(f"delta_{d}_term", f"delta_{d}") for d in M.DIMS), r6("delta_logit", "margin"))
 
 

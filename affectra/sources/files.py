@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affectra.functions.cluster import ship
+from affectra.operators.offsets import offsets
 
 #: Default class list of the emotion files.
 LABELS = ("hap", "sad", "ang", "dis")
@@ -25,7 +26,7 @@ LABELS = ("hap", "sad", "ang", "dis")
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(utt_idx, line) of a text file; the newline at its end makes no line."""
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "\r?\n$", "").alias("v"))
+    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"\r?\n\z", "").alias("v"))
     return whole.select(F.posexplode(F.split("v", "\r?\n", -1)).alias("utt_idx", "line")).withColumn("utt_idx", F.col("utt_idx").cast("long"))
 
 
@@ -170,8 +171,6 @@ def read_prefix(spark: SparkSession, prefix: str, width: int = 768, shortest: in
     utt_idx, frame_idx, feat, n_frames, utt_id, valence, arousal, dominance, label, class_idx. Counts and ids of
     the files must agree.
     """
-    from affectra.plans.catalogue import offsets
-
     lengths = read_lengths(spark, prefix + ".lengths")
     vad = read_vad(spark, prefix + ".vad", mixed)
     frames = read_frames(spark, prefix + ".npy", width)

@@ -55,7 +55,7 @@ def test_explanations(spark):
     terms = A.contributions(vad, w, b, M.DIMS)
     x = np.array([0.2, -0.4, 0.6])
     assert [r.logit for r in terms.orderBy("class_idx").collect()] == pytest.approx((np.array(w) @ x + b).tolist())
-    c = A.contrast(terms, M.DIMS).first()
+    c = A.contrast(vad, w, b, M.DIMS).first()
     assert c.delta_bias + c.delta_valence_term + c.delta_arousal_term + c.delta_dominance_term == pytest.approx(c.delta_logit)
 
 
