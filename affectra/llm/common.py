@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -15,10 +16,13 @@ from affectra.functions.cluster import ship
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    It is set to a fresh temporary folder only where it is unset, as in local tests.
+    Where neither that nor a checkpoint directory of the context is set, a local
+    session gets a fresh temporary folder, as tests do; a cluster is refused.
     """
-    got = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    got = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not got:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         got = tempfile.mkdtemp(prefix="affectra-")
         spark.conf.set("spark.checkpoint.dir", got)
     return got.rstrip("/")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import BASES, BYTES, U, answer, batched, buckets, flagged, mix, pack, powers, rolling, rows_of, send, unpack
+from .batches import BASES, BYTES, U, answer, batched, buckets, expand, flagged, mix, pack, powers, rolling, rows_of, send, squeeze, unpack
 
 #: Bytes in an anchor's gram, and bytes of stretches in a bucket, on average.
 GRAM, BUCKET_BYTES = 24, 1 << 19
@@ -212,17 +212,17 @@ def remove_earlier_strings(docs: DataFrame, length: int = 50, id_col: str = "doc
                 size = s.windows[f] + length - 1
                 index = np.repeat(s.start[f] - np.cumsum(size) + size, size) + np.arange(size.sum())
                 low = s.id[f].min()
-                rows.append((k, left.column("b")[0].as_py(), int(low.view(np.int64)), pack(s.id[f] - low), s.windows[f].astype(np.uint8).tobytes(), s.bytes[index].tobytes()))
+                rows.append((k, left.column("b")[0].as_py(), int(low.view(np.int64)), pack(s.id[f] - low), squeeze(s.windows[f].astype(np.uint8).tobytes()), squeeze(s.bytes[index].tobytes())))
         return pa.table({n: pa.array(c, t) for n, c, t in zip(names, zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)})
 
     def resolve(table: pa.Table) -> pa.Table:
         rows = sorted(zip(*(table.column(c).to_pylist() for c in ("b", "low", "ids", "windows", "data")), strict=True))
-        w = [np.frombuffer(r[3], dtype=np.uint8).astype(np.int64) for r in rows]
+        w = [np.frombuffer(expand(r[3]), dtype=np.uint8).astype(np.int64) for r in rows]
         ids = np.concatenate([unpack(r[2], len(x)) + np.array([r[1]]).view(np.uint64) for r, x in zip(rows, w, strict=True)])
         windows = np.concatenate(w)
         size = windows + length - 1
         begin = np.cumsum(size) - size
-        blob = np.frombuffer(b"".join(r[4] for r in rows), dtype=np.uint8)
+        blob = np.frombuffer(b"".join(expand(r[4]) for r in rows), dtype=np.uint8)
         # of equal stretches the one of the smallest id is sorted; larger ids have every window earlier
         order, lcp = suffix_order(blob, begin, size)
         new = np.ones(len(order), dtype=bool)
