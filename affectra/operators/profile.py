@@ -84,3 +84,29 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
         return df.sparkSession.createDataFrame([], "bin int, n long")
     place = F.lit(1) if lo == hi else F.least(F.call_function("width_bucket", F.col(column), F.lit(lo), F.lit(hi), F.lit(bins)), F.lit(bins))
     return df.where(F.col(column).isNotNull()).groupBy(place.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def ordered_counts(counts: DataFrame, label: str, n: str) -> DataFrame:
+    """Label counts from the most frequent on, ties by label, each with its place; a label list is short."""
+    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc(n), label)) - 1)
+
+
+def subset(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row (subset): whether every key of a is in b; both ways make equal sets."""
+    return a.join(b, a.columns, "left_anti").agg((F.count("*") == 0).alias("subset"))
+
+
+def box_plot(df: DataFrame, column: str) -> DataFrame:
+    """Quartiles, the farthest values within 1.5 interquartile ranges of them, and how many lie beyond."""
+    q = describe(df, [column]).select("q25", "q50", "q75")
+    x, reach = F.col(column), (F.col("q75") - F.col("q25")) * 1.5
+    low, high = F.col("q25") - reach, F.col("q75") + reach
+    return df.select(column).join(F.broadcast(q)).groupBy("q25", "q50", "q75").agg(F.min(F.when(x >= low, x)).alias("low"), F.max(F.when(x <= high, x)).alias("high"), F.count_if((x < low) | (x > high)).alias("outliers"))
+
+
+def column_kinds(df: DataFrame, most: int = 30) -> DataFrame:
+    """For each column whether it is numeric, and whether it is categorical: not numeric and of at most `most` different values."""
+    numeric = {c: t.split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal") for c, t in df.dtypes}
+    kinds = F.create_map(*(F.lit(x) for kv in numeric.items() for x in kv))
+    n = distinct_counts(df)
+    return n.select("column", kinds[F.col("column")].alias("numeric"), (~kinds[F.col("column")] & (F.col("n_distinct") <= most)).alias("categorical"))

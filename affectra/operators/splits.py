@@ -86,7 +86,7 @@ def by_speaker_drawn(df: DataFrame, speaker: str, label: str, valid: float = 0.2
         if set().union(*(has[s] for s in order[n_valid + n_test :])) == labels:
             rows = [(s, "valid" if i < n_valid else "test" if i < n_valid + n_test else "train") for i, s in enumerate(order)]
             table = df.sparkSession.createDataFrame(rows, "_s string, split string")
-            return df.join(table, who == F.col("_s")).drop("_s")
+            return df.drop("split").join(table, who == F.col("_s")).drop("_s")
     raise ValueError("no split covers every label in training")
 
 
@@ -128,7 +128,7 @@ def by_row_drawn(df: DataFrame, index: str, seed: int = 42, valid: float = 0.1,
     n_valid, n_test = _bounds(n, valid, test)
     rows = [(int(i), "test" if k < n_test else "val") for k, i in enumerate(order[: n_test + n_valid])]
     table = df.sparkSession.createDataFrame(rows, "_i long, _split string")
-    return df.join(table, F.col(index) == F.col("_i"), "left").withColumn("split", F.coalesce("_split", F.lit("train"))).drop("_i", "_split")
+    return df.drop("split").join(table, F.col(index) == F.col("_i"), "left").withColumn("split", F.coalesce("_split", F.lit("train"))).drop("_i", "_split")
 
 
 def by_column(df: DataFrame, column: str) -> DataFrame:

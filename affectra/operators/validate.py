@@ -47,3 +47,39 @@ def misaligned(a: DataFrame, b: DataFrame, index: str, name: str) -> DataFrame:
     """Positions where two files name different rows, or where one has no row."""
     x, y = a.select(index, F.col(name).alias("left")), b.select(index, F.col(name).alias("right"))
     return x.join(y, index, "full").where(~F.col("left").eqNullSafe(F.col("right")))
+
+
+def class_out_of_range(index: str, classes: int) -> tuple[Column, Column]:
+    c = F.col(index)
+    return c.isNull() | (c < 0) | (c >= classes), c
+
+
+def too_few(df: DataFrame, group: str, value: str, least: int) -> DataFrame:
+    """(group, n_labels) of groups with fewer than `least` different values."""
+    return df.groupBy(group).agg(F.count_distinct(value).alias("n_labels")).where(F.col("n_labels") < least)
+
+
+def without(df: DataFrame, group: str, ok: Column) -> DataFrame:
+    """Groups none of whose rows are ok."""
+    return df.groupBy(group).agg(F.count_if(ok).alias("_n")).where("_n = 0").select(group)
+
+
+def target_dims(df: DataFrame, split: str = "split") -> DataFrame:
+    """(split, target_dim, incomplete): three dimensions where every row has Dominance, else two; incomplete where only some have."""
+    d = df.groupBy(split).agg(F.count("dominance").alias("d"), F.count("*").alias("n"))
+    return d.select(split, F.when(F.col("d") == F.col("n"), 3).otherwise(2).alias("target_dim"), ((F.col("d") > 0) & (F.col("d") < F.col("n"))).alias("incomplete"))
+
+
+def same_shape(predicted: DataFrame, target: DataFrame, p: str, t: str, key: str) -> None:
+    """Predictions and targets have one row each, of two or three dimensions alike."""
+    both = predicted.select(key, F.size(p).alias("p")).join(target.select(key, F.size(t).alias("t")), key, "full")
+    bad = both.where(~F.col("p").eqNullSafe(F.col("t")) | ~F.coalesce(F.col("p").isin(2, 3), F.lit(False))).limit(5).collect()
+    if bad:
+        raise DataError(f"shapes differ or aren't two or three: {[r.asDict() for r in bad]}")
+
+
+def not_empty(df: DataFrame, what: str) -> DataFrame:
+    """df, or an error that names what has no rows."""
+    if df.isEmpty():
+        raise DataError(f"{what}: no rows")
+    return df

@@ -77,8 +77,10 @@ def read_emotions(spark: SparkSession, path: str, labels: tuple[str, ...] = LABE
     return _reject(out, F.col("class_idx") < 0, "unknown label", path)
 
 
-def read_lenient_labels(spark: SparkSession, path: str) -> DataFrame:
-    """(utt_idx, label): the second of the fields that white space parts."""
+def read_lenient_labels(spark: SparkSession, path: str | None) -> DataFrame:
+    """(utt_idx, label): the second of the fields that white space parts; without a file no rows, so that labels join as null."""
+    if path is None:
+        return spark.createDataFrame([], "utt_idx long, label string")
     return lines(spark, path).select("utt_idx", F.get(F.split(F.trim("line"), r"\s+"), F.lit(1)).alias("label"))
 
 
@@ -91,6 +93,12 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(F.broadcast(root)).withColumn("path", F.concat_ws("/", "root", "rel_path"))
 
 
+def read_scp(spark: SparkSession, path: str) -> DataFrame:
+    """(utt_idx, name, path): a name, a blank and a path a line."""
+    f = F.split(F.trim("line"), r"\s+", 2)
+    return lines(spark, path).where(F.trim("line") != "").select("utt_idx", F.get(f, F.lit(0)).alias("name"), F.get(f, F.lit(1)).alias("path"))
+
+
 def read_evaluations(spark: SparkSession, glob: str, labels: tuple[str, ...]) -> DataFrame:
     """(file, utt_id, label): lines with "Ses" of tab-separated evaluation texts, their second and third field, exc merged into hap."""
     from affectra.operators.transforms import merged_label
@@ -230,6 +238,58 @@ def read_wavs(spark: SparkSession, folder: str, rate: int | None = 16000) -> Dat
     return found.mapInArrow(run, WAV)
 
 
+def wav_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, modified, size) of a folder's .wav files in order of path; a folder without any is refused."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(folder).select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
+    if found.isEmpty():
+        raise ValueError(f"{folder}: no .wav file")
+    return found.orderBy("path")
+
+
+def probe_wavs(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, channels, sample_rate, sample_width, n_samples, error) from the headers alone; no sample is decoded."""
+    import io
+    import wave
+
+    ship(spark)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(folder).select("path", "content")
+
+    def head(content: bytes) -> tuple:
+        try:
+            with wave.open(io.BytesIO(content)) as w:
+                return w.getnchannels(), w.getframerate(), w.getsampwidth(), w.getnframes(), None
+        except (wave.Error, EOFError) as e:
+            return None, None, None, None, f"unreadable: {e}"
+
+    def run(batches):
+        for b in batches:
+            rows = [(p, *head(c)) for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], names=["path", "channels", "sample_rate", "sample_width", "n_samples", "error"])
+
+    return found.mapInArrow(run, "path string, channels int, sample_rate int, sample_width int, n_samples long, error string")
+
+
+def refuse_bad_audio(wavs: DataFrame, most: int = 20) -> DataFrame:
+    """wavs, or one error that names its unreadable files, the first `most` by path."""
+    bad = wavs.where("error is not null").orderBy("path").select("path", "error").limit(most).collect()
+    if bad:
+        raise ValueError("; ".join(f"{r.path}: {r.error}" for r in bad))
+    return wavs
+
+
+def missing_audio(rows: DataFrame, path: str, wavs: DataFrame, most: int = 20) -> DataFrame:
+    """The first `most` paths of rows that no file has; wavs lists files by path, as Spark names them."""
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    have = wavs.select(plain("path").alias("_p"))
+    return rows.select(plain(path).alias(path)).distinct().join(have, F.col(path) == F.col("_p"), "left_anti").orderBy(path).limit(most)
+
+
+def attach_cache_paths(rows: DataFrame, cache: str, key: str = "cache_key") -> DataFrame:
+    """rows with cache_path, the file of a key below the cache's folder."""
+    return rows.withColumn("cache_path", F.concat(F.lit(cache.rstrip("/") + "/"), key, F.lit(".npy")))
+
+
 def spectral(samples: list[float], window: int = 400, width: int = 768) -> np.ndarray:
     """Magnitude spectra of windows, the last one zero-padded, each over its maximum: a demonstration, no estimate of emotion."""
     a = np.asarray(samples, dtype=np.float64)
@@ -296,6 +356,56 @@ def write_json(payload: dict, path: str | None = None) -> str:
     return text
 
 
+def write_manifest(df: DataFrame, root: str, path: str) -> None:
+    """The root, then a path below it and a number of samples a line, in order of utt_idx."""
+    from affectra.operators.transforms import relative
+
+    rows = df.select("utt_idx", F.concat_ws("\t", relative(F.col("path"), root), F.col("n_samples").cast("string")).alias("line"))
+    head = df.sparkSession.createDataFrame([(-1, root)], "utt_idx long, line string")
+    write_lines(head.unionByName(rows), F.col("line"), "utt_idx", path)
+
+
+def joined_sessions(sessions: list[DataFrame]) -> DataFrame:
+    """Tables of several sessions, one behind another: utt_idx counts on from session to session."""
+    out, base = None, 0
+    for df in sessions:
+        part = df.withColumn("utt_idx", F.col("utt_idx") + base)
+        out = part if out is None else out.unionByName(part)
+        base += df.count()
+    if out is None:
+        raise ValueError("no session")
+    return out
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """A folder of CSV files with a header each, which a byte order mark begins."""
+    first = df.columns[0]
+    df.withColumnRenamed(first, "\ufeff" + first).write.mode("overwrite").csv(path, header=True)
+
+
+def write_normalized(df: DataFrame, columns: list[str], path: str) -> str:
+    """The table with columns on 0..1, as CSV beside the original: <name>_normalized.csv, which is returned."""
+    from affectra.operators.transforms import rescale_auto
+
+    to = path.removesuffix(".csv") + "_normalized.csv"
+    write_csv(rescale_auto(df, columns), to)
+    return to
+
+
+def save_parallel(spark: SparkSession, weights: dict[str, np.ndarray], config: dict, path: str) -> dict:
+    """Weights of the heads emotion, valence, arousal and dominance (a row of input width + 1 each output) once they fit the configuration."""
+    from affectra.operators.payloads import read_parallel_config
+
+    full = read_parallel_config({"model_type": "parallel_emotion_vad"} | config)
+    want = {"emotion": full["num_classes"], "valence": 1, "arousal": 1, "dominance": 1}
+    for head, n in want.items():
+        got = np.atleast_2d(weights[head]).shape if head in weights else None
+        if got != (n, full["input_dim"] + 1):
+            raise ValueError(f"{head}: {got} instead of {(n, full['input_dim'] + 1)}")
+    save_model(spark, weights, {"model_type": "parallel_emotion_vad"} | config | full, path)
+    return full
+
+
 def save_model(spark: SparkSession, weights: dict[str, np.ndarray], metadata: dict, path: str) -> None:
     """Weights as rows (layer, row, weights) and metadata as JSON text, both in one Parquet folder each."""
     rows = [(k, i, [float(x) for x in w]) for k, a in weights.items() for i, w in enumerate(np.atleast_2d(a))]

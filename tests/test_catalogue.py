@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from affectra.plans import catalogue as C
+from affectra.plans import more  # noqa: F401
 from tests.conftest import DATA
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -196,6 +196,20 @@ def test_stream_scores_like_a_batch(spark, tmp_path):
     assert sorted(spark.read.parquet(str(tmp_path / "out")).collect()) == sorted(scored(df, w, labels).collect())
 
 
+def trained_head(x, y, fit, held, epochs=30, rate=0.05):
+    """Weights of the epoch of least loss on the rows held out, by plain loops."""
+    x1, w, opt, best = np.hstack([x, np.ones((len(x), 1))]), np.zeros((x.shape[1] + 1, 3)), H.Adam((x.shape[1] + 1, 3), rate), (np.inf, None)
+    for _ in range(epochs):
+        p = np.exp(x1 @ w)
+        p /= p.sum(axis=1, keepdims=True)
+        loss = -np.log(p[np.arange(len(y)), y])
+        if loss[held].mean() < best[0]:
+            best = loss[held].mean(), w.copy()
+        p[np.arange(len(y)), y] -= 1
+        w = opt.step(w, x1[fit].T @ p[fit] / fit.sum())
+    return best[1]
+
+
 def test_folds_train_on_rows_of_many_tasks(spark):
     r = np.random.default_rng(3)
     x, y = r.normal(size=(200, 4)), r.integers(0, 3, 200)
@@ -204,10 +218,13 @@ def test_folds_train_on_rows_of_many_tasks(spark):
     rows = spark.createDataFrame([(v.tolist(), int(c), int(f)) for v, c, f in zip(x, y, fold, strict=True)], "feat array<double>, true_class int, fold long").repartition(7)
     got = H.train_folds(rows, 3)
     assert "FlatMapGroups" not in got._jdf.queryExecution().toString()  # no fold meets in one task
+    held = np.array([r.v for r in spark.createDataFrame([(v.tolist(), int(c)) for v, c in zip(x, y, strict=True)], "x array<double>, y int").select((F.pmod(F.xxhash64("x", "y"), F.lit(5)) == 0).alias("v")).collect()])
+    assert 20 < held.sum() < 60
     for k, part in got.toPandas().groupby("fold"):
-        w, want = H.fit_class_head(x[fold != k], y[fold != k], 3)
+        _, plain = H.fit_class_head(x[(fold != k) & ~held], y[(fold != k) & ~held], 3)
         part = part.sort_values("epoch")
-        assert np.allclose(part.train_loss, [h["train"] for h in want])
+        assert np.allclose(part.train_loss, [h["train"] for h in plain]) and not np.allclose(part.train_loss, part.valid_loss)
+        w = trained_head(x, y, (fold != k) & ~held, (fold != k) & held)
         right = (np.hstack([x[fold == k], np.ones((40, 1))]) @ w).argmax(axis=1) == y[fold == k]
         assert np.allclose(part.test_wa, right.mean())
     assert H.train_folds(rows.limit(0), 3).count() == 0 and set(H.train_folds(rows.where("fold < 2"), 3, epochs=2).toPandas().fold) == {0, 1}
@@ -232,3 +249,156 @@ def test_speaker_split_has_exact_shares_and_no_table_of_speakers(spark):
     got = S.by_speaker(df, "speaker", "emotion", 0.2, 0.1, seed=3)
     assert {x.split: x.n for x in got.groupBy("split").agg(F.count_distinct("speaker").alias("n")).collect()} == {"test": 30, "valid": 60, "train": 210}
     assert got.count() == 3000 and "Join" not in got._jdf.queryExecution().toString()
+
+
+def test_nan_predictions_show(spark):
+    df = spark.createDataFrame([(0.1, 0.2), (float("nan"), 0.4), (0.5, float("nan")), (0.3, None)], "p double, t double")
+    r = df.agg(M.ccc("p", "t").alias("c"), M.mae("p", "t").alias("m"), M.ccc_loss([("p", "t")]).alias("l")).first()
+    assert all(x != x for x in r)
+    assert df.where("not isnan(p)").agg(M.mae("p", "t")).first()[0] == pytest.approx(0.1)
+
+
+def test_an_empty_last_line_is_refused(spark, prefix):
+    for name, read in (("lengths", R.read_lengths), ("vad", R.read_vad), ("emo", R.read_emotions)):
+        p = prefix / f"a.{name}"
+        assert read(spark, str(p)).count() == 3
+        p.write_text(p.read_text() + "\n")
+        with pytest.raises(ValueError):
+            read(spark, str(p))
+
+
+def test_norms_of_long_rows(spark):
+    x = np.random.default_rng(1).normal(size=160_000)
+    df = spark.createDataFrame([(x.tolist(),), ([2.0, 2.0],), (None,)], "x array<double>")
+    got = [r[0] for r in df.select(A.layer_norm(F.col("x"))).collect()]
+    assert np.allclose(got[0], (x - x.mean()) / np.sqrt(x.var() + 1e-5)) and got[1] == [0.0, 0.0] and got[2] is None
+    p = [r[0] for r in df.select(A.softmax(F.col("x"))).collect()]
+    assert np.allclose(p[0], np.exp(x - x.max()) / np.exp(x - x.max()).sum()) and p[1] == [0.5, 0.5] and p[2] is None
+
+
+@pytest.mark.parametrize("seed", [1, 7, 42])
+def test_drawn_splits_are_the_known_ones(spark, seed):
+    import random
+
+    rows = [(f"s{i % 10}", "xyz"[i % 3], i) for i in range(90)]
+    got = S.by_speaker_drawn(spark.createDataFrame(rows, "s string, e string, i long"), "s", "e", seed=seed)
+    order = sorted({r[0] for r in rows})
+    random.Random(seed).shuffle(order)
+    want = {s: "valid" if k < 2 else "test" if k < 4 else "train" for k, s in enumerate(order)}
+    assert {r.s: r.split for r in got.collect()} == want and got.count() == 90
+    index = np.arange(90)
+    np.random.default_rng(seed).shuffle(index)
+    split = {r.i: r.split for r in S.by_row_drawn(spark.createDataFrame(rows, "s string, e string, i long"), "i", seed=seed).collect()}
+    assert [split[i] for i in index] == ["test"] * 9 + ["val"] * 9 + ["train"] * 72
+
+
+@pytest.mark.parametrize("n", [0, 2, 3, 4, 10])
+def test_row_splits_have_exact_numbers(spark, n):
+    got = S.by_row(spark.range(n), "id", 0.2, seed=3, test=0.2).groupBy("split").count().collect()
+    want = {0: {}, 2: {"train": 2}, 3: {"train": 2, "test": 1}, 4: {"train": 2, "valid": 1, "test": 1}, 10: {"train": 6, "valid": 2, "test": 2}}
+    assert {r.split: r["count"] for r in got} == want[n]
+
+
+def test_running_sums_in_levels(spark, monkeypatch):
+    from affectra.operators import offsets as O
+
+    monkeypatch.setattr(O, "BLOCK", 4)
+    df = spark.range(300).selectExpr("id * 3 as utt_idx", "id % 7 as n_frames")
+    for levels in (0, 1, 3):
+        got = [r.frame_offset for r in O.offsets(df, levels=levels).orderBy("utt_idx").collect()]
+        assert got == np.concatenate([[0], np.cumsum(np.arange(300) % 7)[:-1]]).tolist()
+
+
+def test_vad_heads_from_sums(spark):
+    r = np.random.default_rng(4)
+    x, w = r.normal(size=(120, 5)), r.normal(size=(6, 3))
+    t = np.hstack([x, np.ones((120, 1))]) @ w + 0.1 * r.normal(size=(120, 3))
+    t[:, 2] = np.nan
+    rows = [(u.tolist(), *map(float, v)) for u, v in zip(x, t, strict=True)]
+    df = spark.createDataFrame(rows, "feat array<double>, valence double, arousal double, dominance double").repartition(4)
+    before = {d: r.normal(size=6) for d in M.DIMS}
+    got, history = H.train_vad_heads(df, df, epochs=200, before=before, decay=0.1)
+    assert (got["dominance"] == before["dominance"]).all() and history[0]["dominance_loss_skipped"]
+    assert history[-1]["train_loss"] < 0.2 < history[0]["train_loss"]
+    c, g = H.ccc_from_moments(got["valence"], H.vad_moments(df)["valence"])
+    p = np.hstack([x, np.ones((120, 1))]) @ got["valence"]
+    want, dp = H.ccc_and_gradient(p, t[:, 0])
+    assert c == pytest.approx(want) and np.allclose(g, np.hstack([x, np.ones((120, 1))]).T @ dp)
+    with pytest.raises(ValueError):
+        H.train_vad_heads(df.withColumns({"valence": F.lit(None), "arousal": F.lit(None)}), df)
+
+
+def test_optimisers():
+    w = np.array([3.0, -2.0])
+    opt = H.RMSprop(2, 0.01)
+    v, b, want = np.zeros(2), np.zeros(2), w.copy()
+    for k in range(5):
+        w = opt.step(w, 2 * w)
+        g = 2 * want
+        v, b = 0.99 * v + 0.01 * g * g, 0.9 * b + g / (np.sqrt(0.99 * v + 0.01 * g * g) + 1e-8)
+        want = want - 0.01 * b
+        assert np.allclose(w, want), k
+    assert [H.cyclic_rate(i, 0.0, 1.0, 2) for i in range(6)] == [0, 0.5, 1, 0.5, 0, 0.5]
+
+
+def test_sinks_and_probes(spark, tmp_path):
+    with pytest.raises(ValueError, match="no .wav"):
+        (tmp_path / "none").mkdir()
+        R.wav_folder(spark, str(tmp_path / "none"))
+    _wav(tmp_path / "b.wav", bytes(640))
+    _wav(tmp_path / "a.wav", bytes(9), 3)
+    (tmp_path / "c.wav").write_bytes(b"junk")
+    assert [r.path[-5:] for r in R.wav_folder(spark, str(tmp_path)).collect()] == ["a.wav", "b.wav", "c.wav"]
+    probed = {r.path[-5]: r for r in R.probe_wavs(spark, str(tmp_path)).collect()}
+    assert (probed["a"].sample_width, probed["a"].n_samples, probed["b"].n_samples, probed["b"].sample_rate) == (3, 3, 320, 16000) and probed["c"].error
+    with pytest.raises(ValueError, match="a.wav: sample width; .*c.wav"):
+        R.refuse_bad_audio(R.read_wavs(spark, str(tmp_path)))
+    rows = spark.createDataFrame([(str(tmp_path / "b.wav"),), ("/no/d.wav",), ("/no/c.wav",)], "path string")
+    assert [r.path for r in R.missing_audio(rows, "path", R.wav_folder(spark, str(tmp_path))).collect()] == ["/no/c.wav", "/no/d.wav"]
+    assert R.attach_cache_paths(spark.createDataFrame([("k",)], "cache_key string"), "/c/").first().cache_path == "/c/k.npy"
+    m = spark.createDataFrame([(1, "/r/b.wav", 5), (0, "/r/x/a.wav", 4)], "utt_idx long, path string, n_samples long")
+    R.write_manifest(m, "/r", str(tmp_path / "m"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "m")).collect()] == ["/r", "x/a.wav\t4", "b.wav\t5"]
+    assert [r.utt_idx for r in R.joined_sessions([m, m]).orderBy("utt_idx").collect()] == [0, 1, 2, 3]
+    R.write_csv(spark.createDataFrame([("é", 1.5)], "a string, b double"), str(tmp_path / "t.csv"))
+    text = next((tmp_path / "t.csv").glob("part-*.csv")).read_bytes()
+    assert text == "\ufeffa,b\né,1.5\n".encode() and R.read_csv(spark, str(tmp_path / "t.csv")).columns == ["a", "b"]
+    to = R.write_normalized(spark.createDataFrame([(1.0,), (5.0,)], "v double"), ["v"], str(tmp_path / "n.csv"))
+    assert to.endswith("n_normalized.csv") and sorted(r.v for r in R.read_csv(spark, to).collect()) == ["0.0", "1.0"]
+    (tmp_path / "wav.scp").write_text("u1 /a b.wav\nu2 /c.wav\n")
+    assert [tuple(r) for r in R.read_scp(spark, str(tmp_path / "wav.scp")).orderBy("utt_idx").collect()] == [(0, "u1", "/a b.wav"), (1, "u2", "/c.wav")]
+    assert R.read_lenient_labels(spark, None).count() == 0
+    assert spark.range(1).select(T.relative(F.lit("/a.b/c"), "/a.b"), T.relative(F.lit("/axb/c"), "/a.b")).first()[:] == ("c", "axb/c")
+
+
+def test_saved_models_and_arguments(spark, tmp_path):
+    from affectra.operators import payloads as Y
+
+    config = {"input_dim": 2, "hidden_dim": 4, "class_labels": ["a", "b"]}
+    heads = {"emotion": np.ones((2, 3)), **{d: np.ones((1, 3)) for d in M.DIMS}}
+    R.save_parallel(spark, heads, config, str(tmp_path / "m"))
+    w, meta = R.load_model(spark, str(tmp_path / "m"))
+    assert (w["emotion"] == 1).all() and Y.check_warm_start(meta, 4, ["a", "b"])["num_classes"] == 2
+    for hidden, labels in ((5, ["a", "b"]), (4, ["b", "a"])):
+        with pytest.raises(ValueError):
+            Y.check_warm_start(meta, hidden, labels)
+    with pytest.raises(ValueError, match="valence"):
+        R.save_parallel(spark, heads | {"valence": np.ones((1, 9))}, config, str(tmp_path / "x"))
+    for bad in ({"model_type": "other"}, {"num_classes": 3}, {"dominance_status": "guessed"}, {"class_names": ["a"]}):
+        with pytest.raises(ValueError):
+            Y.read_parallel_config({"model_type": "parallel_emotion_vad"} | config | bad)
+    Y.check_training_arguments(0, 1, 1, 1, 0.1)
+    with pytest.raises(ValueError, match="both loss weights 0; epochs"):
+        Y.check_training_arguments(0, 0, 0, 1, 0.1)
+    for args in (("d", None, "h", False), (None, None, None, False)):
+        with pytest.raises(ValueError):
+            Y.check_inference_arguments(*args)
+    history = [{"epoch": 1, "v": 0.5}, {"epoch": 2, "v": 0.4}, {"epoch": 3, "v": 0.4}]
+    s = Y.training_summary(history, "v", ["a"], {"valence": 2, "arousal": 2, "dominance": 0}, "untrained", "out")
+    assert s["saved_epoch"] == 2 and s["supervised_dimensions"] == ["valence", "arousal"] and s["valid"]["v"] == 0.4
+    df = spark.createDataFrame([(1, [0.1, 0.2])], "k int, v array<double>")
+    V.same_shape(df, df, "v", "v", "k")
+    with pytest.raises(V.DataError):
+        V.same_shape(df, df.withColumn("v", F.slice("v", 1, 1)), "v", "v", "k")
+    with pytest.raises(V.DataError, match="train"):
+        V.not_empty(df.limit(0), "train")
