@@ -25,6 +25,8 @@ from .common import text_bytes, text_or_empty, written
 
 #: Bytes of text in a batch, and hashes in a bucket on average.
 BATCH_BYTES, BUCKET_HASHES = 6 << 20, 1_000_000
+#: Batches whose beginnings are collected and compared with; more are joined.
+CUTS = 1 << 16
 #: What a row counts besides its text, so that empty ones are bounded too; bytes of text in a range of the running sum.
 ROW_BYTES, RANGE_BYTES = 16, 64 << 20
 
@@ -73,12 +75,11 @@ def _key(id_col: str, text_col: str) -> tuple[Column, Column]:
     return F.col(id_col).cast("long"), F.xxhash64(text_or_empty(text_col))
 
 
-def _cuts(docs: DataFrame, total: int, id_col: str, text_col: str) -> tuple[list[tuple], list[tuple]]:
-    """(d, h, b) where batch b begins, and (d, h, before, bytes of a row) of keys whose equal rows alone exceed a batch.
+def _keys(docs: DataFrame, total: int, id_col: str, text_col: str) -> DataFrame:
+    """(d, h, b, before, one, hot, begins) of each key: its batch, bytes before it, bytes of a row, whether its equal rows alone exceed a batch, and whether a batch begins with it.
 
     A batch is what begins within BATCH_BYTES of the running sum of bytes over
-    the keys in order, which is taken range by range. Both lists have one row in
-    BATCH_BYTES at most.
+    the keys in order, which is taken range by range.
     """
     d, h = _key(id_col, text_col)
     each = docs.select(d.alias("d"), h.alias("h"), (F.octet_length(text_or_empty(text_col)).cast("long") + ROW_BYTES).alias("s"))
@@ -88,12 +89,10 @@ def _cuts(docs: DataFrame, total: int, id_col: str, text_col: str) -> tuple[list
     base = ranges.groupBy("p").agg(F.sum("s").alias("all")).select("p", F.coalesce(F.sum("all").over(earlier), F.lit(0)).alias("base"))
     along = Window.partitionBy("p").orderBy(F.asc_nulls_first("d"), "h")
     sums = ranges.select("*", F.sum("s").over(along).alias("to"), F.lag(F.struct("s"), 1).over(along).alias("last")).join(F.broadcast(base), "p")
-    end, began = F.col("base") + F.col("to"), F.col("base") + F.col("to") - F.col("s")
+    began = F.col("base") + F.col("to") - F.col("s")
     b, before = F.floor(began / BATCH_BYTES), F.floor((began - F.coalesce(F.col("last.s"), F.lit(0))) / BATCH_BYTES)
     hot = (F.col("s") > BATCH_BYTES) & (F.col("s") > F.col("one"))
-    got = sums.where(F.col("last").isNull() | (b > before) | hot).select("d", "h", b.alias("b"), (end - F.col("s")).alias("before"), "one", hot.alias("hot")).collect()
-    got.sort(key=lambda r: (r.d is not None, r.d or 0, r.h))
-    return [(r.d, r.h, r.b) for r in got], [(r.d, r.h, r.before, r.one) for r in got if r.hot]
+    return sums.select("d", "h", b.alias("b"), began.alias("before"), "one", hot.alias("hot"), (F.col("last").isNull() | (b > before)).alias("begins"))
 
 
 def batched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None) -> tuple[DataFrame, int]:
@@ -102,24 +101,35 @@ def batched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ext
     Rows are in order of id (null first) and hash. Rows of one id part into
     batches like others; so do rows equal in id and text, which are counted and
     dealt out again: only a single text makes a batch larger than BATCH_BYTES
-    and the text that it ends with.
+    and the text that it ends with. Up to CUTS batches the keys that begin them
+    are collected and a row finds its batch by comparison; beyond that rows are
+    joined with their keys.
     """
     ship(docs.sparkSession)
     total = text_bytes(docs, text_col)
     d, h = _key(id_col, text_col)
     extra = extra or {}
     rows = docs.select(d.alias("d"), h.alias("h"), text_or_empty(text_col).alias("t"), *(c.alias(k) for k, c in extra.items()))
-    cuts, hot = _cuts(docs, total, id_col, text_col)
     columns = "cast(b as int) as b", "d", "h", "t", *extra
-    parts = rows.withColumn("b", _place(cuts))
-    if hot:
-        spark = docs.sparkSession
-        listed = F.broadcast(spark.createDataFrame(hot, "hd long, hh long, before long, one long"))
-        same = F.col("d").eqNullSafe(F.col("hd")) & (F.col("h") == F.col("hh"))
-        copies = rows.join(listed, same).groupBy("d", "h", "t", "before", "one", *extra).agg(F.count("*").alias("n"))
-        dealt = copies.select("d", "h", "t", *extra, "before", "one", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
-        parts = parts.join(listed, same, "left_anti").selectExpr(*columns).unionByName(dealt.withColumn("b", F.floor((F.col("before") + F.col("i") * F.col("one")) / BATCH_BYTES)).selectExpr(*columns))
-    return parts.selectExpr(*columns), total
+    keys = _keys(docs, total, id_col, text_col)
+    same = F.col("d").eqNullSafe(F.col("hd")) & (F.col("h") == F.col("hh"))
+    if total // BATCH_BYTES <= CUTS:
+        got = keys.where("begins or hot").drop("begins").collect()
+        got.sort(key=lambda r: (r.d is not None, r.d or 0, r.h))
+        parts = rows.withColumn("b", _place([(r.d, r.h, r.b) for r in got]))
+        hot = [(r.d, r.h, r.before, r.one) for r in got if r.hot]
+        if not hot:
+            return parts.selectExpr(*columns), total
+        listed = F.broadcast(docs.sparkSession.createDataFrame(hot, "hd long, hh long, before long, one long"))
+        parts = parts.join(listed, same, "left_anti")
+    else:
+        kept = written(keys.withColumnsRenamed({"d": "hd", "h": "hh"}), "keys")
+        listed = kept.where("hot").select("hd", "hh", "before", "one")
+        parts = rows.join(kept.where("not hot").select("hd", "hh", "b"), same)
+    copies = rows.join(listed, same).groupBy("d", "h", "t", "before", "one", *extra).agg(F.count("*").alias("n"))
+    dealt = copies.select("d", "h", "t", *extra, "before", "one", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+    dealt = dealt.withColumn("b", F.floor((F.col("before") + F.col("i") * F.col("one")) / BATCH_BYTES))
+    return parts.selectExpr(*columns).unionByName(dealt.selectExpr(*columns)), total
 
 
 def _place(cuts: list[tuple]) -> Column:

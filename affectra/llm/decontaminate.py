@@ -5,17 +5,21 @@ differ from a passage of a document by k = floor(m / 5) word edits (a similarity
 of 0.8). Split into k + 1 pieces, one piece must occur there unchanged, so only
 exact piece hits, found by an automaton over all pieces, are verified with
 Myers' bit-parallel distance around the hit. Items are taken in blocks of a
-bounded size, each against all documents, so what a task holds doesn't grow with
-either table.
+bounded size, each against all documents, so what a task or the driver holds
+doesn't grow with either table: where there are several blocks, the hits of one
+are written before the next is read.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from itertools import accumulate
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, text_or_empty
+from .common import map_arrow, text_or_empty, written
 
 #: Bytes of item texts in one block.
 BLOCK_BYTES = 8 << 20
@@ -83,10 +87,11 @@ def _matcher(items: list[tuple[int, str]]):
             return []
         w = text.lower().encode().split()
         flat = " " + b" ".join(w).decode() + " "
+        spaces = [0, *accumulate(len(x.decode()) + 1 for x in w)]  # places of the spaces in flat
         spans: dict[int, set] = {}
         for end, where in a.iter(flat):
             # the hit's last character is the space behind its last word
-            stop = flat.count(" ", 0, end)
+            stop = bisect_left(spaces, end)
             for i, at, n in where:
                 spans.setdefault(i, set()).add(stop - n - at)
         out = []
@@ -135,5 +140,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [[]] * 5)], names=["doc_id", "item_id", "distance", "end_word", "item_words"])
 
         part = map_arrow(texts, run, "doc_id long, item_id long, distance long, end_word long, item_words long")
+        part = part if blocks == 1 else written(part, "hits")
         found = part if found is None else found.unionByName(part)
     return found

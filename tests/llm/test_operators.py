@@ -319,7 +319,8 @@ def distance(item, text):
     return min(row)
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("block", [8 << 20, 700])
+def test_decontamination(spark, block, monkeypatch):
     r = random.Random(5)
     words = [f"v{i}" for i in range(60)]
     items = [[r.choice(words) for _ in range(r.choice([4, 9, 25, 70]))] for _ in range(12)]
@@ -332,6 +333,7 @@ def test_decontamination(spark):
         rows.append((d, " ".join([r.choice(words) for _ in range(30)] + item).upper() + "\n tail"))
     bench = [(i, " ".join(x)) for i, x in enumerate(items)] + [(98, None), (99, "")]
     docs = spark.createDataFrame([*rows, (100, None), (None, rows[0][1])], "doc_id long, text string")
+    monkeypatch.setattr(dec, "BLOCK_BYTES", block)
     got = {(x.doc_id, x.item_id): x.distance for x in dec.find_leaks(docs, spark.createDataFrame(bench, "item_id long, text string")).collect()}
     want = {}
     for d, t in [*rows, (None, rows[0][1])]:
@@ -429,9 +431,11 @@ def test_substrings(spark, docs, plain):
     assert remove_repeated_windows(empty(spark)).count() == 0
 
 
-def test_batches_are_bounded_by_bytes(spark, monkeypatch):
+@pytest.mark.parametrize("most", [1 << 16, 3])
+def test_batches_are_bounded_by_bytes(spark, most, monkeypatch):
     from affectra.llm import batches as bt
 
+    monkeypatch.setattr(bt, "CUTS", most)
     monkeypatch.setattr(bt, "BATCH_BYTES", 4000)
     monkeypatch.setattr(bt, "RANGE_BYTES", 20_000)
     r = random.Random(4)
