@@ -54,7 +54,7 @@ def softmax(x: Column) -> Column:
 
 def argmax(x: Column) -> Column:
     """The first place of the largest value."""
-    return F.array_position(x, F.array_max(x)) - 1
+    return bound(x, lambda a: F.array_position(a, F.array_max(a)) - 1)
 
 
 def ranked(x: Column) -> Column:

@@ -113,46 +113,46 @@ def _ccc_sql(p: str, t: str, least: int = 1) -> str:
 
 @query("WITH " + X.PRED + " SELECT " + ", ".join(f"round({_ccc_sql(p, t)}, 6) AS ccc_{t}" for p, t in PAIRS) + " FROM pred")
 def ccc_by_dim(spark, sf):
-    return X.pred(spark, sf).agg(*(r6(M.ccc(p, t), f"ccc_{t}") for p, t in PAIRS))
+    return X.scored(spark, sf).agg(*(r6(M.ccc(p, t), f"ccc_{t}") for p, t in PAIRS))
 
 
 @query("WITH " + X.PRED + f" SELECT round(1 - ({_ccc_sql('pv', 'valence')} + {_ccc_sql('pa', 'arousal')}) / 2, 6) AS loss FROM pred")
 def ccc_loss(spark, sf):
-    return X.pred(spark, sf).agg(r6(M.ccc_loss(PAIRS[:2]), "loss"))
+    return X.scored(spark, sf).agg(r6(M.ccc_loss(PAIRS[:2]), "loss"))
 
 
 @query("WITH " + X.PRED + " SELECT split, round(1 - (" + " + ".join(_ccc_sql(p, t) for p, t in PAIRS) + ") / 3, 6) AS loss FROM pred GROUP BY split")
 def masked_ccc(spark, sf):
-    return X.pred(spark, sf).groupBy("split").agg(r6(M.ccc_loss(PAIRS), "loss"))
+    return X.scored(spark, sf).groupBy("split").agg(r6(M.ccc_loss(PAIRS), "loss"))
 
 
 @query(
     "WITH " + X.PRED + ", x AS (SELECT speaker, " + ", ".join(f"{_ccc_sql(p, t, 2 if t == 'dominance' else 1)} AS c_{t}" for p, t in PAIRS) + ", count(dominance) AS n_dominance FROM pred GROUP BY speaker) SELECT speaker, n_dominance, round(CASE WHEN c_dominance IS NULL THEN 1 - (c_valence + c_arousal) / 2 ELSE 1 - (c_valence + c_arousal + c_dominance) / 3 END, 6) AS loss FROM x"
 )
 def parallel_ccc_min_rows(spark, sf):
-    return X.pred(spark, sf).groupBy("speaker").agg(F.count("dominance").alias("n_dominance"), r6(M.ccc_loss(PAIRS, {"dominance": 2}), "loss"))
+    return X.scored(spark, sf).groupBy("speaker").agg(F.count("dominance").alias("n_dominance"), r6(M.ccc_loss(PAIRS, {"dominance": 2}), "loss"))
 
 
 @query("WITH " + X.PRED + " SELECT speaker, count(dominance) AS n, " + f"round(coalesce({_ccc_sql('pd', 'dominance', 2)}, -9), 6) AS ccc FROM pred GROUP BY speaker")
 def offline_ccc_nan(spark, sf):
     """Not a number below two rows; shown as -9."""
     c = M.ccc("pd", "dominance", least=2, absent=float("nan"))
-    return X.pred(spark, sf).groupBy("speaker").agg(F.count("dominance").alias("n"), c.alias("c")).select("speaker", "n", r6(F.nanvl("c", F.lit(-9.0)), "ccc"))
+    return X.scored(spark, sf).groupBy("speaker").agg(F.count("dominance").alias("n"), c.alias("c")).select("speaker", "n", r6(F.nanvl("c", F.lit(-9.0)), "ccc"))
 
 
 @query("WITH " + X.PRED + f" SELECT round(2 - {_ccc_sql('pv', 'valence')} - {_ccc_sql('pa', 'arousal')}, 6) AS loss FROM pred")
 def stage1_loss(spark, sf):
-    return X.pred(spark, sf).agg(r6(M.ccc_loss(PAIRS[:2], mode="sum"), "loss"))
+    return X.scored(spark, sf).agg(r6(M.ccc_loss(PAIRS[:2], mode="sum"), "loss"))
 
 
 @query("WITH " + X.PRED + " SELECT emotion, " + ", ".join(f"round(avg(abs({p} - {t})), 6) AS mae_{t}" for p, t in PAIRS) + " FROM pred GROUP BY emotion")
 def mae_masked(spark, sf):
-    return X.pred(spark, sf).groupBy("emotion").agg(*(r6(M.mae(p, t), f"mae_{t}") for p, t in PAIRS))
+    return X.scored(spark, sf).groupBy("emotion").agg(*(r6(M.mae(p, t), f"mae_{t}") for p, t in PAIRS))
 
 
 @query("WITH " + X.PRED + f", b AS (SELECT utt_id // 32 AS batch, 1 - {_ccc_sql('pv', 'valence')} AS loss FROM pred GROUP BY 1) SELECT round(avg(loss), 6) AS loss, count(*) AS num_batches FROM b")
 def batch_macro_loss(spark, sf):
-    return rounded(M.batch_macro(X.pred(spark, sf), 1 - M.ccc("pv", "valence"), 32, "utt_id"), "loss")
+    return rounded(M.batch_macro(X.scored(spark, sf), 1 - M.ccc("pv", "valence"), 32, "utt_id"), "loss")
 
 
 @query("WITH " + LOGITS + ", e AS (SELECT utt_id, ln(sum(exp(logit))) - max(logit) FILTER (c = true_class) AS ce FROM logits GROUP BY utt_id) SELECT count(*) AS n, round(avg(ce), 6) AS cross_entropy FROM e")
@@ -173,7 +173,7 @@ def joint_loss(spark, sf):
 
 @query("WITH " + X.PRED + f" SELECT speaker, count(*) AS n, round({_ccc_sql('pv', 'valence')}, 6) AS ccc FROM pred GROUP BY speaker")
 def ccc_by_speaker(spark, sf):
-    return X.pred(spark, sf).groupBy("speaker").agg(F.count("*").alias("n"), r6(M.ccc("pv", "valence"), "ccc"))
+    return X.scored(spark, sf).groupBy("speaker").agg(F.count("*").alias("n"), r6(M.ccc("pv", "valence"), "ccc"))
 
 
 @query(f"SELECT round({_ccc_sql('l_quantity', 'l_tax * 300')}, 6) AS ccc, count(*) AS n FROM lineitem")
@@ -357,7 +357,7 @@ TERMS = X.PRED + ", w(class_idx, bias, wv, wa, wd) AS (VALUES (0, 0.1, 1.0, 0.0,
 
 
 def _explained(spark, sf):
-    return X.pred(spark, sf).where("pd is not null").select("utt_id", F.col("pv").alias("valence"), F.col("pa").alias("arousal"), F.col("pd").alias("dominance"))
+    return X.scored(spark, sf).where("pd is not null").select("utt_id", F.col("pv").alias("valence"), F.col("pa").alias("arousal"), F.col("pd").alias("dominance"))
 
 
 def _terms(spark, sf):

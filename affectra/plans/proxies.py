@@ -33,11 +33,15 @@ def classes(spark: SparkSession, sf: str) -> DataFrame:
     return class_index(affect(spark, sf), "emotion")
 
 
+def scored(spark: SparkSession, sf: str) -> DataFrame:
+    """affect with predictions pv, pa, pd."""
+    b = 0.1 * (F.col("utt_id") % 10)
+    return affect(spark, sf).withColumns({"pv": 0.8 * F.col("valence") + b, "pa": 0.8 * F.col("arousal") + b, "pd": 0.8 * F.col("dominance") + b})
+
+
 def pred(spark: SparkSession, sf: str) -> DataFrame:
-    """affect with predictions pv, pa, pd, the true class and a predicted one."""
-    a, b = affect(spark, sf), 0.1 * (F.col("utt_id") % 10)
-    a = a.withColumns({"pv": 0.8 * F.col("valence") + b, "pa": 0.8 * F.col("arousal") + b, "pd": 0.8 * F.col("dominance") + b})
-    a = a.withColumn("pred_class", ((F.col("utt_id") * 7 + F.length("emotion")) % 5).cast("int"))
+    """scored with the true class and a predicted one."""
+    a = scored(spark, sf).withColumn("pred_class", ((F.col("utt_id") * 7 + F.length("emotion")) % 5).cast("int"))
     return a.join(F.broadcast(classes(spark, sf).withColumnsRenamed({"label": "emotion", "class_idx": "true_class"})), "emotion")
 
 
