@@ -22,10 +22,12 @@ SHARD_BYTES = 1 << 20
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 1024 ids, a row per piece; null text is one end id."""
     return pack_documents(documents(spark, sf_dir))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents rid of later repeated runs of two lines and later repeated lines of 50 words; null text is one empty line."""
     left = remove_repeated_runs(documents(spark, sf_dir).select("doc_id", "text"))
     return left.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
@@ -45,10 +47,12 @@ FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.s = l.s GROUP BY l.doc_id
 
 
 def op3_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts as GIF payloads, read back; null text is 64 zero bytes."""
     return digests(stored(documents(spark, sf_dir)))
 
 
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in shards of at most SHARD_BYTES bytes of text by a hash of the id."""
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
     return shard(docs, SHARD_BYTES).select("doc_id", "n_bytes", "shard", F.col("shard_depth").cast("long").alias("shard_depth"), "shard_bytes")
 
@@ -64,10 +68,12 @@ FROM e JOIN m ON m.doc_id = e.doc_id AND m.depth = e.d JOIN s ON s.d = e.d AND s
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document and benchmark item found in it, a fifth of the item's words edited at most."""
     return find_leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents rid of words in 20-word windows that start earlier; null text has no words."""
     got = remove_repeated_windows(documents(spark, sf_dir))
     return got.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
@@ -86,6 +92,7 @@ FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id GROUP BY d.doc_id
 
 
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document: its component of near copies (three-word shingles, 85 %)."""
     return near_duplicates(documents(spark, sf_dir))
 
 
@@ -104,16 +111,19 @@ FROM documents d JOIN (SELECT v, min(c) AS c FROM r GROUP BY v) m ON m.v = d.doc
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored; labels of fold 2 of 4 by crc32 of the id teach nothing."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", (id_crc() % 4 == 2).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored; fold 0 of 10 by crc32 of the id teaches nothing."""
     return score_texts(documents(spark, sf_dir))
 
 
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents rid of bytes in 50-byte strings that a document of smaller id has; null text is empty."""
     got = remove_earlier_strings(documents(spark, sf_dir))
     return got.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 

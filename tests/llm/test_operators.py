@@ -108,6 +108,16 @@ def test_packing_places_every_id_once(spark, docs, plain, capacity):
     assert ends_of(2 * capacity + 5, capacity) == [capacity, 2 * capacity, 2 * capacity + 4, 2 * capacity + 5]
 
 
+def test_packing_pads_little(spark):
+    """Below a hundredth of what sequences hold; ends at a power of two aren't padded."""
+    for sf in ("sf0.001", "sf0.01"):
+        p = pack_documents(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).toPandas()
+        held = p.groupby("sequence_id").length.sum()
+        padded = held[held & (held - 1) != 0]
+        share = (1024 - padded).sum() / held.sum()
+        assert 0 <= share < 0.01 and held.max() <= 1024, (sf, share)
+
+
 def test_packing_odd_tables(spark):
     assert pack_documents(empty(spark)).count() == 0
     odd = spark.createDataFrame([(None, "a b"), (1, None), (1, None), (1, "x")], "doc_id long, text string")
@@ -266,6 +276,30 @@ def test_rules_learn_and_compile(spark):
     assert rules.score(odd, none).first().quality_score == 0.5
 
 
+def test_rules_against_plain_python(spark, docs, plain):
+    """Statistics and a compiled score, text by text."""
+    import re
+
+    def by_hand(t):
+        n, words, lines = max(len(t), 1), re.split(r"[\x20\x09-\x0D]+", t.lower()), t.split("\n")
+        share = lambda chars: sum(c in chars for c in t) / n
+        return {
+            "chars": math.log1p(len(t)), "upper": sum(c.isupper() for c in t) / n, "digits": share("0123456789"), "stops": share(".,;:?"), "shouts": share("!"), "bars": share("|"), "signs": share("#$%&*<>{}[]=_~^\\/@+"), "blanks": share(" "),
+            "lines": len(lines) / n, "line_kinds": len(set(lines)) / len(lines), "word_kinds": len(set(words)) / len(words), "word_length": n / len(words), "words": math.log1p(len(words)), "short_words": sum(len(w) <= 3 for w in words) / len(words),
+        }
+
+    stats = rules.statistics(F.coalesce("text", F.lit("")))
+    got = {r.doc_id: r.asDict() for r in docs.select("doc_id", *(c.alias(k) for k, c in stats.items())).collect()}
+    want = {d: by_hand(t) for d, t in plain.items()}
+    for d, w in want.items():
+        assert {k: got[d][k] for k in w} == pytest.approx(w), d
+    model = rules.RuleModel([(("chars", True, 5.0),), (("word_kinds", False, 0.9), ("blanks", True, 0.1))], [1.5, -2.0], 0.25)
+    for r in rules.score(docs, model).collect():
+        w = want[r.doc_id]
+        z = 0.25 + 1.5 * (w["chars"] > 5.0) - 2.0 * (w["word_kinds"] <= 0.9 and w["blanks"] > 0.1)
+        assert r.quality_score == pytest.approx(1 / (1 + math.exp(-z)))
+
+
 def test_rules_on_held_out_rows(spark):
     got = q.op4_quality(spark, "/root/testdata/sf0.01").where("held_out").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
     assert got.agg(F.avg((F.col("predicted") == F.col("quality")).cast("double"))).first()[0] > 0.95
