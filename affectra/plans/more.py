@@ -14,7 +14,7 @@ from affectra.operators import transforms as T
 from affectra.operators import validate as V
 
 from . import proxies as X
-from .catalogue import CLASS, HID, HIDDEN, LOGITS, OUT, _out, _predicted, query, r6, rounded
+from .catalogue import CLASS, HID, HIDDEN, LOGITS, OUT, SAMPLES, _out, _predicted, _samples, query, r6, rounded
 
 # columns
 
@@ -63,6 +63,13 @@ def status_columns(spark, sf):
     return n.select("speaker", F.when(trained, "trained").otherwise("untrained").alias("dominance_status"), Y.scale_status(trained).alias("dominance_scale_status"), F.when(trained, "").otherwise(Y.TABLE_WARNING).alias("warning"))
 
 
+@query("WITH " + SAMPLES + ", s AS (SELECT utt_idx, avg(x) AS m, sqrt(var_pop(x) + 1e-5) AS d FROM samples GROUP BY utt_idx) SELECT utt_idx, i, round((x - m) / d, 6) + 0.0 AS x FROM samples JOIN s USING (utt_idx)")
+def samples_layer_norm(spark, sf):
+    """Waveforms of 6,400 samples, each normalised as one array."""
+    w = _samples(spark, sf).groupBy("utt_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("w"))
+    return w.select("utt_idx", F.posexplode(A.layer_norm(F.col("w"))).alias("i", "x")).select("utt_idx", F.col("i").cast("long").alias("i"), r6("x", "x"))
+
+
 # order, sets and profiles
 
 
