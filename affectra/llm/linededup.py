@@ -86,8 +86,9 @@ def remove_repeated_runs(docs: DataFrame, run: int = RUN, id_col: str = "doc_id"
     made = ("n_lines", "n_removed")
     gone = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("start", F.col("stop") - 1)))))
     later = repeated_runs(docs, run, id_col, text_col, words).groupBy("place").agg(gone.alias("gone"))
-    rows = docs.select(packed(docs).alias("row"), _place(id_col, text_col).alias("place"), F.split(text_or_empty(column(text_col)), "\n", -1).alias("lines"))
-    out = rows.join(later, "place", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    rows = docs.select(packed(docs).alias("row"), _place(id_col, text_col).alias("place"))
+    lines = F.split(text_or_empty(F.col("row")[text_col]), "\n", -1)  # behind the join, so that texts travel once
+    out = rows.join(later, "place", "left").select("row", lines.alias("lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
     kept = F.array_join(F.transform(left, lambda i: F.get(F.col("lines"), i)), "\n")
     text = F.when(F.size("gone") == 0, F.col("row")[text_col]).otherwise(kept)
