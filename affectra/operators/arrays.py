@@ -52,6 +52,11 @@ def softmax(x: Column) -> Column:
     return bound(x, lambda a: bound(F.array_max(a), lambda top: bound(F.transform(a, lambda v: F.exp(v - top)), shares)))
 
 
+def fit_length(x: Column, n: int) -> Column:
+    """The first n values, with zeros behind them where there are fewer."""
+    return F.when(F.size(x) >= n, F.slice(x, 1, n)).otherwise(F.concat(x, F.array_repeat(F.lit(0.0), F.lit(n) - F.size(x))))
+
+
 def argmax(x: Column) -> Column:
     """The first place of the largest value."""
     return bound(x, lambda a: F.array_position(a, F.array_max(a)) - 1)

@@ -113,6 +113,15 @@ def by_row(df: DataFrame, key: str, valid: float, seed: int, test: float = 0.0)
     return df.withColumns({"split": F.when(h <= low, "test").when(h <= high, "valid").otherwise("train"), "leaky": F.lit(True)})
 
 
+def exact_sample(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
+    """k rows by a seeded hash of the key (all, if there are no more); only the bounding hash reaches the driver. Rows of equal key go together."""
+    h = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 52))
+    if k <= 0:
+        return df.limit(0)
+    last = places(df.select(h.alias("h")), ["h"]).agg(F.max(F.when(F.col("start") < k, F.col("value")))).first()[0]
+    return df if last is None else df.where(h <= int(last))
+
+
 def by_row_drawn(df: DataFrame, index: str, seed: int = 42, valid: float = 0.1, test: float = 0.1) -> DataFrame:
     """split of rows 0 to n - 1 by a NumPy permutation of that seed: its first are tested, the next are for validation ("val").
 

@@ -70,6 +70,21 @@ def samples_layer_norm(spark, sf):
     return w.select("utt_idx", F.posexplode(A.layer_norm(F.col("w"))).alias("i", "x")).select("utt_idx", F.col("i").cast("long").alias("i"), r6("x", "x"))
 
 
+@query("WITH " + X.VECTORS + " SELECT utt_id, j, round(CASE WHEN j <= n THEN coalesce(feat[j], 0) END, 6) AS x FROM (SELECT *, CASE utt_id % 2 WHEN 0 THEN 48 ELSE 80 END AS n FROM vectors), range(1, 81) AS t(j) WHERE j <= n")
+def crop_or_pad(spark, sf):
+    v = X.vectors(spark, sf)
+    n = F.when(F.col("utt_id") % 2 == 0, A.fit_length(F.col("feat"), 48)).otherwise(A.fit_length(F.col("feat"), 80))
+    return v.select("utt_id", F.posexplode(n).alias("j", "x")).select("utt_id", (F.col("j") + 1).cast("long").alias("j"), r6("x", "x"))
+
+
+@query("SELECT least(1000, (SELECT count(*) FROM events)) AS n, true AS is_subset")
+def sample_of_k(spark, sf):
+    """A seeded sample has as many rows as asked for, all of them rows of the table."""
+    e = X.table(spark, sf, "events").select("event_id")
+    s = S.exact_sample(e, "event_id", 1000, seed=5)
+    return s.agg(F.count("*").alias("n")).join(F.broadcast(P.subset(s, e).toDF("is_subset")))
+
+
 # order, sets and profiles
 
 

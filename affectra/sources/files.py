@@ -293,18 +293,24 @@ def attach_cache_paths(rows: DataFrame, cache: str, key: str = "cache_key") -> D
 def spectral(samples: list[float], window: int = 400, width: int = 768) -> np.ndarray:
     """Magnitude spectra of windows, the last one zero-padded, each over its maximum: a demonstration, no estimate of emotion."""
     a = np.asarray(samples, dtype=np.float64)
-    a = np.pad(a, (0, -len(a) % window)).reshape(-1, window)
+    a = np.pad(a, (0, -len(a) % window if len(a) else window)).reshape(-1, window)  # no sample is one empty window
     m = np.abs(np.fft.rfft(a, n=2 * width - 2, axis=1))[:, :width]
     return (m / np.maximum(m.max(axis=1, keepdims=True), 1e-8)).astype(np.float32)
 
 
-def extract(wavs: DataFrame, extractor=spectral) -> DataFrame:
-    """(path, frame_idx, feat): any callable samples -> [frames, width], utterance by utterance."""
+def extract(wavs: DataFrame, extractor=spectral, normalise: bool = False) -> DataFrame:
+    """(path, frame_idx, feat): any callable samples -> [frames, width], utterance by utterance.
+
+    normalise: samples less their mean over their deviation first.
+    """
     ship(wavs.sparkSession)
 
     def run(batches):
         for b in batches:
             for p, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                s = np.asarray(s, dtype=np.float64)
+                if normalise and len(s):
+                    s = (s - s.mean()) / np.sqrt(s.var() + 1e-5)
                 a = np.asarray(extractor(s), dtype=np.float32)
                 yield pa.RecordBatch.from_arrays([pa.array([p] * len(a)), pa.array(range(len(a)), pa.int32()), pa.array(list(a), pa.list_(pa.float32()))], names=["path", "frame_idx", "feat"])
 

@@ -402,3 +402,13 @@ def test_saved_models_and_arguments(spark, tmp_path):
         V.same_shape(df, df.withColumn("v", F.slice("v", 1, 1)), "v", "v", "k")
     with pytest.raises(V.DataError, match="train"):
         V.not_empty(df.limit(0), "train")
+
+
+def test_extraction_and_samples(spark, tmp_path):
+    assert R.spectral([]).shape == (1, 768) and not R.spectral([]).any() and R.spectral([1.0] * 401).shape == (2, 768)
+    _wav(tmp_path / "a.wav", np.linspace(-8000, 9000, 800).astype("<i2").tobytes())
+    seen = R.extract(R.read_wavs(spark, str(tmp_path)), lambda s: [[float(s.mean()), float(s.std())]], normalise=True).first()
+    assert seen.feat == pytest.approx([0, 1], abs=1e-3)
+    for k, n in ((0, 0), (7, 7), (50, 50), (90, 60)):
+        got = S.exact_sample(spark.range(60), "id", k, seed=2)
+        assert got.count() == n == got.distinct().count()
