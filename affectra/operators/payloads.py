@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field, fields
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,44 +31,63 @@ def vad_payload(rows: DataFrame, path: str, vad: str, dims: tuple[str, ...], che
     return rows.select(path, F.to_json(body, {"ignoreNullFields": "false"}).alias("payload"))
 
 
-def read_parallel_config(saved: dict) -> dict:
-    """The configuration of a saved parallel model with defaults, or an error that names what doesn't fit."""
-    if not isinstance(saved, dict) or saved.get("model_type") != "parallel_emotion_vad":
-        raise ValueError("not a parallel_emotion_vad model")
-    labels = list(saved.get("class_labels", ("hap", "sad", "ang", "dis")))
-    config = {"input_dim": int(saved.get("input_dim", 768)), "hidden_dim": int(saved.get("hidden_dim", 256)), "num_classes": int(saved.get("num_classes", len(labels))), "class_labels": labels, "class_names": list(saved.get("class_names", labels))}
-    for k in ("class_labels", "class_names"):
-        if len(config[k]) != config["num_classes"]:
-            raise ValueError(f"{k}: {len(config[k])} for {config['num_classes']} classes")
-    status = saved.get("dominance_status", "untrained")
-    if status not in STATUSES:
-        raise ValueError(f"dominance_status: {status}")
-    return config | {"dominance_status": status, "vad_label_counts": saved.get("vad_label_counts", {}), "supervised_dimensions": saved.get("supervised_dimensions", [])}
-
-
-def check_warm_start(saved: dict, hidden_dim: int, labels: list[str]) -> dict:
-    """A saved configuration from which training may go on: hidden width and label order must be the same."""
-    config = read_parallel_config(saved)
-    if config["hidden_dim"] != hidden_dim:
-        raise ValueError(f"hidden_dim: {config['hidden_dim']} saved, {hidden_dim} asked for")
-    if config["class_labels"] != list(labels):
-        raise ValueError(f"class_labels: {config['class_labels']} saved, {list(labels)} asked for")
-    return config
-
-
-def parallel_payload(rows: DataFrame, path: str, logits: str, vad: str, config: dict, checkpoint: str) -> DataFrame:
+#: The kind that models of separate heads are saved as: a fixed value.
+KIND = "parallel_emotion_vad"
+
+
+@dataclass(frozen=True)
+class HeadsConfig:
+    """What is saved beside the weights of separate heads; what doesn't fit together is refused, all of it in one error."""
+
+    class_labels: tuple[str, ...] = ("hap", "sad", "ang", "dis")
+    class_names: tuple[str, ...] | None = None
+    num_classes: int | None = None
+    input_dim: int = 768
+    hidden_dim: int = 256
+    dominance_status: str = STATUSES[-1]
+    vad_label_counts: dict[str, int] = field(default_factory=dict)
+    supervised_dimensions: tuple[str, ...] = ()
+
+    @classmethod
+    def of(cls, saved: dict) -> HeadsConfig:
+        """From saved metadata, whose other entries are left alone."""
+        if saved.get("model_type") != KIND:
+            raise ValueError(f"saved as {saved.get('model_type')}, not as {KIND}")
+        known = {f.name: saved[f.name] for f in fields(cls) if f.name in saved}
+        return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in known.items()})
+
+    def __post_init__(self):
+        put = object.__setattr__
+        put(self, "class_names", self.class_names or self.class_labels)
+        put(self, "num_classes", self.num_classes or len(self.class_labels))
+        rules = {
+            f"{self.num_classes} classes, but labels {self.class_labels}": len(self.class_labels) == self.num_classes,
+            f"{self.num_classes} classes, but names {self.class_names}": len(self.class_names) == self.num_classes,
+            f"dominance_status {self.dominance_status}": self.dominance_status in STATUSES,
+        }
+        if not all(rules.values()):
+            raise ValueError("; ".join(k for k, ok in rules.items() if not ok))
+
+    def continues(self, hidden_dim: int, labels: list[str]) -> HeadsConfig:
+        """Itself, if training may go on from it: width and order of labels are the same."""
+        if (self.hidden_dim, self.class_labels) != (hidden_dim, tuple(labels)):
+            raise ValueError(f"saved with {self.hidden_dim} and {self.class_labels}, asked for {hidden_dim} and {tuple(labels)}")
+        return self
+
+
+def parallel_payload(rows: DataFrame, path: str, logits: str, vad: str, config: HeadsConfig, checkpoint: str) -> DataFrame:
     """(path, payload): JSON of a parallel prediction; a warning is in it only where Dominance is untrained."""
-    labels, status = config["class_labels"], config["dominance_status"]
+    labels, status = config.class_labels, config.dominance_status
     p, best = A.softmax(F.col(logits)), A.argmax(F.col(logits)).cast("int")
     of = lambda names: F.element_at(F.array(*map(F.lit, names)), F.col("best") + 1)
     by_label = lambda x: F.struct(*(F.get(x, F.lit(i)).alias(c) for i, c in enumerate(labels)))
     states = dict(zip(DIMS, ("trained", "trained", status), strict=True))
     parts = [
-        F.col(path).alias("wav"), F.lit(checkpoint).alias("classifier_checkpoint"), F.lit("parallel_emotion_vad").alias("model_type"), F.array(*map(F.lit, labels)).alias("class_labels"),
-        F.struct(F.col("best").alias("index"), of(labels).alias("code"), of(config["class_names"]).alias("name")).alias("prediction"),
+        F.col(path).alias("wav"), F.lit(checkpoint).alias("classifier_checkpoint"), F.lit(KIND).alias("model_type"), F.array(*map(F.lit, labels)).alias("class_labels"),
+        F.struct(F.col("best").alias("index"), of(labels).alias("code"), of(config.class_names).alias("name")).alias("prediction"),
         by_label(F.col("p")).alias("probabilities"), by_label(F.col(logits)).alias("logits"),
         F.struct(*(F.struct(F.get(vad, F.lit(i)).alias("value"), F.lit(s).alias("status")).alias(d) for i, (d, s) in enumerate(states.items()))).alias("vad"),
-        F.struct(*(F.lit(config["vad_label_counts"].get(d, 0)).alias(d) for d in DIMS)).alias("vad_label_counts"), F.array(*map(F.lit, config["supervised_dimensions"])).cast("array<string>").alias("supervised_dimensions"),
+        F.struct(*(F.lit(config.vad_label_counts.get(d, 0)).alias(d) for d in DIMS)).alias("vad_label_counts"), F.array(*map(F.lit, config.supervised_dimensions)).cast("array<string>").alias("supervised_dimensions"),
     ]
     if status == "untrained":
         parts.append(F.lit(PAYLOAD_WARNING).alias("warning"))
@@ -121,4 +142,4 @@ def training_summary(history: list[dict], metric: str, labels: list[str], counts
         raise ValueError("no epoch was trained")
     scored = [h for h in history if h.get(metric) is not None]
     best = (max if largest else min)(scored, key=lambda h: (h[metric], -h["epoch"]) if largest else (h[metric], h["epoch"])) if scored else history[-1]
-    return {"output": output, "model_type": "parallel_emotion_vad", "class_labels": list(labels), "num_classes": len(labels), "vad_label_counts": counts, "supervised_dimensions": [d for d in DIMS if counts.get(d)], "dominance_status": dominance_status, "saved_epoch": best["epoch"], "selection": f"best {metric}" if scored else "last epoch", "train": history[-1], "valid": best if scored else None, "history": history}
+    return {"output": output, "model_type": KIND, "class_labels": list(labels), "num_classes": len(labels), "vad_label_counts": counts, "supervised_dimensions": [d for d in DIMS if counts.get(d)], "dominance_status": dominance_status, "saved_epoch": best["epoch"], "selection": f"best {metric}" if scored else "last epoch", "train": history[-1], "valid": best if scored else None, "history": history}

@@ -373,7 +373,7 @@ SELECT '/data/' || utt_id || '.wav' AS wav, best, ['hap', 'sad', 'ang', 'dis'][b
 """
 )
 def parallel_payload(spark, sf):
-    config = Y.read_parallel_config({"model_type": "parallel_emotion_vad", "vad_label_counts": {"valence": 3, "arousal": 3}, "supervised_dimensions": ["valence", "arousal"]})
+    config = Y.HeadsConfig(vad_label_counts={"valence": 3, "arousal": 3}, supervised_dimensions=("valence", "arousal"))
     j = Y.parallel_payload(_folder(spark, sf), "path", "logits", "vad", config, "head.pt")
     at = lambda p: F.get_json_object("payload", p)
     return j.select(at("$.wav").alias("wav"), at("$.prediction.index").cast("int").alias("best"), at("$.prediction.code").alias("code"), r6(at("$.probabilities.hap").cast("double"), "p_hap"), r6(at("$.vad.dominance.value").cast("double"), "dominance"), at("$.vad.dominance.status").alias("status"), at("$.warning").isNotNull().alias("warned"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import ast
 import json
 import struct
+from dataclasses import asdict
 
 import numpy as np
 import pandas as pd
@@ -400,16 +401,17 @@ def write_normalized(df: DataFrame, columns: list[str], path: str) -> str:
 
 def save_parallel(spark: SparkSession, weights: dict[str, np.ndarray], config: dict, path: str) -> dict:
     """Weights of the heads emotion, valence, arousal and dominance (a row of input width + 1 each output) once they fit the configuration."""
-    from affectra.operators.payloads import read_parallel_config
+    from affectra.operators.payloads import KIND, HeadsConfig
 
-    full = read_parallel_config({"model_type": "parallel_emotion_vad"} | config)
-    want = {"emotion": full["num_classes"], "valence": 1, "arousal": 1, "dominance": 1}
+    full = HeadsConfig.of({"model_type": KIND} | config)
+    want = {"emotion": full.num_classes, "valence": 1, "arousal": 1, "dominance": 1}
     for head, n in want.items():
         got = np.atleast_2d(weights[head]).shape if head in weights else None
-        if got != (n, full["input_dim"] + 1):
-            raise ValueError(f"{head}: {got} instead of {(n, full['input_dim'] + 1)}")
-    save_model(spark, weights, {"model_type": "parallel_emotion_vad"} | config | full, path)
-    return full
+        if got != (n, full.input_dim + 1):
+            raise ValueError(f"{head}: {got} instead of {(n, full.input_dim + 1)}")
+    saved = {"model_type": KIND} | config | asdict(full)
+    save_model(spark, weights, saved, path)
+    return saved
 
 
 def save_model(spark: SparkSession, weights: dict[str, np.ndarray], metadata: dict, path: str) -> None:

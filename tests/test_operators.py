@@ -378,15 +378,15 @@ def test_saved_models_and_arguments(spark, tmp_path):
     heads = {"emotion": np.ones((2, 3)), **{d: np.ones((1, 3)) for d in M.DIMS}}
     R.save_parallel(spark, heads, config, str(tmp_path / "m"))
     w, meta = R.load_model(spark, str(tmp_path / "m"))
-    assert (w["emotion"] == 1).all() and Y.check_warm_start(meta, 4, ["a", "b"])["num_classes"] == 2
+    assert (w["emotion"] == 1).all() and Y.HeadsConfig.of(meta).continues(4, ["a", "b"]).num_classes == 2
     for hidden, labels in ((5, ["a", "b"]), (4, ["b", "a"])):
         with pytest.raises(ValueError):
-            Y.check_warm_start(meta, hidden, labels)
+            Y.HeadsConfig.of(meta).continues(hidden, labels)
     with pytest.raises(ValueError, match="valence"):
         R.save_parallel(spark, heads | {"valence": np.ones((1, 9))}, config, str(tmp_path / "x"))
     for bad in ({"model_type": "other"}, {"num_classes": 3}, {"dominance_status": "guessed"}, {"class_names": ["a"]}):
         with pytest.raises(ValueError):
-            Y.read_parallel_config({"model_type": "parallel_emotion_vad"} | config | bad)
+            Y.HeadsConfig.of({"model_type": Y.KIND} | config | bad)
     Y.check_training_arguments(0, 1, 1, 1, 0.1)
     with pytest.raises(ValueError, match="both loss weights 0; epochs"):
         Y.check_training_arguments(0, 0, 0, 1, 0.1)
