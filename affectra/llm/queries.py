@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, id_crc, table
+from .balltree import top_inner_products
+from .common import documents, id_crc, table, text_or_empty
 from .decontaminate import find_leaks
+from .fillmiddle import fill_in_middle, restored
 from .gifmedia import digests, stored
 from .linededup import remove_repeated_runs
 from .neardup import near_duplicates
 from .packing import pack_documents
+from .periods import periodic_runs
 from .rules import score, train
 from .sharding import shard
 from .substrings import remove_repeated_windows
@@ -142,5 +145,69 @@ FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
 
-QUERIES = {"op9_suffix_array": op9_suffix_array, "op4_quality": op4_quality, "op6_suffix_tree": op6_suffix_tree, "op10_neardup": op10_neardup, "op8_substrings": op8_substrings, "op1_pack": op1_pack, "op2_line_dedup": op2_line_dedup, "op3_gif": op3_gif, "op5_shard": op5_shard, "op7_decontaminate": op7_decontaminate}
-SQL: dict[str, str] = {"op8_substrings": OP8_SQL, "op2_line_dedup": OP2_SQL, "op5_shard": OP5_SQL, "op9_suffix_array": OP9_SQL, "op10_neardup": OP10_SQL}
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents parted in three by tokens and put in another order, with checksums of that and of the text made from it; null text is empty."""
+    got = fill_in_middle(documents(spark, sf_dir))
+    return got.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")).cast("binary"), 256).alias("restored_sha256"))
+
+
+OP11_SQL = r"""
+WITH x AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || CAST(doc_id AS VARCHAR)) AS k FROM documents),
+h AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS u,
+  ('0x' || substr(k, 1, 8))::BIGINT AS h1, ('0x' || substr(k, 9, 8))::BIGINT AS h2, ('0x' || substr(k, 17, 8))::BIGINT AS h3, ('0x' || substr(k, 25, 8))::BIGINT AS h4 FROM x),
+c AS (SELECT doc_id, t, u, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT doc_id, t, n, form, coalesce(array_to_string(list_slice(u, 1, a), ''), '') AS pre, coalesce(array_to_string(list_slice(u, a + 1, b), ''), '') AS mid, coalesce(array_to_string(list_slice(u, b + 1, n), ''), '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+def op12_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten greatest inner products of every hundredth vector with all others."""
+    got = top_inner_products(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+    return got.select("query_id", "rank", "vec_id", "score")
+
+
+OP12_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v) WHERE q.vec_id % 100 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Documents of which those whose crc32(doc_id) ends in 0 go on, from a word that it chooses, in repetitions of the words there."""
+    h = id_crc()
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    chosen = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("w")).withColumn("n", F.coalesce(F.size("w"), F.lit(0)).cast("long"))
+    g = F.floor(F.col("h") / 10)
+    rest = chosen.select("doc_id", "text", "w", "n", g.alias("g"), F.when(F.col("n") > 0, F.pmod(g, F.greatest("n", F.lit(1)))).alias("a")).withColumn("left", F.col("n") - F.col("a"))
+    p = (F.floor(F.col("left") / (3 + F.pmod("g", F.lit(8)))) + 1).cast("int")
+    a, left = F.col("a").cast("int"), F.col("left").cast("int")
+    again = F.flatten(F.array_repeat(F.slice("w", a + 1, p), F.ceil(F.col("left") / p).cast("int")))
+    return rest.select("doc_id", F.when(F.col("n") > 0, F.concat_ws(" ", F.slice("w", 1, a), F.slice(again, 1, left))).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, a tenth with planted repetitions: their periodic runs, the one of most periods, and what is left; null text has no words."""
+    got = periodic_runs(with_planted_runs(documents(spark, sf_dir)))
+    # length / period, compared exactly, then start and period
+    def order(x, y):
+        more, most = x["length"] * y["period"], y["length"] * x["period"]
+        return F.when(more > most, -1).when(more < most, 1).when(x["start"] != y["start"], F.signum(x["start"] - y["start"]).cast("int")).otherwise(F.signum(x["period"] - y["period"]).cast("int"))
+
+    best = got.withColumn("best", F.get(F.array_sort("runs", order), F.lit(0)))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), F.col("best.length").alias("length"), F.col("best.period").alias("period"),
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(line, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+QUERIES = {"op9_suffix_array": op9_suffix_array, "op4_quality": op4_quality, "op6_suffix_tree": op6_suffix_tree, "op10_neardup": op10_neardup, "op8_substrings": op8_substrings, "op1_pack": op1_pack, "op2_line_dedup": op2_line_dedup, "op3_gif": op3_gif, "op5_shard": op5_shard, "op7_decontaminate": op7_decontaminate, "op11_fill_middle": op11_fill_middle, "op12_ball_tree": op12_ball_tree, "op13_periodic_runs": op13_periodic_runs}
+SQL: dict[str, str] = {"op8_substrings": OP8_SQL, "op2_line_dedup": OP2_SQL, "op5_shard": OP5_SQL, "op9_suffix_array": OP9_SQL, "op10_neardup": OP10_SQL, "op11_fill_middle": OP11_SQL, "op12_ball_tree": OP12_SQL}
