@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows in a range of a running sum, on average.
-RANGE_ROWS = 1_000_000
+from affectra.functions.storage import written
 
 
 def _long(df: DataFrame, row: dict[str, object], value: str) -> DataFrame:
@@ -27,27 +30,29 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).withColumn("percent", F.bround(F.col("n") / F.lit(max(1, total)) * 100, 2))
 
 
-def places(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, value, start, stop, total): the 0-based places, start to stop - 1, of each distinct value among a column's sorted values.
+def order_statistics(df: DataFrame, columns: list[str], ranks: Callable[[Column], list[Column]]) -> DataFrame:
+    """(column, total, v0, v1, ...): the values at 0-based places among each column's sorted values that aren't null.
 
-    Running sums go range by range between approximate quantiles, which are
-    collected once: they deal out the work and don't touch the result.
+    ranks gives the places, from the column of totals; a place that isn't there
+    gives null. Distinct values with their counts are dealt to ranges in order,
+    as Spark samples them, and written, so that ranges and their sums agree;
+    only ranges that hold a wanted place are summed up within.
     """
-    k = 1 + df.count() // RANGE_ROWS
-    cuts = df.agg(*(F.percentile_approx(F.col(c).cast("double"), [i / k for i in range(1, k)], 10 * max(k, 1000)) for c in columns)).first() if k > 1 else [None] * len(columns)
     cells = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns)))
     counts = df.select(cells.alias("x")).select("x.*").where("value is not null").groupBy("column", "value").agg(F.count("*").alias("n"))
-    p = F.lit(0)
-    for c, at in zip(columns, cuts, strict=True):
-        if at:
-            bounds = F.array(*map(F.lit, sorted(set(at))))
-            p = F.when(F.col("column") == c, F.size(F.filter(bounds, lambda x: x < F.col("value")))).otherwise(p)
-    counts = counts.withColumn("p", p)
-    ranges = Window.partitionBy("column")  # k rows at most; joined unbroadcast, Spark would deal all rows by the column alone
-    before = ranges.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.groupBy("column", "p").agg(F.sum("n").alias("all")).select("column", "p", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("base"), F.sum("all").over(ranges).alias("total"))
+    ranges = written(counts.repartitionByRange("column", "value").withColumn("p", F.spark_partition_id()), "ranges")
+    column = Window.partitionBy("column")  # a row for each range
+    sums = ranges.groupBy("column", "p").agg(F.sum("n").alias("all"))
+    sums = sums.select("column", "p", "all", F.coalesce(F.sum("all").over(column.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.sum("all").over(column).alias("total"))
+    places = [r.cast("long") for r in ranks(F.col("total"))]
+    wanted = sums.select("column", "p", "base", "all", "total", *(r.alias(f"r{i}") for i, r in enumerate(places)))
+    within = lambda i: (F.col("base") <= F.col(f"r{i}")) & (F.col(f"r{i}") < F.col("base") + F.col("all"))
+    wanted = wanted.where(reduce(or_, (within(i) for i in range(len(places)))))  # a row a place at most
     stop = F.col("base") + F.sum("n").over(Window.partitionBy("column", "p").orderBy("value"))
-    return counts.join(F.broadcast(base), ["column", "p"]).select("column", "value", (stop - F.col("n")).alias("start"), stop.alias("stop"), "total")
+    placed = ranges.join(F.broadcast(wanted), ["column", "p"]).withColumn("stop", stop)
+    at = lambda i: (F.col("stop") - F.col("n") <= F.col(f"r{i}")) & (F.col(f"r{i}") < F.col("stop"))
+    values = placed.groupBy("column").agg(*(F.max(F.when(at(i), F.col("value"))).alias(f"v{i}") for i in range(len(places))))
+    return sums.groupBy("column").agg(F.max("total").alias("total")).join(F.broadcast(values), "column", "left")
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -56,17 +61,16 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     wide = df.agg(*(f(F.col(c)).alias(f"{k}|{c}") for c in columns for k, f in stats.items()))
     rows = wide.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), *(F.col(f"`{k}|{c}`").alias(k) for k in stats)) for c in columns))).alias("x")).select("x.*")
 
-    def quantile(q: float):
-        at = (F.col("total") - 1) * q
-
-        def value(i):
-            return F.max(F.when((F.col("start") <= i) & (i < F.col("stop")), F.col("value")))
+    quantiles = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    at = lambda total, q: (total - 1) * q
+    found = order_statistics(df, columns, lambda total: [f(at(total, q)) for q in quantiles.values() for f in (F.floor, F.ceil)])
 
-        part = F.max(at - F.floor(at))
-        return (1 - part) * value(F.floor(at)) + part * value(F.ceil(at))
+    def quantile(i: int, q: float) -> Column:
+        part = at(F.col("total"), q) - F.floor(at(F.col("total"), q))
+        return (1 - part) * F.col(f"v{2 * i}") + part * F.col(f"v{2 * i + 1}")
 
-    quartiles = places(df, columns).groupBy("column").agg(quantile(0.25).alias("q25"), quantile(0.5).alias("q50"), quantile(0.75).alias("q75"))
-    return rows.join(quartiles, "column", "left").select("column", "n", "mean", "std", "min", "q25", "q50", "q75", "max")
+    quartiles = found.select("column", *(quantile(i, q).alias(k) for i, (k, q) in enumerate(quantiles.items())))
+    return rows.join(F.broadcast(quartiles), "column", "left").select("column", "n", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def skew_kurtosis(df: DataFrame, column: str) -> DataFrame:

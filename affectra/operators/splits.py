@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .profile import places
+from .profile import order_statistics
 
 
 def loso(df: DataFrame, session: str = "session") -> DataFrame:
@@ -45,9 +45,8 @@ def by_speaker(df: DataFrame, speaker: str, label: str, valid: float, test: floa
         def h(c: str, draw: int = draw):
             return F.pmod(F.xxhash64(F.col(c), F.lit(seed), F.lit(draw)), F.lit(1 << 52))  # exact as a double
 
-        at = places(names.select(h("s").alias("h")), ["h"])
-        first, last = (F.max(F.when((F.col("start") <= i) & (i < F.col("stop")), F.col("value"))) for i in (n_test - 1, n_test + n_valid - 1))
-        low, high = map(int, at.agg(first, last).first())
+        at = order_statistics(names.select(h("s").alias("h")), ["h"], lambda _: [F.lit(n_test - 1), F.lit(n_test + n_valid - 1)]).first()
+        low, high = int(at.v0), int(at.v1)
         if pairs.where(h("s") > high).select("e").distinct().count() == labels:
             return df.withColumn("split", F.when(h(speaker) <= low, "test").when(h(speaker) <= high, "valid").otherwise("train"))
     raise ValueError("no split covers every label in training")
@@ -107,19 +106,31 @@ def by_row(df: DataFrame, key: str, valid: float, seed: int, test: float = 0.0)
     """
     h = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 52))  # exact as a double
     n_valid, n_test = _bounds(df.count(), valid, test)
-    at = places(df.select(h.alias("h")), ["h"])
-    first, last = (F.max(F.when((F.col("start") <= i) & (i < F.col("stop")), F.col("value"))) for i in (n_test - 1, n_test + n_valid - 1))
-    low, high = (-1 if x is None else int(x) for x in at.agg(first, last).first())
+    at = order_statistics(df.select(h.alias("h")), ["h"], lambda _: [F.lit(n_test - 1), F.lit(n_test + n_valid - 1)]).first()
+    low, high = (-1 if x is None else int(x) for x in ((at.v0, at.v1) if at else (None, None)))
     return df.withColumns({"split": F.when(h <= low, "test").when(h <= high, "valid").otherwise("train"), "leaky": F.lit(True)})
 
 
+def train_share(df: DataFrame, key: str, seed: int, share: float = 0.8) -> DataFrame:
+    """train for the first floor(share * n) rows by a seeded hash of the key, valid for the others; speakers may be in both, so leaky is true.
+
+    Rows of equal key go together. share lies between 0 and 1.
+    """
+    if not 0 <= share <= 1:
+        raise ValueError(f"share {share} is not between 0 and 1")
+    h = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 52))
+    at = order_statistics(df.select(h.alias("h")), ["h"], lambda total: [F.floor(F.lit(float(share)) * total) - 1]).first()
+    last = -1 if at is None or at.v0 is None else int(at.v0)
+    return df.withColumns({"split": F.when(h <= last, "train").otherwise("valid"), "leaky": F.lit(True)})
+
+
 def exact_sample(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
     """k rows by a seeded hash of the key (all, if there are no more); only the bounding hash reaches the driver. Rows of equal key go together."""
     h = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 52))
     if k <= 0:
         return df.limit(0)
-    last = places(df.select(h.alias("h")), ["h"]).agg(F.max(F.when(F.col("start") < k, F.col("value")))).first()[0]
-    return df if last is None else df.where(h <= int(last))
+    at = order_statistics(df.select(h.alias("h")), ["h"], lambda _: [F.lit(k - 1)]).first()
+    return df if at is None or at.v0 is None else df.where(h <= int(at.v0))
 
 
 def by_row_drawn(df: DataFrame, index: str, seed: int = 42, valid: float = 0.1, test: float = 0.1) -> DataFrame:

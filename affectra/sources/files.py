@@ -384,10 +384,25 @@ def joined_sessions(sessions: list[DataFrame]) -> DataFrame:
     return out
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """A folder of CSV files with a header each, which a byte order mark begins."""
-    first = df.columns[0]
-    df.withColumnRenamed(first, "\ufeff" + first).write.mode("overwrite").csv(path, header=True)
+def write_csv(df: DataFrame, path: str, order: list[str] | None = None) -> None:
+    """One CSV file at path, with a header that a byte order mark begins; folders above it are made.
+
+    Rows come in the order of the columns named, else in the order that df has.
+    A table of predictions is small: one task writes it, to a folder beside, and
+    the file takes its name when it is whole.
+    """
+    import uuid
+
+    from affectra.functions.storage import Path
+
+    spark, first = df.sparkSession, df.columns[0]
+    rows = df.repartition(1).sortWithinPartitions(*order) if order else df.coalesce(1)
+    beside = f"{path}.{uuid.uuid4().hex}"
+    try:
+        rows.withColumnRenamed(first, "\ufeff" + first).write.csv(beside, header=True, emptyValue="")
+        Path(spark, Path(spark, beside).children(".csv")[0]).move(path)
+    finally:
+        Path(spark, beside).delete()
 
 
 def write_normalized(df: DataFrame, columns: list[str], path: str) -> str:

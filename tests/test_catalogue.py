@@ -1,6 +1,7 @@
 """Every catalogue query with SQL against DuckDB; the others keep their invariants."""
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -21,7 +22,8 @@ def duck():
 
 def rows(df):
     df = df[sorted(df.columns)]
-    return sorted(tuple("" if pd.isna(x) else f"{x:.6g}" if isinstance(x, float) else str(x) for x in r) for r in df.astype(object).itertuples(index=False, name=None))
+    empty = lambda x: pd.api.types.is_scalar(x) and pd.isna(x)
+    return sorted(tuple("" if empty(x) else f"{x:.6g}" if isinstance(x, float) else str(list(x)) if isinstance(x, np.ndarray) else str(x) for x in r) for r in df.astype(object).itertuples(index=False, name=None))
 
 
 def number(r):

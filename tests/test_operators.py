@@ -4,6 +4,7 @@ import struct
 import wave
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -230,10 +231,18 @@ def test_folds_train_on_rows_of_many_tasks(spark):
     assert H.train_folds(rows.limit(0), 3).count() == 0 and set(H.train_folds(rows.where("fold < 2"), 3, epochs=2).toPandas().fold) == {0, 1}
 
 
-def test_quartiles_of_many_ranges(spark, monkeypatch):
+@pytest.fixture
+def many_ranges(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "17")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_quartiles_of_many_ranges(spark, many_ranges):
     from affectra.operators import profile as P
 
-    monkeypatch.setattr(P, "RANGE_ROWS", 50)
     r = np.random.default_rng(2)
     a, b = r.normal(size=701), r.integers(0, 5, 701)
     df = spark.createDataFrame([(float(u), int(v) if v else None, None) for u, v in zip(a, b, strict=True)], "a double, b int, c double")
@@ -242,6 +251,39 @@ def test_quartiles_of_many_ranges(spark, monkeypatch):
         assert np.allclose([got[c].q25, got[c].q50, got[c].q75], np.quantile(v, [0.25, 0.5, 0.75])) and got[c].n == len(v)
     assert got["c"].n == 0 and got["c"].q50 is None
     assert "percentile(" not in P.describe(df, ["a"])._jdf.queryExecution().toString()
+    got = P.order_statistics(df, ["a", "b", "c"], lambda total: [F.lit(0), total - 1, total, F.lit(-1), F.floor(total / 3)]).collect()
+    assert {x["column"]: tuple(x)[1:] for x in got} == {c: (len(v), v[0], v[-1], None, None, v[len(v) // 3]) for c, v in (("a", sorted(a.tolist())), ("b", sorted(b[b > 0].tolist())))}
+
+
+def test_shares_of_rows_are_floors(spark, many_ranges):
+    for n, share in ((0, 0.8), (1, 0.8), (9, 0.8), (101, 0.8), (7, 0.0), (7, 1.0)):
+        got = S.train_share(spark.range(n), "id", 3, share).collect()
+        assert sum(r.split == "train" for r in got) == int(share * n) and len(got) == n and all(r.leaky for r in got)
+    df = spark.range(500)
+    pick = lambda seed: {r.id for r in S.train_share(df, "id", seed).where("split = 'valid'").collect()}
+    assert pick(1) == pick(1) != pick(2)
+    with pytest.raises(ValueError, match="share"):
+        S.train_share(df, "id", 1, 1.5)
+
+
+def test_epoch_orders_are_seeded(spark):
+    df = spark.range(300).repartition(5)
+    order = lambda seed, epoch: [r.id for r in S.epoch_order(df, "id", seed, epoch).collect()]
+    assert order(1, 1) == order(1, 1) and len({tuple(order(s, e)) for s, e in ((1, 1), (1, 2), (2, 1))}) == 3 and sorted(order(1, 2)) == list(range(300))
+
+
+def test_one_csv_file_replaces_another_when_it_is_whole(spark, tmp_path):
+    path = str(tmp_path / "made" / "p.csv")
+    df = spark.createDataFrame([(i, f"x,{i}\n", "") for i in range(50)], "a long, b string, warning string").repartition(7)
+    R.write_csv(df, path, ["a"])
+    first = (tmp_path / "made" / "p.csv").read_text("utf-8-sig")
+    assert first.splitlines()[0] == "a,b,warning" and pd.read_csv(path, keep_default_na=False).a.tolist() == list(range(50))
+    broken = df.withColumn("a", F.when(F.col("a") < 49, F.col("a")).otherwise(F.raise_error(F.lit("lost")).cast("long")))
+    with pytest.raises(Exception, match="lost"):
+        R.write_csv(broken, path)
+    assert (tmp_path / "made" / "p.csv").read_text("utf-8-sig") == first and len([f for f in (tmp_path / "made").iterdir() if not f.name.startswith(".")]) == 1
+    R.write_csv(df.limit(0), path)
+    assert (tmp_path / "made" / "p.csv").read_bytes() == "\ufeffa,b,warning\n".encode()
 
 
 def test_speaker_split_has_exact_shares_and_no_table_of_speakers(spark):
@@ -361,7 +403,7 @@ def test_sinks_and_probes(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "m")).collect()] == ["/r", "x/a.wav\t4", "b.wav\t5"]
     assert [r.utt_idx for r in R.joined_sessions([m, m]).orderBy("utt_idx").collect()] == [0, 1, 2, 3]
     R.write_csv(spark.createDataFrame([("é", 1.5)], "a string, b double"), str(tmp_path / "t.csv"))
-    text = next((tmp_path / "t.csv").glob("part-*.csv")).read_bytes()
+    text = (tmp_path / "t.csv").read_bytes()
     assert text == "\ufeffa,b\né,1.5\n".encode() and R.read_csv(spark, str(tmp_path / "t.csv")).columns == ["a", "b"]
     to = R.write_normalized(spark.createDataFrame([(1.0,), (5.0,)], "v double"), ["v"], str(tmp_path / "n.csv"))
     assert to.endswith("n_normalized.csv") and sorted(r.v for r in R.read_csv(spark, to).collect()) == ["0.0", "1.0"]
