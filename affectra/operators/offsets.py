@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from affectra.functions.storage import Tables
+
 #: Keys in a block of the first level, and blocks in a block of each level above.
 BLOCK = 4096
 
@@ -32,3 +34,16 @@ def offsets(lengths: DataFrame, key: str = "utt_idx", levels: int = 1) -> DataFr
     before = _before(lengths.groupBy(b.alias("b")).agg(F.sum("n_frames").alias("n")), levels)
     rows = lengths.select(key, "n_frames", b.alias("b")).withColumn("i", F.coalesce(F.sum("n_frames").over(inner), F.lit(0)))
     return rows.join(before, "b").select(key, "n_frames", (F.col("i") + F.col("o")).alias("frame_offset"))
+
+
+def ranked(df: DataFrame, order: list[str], tables: Tables, rank: str = "rank") -> DataFrame:
+    """df with the 0-based place of each row in the order of columns that tell all rows apart.
+
+    Rows are dealt to ranges in order and written once, so that ranges and their
+    counts agree; a window holds one range, or a count a range.
+    """
+    ranges = tables.put(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranked")
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    base = ranges.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return ranges.join(F.broadcast(base), "_p").withColumn(rank, F.col("_base") + place - 1).drop("_p", "_base")
