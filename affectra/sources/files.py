@@ -7,7 +7,6 @@ small; frames are read by ranges of rows.
 
 from __future__ import annotations
 
-import ast
 import json
 import struct
 from dataclasses import asdict
@@ -139,39 +138,11 @@ def read_annotations(spark: SparkSession, path: str, names: dict[str, str], audi
     return raw.withColumns({c: F.col(c).cast("double") for c in ("valence", "arousal", "dominance")}).withColumn("audio_path", transforms.absolute(F.col("audio"), audio_dir))
 
 
-def _header(head: bytes) -> tuple[tuple[int, ...], np.dtype, int, bool]:
-    """Shape, type, size of the header and column order of an .npy file."""
-    if head[:6] != b"\x93NUMPY":
-        raise ValueError("not an .npy file")
-    wide = head[6] >= 2
-    n = struct.unpack_from("<I" if wide else "<H", head, 8)[0]
-    start = 12 if wide else 10
-    d = ast.literal_eval(head[start : start + n].decode("latin1"))
-    return d["shape"], np.dtype(d["descr"]), start + n, d["fortran_order"]
-
-
 def read_frames(spark: SparkSession, path: str, width: int = 768, rows: int = 4096) -> DataFrame:
-    """(row, feat) of a two-dimensional .npy matrix, in ranges of rows.
+    """(row, feat) of a two-dimensional .npy matrix, in ranges of rows, from wherever Arrow reads."""
+    from .npy import read_matrix
 
-    Each range is a task that seeks to its rows; path is on a file system that
-    all executors mount (binaryFile tables serve object stores).
-    """
-    with open(path, "rb") as f:
-        shape, dtype, at, fortran = _header(f.read(4096))
-    if len(shape) != 2 or shape[1] != width or fortran:
-        raise ValueError(f"{path}: {shape} is not (frames, {width}) in row order")
-    ship(spark)
-
-    def run(batches):
-        for b in batches:
-            for start in b.column(0).to_pylist():
-                n = min(rows, shape[0] - start)
-                a = np.fromfile(path, dtype=dtype, count=n * width, offset=at + start * width * dtype.itemsize).astype(np.float32)
-                feat = pa.FixedSizeListArray.from_arrays(pa.array(a), width).cast(pa.list_(pa.float32()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(start, start + n)), feat], names=["row", "feat"])
-
-    n = -(-shape[0] // rows)
-    return spark.range(0, n * rows, rows, numPartitions=max(1, n)).mapInArrow(run, "row long, feat array<float>")
+    return read_matrix(spark, path, width, rows)
 
 
 def read_prefix(spark: SparkSession, prefix: str, width: int = 768, shortest: int = 1, longest: int | None = None, mixed: bool = False, labels: tuple[str, ...] = LABELS, emotions: bool = True) -> DataFrame:
@@ -247,24 +218,40 @@ def wav_folder(spark: SparkSession, folder: str) -> DataFrame:
     return found.orderBy("path")
 
 
-def probe_wavs(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, channels, sample_rate, sample_width, n_samples, error) from the headers alone; no sample is decoded."""
-    import io
-    import wave
+def wav_header(path: str) -> tuple:
+    """(channels, sample_rate, sample_width, n_samples, error) of a WAV file, of which only the heads of its chunks are read."""
+    from .stores import opened
 
-    ship(spark)
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(folder).select("path", "content")
+    try:
+        with opened(path) as f:
+            head, at, end = f.read_at(12, 0), 12, f.size()
+            if head[:4] != b"RIFF" or head[8:] != b"WAVE":
+                raise ValueError("no RIFF WAVE file")
+            kind = None
+            while at + 8 <= end:
+                name, n = struct.unpack("<4sI", f.read_at(8, at))
+                if name == b"fmt ":
+                    kind = struct.unpack("<HHIIHH", f.read_at(16, at + 8))
+                    if kind[0] not in (1, 0xFFFE):
+                        raise ValueError(f"format {kind[0]} is not PCM")
+                elif name == b"data":
+                    if kind is None or not kind[4]:
+                        raise ValueError("no format before the samples")
+                    return kind[1], kind[2], (kind[5] + 7) // 8, min(n, end - at - 8) // kind[4], None
+                at += 8 + n + n % 2
+            raise ValueError("no samples")
+    except (OSError, ValueError, struct.error) as e:
+        return None, None, None, None, f"unreadable: {e}"
 
-    def head(content: bytes) -> tuple:
-        try:
-            with wave.open(io.BytesIO(content)) as w:
-                return w.getnchannels(), w.getframerate(), w.getsampwidth(), w.getnframes(), None
-        except (wave.Error, EOFError) as e:
-            return None, None, None, None, f"unreadable: {e}"
+
+def probe_wavs(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, channels, sample_rate, sample_width, n_samples, error) from the heads of chunks: bytes read don't grow with the files."""
+    ship(spark)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(folder).select("path")
 
     def run(batches):
         for b in batches:
-            rows = [(p, *head(c)) for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            rows = [(p, *wav_header(p)) for p in b.column(0).to_pylist()]
             kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], names=["path", "channels", "sample_rate", "sample_width", "n_samples", "error"])
 
@@ -337,8 +324,32 @@ def cached_features(wavs: DataFrame, cache: str, encoder: str, extractor=spectra
 # sinks
 
 
+def _as_file(spark: SparkSession, path: str, suffix: str, write) -> None:
+    """One file at path: write(folder) makes it in a folder beside, and it takes its name when it is whole."""
+    import uuid
+
+    from affectra.functions.storage import Path
+
+    beside = f"{path}.{uuid.uuid4().hex}"
+    try:
+        write(beside)
+        Path(spark, Path(spark, beside).children(suffix)[0]).move(path)
+    finally:
+        Path(spark, beside).delete()
+
+
+def _in_order(df: DataFrame, order: list[str]) -> DataFrame:
+    return df.repartition(1).sortWithinPartitions(*order)
+
+
+def write_file(df: DataFrame, line: Column, order: list[str], path: str) -> None:
+    """One text file in order; label files are small."""
+    rows = _in_order(df.select(*order, line.alias("value")), order).select("value")
+    _as_file(df.sparkSession, path, ".txt", lambda to: rows.write.text(to))
+
+
 def write_lines(df: DataFrame, line: Column, order: str, path: str) -> None:
-    """One ordered text file; label files are small."""
+    """One ordered text file in a folder; label files are small."""
     df.select(order, line.alias("value")).repartitionByRange(1, order).sortWithinPartitions(order).select("value").write.mode("overwrite").text(path)
 
 
@@ -347,12 +358,18 @@ def write_lengths(df: DataFrame, path: str) -> None:
 
 
 def write_labels(df: DataFrame, emotions: str, vad: str) -> dict:
-    """The tab-separated emotion file and the space-separated label file, in the same order; written and skipped counts."""
-    ok = df.where(F.col("label").isNotNull() & F.col("valence").isNotNull() & F.col("arousal").isNotNull())
-    write_lines(ok, F.concat_ws("\t", "utt_id", "label"), "utt_idx", emotions)
-    write_lines(ok, F.concat_ws(" ", "utt_id", F.col("valence").cast("string"), F.col("arousal").cast("string")), "utt_idx", vad)
-    n = ok.count()
-    return {"written": n, "skipped": df.count() - n}
+    """The tab-separated emotion file and the space-separated label file, in the same order; written and skipped counts.
+
+    Each file is one job; the counts are observed while the first is written.
+    """
+    from pyspark.sql import Observation
+
+    whole = F.col("label").isNotNull() & F.col("valence").isNotNull() & F.col("arousal").isNotNull()
+    seen = Observation()
+    counted = df.observe(seen, F.count_if(whole).alias("written"), F.count_if(~whole).alias("skipped"))
+    write_file(counted.where(whole), F.concat_ws("\t", "utt_id", "label"), ["utt_idx"], emotions)
+    write_file(df.where(whole), F.concat_ws(" ", "utt_id", F.col("valence").cast("string"), F.col("arousal").cast("string")), ["utt_idx"], vad)
+    return {k: seen.get[k] for k in ("written", "skipped")}
 
 
 def write_json(payload: dict, path: str | None = None) -> str:
@@ -388,21 +405,12 @@ def write_csv(df: DataFrame, path: str, order: list[str] | None = None) -> None:
     """One CSV file at path, with a header that a byte order mark begins; folders above it are made.
 
     Rows come in the order of the columns named, else in the order that df has.
-    A table of predictions is small: one task writes it, to a folder beside, and
-    the file takes its name when it is whole.
+    A table of predictions is small: one task writes it.
     """
-    import uuid
-
-    from affectra.functions.storage import Path
-
-    spark, first = df.sparkSession, df.columns[0]
-    rows = df.repartition(1).sortWithinPartitions(*order) if order else df.coalesce(1)
-    beside = f"{path}.{uuid.uuid4().hex}"
-    try:
-        rows.withColumnRenamed(first, "\ufeff" + first).write.csv(beside, header=True, emptyValue="")
-        Path(spark, Path(spark, beside).children(".csv")[0]).move(path)
-    finally:
-        Path(spark, beside).delete()
+    first = df.columns[0]
+    rows = _in_order(df, order) if order else df.coalesce(1)
+    named = rows.withColumnRenamed(first, "\ufeff" + first)
+    _as_file(df.sparkSession, path, ".csv", lambda to: named.write.csv(to, header=True, emptyValue=""))
 
 
 def write_normalized(df: DataFrame, columns: list[str], path: str) -> str:
