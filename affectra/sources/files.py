@@ -258,6 +258,12 @@ def probe_wavs(spark: SparkSession, folder: str) -> DataFrame:
     return found.mapInArrow(run, "path string, channels int, sample_rate int, sample_width int, n_samples long, error string")
 
 
+def faults(probed: DataFrame, rate: int | None = 16000) -> DataFrame:
+    """probed with the first fault of each file as its error: unreadable, sample width, channels, rate, or no samples."""
+    rules = ((F.col("sample_width").isin(1, 2, 4), "sample width"), (F.col("channels") == 1, "not mono"), (F.lit(rate is None) | (F.col("sample_rate") == F.lit(rate)), "sample rate"), (F.col("n_samples") > 0, "empty"))
+    return probed.withColumn("error", F.coalesce("error", *(F.when(~ok, text) for ok, text in rules)))
+
+
 def refuse_bad_audio(wavs: DataFrame, most: int = 20) -> DataFrame:
     """wavs, or one error that names its unreadable files, the first `most` by path."""
     bad = wavs.where("error is not null").orderBy("path").select("path", "error").limit(most).collect()
@@ -291,36 +297,20 @@ def extract(wavs: DataFrame, extractor=spectral, normalise: bool = False) -> Dat
 
     normalise: samples less their mean over their deviation first.
     """
+    from .encoders import normalised
+
     ship(wavs.sparkSession)
 
     def run(batches):
         for b in batches:
             for p, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = np.asarray(s, dtype=np.float64)
-                if normalise and len(s):
-                    s = (s - s.mean()) / np.sqrt(s.var() + 1e-5)
-                a = np.asarray(extractor(s), dtype=np.float32)
+                a = np.asarray(extractor(normalised(s) if normalise else s), dtype=np.float32)
                 yield pa.RecordBatch.from_arrays([pa.array([p] * len(a)), pa.array(range(len(a)), pa.int32()), pa.array(list(a), pa.list_(pa.float32()))], names=["path", "frame_idx", "feat"])
 
     return wavs.where("error is null").select("path", "samples").mapInArrow(run, "path string, frame_idx int, feat array<float>")
 
 
-def cached_features(wavs: DataFrame, cache: str, encoder: str, extractor=spectral) -> DataFrame:
-    """Features by content key from a Parquet table, which is filled with what it lacks."""
-    from pyspark.errors import AnalysisException
-
-    keyed = wavs.where("error is null").withColumn("cache_key", F.sha2(F.concat_ws("|", F.md5(F.to_json("samples")), F.lit(encoder)), 256))
-    spark = wavs.sparkSession
-    try:
-        have = spark.read.parquet(cache)
-        missing = keyed.join(have.select("cache_key").distinct(), "cache_key", "left_anti")
-    except AnalysisException:
-        missing = keyed
-    made = extract(missing.dropDuplicates(["cache_key"]).withColumn("path", F.col("cache_key")), extractor).withColumnRenamed("path", "cache_key")
-    made.write.mode("append").parquet(cache)
-    return keyed.select("path", "cache_key").join(spark.read.parquet(cache), "cache_key")
-
-
 # sinks
 
 

@@ -150,12 +150,8 @@ def test_wavs(spark, tmp_path):
     assert set(got) == set("abcdef")
     assert np.allclose(got["a"].samples, ramp / 32768) and got["b"].samples == [-1.0, 0.0, 0.9921875] and got["c"].samples == [-1.0, 0.5]
     assert got["d"].error == "sample width" and got["e"].error == "not mono" and got["f"].error.startswith("unreadable")
-    wavs = R.read_wavs(spark, str(tmp_path))
-    f = R.cached_features(wavs, str(tmp_path / "cache"), "demo")
+    f = R.extract(R.read_wavs(spark, str(tmp_path)))
     assert f.where(F.col("path").endswith("a.wav")).count() == 40 and f.where(F.size("feat") != 768).count() == 0
-    n = spark.read.parquet(str(tmp_path / "cache")).count()
-    R.cached_features(wavs, str(tmp_path / "cache"), "demo")
-    assert spark.read.parquet(str(tmp_path / "cache")).count() == n
 
 
 def test_annotations(spark, tmp_path):
