@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 
 from affectra.plans import catalogue as C
-from affectra.plans import more  # noqa: F401
+from affectra.plans import more, training  # noqa: F401
 from tests.conftest import DATA
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -56,3 +56,13 @@ def test_heads_learn(spark):
         f = f.sort_values("epoch")
         assert f.train_loss.iloc[-1] < f.train_loss.iloc[0]
     assert h.fold.nunique() == 5
+
+
+@pytest.mark.parametrize("name", ["train_separate_heads", "train_mediated_heads", "train_two_stages"])
+def test_networks_learn(spark, name):
+    h = C.QUERIES[name](spark, DATA).toPandas()
+    stages = h.groupby("stage") if "stage" in h else [(1, h)]
+    for stage, part in stages:
+        measure = {1: "loss", 2: "emotion_loss"}[stage]
+        loss = part[(part.part == "train") & (part.measure == measure)].sort_values("epoch").value
+        assert len(loss) >= 2 and loss.iloc[-1] < loss.iloc[0], (name, stage)
