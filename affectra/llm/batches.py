@@ -25,7 +25,7 @@ from .common import text_bytes, text_or_empty, written
 
 #: Bytes of text in a batch, and hashes in a bucket on average.
 BATCH_BYTES, BUCKET_HASHES = 6 << 20, 1_000_000
-#: Batches whose beginnings are collected and compared with; more are joined.
+#: Batches whose beginnings are collected and bisected; more are joined.
 CUTS = 1 << 16
 #: What a row counts besides its text, so that empty ones are bounded too; bytes of text in a range of the running sum.
 ROW_BYTES, RANGE_BYTES = 16, 64 << 20
@@ -102,7 +102,7 @@ def batched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ext
     batches like others; so do rows equal in id and text, which are counted and
     dealt out again: only a single text makes a batch larger than BATCH_BYTES
     and the text that it ends with. Up to CUTS batches the keys that begin them
-    are collected and a row finds its batch by comparison; beyond that rows are
+    are collected and a row finds its batch by bisection; beyond that rows are
     joined with their keys.
     """
     ship(docs.sparkSession)
@@ -132,21 +132,36 @@ def batched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ext
     return parts.selectExpr(*columns).unionByName(dealt.selectExpr(*columns)), total
 
 
+class Cuts:
+    """The keys (d, h) that begin batches, in order; null d is the smallest."""
+
+    def __init__(self, cuts: list[tuple]):
+        self.b = np.array([0, *(c[2] for c in cuts)], dtype=np.int64)
+        self.d = np.unique(np.array([c[0] for c in cuts if c[0] is not None], dtype=np.int64))
+        self.h = np.unique(np.array([c[1] for c in cuts], dtype=np.int64))
+        null = np.array([c[0] is None for c in cuts], dtype=bool)
+        self.keys = self._key(np.array([c[0] or 0 for c in cuts], dtype=np.int64), null, np.array([c[1] for c in cuts], dtype=np.int64))
+
+    def _key(self, d: np.ndarray, null: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Numbers in order of keys, as far as cuts tell them apart: even places are ids of cuts (0: null), where the hash counts."""
+        place = np.where(null, 0, 1 + np.searchsorted(self.d, d) + np.searchsorted(self.d, d, side="right"))
+        among = np.searchsorted(self.h, h, side="right")
+        return place * (len(self.h) + 1) + np.where(null | (place % 2 == 0), among, 0)
+
+    def batch(self, d: np.ndarray, null: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The batch of the last cut at or below each key; 0 below all."""
+        return self.b[np.searchsorted(self.keys, self._key(d, null, h), side="right")]
+
+
 def _place(cuts: list[tuple]) -> Column:
-    """The batch of the last cut at or below (d, h), by balanced trees of comparisons."""
-    d, h = F.col("d"), F.col("h")
+    """The batch of (d, h), by bisection among the cuts; the text stays where it is, only keys go to Python."""
+    held = Cuts(cuts)
 
-    def tree(cuts: list[tuple], below: int) -> Column:
-        if not cuts:
-            return F.lit(below)
-        mid = len(cuts) // 2
-        cd, ch, b = cuts[mid]
-        reached = h >= ch if cd is None else (d > cd) | ((d == cd) & (h >= ch))
-        return F.when(reached, tree(cuts[mid + 1 :], b)).otherwise(tree(cuts[:mid], below))
+    @F.arrow_udf("long")
+    def place(d: pa.Array, h: pa.Array) -> pa.Array:
+        return pa.array(held.batch(d.fill_null(0).to_numpy(), d.is_null().to_numpy(zero_copy_only=False), h.to_numpy()))
 
-    nulls = [c for c in cuts if c[0] is None]
-    rest = cuts[len(nulls) :]
-    return F.when(d.isNull(), tree(nulls, 0)).otherwise(tree(rest, nulls[-1][2] if nulls else 0))
+    return place("d", "h")
 
 
 _zip, _unzip = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
@@ -185,11 +200,18 @@ def buckets(total_hashes: int) -> int:
 
 
 def split(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of each bucket in sorted hashes, bucket by bucket, and the buckets' numbers."""
-    if not bits:
-        return np.array([0, len(h)]), np.array([0])
-    at = np.searchsorted(h, np.arange(1 << bits, dtype=np.uint64) << U(64 - bits))
-    return np.append(at, len(h)), np.arange(1 << bits)
+    """Bounds of the buckets that have any of the sorted hashes, and their numbers: work in proportion to the hashes, however many buckets there are."""
+    if not len(h):
+        return np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    name = h >> U(64 - bits) if bits else np.zeros(len(h), dtype=np.uint64)
+    at = np.concatenate([[0], np.flatnonzero(name[1:] != name[:-1]) + 1, [len(h)]])
+    return at, name[at[:-1]].astype(np.int64)
+
+
+def begins(h: np.ndarray, bits: int, names: list[int]) -> np.ndarray:
+    """Where the buckets of these numbers begin in the sorted hashes."""
+    k = np.array(names, dtype=np.uint64)
+    return np.searchsorted(h, k << U(64 - bits)) if bits else np.zeros(len(k), dtype=np.int64)
 
 
 def firsts(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -215,7 +237,7 @@ def send(docs: DataFrame, hashes: Callable[[list, list[bytes]], tuple[np.ndarray
         place, _ = firsts(h)
         s, c = h[place], check[place].astype(np.uint32)
         at, names = split(s, bits)
-        out = [(int(k), int(z - a), pack(np.diff(s[a:z], prepend=U(0))), c[a:z].tobytes()) for k, a, z in zip(names, at[:-1], at[1:], strict=True) if z > a]
+        out = [(int(k), int(z - a), pack(np.diff(s[a:z], prepend=U(0))), c[a:z].tobytes()) for k, a, z in zip(names, at[:-1], at[1:], strict=True)]
         b = table.column("b")[0].as_py()
         return pa.table({"k": pa.array([x[0] for x in out], pa.int32()), "b": pa.array([b] * len(out), pa.int32()), "n": pa.array([x[1] for x in out], pa.int32()), "h": pa.array([x[2] for x in out], pa.binary()), "c": pa.array([x[3] for x in out], pa.binary())})
 
@@ -250,10 +272,10 @@ def flagged(h: np.ndarray, bits: int, answers: pa.Table) -> tuple[np.ndarray, np
     """For a batch's hashes, in order: whether the hash was answered, and whether it came before in the batch."""
     place, later = firsts(h)
     s = h[place]
-    at, _ = split(s, bits)
+    names = answers.column("k").to_pylist()
     hit = np.zeros(len(s), dtype=bool)
-    for k, p in zip(answers.column("k").to_pylist(), answers.column("p").to_pylist(), strict=True):
-        hit[at[k] + np.frombuffer(p, dtype=np.uint32).astype(np.int64)] = True
+    for at, p in zip(begins(s, bits, names).tolist(), answers.column("p").to_pylist(), strict=True):
+        hit[at + np.frombuffer(p, dtype=np.uint32).astype(np.int64)] = True
     # spread from the first of each hash to all
     out = np.zeros(len(h), dtype=bool)
     if len(h):

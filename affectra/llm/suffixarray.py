@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import BASES, BYTES, U, answer, batched, buckets, expand, flagged, mix, pack, powers, rolling, rows_of, send, squeeze, unpack
+from .batches import BASES, BYTES, U, answer, batched, begins, buckets, expand, flagged, mix, pack, powers, rolling, rows_of, send, split, squeeze, unpack
 
 #: Bytes in an anchor's gram, and bytes of stretches in a bucket, on average.
 GRAM, BUCKET_BYTES = 24, 1 << 19
@@ -193,26 +193,21 @@ def remove_earlier_strings(docs: DataFrame, length: int = 50, id_col: str = "doc
         hit[order[:-1][same]] = True
         return ids, texts, s, s.distinct(hit)
 
-    def places(s: Stretches, which: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        first = which[new]
-        h = s.h[first]
-        return first, np.searchsorted(h, np.arange(1 << wide, dtype=np.uint64) << U(64 - wide)) if wide else np.array([0])
-
     def stretch(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["k", "b", "low", "ids", "windows", "data"]
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         if not left.num_rows:
             return pa.table({n: pa.array([], t) for n, t in zip(names, kinds, strict=True)})
         _, _, s, (which, new, _) = marked(left, right)
-        first, at = places(s, which, new)
+        first = which[new]
         rows = []
-        for k, (a, z) in enumerate(zip(at, np.append(at[1:], len(first)), strict=True)):
-            if z > a:
-                f = first[a:z]
-                size = s.windows[f] + length - 1
-                index = np.repeat(s.start[f] - np.cumsum(size) + size, size) + np.arange(size.sum())
-                low = s.id[f].min()
-                rows.append((k, left.column("b")[0].as_py(), int(low.view(np.int64)), pack(s.id[f] - low), squeeze(s.windows[f].astype(np.uint8).tobytes()), squeeze(s.bytes[index].tobytes())))
+        at, buckets_ = split(s.h[first], wide)
+        for k, a, z in zip(buckets_.tolist(), at[:-1], at[1:], strict=True):
+            f = first[a:z]
+            size = s.windows[f] + length - 1
+            index = np.repeat(s.start[f] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            low = s.id[f].min()
+            rows.append((k, left.column("b")[0].as_py(), int(low.view(np.int64)), pack(s.id[f] - low), squeeze(s.windows[f].astype(np.uint8).tobytes()), squeeze(s.bytes[index].tobytes())))
         return pa.table({n: pa.array(c, t) for n, c, t in zip(names, zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)})
 
     def resolve(table: pa.Table) -> pa.Table:
@@ -248,12 +243,12 @@ def remove_earlier_strings(docs: DataFrame, length: int = 50, id_col: str = "doc
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         kind = np.array(right.column("kind").to_pylist(), dtype=np.int64)
         ids, texts, s, (which, new, group) = marked(left, right.filter(pa.array(kind == 0)))
-        first, at = places(s, which, new)
+        first = which[new]
         mask = np.zeros(len(first), dtype=np.uint64)
         got = right.filter(pa.array(kind == 1))
-        for k, p in zip(got.column("k").to_pylist(), got.column("p").to_pylist(), strict=True):
+        for at, p in zip(begins(s.h[first], wide, got.column("k").to_pylist()).tolist(), got.column("p").to_pylist(), strict=True):
             n = len(p) // 12
-            mask[at[k] + np.frombuffer(p, dtype=np.uint32, offset=8 * n).astype(np.int64)] = np.frombuffer(p, dtype=np.uint64, count=n)
+            mask[at + np.frombuffer(p, dtype=np.uint32, offset=8 * n).astype(np.int64)] = np.frombuffer(p, dtype=np.uint64, count=n)
         every = mask[group]
         every[s.id[which] > s.id[first[group]]] = ~U(0)  # a text of smaller id in the batch has the whole stretch
         w, begin = s.windows[which], s.start[which]

@@ -31,7 +31,7 @@ from .common import id_crc, map_arrow, text_or_empty
 from .substrings import slices, word_hashes
 
 #: Words in a context; its least occurrences; least gain in natural log-likelihood; prior weight of the suffix.
-DEPTH, LEAST, GAIN, PRIOR = 2, 2, 1.0, 2.0
+DEPTH, LEAST, GAIN, PRIOR = 4, 2, 1.0, 2.0
 #: Bits of a gram's hash beyond the logarithm of the corpus's tokens: of 2**SPARE grams one shares its count with another or so.
 SPARE = 20
 #: Gains travel in steps of 1 / STEP.
@@ -72,7 +72,7 @@ def _messages(b: int, kind: int, bits: int, width: int, key: np.ndarray, value:
     """Rows of MESSAGE of sorted distinct keys of `width` bits, bucket by bucket; without the keys where the bucket has them."""
     at, names = split(key << U(64 - width), bits)
     low = U((1 << width - bits) - 1)
-    return [((kind << 32) + int(k), b, int(z - a), pack(np.diff(key[a:z] & low, prepend=U(0))) if keys else None, pack(value[a:z])) for k, a, z in zip(names, at[:-1], at[1:], strict=True) if z > a]
+    return [((kind << 32) + int(k), b, int(z - a), pack(np.diff(key[a:z] & low, prepend=U(0))) if keys else None, pack(value[a:z])) for k, a, z in zip(names, at[:-1], at[1:], strict=True)]
 
 
 def _table(rows: list[tuple]) -> pa.Table:
