@@ -126,20 +126,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     each; empty tables give no rows.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty("text").alias("text"))
-    total, rows = items.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    # equal items are searched once, however often they are there
+    told = written(items.select("text").distinct().withColumn("n", F.monotonically_increasing_id()), "items")
+    named = items.join(told, "text").select("n", "item_id")
+    total, rows = told.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     blocks = max(1, -(-(total or 0) // BLOCK_BYTES), -(-(rows or 0) // 50_000))
     texts = docs.select(F.col(id_col).cast("long").alias("d"), text_or_empty(text_col).alias("t"))
     found = None
     for b in range(blocks):
-        block = [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]
+        block = [(r.n, r.text) for r in told.where(F.pmod(F.xxhash64("n"), F.lit(blocks)) == b).collect()]
 
         def run(batches, block=block):
             match = _matcher([(n, t) for n, (_, t) in enumerate(block)])
             for batch in batches:
                 rows = [(d, block[i][0], *x) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for i, *x in match(t)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [[]] * 5)], names=["doc_id", "item_id", "distance", "end_word", "item_words"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [[]] * 5)], names=["doc_id", "n", "distance", "end_word", "item_words"])
 
-        part = map_arrow(texts, run, "doc_id long, item_id long, distance long, end_word long, item_words long")
+        part = map_arrow(texts, run, "doc_id long, n long, distance long, end_word long, item_words long")
         part = part if blocks == 1 else written(part, "hits")
         found = part if found is None else found.unionByName(part)
-    return found
+    return found.join(named, "n").select("doc_id", "item_id", "distance", "end_word", "item_words")

@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 from .common import map_arrow, text_or_empty, written
 
 WIDTH, MAX_HEIGHT = 64, 8192
-#: A grey ramp: index = grey value.
 _PLACES = np.arange(16)
 _FULL = np.full(4096, 12), np.arange(4097) * 12
-PALETTE = bytes(v for i in range(256) for v in (i, i, i))
+#: Colours of the 256 samples: red is the sample, green and blue are two other orders of the same values, so that each channel tells samples apart.
+PALETTE = bytes(v for i in range(256) for v in (i, i * 37 % 256, (i * 101 + 64) % 256))
 
 
 def lzw_encode(data: bytes, bits: int = 8, defer: bool = False) -> bytes:

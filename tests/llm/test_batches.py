@@ -71,3 +71,41 @@ def test_a_plan_for_thousands_of_batches_is_small(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert time.perf_counter() - began < 5 and len(plan) < 5000
     assert got.where("b <> least(d, 4999)").count() == 0
+
+
+def test_a_text_larger_than_a_batch(spark):
+    """Seven megabytes in one row, beside a copy of its middle."""
+    import hashlib
+
+    from affectra.llm import fillmiddle, gifmedia, periods
+
+    words = [f"word{i * i % 1_000_003}" for i in range(600_000)]
+    text = " ".join(words)
+    middle = " ".join(words[300_000:300_500])
+    assert len(text) > B.BATCH_BYTES
+    docs = spark.createDataFrame([(1, text), (2, "so " + middle), (3, None)], "doc_id long, text string")
+    windows = {r.doc_id: r for r in remove_repeated_windows(docs).select("doc_id", "n_words", "n_removed").collect()}
+    assert windows[1].n_words == 600_000 and (windows[2].n_words, windows[2].n_removed) == (501, 500) and windows[3].n_words == 0
+    strings = {r.doc_id: r for r in remove_earlier_strings(docs).select("doc_id", "n_bytes", "n_removed").collect()}
+    assert strings[1].n_removed == 0 and strings[2].n_bytes - strings[2].n_removed == 3 - (text[text.index(middle) - 1] == " ")
+    scored = {r.doc_id: r for r in score_texts(docs).collect()}
+    assert scored[1].n_tokens == 600_001 and scored[3].n_tokens == 1 and all(r.score < 0 for r in scored.values())
+    cut = fillmiddle.fill_in_middle(docs).withColumn("again", fillmiddle.restored(F.col("output"), F.col("form"))).select("doc_id", F.sha2(F.col("again").cast("binary"), 256).alias("s")).collect()
+    assert {r.doc_id: r.s for r in cut}[1] == hashlib.sha256(text.encode()).hexdigest()
+    runs = {r.doc_id: r for r in periods.periodic_runs(docs).select("doc_id", "n_words", F.sha2(F.col("collapsed").cast("binary"), 256).alias("s"), "runs").collect()}
+    assert runs[1].n_words == 600_000 and (runs[1].runs or runs[1].s == hashlib.sha256(text.encode()).hexdigest())
+    media = {r.doc_id: r for r in gifmedia.digests(gifmedia.stored(docs)).collect()}
+    payload = text.encode() + bytes(-len(text.encode()) % 64)
+    assert media[1].payload_sha256 == hashlib.sha256(payload).hexdigest()
+
+
+def test_items_that_repeat_are_searched_once(spark, monkeypatch):
+    from affectra.llm import decontaminate as dec
+
+    monkeypatch.setattr(dec, "BLOCK_BYTES", 2000)
+    items = [(i, "one two three four five six seven eight nine ten") for i in range(500)] + [(900, "a b c d e f g"), (900, "a b c d e f g")]
+    docs = spark.createDataFrame([(7, "zero one two three four five six seven eight nine ten eleven"), (8, "nothing"), (9, "x a b c d e f g y")], "doc_id long, text string")
+    got = dec.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string"))
+    rows = got.collect()
+    assert sorted((r.doc_id, r.item_id) for r in rows) == sorted([(7, i) for i in range(500)] + [(9, 900)] * 2)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1

@@ -29,6 +29,20 @@ def test_stages(spark):
     packed = cp.STAGES[-1][1](spark, docs, DATA)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(kept["decontaminate"])
     assert set(before) >= set(kept["decontaminate"])
+    # packing: pieces of a document are its ids by the tokenizer itself, end to end; sequences have no gaps and no more than 1024
+    import zlib
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer, pieces = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packed.toPandas()
+    for d, part in pieces.sort_values("start").groupby("doc_id"):
+        ids = np.array([*tokenizer.encode(kept["decontaminate"][d] or "", add_special_tokens=False).ids, 0], dtype="<u4")
+        assert (part.length.cumsum() - part.length == part.start).all() and part.length.sum() == len(ids) and set(part.doc_tokens) == {len(ids)}
+        assert [zlib.crc32(ids[a : a + n].tobytes()) for a, n in zip(part.start, part.length, strict=True)] == part.ids_crc32.tolist()
+    for _, part in pieces.sort_values("offset").groupby("sequence_id"):
+        assert (part.length.cumsum() - part.length == part.offset).all() and part.length.sum() <= 1024
     assert cp.run(spark, DATA).count() == packed.count()
 
 
