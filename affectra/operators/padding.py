@@ -52,3 +52,19 @@ def alibi_slopes(heads: int) -> list[float]:
     power = 1 << heads.bit_length() - 1
     own = [2.0 ** (-8.0 * (i + 1) / power) for i in range(power)]
     return own if power == heads else own + alibi_slopes(2 * power)[::2][: heads - power]
+
+
+def alibi_slope(h: Column, heads: Column) -> Column:
+    """alibi_slopes as a column: the slope of head h (from 0) of so many heads."""
+    power = F.pow(F.lit(2.0), F.floor(F.log2(heads)))
+    return F.when(h < power, F.pow(F.lit(2.0), -8.0 * (h + 1) / power)).otherwise(F.pow(F.lit(2.0), -8.0 * (2 * (h - power) + 1) / (2 * power)))
+
+
+def alibi_bias(lengths: DataFrame, heads: int, n: str = "n") -> DataFrame:
+    """lengths with h, i, j and bias: for each head and pair of places in a sequence of n, its slope times their distance, negative.
+
+    Pairs are made within a sequence's row, so nothing is shuffled.
+    """
+    place = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    rows = lengths.where(F.col(n) > 0).select("*", place(F.lit(heads)).alias("h")).select("*", place(F.col(n)).alias("i")).select("*", place(F.col(n)).alias("j"))
+    return rows.withColumn("bias", -F.abs(F.col("i") - F.col("j")) * alibi_slope(F.col("h"), F.lit(heads)))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from affectra.operators import arrays as A
 from affectra.operators import metrics as M
+from affectra.operators import padding as B
 from affectra.operators import profile as P
 from affectra.operators import splits as S
 from affectra.operators import train as H
@@ -533,10 +534,16 @@ def split_semi(spark, sf):
     return a.join(speakers, "speaker", "left_semi").select("utt_id")
 
 
-@query("SELECT h, i, j, round(-abs(i - j) * 2 ** (-(h + 1) * 8.0 / 8), 6) AS bias FROM range(8) AS a(h), range(16) AS b(i), range(16) AS c(j)")
+@query("""
+WITH n AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id),
+p AS (SELECT conv_id, h, i, j, -abs(i - j) * CASE WHEN h < 8 THEN 2.0 ** (-(h + 1)) ELSE 2.0 ** (-0.5 * (2 * (h - 8) + 1)) END AS bias FROM n, range(12) AS a(h), range(0, n) AS b(i), range(0, n) AS c(j))
+SELECT conv_id, h, count(*) AS pairs, round(sum(bias), 6) + 0.0 AS total, round(min(bias), 6) + 0.0 AS least FROM p GROUP BY conv_id, h
+""")
 def alibi_bias(spark, sf):
-    r = spark.range(8 * 16 * 16).select(F.floor(F.col("id") / 256).alias("h"), F.floor(F.col("id") / 16 % 16).alias("i"), (F.col("id") % 16).alias("j"))
-    return r.withColumn("bias", F.round(-F.abs(F.col("i") - F.col("j")) * F.pow(F.lit(2.0), -(F.col("h") + 1).cast("double")), 6))
+    """Distance penalties of twelve heads over the turns of each conversation."""
+    n = X.table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").cast("int").alias("n"))
+    pairs = B.alibi_bias(n, 12).groupBy("conv_id", F.col("h").cast("long").alias("h"))
+    return pairs.agg(F.count("*").alias("pairs"), r6(F.sum("bias"), "total"), r6(F.min("bias"), "least"))
 
 
 # profiles

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from affectra.operators import arrays as A
 from affectra.operators import metrics as M
+from affectra.operators import networks as N
 from affectra.operators import padding as B
 from affectra.operators import payloads as Y
 from affectra.operators import profile as P
@@ -242,10 +244,15 @@ def annealed_rate(spark, sf):
     return X.table(spark, sf, "events").select(F.col("event_id").alias("step"), r6(B.annealed(0.1, 1.0, F.col("event_id"), 500), "rate"))
 
 
-@query("SELECT h, round(CASE WHEN h < 8 THEN 2 ** (-(h + 1)) ELSE 2 ** (-0.5 * (2 * (h - 8) + 1)) END, 9) AS slope FROM range(12) AS t(h)")
+@query("""
+WITH n AS (SELECT DISTINCT count(*) AS heads FROM conversations GROUP BY conv_id), p AS (SELECT heads, 2.0 ** floor(log2(heads)) AS p FROM n)
+SELECT heads, h, round(CASE WHEN h < p THEN 2.0 ** (-8.0 * (h + 1) / p) ELSE 2.0 ** (-8.0 * (2 * (h - p) + 1) / (2 * p)) END, 9) AS slope FROM p, range(0, heads) AS t(h)
+""")
 def alibi_slopes(spark, sf):
-    """Slopes of twelve heads; no table is read, as they depend on their number alone."""
-    return spark.createDataFrame([(i, round(s, 9)) for i, s in enumerate(B.alibi_slopes(12))], "h long, slope double")
+    """Slopes of as many heads as some conversation has turns."""
+    heads = X.table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("heads")).select("heads").distinct()
+    rows = heads.select("heads", F.explode(F.sequence(F.lit(0).cast("long"), F.col("heads") - 1)).alias("h"))
+    return rows.withColumn("slope", F.round(B.alibi_slope(F.col("h"), F.col("heads")), 9))
 
 
 @query("WITH h AS (SELECT user_id AS run_id, event_id AS epoch, floor(value) AS metric FROM events) SELECT run_id, epoch, metric FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY epoch DESC) AS r FROM h) WHERE r = 1")
@@ -257,12 +264,16 @@ def last_epoch(spark, sf):
 # heads and payloads
 
 
-@query(f"SELECT 'hidden' AS layer, {8 * 64 + 8} AS n UNION ALL SELECT 'out', {3 * 8 + 3} UNION ALL SELECT 'class', {4 * 3 + 4}")
+@query("""
+WITH d AS (SELECT max(len(embedding)) AS w, count(DISTINCT label) AS c FROM embeddings)
+SELECT 'emotion_head' AS part, 8 * w + 8 + 8 * c + c AS n FROM d UNION ALL SELECT p || '_head', 8 * w + 8 + 8 + 1 FROM d, (VALUES ('valence'), ('arousal'), ('dominance')) AS t(p)
+""")
 def parameter_counts(spark, sf):
-    layers = {"hidden": HIDDEN, "out": OUT, "class": CLASS}
-    rows = [(k, i, w, 0.0) for k, m in layers.items() for i, w in enumerate(m)]
-    model = spark.createDataFrame(rows, "layer string, row int, weights array<double>, bias double")
-    return model.groupBy("layer").agg(F.sum(F.size("weights") + 1).alias("n"))
+    """Parameters of the separate heads, of hidden width 8, that fit the vectors and labels of a table."""
+    size = X.table(spark, sf, "embeddings").agg(F.max(F.size("embedding")).alias("w"), F.count_distinct("label").alias("c")).first()
+    rows = [(k, i, [float(x) for x in w]) for k, a in N.separate_heads(size.c, size.w, 8).start(0).items() for i, w in enumerate(np.atleast_2d(a))]
+    model = spark.createDataFrame(rows, "layer string, row int, weights array<double>")
+    return model.groupBy(F.substring_index("layer", ".", 1).alias("part")).agg(F.sum(F.size("weights")).alias("n"))
 
 
 def _dim(i: int) -> str:
