@@ -57,6 +57,11 @@ def fit_length(x: Column, n: int) -> Column:
     return F.when(F.size(x) >= n, F.slice(x, 1, n)).otherwise(F.concat(x, F.array_repeat(F.lit(0.0), F.lit(n) - F.size(x))))
 
 
+def frame_slice(frames: Column, offset: Column, size: Column) -> Column:
+    """`size` frames from the 0-based offset on; fewer where there are fewer."""
+    return F.slice(frames, (offset + 1).cast("int"), size.cast("int"))
+
+
 def argmax(x: Column) -> Column:
     """The first place of the largest value."""
     return bound(x, lambda a: F.array_position(a, F.array_max(a)) - 1)

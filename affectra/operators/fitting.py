@@ -110,6 +110,30 @@ def _moments(network: Network, w: Params, b: pa.RecordBatch, draw: int | None) -
     return np.array([*out, len(ok), log.sum(), right], dtype=np.float64)
 
 
+#: A loss of one dimension by its labels n and the sums p, t, p p, t t and p t: the loss, and its derivatives in the sums p, p p and p t.
+Criterion = Callable[[float, float, float, float, float, float], tuple[float, tuple[float, float, float]]]
+
+
+def _ccc(n: float, p: float, t: float, pp: float, tt: float, pt: float) -> float:
+    mp, mt = p / n, t / n
+    return float(2 * (pt / n - mp * mt) / (pp / n - mp * mp + tt / n - mt * mt + (mp - mt) ** 2 + 1e-8))
+
+
+def ccc_criterion(n: float, p: float, t: float, pp: float, tt: float, pt: float) -> tuple[float, tuple[float, float, float]]:
+    """One less CCC."""
+    mt, c = t / n, _ccc(n, p, t, pp, tt, pt)
+    share = -2 / (pp - 2 * p * mt + tt - t * mt + n * mt * mt + n * 1e-8)  # over n times the denominator
+    return 1 - c, (share * mt * (c - 1), -share * c / 2, share)
+
+
+def square_criterion(n: float, p: float, t: float, pp: float, tt: float, pt: float) -> tuple[float, tuple[float, float, float]]:
+    """Mean squared difference."""
+    return (pp - 2 * pt + tt) / n, (0.0, 1 / n, -2 / n)
+
+
+CRITERIA: dict[str, Criterion] = {"ccc": ccc_criterion, "mse": square_criterion}
+
+
 @dataclass(frozen=True)
 class Measured:
     """Losses of rows from their moments, and what a prediction's derivative is made of."""
@@ -120,25 +144,25 @@ class Measured:
     ccc: dict[str, float | None]
     accuracy: float | None
     mean_ccc: float | None
-    slopes: dict[str, tuple[float, float, float]]  # share of the loss, mean target, CCC
+    slopes: dict[str, tuple[float, float, float]]  # derivative in a prediction: a constant, its factor, and its target's
     classes: int
 
     @classmethod
-    def of(cls, m: np.ndarray, dims: tuple[str, ...], lambda_vad: float, lambda_emo: float) -> Measured:
+    def of(cls, m: np.ndarray, dims: tuple[str, ...], lambda_vad: float, lambda_emo: float, criterion: Criterion = ccc_criterion) -> Measured:
         ccc: dict[str, float | None] = {}
-        slopes = {}
-        for d, (n, p, t, pp, tt, pt) in zip(dims, m[:-3].reshape(-1, 6), strict=True):
+        losses, slopes = [], {}
+        for d, sums in zip(dims, m[:-3].reshape(-1, 6), strict=True):
             ccc[d] = None
-            if n >= LEAST.get(d, 1):
-                mp, mt = p / n, t / n
-                below = pp / n - mp * mp + tt / n - mt * mt + (mp - mt) ** 2 + 1e-8
-                ccc[d] = float(2 * (pt / n - mp * mt) / below)
-                slopes[d] = (-2 / (n * below), mt, ccc[d])
-        known = [c for c in ccc.values() if c is not None]
-        slopes = {d: (lambda_vad * a / len(known), b, c) for d, (a, b, c) in slopes.items()}
-        vad = 1 - sum(known) / len(known) if known else 0.0
+            if sums[0] >= LEAST.get(d, 1):
+                ccc[d] = _ccc(*sums)
+                loss, (a, b, c) = criterion(*sums)
+                losses.append(loss)
+                slopes[d] = a, 2 * b, c
+        slopes = {d: tuple(lambda_vad * x / len(losses) for x in s) for d, s in slopes.items()}
+        vad = float(sum(losses) / len(losses)) if losses else 0.0
         n, ce, right = m[-3:]
         emotion = float(ce / n) if n else 0.0
+        known = [c for c in ccc.values() if c is not None]
         return cls(lambda_vad * vad + lambda_emo * emotion, vad, emotion, ccc, float(right / n) if n else None, sum(known) / len(known) if known else None, slopes, int(n))
 
     def row(self) -> dict:
@@ -151,9 +175,9 @@ def _gradient(network: Network, w: Params, names: list[str], b: pa.RecordBatch,
     d_vad, d_logits = np.zeros_like(p), np.zeros_like(z)
     for j, d in enumerate(network.dims):
         if d in measured.slopes:
-            share, mean, c = measured.slopes[d]
+            constant, own, target = measured.slopes[d]
             ok = np.isfinite(t[:, j])
-            d_vad[ok, j] = share * ((t[ok, j] - mean) - c * (p[ok, j] - mean))
+            d_vad[ok, j] = constant + own * p[ok, j] + target * t[ok, j]
     ok = np.flatnonzero(y >= 0) if z.shape[1] else np.zeros(0, dtype=np.int64)
     if len(ok) and lambda_emo:
         e = np.exp(z[ok] - z[ok].max(axis=1, keepdims=True))
@@ -167,8 +191,8 @@ def _gradient(network: Network, w: Params, names: list[str], b: pa.RecordBatch,
 class Passes:
     """Passes over prepared rows with given weights."""
 
-    def __init__(self, network: Network, lambda_vad: float, lambda_emo: float):
-        self.network, self.lambda_vad, self.lambda_emo = network, lambda_vad, lambda_emo
+    def __init__(self, network: Network, lambda_vad: float, lambda_emo: float, criterion: Criterion = ccc_criterion):
+        self.network, self.lambda_vad, self.lambda_emo, self.criterion = network, lambda_vad, lambda_emo, criterion
 
     def _sent(self, data: DataFrame, size: int, w: Params, vector) -> np.ndarray:
         sent = data.sparkSession.sparkContext.broadcast(w)  # as large as the network
@@ -180,7 +204,7 @@ class Passes:
     def measured(self, data: DataFrame, w: Params, draw: int | None = None) -> Measured:
         network = self.network
         m = self._sent(data, 6 * len(network.dims) + 3, w, lambda v, b: _moments(network, v, b, draw))
-        return Measured.of(m, network.dims, self.lambda_vad, self.lambda_emo)
+        return Measured.of(m, network.dims, self.lambda_vad, self.lambda_emo, self.criterion)
 
     def gradients(self, data: DataFrame, w: Params, measured: Measured, draw: int) -> Params:
         network, lambda_emo = self.network, self.lambda_emo
@@ -226,15 +250,16 @@ def _optimizer(kind: str, shape, rate: float, decay: float):
 def fit(
     rows: DataFrame, valid: DataFrame | None, network: Network, epochs: int, rate: float | dict[str, float] = 1e-3, weights: Params | None = None, optimizer: str = "adamw", decay: float = 0.01,
     lambda_vad: float = 1.0, lambda_emo: float = 1.0, batch_size: int | None = None, seed: int = 42, key: str = "utt_id", feat: str = "feat", label: str | None = "class_idx",
-    frozen: tuple[str, ...] = (), select: str = "loss", largest: bool = False, floor: float | None = None, schedule: Callable[[int], float] | None = None,
+    frozen: tuple[str, ...] = (), select: str = "loss", largest: bool = False, floor: float | None = None, schedule: Callable[[int], float] | None = None, criterion: str | Criterion = "ccc",
 ) -> Fitted:
     """network fitted to rows, with the weights of its best epoch by `select` over valid (the first of them; without valid the last epoch's).
 
     rows: key, feat (a vector, or an array of vectors), columns of the network's
     dimensions and a class index where there are any; those that are missing or
-    null teach nothing. The loss is lambda_vad times one less the mean CCC over
-    dimensions with labels (Dominance from two on), plus lambda_emo times the
-    cross-entropy. A branch of Dominance alone gets no step, no decay either,
+    null teach nothing. The loss is lambda_vad times the mean of the criterion
+    ("ccc": one less CCC, "mse", or any function of the moments that also gives
+    its derivatives) over dimensions with labels (Dominance from two on), plus
+    lambda_emo times the cross-entropy. A branch of Dominance alone gets no step, no decay either,
     where its loss is left out. Parameters named in frozen (by their first
     letters) stay. rate may name parts: {"classifier": 1e-3, "": 1e-4}; schedule
     gives the rate of an epoch, from 0. Rows without frames, and tables without
@@ -245,12 +270,14 @@ def fit(
         raise ValueError("epochs and batch_size must be at least 1")
     if lambda_vad < 0 or lambda_emo < 0 or lambda_vad == lambda_emo == 0:
         raise ValueError("loss weights must not be below 0, and one above")
+    if isinstance(criterion, str) and criterion not in CRITERIA:
+        raise ValueError(f"criterion {criterion!r} is none of {', '.join(CRITERIA)}")
     spark = rows.sparkSession
     ship(spark)
     w = dict(weights or network.start(seed))
     if {k: v.shape for k, v in w.items()} != {k: v.shape for k, v in network.start(0).items()}:
         raise ValueError("weights don't fit the network")
-    passes, state, history, best = Passes(network, lambda_vad, lambda_emo), {}, [], None
+    passes, state, history, best = Passes(network, lambda_vad, lambda_emo, CRITERIA[criterion] if isinstance(criterion, str) else criterion), {}, [], None
     rates = rate if isinstance(rate, dict) else {"": rate}
     of = lambda k: rates[max((p for p in rates if k.startswith(p)), key=len)]
     with Tables(spark) as tables:

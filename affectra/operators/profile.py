@@ -95,6 +95,11 @@ def ordered_counts(counts: DataFrame, label: str, n: str) -> DataFrame:
     return counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc(n), label)) - 1)
 
 
+def duplicated(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, duplicated) for each column: whether some value, null aside, is there more than once."""
+    return _long(df, {c: F.count(c) != F.count_distinct(c) for c in columns}, "duplicated")
+
+
 def subset(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row (subset): whether every key of a is in b; both ways make equal sets."""
     return a.join(b, a.columns, "left_anti").agg((F.count("*") == 0).alias("subset"))

@@ -1,4 +1,4 @@
-"""Heads trained with NumPy; those of folds by gradients that tasks sum over their rows."""
+"""Linear heads of folds by gradients that tasks sum over their rows, VAD heads from one pass of moments; optimizers."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affectra.functions.cluster import ship
+from affectra.functions.storage import written
 
 
 def ccc_and_gradient(p: np.ndarray, t: np.ndarray) -> tuple[float, np.ndarray]:
@@ -50,46 +51,6 @@ def cyclic_rate(step: int, base: float, top: float = 1e-3, up: int = 10) -> floa
     return base + (top - base) * (at if at <= up else 2 * up - at) / up
 
 
-def fit_class_head(x: np.ndarray, y: np.ndarray, classes: int, epochs: int = 30, rate: float = 0.05, valid: np.ndarray | None = None) -> tuple[np.ndarray, list[dict]]:
-    """Linear softmax head by cross-entropy; returns the weights of the best epoch (first of the least validation loss) and the history."""
-    x1 = np.hstack([x, np.ones((len(x), 1))])
-    w, opt = np.zeros((x1.shape[1], classes)), Adam((x1.shape[1], classes), rate)
-    held = np.zeros(len(x), dtype=bool) if valid is None else valid
-    held = held if held.any() else np.ones(len(x), dtype=bool)
-    best, history = (np.inf, w), []
-    for epoch in range(1, epochs + 1):
-        z = np.einsum("ij,jk", x1, w)
-        z -= z.max(axis=1, keepdims=True)
-        p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
-        loss = -np.log(np.maximum(p[np.arange(len(y)), y], 1e-300))
-        history.append({"epoch": epoch, "train": float(loss.mean()), "valid": float(loss[held].mean())})
-        if history[-1]["valid"] < best[0]:
-            best = history[-1]["valid"], w.copy()
-        p[np.arange(len(y)), y] -= 1
-        w = opt.step(w, np.einsum("ij,ik", x1, p) / len(y))
-    return best[1], history
-
-
-def fit_vad_head(x: np.ndarray, t: np.ndarray, epochs: int = 60, rate: float = 0.05, before: np.ndarray | None = None) -> tuple[np.ndarray, list[bool]]:
-    """One linear head per dimension by CCC loss; t has NaN where a label is missing.
-
-    A dimension with fewer than two labels (Dominance often) gets no step at
-    all, not even weight decay: its weights come back bit for bit.
-    """
-    x1 = np.hstack([x, np.ones((len(x), 1))])
-    w = np.full((x1.shape[1], t.shape[1]), 0.01) if before is None else before.copy()
-    trained = []
-    for d in range(t.shape[1]):
-        ok = np.isfinite(t[:, d])
-        trained.append(bool(ok.sum() >= 2))
-        if trained[-1]:
-            opt = Adam(x1.shape[1], rate)
-            for _ in range(epochs):
-                _, g = ccc_and_gradient(np.einsum("ij,j", x1[ok], w[:, d]), t[ok, d])
-                w[:, d] = opt.step(w[:, d], -np.einsum("ij,i", x1[ok], g))
-    return w, trained
-
-
 def train_folds(rows: DataFrame, classes: int, feat: str = "feat", target: str = "true_class", fold: str = "fold", folds: int = 5, epochs: int = 30, rate: float = 0.05) -> DataFrame:
     """history rows (fold, epoch, train_loss, valid_loss, test_wa) of a head for each fold.
 
@@ -104,6 +65,7 @@ def train_folds(rows: DataFrame, classes: int, feat: str = "feat", target: str =
     ship(spark)
     data = rows.select(F.col(feat).cast("array<double>").alias("x"), F.col(target).cast("long").alias("y"), F.col(fold).cast("long").alias("f"), (F.pmod(F.xxhash64(feat, target), F.lit(5)) == 0).alias("v"))
     schema = "fold long, epoch long, train_loss double, valid_loss double, test_wa double"
+    data = written(data, "folds")  # every epoch reads it
     one = data.select(F.size("x").alias("n")).first()
     if one is None:
         return spark.createDataFrame([], schema)

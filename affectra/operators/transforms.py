@@ -91,6 +91,29 @@ def up_to(n: Column, multiple: int = 320) -> Column:
     return F.pmod(-n, F.lit(multiple))
 
 
+#: Columns of a prepared label table, in order: a fixed value.
+PREPARED = ("file_path", "valence", "arousal", "dominance", "split", "session")
+
+
+def prepared_labels(df: DataFrame, names: dict[str, str], required: tuple[str, ...] = ("file_path",)) -> DataFrame:
+    """The columns PREPARED and no others, taken by the given names (PREPARED's own by default).
+
+    A column that isn't there is null, with a warning that names all of them;
+    one of `required` is an error.
+    """
+    import warnings
+
+    of = {c: names.get(c, c) for c in PREPARED}
+    missing = [c for c, n in of.items() if n not in df.columns]
+    lost = [of[c] for c in missing if c in required]
+    if lost:
+        raise ValueError(f"no column {', '.join(lost)}")
+    if missing:
+        warnings.warn(f"no column {', '.join(of[c] for c in missing)}: left empty", stacklevel=2)
+    kind = lambda c: "double" if c in DIMS else "string"
+    return df.select(*((F.lit(None) if c in missing else F.col(f"`{of[c]}`")).try_cast(kind(c)).alias(c) for c in PREPARED))
+
+
 def cache_key(path: Column, size: Column, modified: Column, encoder: str) -> Column:
     return F.sha2(F.concat_ws("|", path, size.cast("string"), modified.cast("string"), F.lit(encoder)), 256)
 

@@ -138,6 +138,20 @@ def read_annotations(spark: SparkSession, path: str, names: dict[str, str], audi
     return raw.withColumns({c: F.col(c).cast("double") for c in ("valence", "arousal", "dominance")}).withColumn("audio_path", transforms.absolute(F.col("audio"), audio_dir))
 
 
+def read_vad_csv(spark: SparkSession, path: str, audio_dir: str | None = None, names: dict[str, str] | None = None) -> DataFrame:
+    """Prepared labels of a CSV: file_path below audio_dir where it is relative, numbers as doubles, blank ones NaN, split and session as they stand.
+
+    Columns go by the given names; rows without file_path are refused.
+    """
+    from affectra.operators import transforms
+
+    df = transforms.prepared_labels(read_csv(spark, path), names or {})
+    if not df.where(F.col("file_path").isNull() | (F.trim("file_path") == "")).isEmpty():
+        raise ValueError(f"{path}: rows without file_path")
+    nan = {d: F.coalesce(F.col(d), F.lit(float("nan"))) for d in ("valence", "arousal", "dominance")}
+    return df.withColumns(nan).withColumn("file_path", transforms.absolute(F.col("file_path"), audio_dir) if audio_dir else F.col("file_path"))
+
+
 def read_frames(spark: SparkSession, path: str, width: int = 768, rows: int = 4096) -> DataFrame:
     """(row, feat) of a two-dimensional .npy matrix, in ranges of rows, from wherever Arrow reads."""
     from .npy import read_matrix
@@ -174,6 +188,48 @@ def read_prefix(spark: SparkSession, prefix: str, width: int = 768, shortest: in
     return placed.select("utt_idx", "frame_idx", "feat", "n_frames").join(joined, "utt_idx")
 
 
+def decode_sound(content: bytes, rate: int | None = 16000) -> dict:
+    """As decode_wav, for any WAV of whole or floating samples: 8, 16, 24 and 32 bits, 32- and 64-bit floats."""
+    head = _chunks(content)
+    if isinstance(head, str):
+        return {"error": f"unreadable: {head}"}
+    kind, channels, hz, bits, data = head
+    meta = {"channels": channels, "sample_rate": hz, "sample_width": (bits + 7) // 8, "n_samples": len(data) // max(1, channels * ((bits + 7) // 8))}
+    known = (kind == 1 and bits in (8, 16, 24, 32)) or (kind == 3 and bits in (32, 64))
+    error = next((e for ok, e in ((known, "sample format"), (channels == 1, "not mono"), (rate is None or hz == rate, "sample rate"), (meta["n_samples"] > 0, "empty")) if not ok), None)
+    if error:
+        return meta | {"error": error}
+    raw = data[: meta["n_samples"] * meta["sample_width"]]
+    if kind == 3:
+        a = np.frombuffer(raw, dtype=f"<f{bits // 8}").astype(np.float64)
+    elif bits == 8:
+        a = (np.frombuffer(raw, dtype=np.uint8) - 128.0) / 128
+    elif bits == 24:
+        b = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 3)
+        a = np.concatenate([np.zeros((len(b), 1), dtype=np.uint8), b], axis=1).reshape(-1).view("<i4") / 2.0**31
+    else:
+        a = np.frombuffer(raw, dtype=f"<i{bits // 8}") / 2.0 ** (bits - 1)
+    return meta | {"samples": a.astype(np.float32).tolist()}
+
+
+def _chunks(content: bytes) -> tuple[int, int, int, int, bytes] | str:
+    """Kind of samples (1 whole, 3 floating), channels, rate, bits and data of a WAV file, or what is wrong with it."""
+    if content[:4] != b"RIFF" or content[8:12] != b"WAVE":
+        return "no RIFF WAVE file"
+    at, form = 12, None
+    while at + 8 <= len(content):
+        name, n = struct.unpack_from("<4sI", content, at)
+        body = content[at + 8 : at + 8 + n]
+        if name == b"fmt " and n >= 16 and len(body) >= 16:
+            form = struct.unpack_from("<HHIIHH", body)
+            if form[0] == 0xFFFE and len(body) >= 26:  # the kind is told in an extension
+                form = struct.unpack_from("<H", body, 24) + form[1:]
+        elif name == b"data":
+            return (form[0], form[1], form[2], form[5], body) if form else "no format before the samples"
+        at += 8 + n + n % 2
+    return "no samples"
+
+
 def decode_wav(content: bytes, rate: int | None = 16000) -> dict:
     """Metadata and samples in -1..1 of an 8-, 16- or 32-bit PCM mono file; `error` says what is wrong."""
     import io
@@ -196,14 +252,14 @@ def decode_wav(content: bytes, rate: int | None = 16000) -> dict:
 WAV = "path string, channels int, sample_rate int, sample_width int, n_samples long, samples array<float>, error string"
 
 
-def read_wavs(spark: SparkSession, folder: str, rate: int | None = 16000) -> DataFrame:
-    """The .wav files of a folder (not below it) decoded, a row each; errors are a column, to be raised together."""
+def read_wavs(spark: SparkSession, folder: str, rate: int | None = 16000, decode=decode_wav) -> DataFrame:
+    """The .wav files of a folder (not below it) decoded, a row each; errors are a column, to be raised together. decode: decode_wav, or decode_sound for more formats."""
     ship(spark)
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(folder).select("path", "content")
 
     def run(batches):
         for b in batches:
-            rows = [{"path": p} | decode_wav(c, rate) for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            rows = [{"path": p} | decode(c, rate) for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             kinds = {"path": pa.string(), "channels": pa.int32(), "sample_rate": pa.int32(), "sample_width": pa.int32(), "n_samples": pa.int64(), "samples": pa.list_(pa.float32()), "error": pa.string()}
             yield pa.RecordBatch.from_arrays([pa.array([r.get(k) for r in rows], t) for k, t in kinds.items()], names=list(kinds))
 

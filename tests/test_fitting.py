@@ -294,3 +294,26 @@ def test_predictions_of_ragged_rows(spark):
     assert all(np.allclose(got[i].vad, p[i]) and np.allclose(got[i].logits, z[i]) for i in range(25)) and got[99].vad is None and got[98].logits is None
     frames = spark.createDataFrame([(i, j, [1.0 * i, 1.0 * j]) for i in range(3) for j in (2, 0, 1)], "utt_idx long, frame_idx int, feat array<double>").withColumn("speaker", F.col("utt_idx") + 7)
     assert {r.utt_idx: (r.frames, r.speaker) for r in G.utterances(frames, carried=["speaker"]).collect()} == {i: ([[i, 0], [i, 1], [i, 2]], i + 7) for i in range(3)}
+
+
+def test_other_criteria(spark):
+    network = NETWORKS["shared"]
+    rows = table(3, 30)
+    df = frame(spark, rows).repartition(2)
+    w = network.start(2)
+    x, r, t, y = arrays(rows, network)
+    p = network.predict(w, x, r)[0]
+    square = lambda p: np.mean([((p[:, j] - t[:, j])[np.isfinite(t[:, j])] ** 2).mean() for j in range(3)])
+    got = G.fit(df, None, network, 1, criterion="mse", weights=w, lambda_emo=0, label=None)
+    assert got.history[0]["train"]["vad_loss"] == pytest.approx(square(p), abs=1e-12)
+    with Tables(spark) as tables:
+        data = G.prepared(df, network, tables, "utt_id", "feat", None)
+        for criterion in (G.square_criterion, G.ccc_criterion, lambda n, p, t, pp, tt, pt: ((p - t) ** 2 / n, (2 * (p - t) / n, 0.0, 0.0))):
+            passes = G.Passes(network, 1.0, 0.0, criterion)
+            g = passes.gradients(data, w, passes.measured(data, w), None)
+            for k in ("vad_head.post_net.bias", "vad_head.pre_net.bias"):
+                for i in range(len(w[k])):
+                    up, down = ({**w, k: w[k] + e * (np.arange(len(w[k])) == i)} for e in (1e-6, -1e-6))
+                    assert g[k][i] == pytest.approx((passes.measured(data, up).loss - passes.measured(data, down).loss) / 2e-6, abs=1e-6) if i < 2 else True
+    with pytest.raises(ValueError, match="criterion"):
+        G.fit(df, None, network, 1, criterion="mae")

@@ -17,6 +17,46 @@ from affectra.operators import validate as V
 from affectra.sources import files as R
 
 
+def fit_class_head(x: np.ndarray, y: np.ndarray, classes: int, epochs: int = 30, rate: float = 0.05, valid: np.ndarray | None = None) -> tuple[np.ndarray, list[dict]]:
+    """Linear softmax head by cross-entropy; returns the weights of the best epoch (first of the least validation loss) and the history."""
+    x1 = np.hstack([x, np.ones((len(x), 1))])
+    w, opt = np.zeros((x1.shape[1], classes)), H.Adam((x1.shape[1], classes), rate)
+    held = np.zeros(len(x), dtype=bool) if valid is None else valid
+    held = held if held.any() else np.ones(len(x), dtype=bool)
+    best, history = (np.inf, w), []
+    for epoch in range(1, epochs + 1):
+        z = np.einsum("ij,jk", x1, w)
+        z -= z.max(axis=1, keepdims=True)
+        p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+        loss = -np.log(np.maximum(p[np.arange(len(y)), y], 1e-300))
+        history.append({"epoch": epoch, "train": float(loss.mean()), "valid": float(loss[held].mean())})
+        if history[-1]["valid"] < best[0]:
+            best = history[-1]["valid"], w.copy()
+        p[np.arange(len(y)), y] -= 1
+        w = opt.step(w, np.einsum("ij,ik", x1, p) / len(y))
+    return best[1], history
+
+
+def fit_vad_head(x: np.ndarray, t: np.ndarray, epochs: int = 60, rate: float = 0.05, before: np.ndarray | None = None) -> tuple[np.ndarray, list[bool]]:
+    """One linear head per dimension by CCC loss; t has NaN where a label is missing.
+
+    A dimension with fewer than two labels (Dominance often) gets no step at
+    all, not even weight decay: its weights come back bit for bit.
+    """
+    x1 = np.hstack([x, np.ones((len(x), 1))])
+    w = np.full((x1.shape[1], t.shape[1]), 0.01) if before is None else before.copy()
+    trained = []
+    for d in range(t.shape[1]):
+        ok = np.isfinite(t[:, d])
+        trained.append(bool(ok.sum() >= 2))
+        if trained[-1]:
+            opt = H.Adam(x1.shape[1], rate)
+            for _ in range(epochs):
+                _, g = H.ccc_and_gradient(np.einsum("ij,j", x1[ok], w[:, d]), t[ok, d])
+                w[:, d] = opt.step(w[:, d], -np.einsum("ij,i", x1[ok], g))
+    return w, trained
+
+
 def test_perfect_agreement(spark):
     df = spark.createDataFrame([(-1.0, 0.0), (0.0, 0.5), (1.0, 1.0)], "v double, a double").withColumns({"pv": F.col("v"), "pa": F.col("a")})
     r = df.agg(M.ccc("pv", "v").alias("c"), M.ccc_loss([("pv", "v"), ("pa", "a")]).alias("l")).first()
@@ -97,7 +137,7 @@ def test_dominance_head_is_untouched_without_labels():
     x, t = r.normal(size=(30, 4)), r.normal(size=(30, 3))
     t[:, 2] = np.nan
     before = r.normal(size=(5, 3))
-    w, trained = H.fit_vad_head(x, t, before=before)
+    w, trained = fit_vad_head(x, t, before=before)
     assert trained == [True, True, False] and (w[:, 2] == before[:, 2]).all() and (w[:, 0] != before[:, 0]).any()
 
 
@@ -218,7 +258,7 @@ def test_folds_train_on_rows_of_many_tasks(spark):
     held = np.array([r.v for r in spark.createDataFrame([(v.tolist(), int(c)) for v, c in zip(x, y, strict=True)], "x array<double>, y int").select((F.pmod(F.xxhash64("x", "y"), F.lit(5)) == 0).alias("v")).collect()])
     assert 20 < held.sum() < 60
     for k, part in got.toPandas().groupby("fold"):
-        _, plain = H.fit_class_head(x[(fold != k) & ~held], y[(fold != k) & ~held], 3)
+        _, plain = fit_class_head(x[(fold != k) & ~held], y[(fold != k) & ~held], 3)
         part = part.sort_values("epoch")
         assert np.allclose(part.train_loss, [h["train"] for h in plain]) and not np.allclose(part.train_loss, part.valid_loss)
         w = trained_head(x, y, (fold != k) & ~held, (fold != k) & held)
@@ -450,3 +490,48 @@ def test_extraction_and_samples(spark, tmp_path):
     for k, n in ((0, 0), (7, 7), (50, 50), (90, 60)):
         got = S.exact_sample(spark.range(60), "id", k, seed=2)
         assert got.count() == n == got.distinct().count()
+
+
+def test_prepared_labels_and_their_csv(spark, tmp_path):
+    (tmp_path / "v.csv").write_text("\ufefffile,V,A,extra\nx.wav,0.5,,1\n/y.wav,bad,1,2\n", encoding="utf-8")
+    names = {"file_path": "file", "valence": "V", "arousal": "A"}
+    with pytest.warns(UserWarning, match="dominance, split, session"):
+        got = R.read_vad_csv(spark, str(tmp_path / "v.csv"), "/data", names)
+    assert got.columns == list(T.PREPARED)
+    rows = got.orderBy(F.desc("file_path")).collect()
+    assert [r.file_path for r in rows] == ["/y.wav", "/data/x.wav"] and rows[1].valence == 0.5 and rows[0].arousal == 1 and rows[0].split is None
+    assert all(np.isnan(x) for x in (rows[0].valence, rows[1].arousal, rows[0].dominance))
+    with pytest.raises(ValueError, match="no column file_path"):
+        R.read_vad_csv(spark, str(tmp_path / "v.csv"))
+    (tmp_path / "b.csv").write_text("file_path,valence\n,1\n")
+    with pytest.warns(UserWarning), pytest.raises(ValueError, match="without file_path"):
+        R.read_vad_csv(spark, str(tmp_path / "b.csv"))
+
+
+def test_more_sample_formats():
+    def riff(kind, bits, data, channels=1, rate=16000, wide=False):
+        form = struct.pack("<HHIIHH", 0xFFFE if wide else kind, channels, rate, rate * channels * bits // 8, channels * bits // 8, bits)
+        form += struct.pack("<HHIH", 22, bits, 0, kind) + bytes(14) if wide else b""
+        body = b"WAVEfmt " + struct.pack("<I", len(form)) + form + b"junk" + struct.pack("<I", 3) + b"abc\0" + b"data" + struct.pack("<I", len(data)) + data
+        return b"RIFF" + struct.pack("<I", len(body)) + body
+
+    x = np.array([-1.0, -0.5, 0.0, 0.25, 0.75])
+    for wide in (False, True):
+        for bits in (8, 16, 24, 32):
+            whole = (x * 2 ** (bits - 1)).astype(np.int64)
+            data = (whole + 128).astype(np.uint8).tobytes() if bits == 8 else b"".join(int(v).to_bytes(bits // 8, "little", signed=True) for v in whole)
+            assert R.decode_sound(riff(1, bits, data, wide=wide))["samples"] == x.tolist(), bits
+            if bits in (8, 16, 32) and not wide:
+                assert R.decode_sound(riff(1, bits, data)) == R.decode_wav(riff(1, bits, data))
+        for bits in (32, 64):
+            assert R.decode_sound(riff(3, bits, x.astype(f"<f{bits // 8}").tobytes(), wide=wide))["samples"] == x.tolist()
+    assert [R.decode_sound(c).get("error") for c in (riff(1, 12, b"ab"), riff(1, 16, b"abcd", 2), riff(1, 16, b"ab", rate=8000), riff(1, 16, b""))] == ["sample format", "not mono", "sample rate", "empty"]
+    assert all("unreadable" in R.decode_sound(c)["error"] for c in (b"", b"RIFF", riff(1, 16, b"ab")[:40], b"RIFF0000WAVEdata\2\0\0\0ab"))
+
+
+def test_slices_of_frames_and_duplicates(spark):
+    df = spark.createDataFrame([([1, 2, 3, 4], 1, 2), ([1, 2], 1, 5), ([1], 3, 1), ([7], 0, 0)], "x array<int>, o long, n long")
+    assert [r[0] for r in df.select(A.frame_slice(F.col("x"), F.col("o"), F.col("n"))).collect()] == [[2, 3], [2], [], []]
+    from affectra.operators import profile as P
+
+    assert {r["column"]: r.duplicated for r in P.duplicated(spark.createDataFrame([(1, "a", None), (2, "a", None), (None, "b", 3)], "k int, s string, t int"), ["k", "s", "t"]).collect()} == {"k": False, "s": True, "t": False}
