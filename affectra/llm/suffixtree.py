@@ -2,7 +2,9 @@
 
 A symbol is a lower-cased word or the end of a text; a context is the last 1 to
 `depth` words, across word ends. Every context that occurs `least` times in the
-training texts is tried, so the tree grows with the corpus. It is retained if its
+training texts, but less often than its suffix, is tried, so the tree grows with
+the corpus; one as frequent as its suffix is followed by the same symbols, so
+nothing can diverge there, nor is it made longer. A context is retained if its
 next-symbol distribution diverges from its longest retained suffix's: by the
 leave-one-out log-likelihood that it gains over the suffix in all its
 occurrences, at least `gain`. Distributions are smoothed with the suffix's,
@@ -199,6 +201,8 @@ class Batch:
             self.n.append(self.levels[k].spread(np.concatenate(answers.get(2 * k, none)).astype(np.int64)))
             ok = self.place > k
             ok[1:] &= self.n[k][:-1] >= of.least
+            if k:  # a context that is there as often as its suffix is followed by the same: nothing can diverge
+                ok[1:] &= self.n[k][:-1] < self.n[k - 1][:-1]
             self.tried.append(ok)
         for k in range(1, tested + 1):
             flag = self.levels[k - 1].spread(np.concatenate(answers.get(2 * k + 1, none)))

@@ -387,13 +387,16 @@ class BruteTree:
         self.n = Counter(tuple(t[i - k : i + 1]) for t in texts for i in range(len(t)) for k in range(min(depth, i) + 1))
         self.total, self.kinds = sum(map(len, texts)), len({w for t in texts for w in t})
         self.before = Counter(tuple(t[i - k : i]) for t in texts for i in range(len(t)) for k in range(1, min(depth, i) + 1))
-        self.kept = set()
+        self.kept, tried = set(), set()
+        # a context is counted if what it begins with was tried, and tried if it is there often, but less often than its suffix
+        count = lambda x: self.before[x] if len(x) <= 2 or x[:-1] in tried else 0
         for k in range(1, depth + 1):
             gains = Counter()
+            tried |= {x for x in self.before if len(x) == k and count(x) >= least and (k == 1 or count(x) < count(x[1:]))}
             for t in texts:
                 for i in range(k, len(t)):
                     x = tuple(t[i - k : i])
-                    if self.before[x] >= least:
+                    if x in tried:
                         p = self.chance(t, i, k - 1, 1)
                         gains[x] += math.log((self.n[(*x, t[i])] - 1 + prior * p) / (self.before[x] - 1 + prior) / p)
             self.kept |= {x for x, g in gains.items() if round(g * 256) >= gain * 256}
@@ -407,7 +410,7 @@ class BruteTree:
         return p
 
 
-@pytest.mark.parametrize(("depth", "least", "size"), [(1, 2, 1 << 22), (2, 2, 1 << 22), (3, 3, 1 << 22), (2, 2, 20_000)])
+@pytest.mark.parametrize(("depth", "least", "size"), [(1, 2, 1 << 22), (2, 2, 1 << 22), (3, 3, 1 << 22), (4, 2, 1 << 22), (2, 2, 20_000)])
 def test_language_model(spark, docs, plain, depth, least, size, monkeypatch):
     from affectra.llm import batches
 
@@ -443,8 +446,11 @@ def test_language_model_odd_tables(spark, docs):
 
 @pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
 def test_language_model_beats_its_base_on_held_out_rows(spark, sf):
+    """Four words tell more than two, and two more than the base."""
     base, score = score_texts(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
     assert score > base + 0.05 * abs(base)
+    two = score_texts(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"), depth=2).where("held_out").agg(F.sum("score")).first()[0]
+    assert score > two > base
 
 
 def test_substrings(spark, docs, plain):
