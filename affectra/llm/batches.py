@@ -225,11 +225,11 @@ def firsts(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[new], later
 
 
-MESSAGE = "k int, b int, n int, h binary, c binary"
+MESSAGE = "k int, b int, n int, h binary, c binary, w binary"
 
 
-def send(docs: DataFrame, hashes: Callable[[list, list[bytes]], tuple[np.ndarray, np.ndarray]], bits: int) -> DataFrame:
-    """Distinct hashes of each batch, dealt to buckets: rows (k bucket, b batch, n, h steps between sorted 64-bit hashes, c their 32-bit checks)."""
+def send(docs: DataFrame, hashes: Callable[[list, list[bytes]], tuple[np.ndarray, np.ndarray]], bits: int, counted: bool = False) -> DataFrame:
+    """Distinct hashes of each batch, dealt to buckets: rows (k bucket, b batch, n, h steps between sorted 64-bit hashes, c their 32-bit checks, w how often each is there if counted)."""
 
     def run(table: pa.Table) -> pa.Table:
         ids, texts = rows_of(table)
@@ -237,44 +237,49 @@ def send(docs: DataFrame, hashes: Callable[[list, list[bytes]], tuple[np.ndarray
         place, _ = firsts(h)
         s, c = h[place], check[place].astype(np.uint32)
         at, names = split(s, bits)
-        out = [(int(k), int(z - a), pack(np.diff(s[a:z], prepend=U(0))), c[a:z].tobytes()) for k, a, z in zip(names, at[:-1], at[1:], strict=True)]
+        w = np.bincount(np.searchsorted(s, h), minlength=len(s)).astype(np.uint64) if counted else None
+        out = [(int(k), int(z - a), pack(np.diff(s[a:z], prepend=U(0))), c[a:z].tobytes(), pack(w[a:z]) if counted else None) for k, a, z in zip(names, at[:-1], at[1:], strict=True)]
         b = table.column("b")[0].as_py()
-        return pa.table({"k": pa.array([x[0] for x in out], pa.int32()), "b": pa.array([b] * len(out), pa.int32()), "n": pa.array([x[1] for x in out], pa.int32()), "h": pa.array([x[2] for x in out], pa.binary()), "c": pa.array([x[3] for x in out], pa.binary())})
+        return pa.table({"k": pa.array([x[0] for x in out], pa.int32()), "b": pa.array([b] * len(out), pa.int32()), "n": pa.array([x[1] for x in out], pa.int32()), **{name: pa.array([x[i] for x in out], pa.binary()) for i, name in enumerate(("h", "c", "w"), 2)}})
 
     return docs.groupBy("b").applyInArrow(run, MESSAGE)
 
 
-def answer(sent: DataFrame, later_only: bool) -> DataFrame:
-    """(b, k, p): places, in what batch b sent to bucket k, of hashes that other batches sent; later_only: earlier batches."""
+def answer(sent: DataFrame, later_only: bool, often: int | None = None) -> DataFrame:
+    """(b, k, p, q): places, in what batch b sent to bucket k, of hashes that other batches sent; later_only: earlier batches; q: of those that are there `often` times in all."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(table.column(x).to_pylist() for x in ("b", "n", "h", "c")), strict=True))
-        h = np.concatenate([np.cumsum(unpack(x, m), dtype=np.uint64) for _, m, x, _ in rows])
-        c = np.concatenate([np.frombuffer(x, dtype=np.uint32) for *_, x in rows])
+        rows = sorted(zip(*(table.column(x).to_pylist() for x in ("b", "n", "h", "c", "w")), strict=True), key=lambda r: r[:4])
+        h = np.concatenate([np.cumsum(unpack(x, m), dtype=np.uint64) for _, m, x, *_ in rows])
+        c = np.concatenate([np.frombuffer(r[3], dtype=np.uint32) for r in rows])
         order = np.argsort(h, kind="stable")
         same = h[order][1:] == h[order][:-1]
         if (same & (c[order][1:] != c[order][:-1])).any():
             order = np.lexsort((c, h))
             same = (h[order][1:] == h[order][:-1]) & (c[order][1:] == c[order][:-1])
-        flag = np.zeros(len(h), dtype=bool)
+        flag, many = np.zeros(len(h), dtype=bool), np.zeros(len(h), dtype=bool)
         flag[order[1:][same]] = True
         if not later_only:
             flag[order[:-1][same]] = True
-        ends = np.cumsum([0, *(m for _, m, *_ in rows)])
+        if often is not None:
+            w = np.concatenate([unpack(r[4], r[1]) for r in rows]).astype(np.int64)
+            group = np.cumsum(np.concatenate([[False], ~same])) if len(order) else np.zeros(0, dtype=np.int64)
+            many[order] = np.bincount(group, weights=w[order])[group] >= often if len(order) else False
+        ends = np.cumsum([0, *(r[1] for r in rows)])
         k = table.column("k")[0].as_py()
-        out = [(b, p.astype(np.uint32).tobytes()) for (b, *_), i, j in zip(rows, ends[:-1], ends[1:], strict=True) if len(p := np.flatnonzero(flag[i:j]))]
-        return pa.table({"b": pa.array([x[0] for x in out], pa.int32()), "k": pa.array([k] * len(out), pa.int32()), "p": pa.array([x[1] for x in out], pa.binary())})
+        out = [(r[0], *(np.flatnonzero(x[i:j]).astype(np.uint32).tobytes() for x in (flag, many))) for r, i, j in zip(rows, ends[:-1], ends[1:], strict=True) if flag[i:j].any() or many[i:j].any()]
+        return pa.table({"b": pa.array([x[0] for x in out], pa.int32()), "k": pa.array([k] * len(out), pa.int32()), "p": pa.array([x[1] for x in out], pa.binary()), "q": pa.array([x[2] for x in out], pa.binary())})
 
-    return sent.groupBy("k").applyInArrow(run, "b int, k int, p binary")
+    return sent.groupBy("k").applyInArrow(run, "b int, k int, p binary, q binary")
 
 
-def flagged(h: np.ndarray, bits: int, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """For a batch's hashes, in order: whether the hash was answered, and whether it came before in the batch."""
+def flagged(h: np.ndarray, bits: int, answers: pa.Table, column: str = "p") -> tuple[np.ndarray, np.ndarray]:
+    """For a batch's hashes, in order: whether the hash was answered in that column, and whether it came before in the batch."""
     place, later = firsts(h)
     s = h[place]
     names = answers.column("k").to_pylist()
     hit = np.zeros(len(s), dtype=bool)
-    for at, p in zip(begins(s, bits, names).tolist(), answers.column("p").to_pylist(), strict=True):
+    for at, p in zip(begins(s, bits, names).tolist(), answers.column(column).to_pylist(), strict=True):
         hit[at + np.frombuffer(p, dtype=np.uint32).astype(np.int64)] = True
     # spread from the first of each hash to all
     out = np.zeros(len(h), dtype=bool)

@@ -5,7 +5,8 @@ hash of its GRAM-byte grams is the window's anchor; equal windows have equal
 anchors, so a window can only match windows of anchors that occur again.
 Anchors are counted between batches (see batches). The stretches of text around
 repeated anchors, each distinct one once a batch, go to the bucket of their
-anchor. There their suffixes are sorted to full depth, with the common prefix of
+anchor; around an anchor that is there very often they are parted, and the bytes
+beside the anchor choose the bucket too. There their suffixes are sorted to full depth, with the common prefix of
 each two neighbours, and previous and next smaller ids in suffix order give the
 longest previous factor of each suffix: the longer of the prefixes that it
 shares with the nearest suffixes above and below it whose document has a smaller
@@ -41,6 +42,10 @@ def ids_in_order(ids: list) -> np.ndarray:
     return np.array([0 if d is None else d + (1 << 63) for d in ids], dtype=np.uint64)
 
 
+#: Places in the corpus from which on an anchor's windows are told apart by what else they hold; neighbouring windows that stay together then; stretches parted at once.
+OFTEN, TOGETHER, PARTED = 4096, 2, 1 << 15
+
+
 class Stretches:
     """Neighbouring windows of one anchor in a batch's texts, in order: anchor, first window, number of windows, id, hash of the content; and the joined bytes."""
 
@@ -77,6 +82,51 @@ class Stretches:
         self.h, self.id, self.content = (np.concatenate(parts[i] or [none.astype(np.uint64)]) for i in (0, 3, 4))
         self.start, self.windows = (np.concatenate(parts[i] or [none]) for i in (1, 2))
 
+    def pieces(self, which: np.ndarray) -> tuple[Stretches, np.ndarray, np.ndarray]:
+        """Stretches parted into TOGETHER windows each, in order of place: the pieces, and for each which stretch (its place in `which`) it is of and its first window there.
+
+        Windows stay together by their distance from the anchor; what all of them
+        hold around it makes the key, which equal windows share. So one key holds
+        no more contexts than differ in the bytes that it leaves out.
+        """
+        gram, parts = min(GRAM, self.length), []
+        step = self.length - gram
+        n = len(self.bytes) if len(which) else 0
+        sums, unit = np.zeros(n + 1, dtype=np.uint64), powers(BASES[0], n + 1, True)
+        np.cumsum(BYTES[self.bytes[:n]] * powers(BASES[0], n), out=sums[1:], dtype=np.uint64)
+        code = lambda i, size: (sums[i + size] - sums[i]) * unit[i]
+        for c in range(0, len(which), PARTED):
+            f = which[c : c + PARTED]
+            size = self.windows[f] + step  # grams of a stretch
+            of = np.repeat(np.arange(len(f)), size)
+            at = np.repeat(self.start[f] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            g = mix(code(at, gram))
+            least = np.minimum.reduceat(g, np.cumsum(size) - size)
+            anchor = np.flatnonzero(g == least[of])
+            w = self.windows[f]
+            own = np.repeat(np.arange(len(f)), w)
+            inside = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+            begin = self.start[f][own] + inside
+            # the first anchor from a window's beginning on, found by its place among the stretches' grams
+            place = (np.cumsum(size) - size)[own] + inside
+            pos = at[anchor[np.searchsorted(anchor, place)]]
+            near = (pos - begin) // TOGETHER * TOGETHER
+            far = np.minimum(near + TOGETHER - 1, step)
+            key = mix(code(pos - near, near + self.length - far) + near.astype(np.uint64))
+            new = np.ones(len(own), dtype=bool)
+            new[1:] = (own[1:] != own[:-1]) | (key[1:] != key[:-1])
+            first = np.flatnonzero(new)
+            windows = np.diff(np.append(first, len(own)))
+            long = windows + self.length - 1
+            parts.append((key[first], self.id[f][own[first]], mix(code(begin[first], long) + long.astype(np.uint64)), begin[first], windows, c + own[first], inside[first]))
+        got = object.__new__(Stretches)
+        got.bytes, got.length = self.bytes, self.length
+        kinds = (np.uint64, np.uint64, np.uint64, *[np.int64] * 4)
+        joined = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, dtype=k) for i, k in enumerate(kinds)]
+        order = np.argsort(joined[3], kind="stable")  # in order of ids
+        got.h, got.id, got.content, got.start, got.windows, owner, offset = (x[order] for x in joined)
+        return got, owner, offset
+
     def distinct(self, again: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the stretches marked `again`: their places, sorted by anchor, content and text; which are the first of equal ones; and each one's first."""
         which = np.flatnonzero(again)
@@ -92,6 +142,40 @@ class Stretches:
         return which, new, np.cumsum(new) - 1
 
 
+class Travelling:
+    """What a batch sends of its stretches marked `again`, sorted by key: each distinct one, or, around an anchor that is there often, each distinct piece of it."""
+
+    def __init__(self, s: Stretches, again: np.ndarray, often: np.ndarray):
+        self.all = s
+        self.which, new, self.group = s.distinct(again)
+        self.first = self.which[new]
+        self.parted = often[self.first]
+        whole = self.first[~self.parted]
+        self.pieces, owner, self.offset = s.pieces(self.first[self.parted])
+        self.owner = np.flatnonzero(self.parted)[owner]
+        self.piece, new, self.piece_group = self.pieces.distinct(np.ones(len(owner), dtype=bool))
+        self.piece_first = self.piece[new]
+        both = lambda name: np.concatenate([getattr(s, name)[whole], getattr(self.pieces, name)[self.piece_first]])
+        self.order = np.argsort(both("h"), kind="stable")
+        self.h, self.start, self.windows, self.id = (both(name)[self.order] for name in ("h", "start", "windows", "id"))
+
+    def spread(self, mask: np.ndarray) -> np.ndarray:
+        """Bits of the windows that go, of every stretch in `which`, from those of what was sent; a text of smaller id in the batch has all of what it shares."""
+        sent = np.empty_like(mask)
+        sent[self.order] = mask
+        n = int((~self.parted).sum())
+        own = np.zeros(len(self.first), dtype=np.uint64)
+        own[~self.parted] = sent[:n]
+        p = self.pieces
+        part = sent[n:][self.piece_group]
+        part[p.id[self.piece] > p.id[self.piece_first][self.piece_group]] = ~U(0)
+        part &= (U(1) << p.windows[self.piece].astype(np.uint64)) - U(1)
+        np.bitwise_or.at(own, self.owner[self.piece], part << self.offset[self.piece].astype(np.uint64))
+        every = own[self.group]
+        every[self.all.id[self.which] > self.all.id[self.first][self.group]] = ~U(0)
+        return every
+
+
 def words(blob: np.ndarray) -> np.ndarray:
     """At each place the 8 bytes from there on as a number, those first that come first; zeros behind the end."""
     padded = np.concatenate([blob, np.zeros(WINDOWS + 256, dtype=np.uint8)])
@@ -175,15 +259,16 @@ def remove_earlier_strings(docs: DataFrame, length: int = 50, id_col: str = "doc
     no rows; other columns aren't carried, whatever their names.
     """
     parts, total = batched(docs, id_col, text_col)
+    often = OFTEN
     bits, wide = buckets(total // 14), max(0, int(np.ceil(np.log2(max(1, total // 2 / BUCKET_BYTES)))))
 
     def hashes(ids, texts):
         h = Stretches(ids, texts, length, contents=False).h
         return h, (mix(h ^ U(BASES[2])) >> U(32)).astype(np.uint32)
 
-    known = answer(send(parts, hashes, bits), later_only=False).select(F.lit(0).alias("kind"), "b", "k", "p")
+    known = answer(send(parts, hashes, bits, counted=True), later_only=False, often=often).select(F.lit(0).alias("kind"), "b", "k", "p", "q")
 
-    def marked(table: pa.Table, answers: pa.Table) -> tuple[list, list[bytes], Stretches, tuple]:
+    def marked(table: pa.Table, answers: pa.Table) -> tuple[list, list[bytes], Travelling]:
         ids, texts = rows_of(table)
         s = Stretches(ids, texts, length)
         hit, _ = flagged(s.h, bits, answers)
@@ -191,23 +276,20 @@ def remove_earlier_strings(docs: DataFrame, length: int = 50, id_col: str = "doc
         same = s.h[order][1:] == s.h[order][:-1]
         hit[order[1:][same]] = True
         hit[order[:-1][same]] = True
-        return ids, texts, s, s.distinct(hit)
+        return ids, texts, Travelling(s, hit, flagged(s.h, bits, answers, "q")[0])
 
     def stretch(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["k", "b", "low", "ids", "windows", "data"]
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         if not left.num_rows:
             return pa.table({n: pa.array([], t) for n, t in zip(names, kinds, strict=True)})
-        _, _, s, (which, new, _) = marked(left, right)
-        first = which[new]
+        _, _, t = marked(left, right)
         rows = []
-        at, buckets_ = split(s.h[first], wide)
-        for k, a, z in zip(buckets_.tolist(), at[:-1], at[1:], strict=True):
-            f = first[a:z]
-            size = s.windows[f] + length - 1
-            index = np.repeat(s.start[f] - np.cumsum(size) + size, size) + np.arange(size.sum())
-            low = s.id[f].min()
-            rows.append((k, left.column("b")[0].as_py(), int(low.view(np.int64)), pack(s.id[f] - low), squeeze(s.windows[f].astype(np.uint8).tobytes()), squeeze(s.bytes[index].tobytes())))
+        at, names_ = split(t.h, wide)
+        for k, a, z in zip(names_.tolist(), at[:-1], at[1:], strict=True):
+            size, low = t.windows[a:z] + length - 1, t.id[a:z].min()
+            index = np.repeat(t.start[a:z] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            rows.append((k, left.column("b")[0].as_py(), int(low.view(np.int64)), pack(t.id[a:z] - low), squeeze(t.windows[a:z].astype(np.uint8).tobytes()), squeeze(t.all.bytes[index].tobytes())))
         return pa.table({n: pa.array(c, t) for n, c, t in zip(names, zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)})
 
     def resolve(table: pa.Table) -> pa.Table:
@@ -235,22 +317,20 @@ def remove_earlier_strings(docs: DataFrame, length: int = 50, id_col: str = "doc
             p = np.flatnonzero(m)
             if len(p):
                 out.append((b, m[p].tobytes() + p.astype(np.uint32).tobytes()))
-        return pa.table({"kind": pa.array([1] * len(out), pa.int32()), "b": pa.array([x[0] for x in out], pa.int32()), "k": pa.array([k] * len(out), pa.int32()), "p": pa.array([x[1] for x in out], pa.binary())})
+        return pa.table({"kind": pa.array([1] * len(out), pa.int32()), "b": pa.array([x[0] for x in out], pa.int32()), "k": pa.array([k] * len(out), pa.int32()), "p": pa.array([x[1] for x in out], pa.binary()), "q": pa.array([None] * len(out), pa.binary())})
 
     sent = parts.groupBy("b").cogroup(known.groupBy("b")).applyInArrow(stretch, "k int, b int, low long, ids binary, windows binary, data binary")
-    resolved = sent.groupBy("k").applyInArrow(resolve, "kind int, b int, k int, p binary")
+    resolved = sent.groupBy("k").applyInArrow(resolve, "kind int, b int, k int, p binary, q binary")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         kind = np.array(right.column("kind").to_pylist(), dtype=np.int64)
-        ids, texts, s, (which, new, group) = marked(left, right.filter(pa.array(kind == 0)))
-        first = which[new]
-        mask = np.zeros(len(first), dtype=np.uint64)
+        ids, texts, travelling = marked(left, right.filter(pa.array(kind == 0)))
+        mask = np.zeros(len(travelling.h), dtype=np.uint64)
         got = right.filter(pa.array(kind == 1))
-        for at, p in zip(begins(s.h[first], wide, got.column("k").to_pylist()).tolist(), got.column("p").to_pylist(), strict=True):
+        for at, p in zip(begins(travelling.h, wide, got.column("k").to_pylist()).tolist(), got.column("p").to_pylist(), strict=True):
             n = len(p) // 12
             mask[at + np.frombuffer(p, dtype=np.uint32, offset=8 * n).astype(np.int64)] = np.frombuffer(p, dtype=np.uint64, count=n)
-        every = mask[group]
-        every[s.id[which] > s.id[first[group]]] = ~U(0)  # a text of smaller id in the batch has the whole stretch
+        s, which, every = travelling.all, travelling.which, travelling.spread(mask)
         w, begin = s.windows[which], s.start[which]
         cover = np.zeros(len(s.bytes) + 1, dtype=np.int32)
         whole = every & (U(1) << w.astype(np.uint64)) - U(1) == (U(1) << w.astype(np.uint64)) - U(1)

@@ -109,3 +109,49 @@ def test_items_that_repeat_are_searched_once(spark, monkeypatch):
     rows = got.collect()
     assert sorted((r.doc_id, r.item_id) for r in rows) == sorted([(7, i) for i in range(500)] + [(9, 900)] * 2)
     assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+@pytest.mark.parametrize(("length", "often"), [(50, 1), (50, 3), (26, 1), (25, 2), (120, 1)])
+def test_parted_anchors_change_nothing(spark, monkeypatch, length, often):
+    from affectra.llm import suffixarray as sa
+
+    r = np.random.default_rng(length)
+    line = "a line that is there in ever new contexts, and is longer than fifty bytes"
+    texts = [" ".join(f"{int(r.integers(0, 9999))}" for _ in range(int(r.integers(1, 40)))) + line * int(r.integers(0, 3)) + "".join("xyz"[int(k)] for k in r.integers(0, 3, int(r.integers(0, 90)))) for _ in range(150)]
+    texts += ["z" * 400, "ab" * 200, "z" * 90 + line, None, "", *texts[:9], texts[3][5:] + texts[4]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(B, "BATCH_BYTES", 2500)
+    want = sorted(map(str, remove_earlier_strings(docs, length).collect()))
+    monkeypatch.setattr(sa, "OFTEN", often)
+    monkeypatch.setattr(sa, "PARTED", 7)
+    assert sorted(map(str, remove_earlier_strings(docs, length).collect())) == want
+    # and by brute force
+    seen, removed = {}, {}
+    for d, t in enumerate(texts):
+        b = (t or "").encode()
+        gone = np.zeros(len(b), dtype=bool)
+        for i in range(len(b) - length + 1):
+            if seen.setdefault(b[i : i + length], d) < d:
+                gone[i : i + length] = True
+        removed[d] = int(gone.sum())
+    assert {x.doc_id: x.n_removed for x in remove_earlier_strings(docs, length).collect()} == removed
+
+
+def test_one_line_in_many_contexts_is_dealt_to_many_buckets():
+    """What one key holds, in bytes, of a line in 20,000 contexts: nearly all of its anchors' windows before, little after."""
+    from affectra.llm import suffixarray as sa
+
+    r = np.random.default_rng(1)
+    line = b" this very line stands in twenty thousand places "
+    texts = [r.integers(97, 123, 60, dtype=np.uint8).tobytes() + line + r.integers(97, 123, 60, dtype=np.uint8).tobytes() for _ in range(20_000)]
+    s = sa.Stretches(list(range(len(texts))), texts, 50)
+    key, n = np.unique(s.h, return_counts=True)
+    again = np.isin(s.h, key[n > 1])
+
+    def largest(t):
+        size = (t.windows + 49).astype(np.float64)
+        _, of = np.unique(t.h, return_inverse=True)
+        return np.bincount(of, weights=size).max()
+
+    before, after = largest(sa.Travelling(s, again, np.zeros(len(again), dtype=bool))), largest(sa.Travelling(s, again, np.ones(len(again), dtype=bool)))
+    assert before > 500_000 and after < before / 20, (before, after)
