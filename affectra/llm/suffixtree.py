@@ -33,7 +33,7 @@ from .common import id_crc, map_arrow, text_or_empty
 from .substrings import slices, word_hashes
 
 #: Words in a context; its least occurrences; least gain in natural log-likelihood; prior weight of the suffix.
-DEPTH, LEAST, GAIN, PRIOR = 4, 2, 1.0, 2.0
+DEPTH, LEAST, GAIN, PRIOR = 3, 2, 1.0, 2.0
 #: Bits of a gram's hash beyond the logarithm of the corpus's tokens: of 2**SPARE grams one shares its count with another or so.
 SPARE = 20
 #: Gains travel in steps of 1 / STEP.
