@@ -15,6 +15,9 @@ from affectra.functions.storage import shared_dir
 from affectra.operators import fitting as G
 from affectra.operators import networks as N
 from affectra.operators import splits as S
+from affectra.operators.arrays import frame_slice
+from affectra.operators.profile import duplicated
+from affectra.operators.transforms import prepared_labels
 from affectra.sources import files as R
 from affectra.sources import npy as Y
 from affectra.sources.cache import FeatureCache, as_frames
@@ -176,3 +179,30 @@ def train_share_sizes(spark, sf):
     """Rows of both parts of a split by floor(0.8 n)."""
     got = S.train_share(X.table(spark, sf, "events").select("event_id"), "event_id", SEED)
     return got.agg(F.count_if(F.col("split") == "train").alias("train"), F.count_if(F.col("split") == "valid").alias("valid"))
+
+
+@query("WITH " + X.AFFECT + " SELECT 'u' || utt_id || '.wav' AS file_path, valence, arousal, dominance, upper(split) AS split, CAST(NULL AS VARCHAR) AS session FROM affect")
+def prepared_label_rows(spark, sf):
+    """Labels brought to the prepared columns by a map of names; one of them isn't there."""
+    import warnings
+
+    df = X.affect(spark, sf).select(F.concat(F.lit("u"), F.col("utt_id").cast("string"), F.lit(".wav")).alias("path"), F.col("valence").alias("V"), F.col("arousal").alias("A"), "dominance", F.upper("split").alias("part"), "speaker")
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return prepared_labels(df, {"file_path": "path", "valence": "V", "arousal": "A", "split": "part"})
+
+
+@query("""
+SELECT 'doc_id' AS "column", count(doc_id) <> count(DISTINCT doc_id) AS duplicated FROM documents
+UNION ALL SELECT 'text', count(text) <> count(DISTINCT text) FROM documents UNION ALL SELECT 'lang', count(lang) <> count(DISTINCT lang) FROM documents
+""")
+def duplicated_columns(spark, sf):
+    """Which columns of the documents hold a value more than once."""
+    return duplicated(X.table(spark, sf, "documents"), ["doc_id", "text", "lang"])
+
+
+@query("WITH " + X.FRAMES + " SELECT utt_idx, count(*) AS n, round(sum(feat[1]), 6) + 0.0 AS s FROM frames WHERE frame_idx BETWEEN 2 AND 4 GROUP BY utt_idx")
+def frame_slices(spark, sf):
+    """Three frames of each utterance from the third on, as far as it has them."""
+    rows = G.utterances(X.frames(spark, sf)).select("utt_idx", frame_slice(F.col("frames"), F.lit(2), F.lit(3)).alias("f")).where(F.size("f") > 0)
+    return rows.select("utt_idx", F.size("f").cast("long").alias("n"), r6(F.aggregate("f", F.lit(0.0), lambda s, x: s + F.get(x, F.lit(0))), "s"))
