@@ -364,3 +364,37 @@ def predicted(rows: DataFrame, network: Network, weights: Params, feat: str = "f
             yield pa.RecordBatch.from_arrays([*columns, pick(p), pick(z)], names=out.names)
 
     return kept.mapInArrow(run, out)
+
+
+def cross_validated(
+    rows: DataFrame, network: Network, fold: str = "fold", folds: list[int] | None = None, epochs: int = 100, key: str = "utt_id", feat: str = "frames", label: str = "class_idx",
+    seed: int = 42, share: float = 0.8, validate_on_test: bool = False, **options,
+) -> DataFrame:
+    """(fold, saved_epoch, n, wa, ua, weighted_f1) of a classifier for each fold held out, and their means as fold null.
+
+    A fold's own rows are its test rows; of the others the share floor(share * n)
+    by a seeded hash trains and the rest chooses the first epoch of most right
+    answers (or the test rows do, as some published figures have it). Options
+    are those of fit(). Without folds named, those that the column has count.
+    A fold without test rows is refused.
+    """
+    from .metrics import confusion, report
+    from .splits import train_share
+
+    spark = rows.sparkSession
+    out = []
+    with Tables(spark) as tables:
+        data = tables.put(rows, "cross")
+        for k in folds or sorted(r[0] for r in data.select(fold).where(F.col(fold).isNotNull()).distinct().collect()):
+            test, rest = data.where(F.col(fold) == k), data.where(F.col(fold) != k)
+            if test.isEmpty():
+                raise ValueError(f"fold {k} has no rows")
+            parts = train_share(rest, key, seed, share)
+            train, valid = (rest, test) if validate_on_test else (parts.where("split = 'train'"), parts.where("split = 'valid'"))
+            got = fit(train, valid, network, epochs, key=key, feat=feat, label=label, seed=seed, lambda_vad=0.0, select="accuracy", largest=True, **options)
+            made = predicted(test.where(F.col(label).isNotNull()), network, got.weights, feat, [label])
+            top = F.array_position("logits", F.array_max("logits")).cast("int") - 1
+            r = report(confusion(made.where("logits is not null").select(F.col(label).cast("int").alias("true_class"), top.alias("pred_class")), network.classes)).first()
+            out.append((k, got.saved_epoch, made.count(), float(r.wa), float(r.ua_skip), float(r.weighted_f1)))
+    mean = [float(np.mean([o[i] for o in out])) for i in (3, 4, 5)]
+    return spark.createDataFrame([*((int(k), *o) for k, *o in out), (None, None, sum(o[2] for o in out), *mean)], "fold long, saved_epoch long, n long, wa double, ua double, weighted_f1 double")

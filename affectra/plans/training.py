@@ -206,3 +206,10 @@ def frame_slices(spark, sf):
     """Three frames of each utterance from the third on, as far as it has them."""
     rows = G.utterances(X.frames(spark, sf)).select("utt_idx", frame_slice(F.col("frames"), F.lit(2), F.lit(3)).alias("f")).where(F.size("f") > 0)
     return rows.select("utt_idx", F.size("f").cast("long").alias("n"), r6(F.aggregate("f", F.lit(0.0), lambda s, x: s + F.get(x, F.lit(0))), "s"))
+
+
+@query()
+def cross_validate_frames(spark, sf):
+    """Right answers of a classifier over ragged frames, for each of five folds held out, and their means."""
+    rows = G.utterances(X.frames(spark, sf).where("valid")).select(F.col("utt_idx").alias("utt_id"), "frames", (F.col("utt_idx") % 4).cast("int").alias("class_idx"), (F.col("utt_idx") % 5).alias("fold"))
+    return G.cross_validated(rows, N.frame_classifier(4, X.WIDTH, HIDDEN), epochs=1, rate=1e-2, optimizer="rmsprop")

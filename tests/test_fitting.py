@@ -317,3 +317,28 @@ def test_other_criteria(spark):
                     assert g[k][i] == pytest.approx((passes.measured(data, up).loss - passes.measured(data, down).loss) / 2e-6, abs=1e-6) if i < 2 else True
     with pytest.raises(ValueError, match="criterion"):
         G.fit(df, None, network, 1, criterion="mae")
+
+
+def test_folds_are_held_out_one_by_one(spark):
+    from affectra.operators import splits as S
+
+    network = N.frame_classifier(3, 4, 8)
+    r = np.random.default_rng(3)
+    rows = []
+    for i in range(90):
+        y = i % 3
+        rows.append((i, (r.normal(size=(int(r.integers(1, 4)), 4)) * 0.3 + np.eye(4)[y] * 2).tolist(), y, i % 5))
+    df = spark.createDataFrame(rows, "utt_id long, frames array<array<double>>, class_idx int, fold int").repartition(3)
+    options = {"epochs": 4, "rate": 2e-2, "optimizer": "rmsprop", "schedule": lambda e: H.cyclic_rate(e, 5e-3, 2e-2)}
+    got = G.cross_validated(df, network, folds=[0, 3], **options).collect()
+    assert [x.fold for x in got] == [0, 3, None] and [x.n for x in got] == [18, 18, 36] and got[-1].wa == pytest.approx((got[0].wa + got[1].wa) / 2) and got[-1].wa > 0.8
+    # the first fold by hand
+    rest = df.where("fold <> 0")
+    parts = S.train_share(rest, "utt_id", 42, 0.8)
+    one = G.fit(parts.where("split = 'train'"), parts.where("split = 'valid'"), network, 4, 2e-2, optimizer="rmsprop", schedule=options["schedule"], feat="frames", lambda_vad=0.0, select="accuracy", largest=True)
+    made = G.predicted(df.where("fold = 0"), network, one.weights, "frames", ["class_idx"]).collect()
+    assert got[0].saved_epoch == one.saved_epoch and got[0].wa == pytest.approx(np.mean([int(np.argmax(m.logits)) == m.class_idx for m in made]))
+    seen = G.cross_validated(df, network, folds=[1], validate_on_test=True, **{**options, "epochs": 1}).first()
+    assert seen.n == 18
+    with pytest.raises(ValueError, match="no rows"):
+        G.cross_validated(df, network, folds=[9], **options)
