@@ -128,7 +128,8 @@ def masked_ccc(spark, sf):
 
 
 @query(
-    "WITH " + X.PRED + ", x AS (SELECT speaker, " + ", ".join(f"{_ccc_sql(p, t, 2 if t == 'dominance' else 1)} AS c_{t}" for p, t in PAIRS) + ", count(dominance) AS n_dominance FROM pred GROUP BY speaker) SELECT speaker, n_dominance, round(CASE WHEN c_dominance IS NULL THEN 1 - (c_valence + c_arousal) / 2 ELSE 1 - (c_valence + c_arousal + c_dominance) / 3 END, 6) AS loss FROM x"
+    "WITH " + X.PRED + ", x AS (SELECT speaker, " + ", ".join(f"{_ccc_sql(p, t, 2 if t == 'dominance' else 1)} AS c_{t}" for p, t in PAIRS) + ", count(dominance) AS n_dominance FROM pred GROUP BY speaker) SELECT speaker, n_dominance, round(CASE WHEN c_dominance IS NULL THEN 1 - (c_valence + "
+        "c_arousal) / 2 ELSE 1 - (c_valence + c_arousal + c_dominance) / 3 END, 6) AS loss FROM x"
 )
 def parallel_ccc_min_rows(spark, sf):
     return X.scored(spark, sf).groupBy("speaker").agg(F.count("dominance").alias("n_dominance"), r6(M.ccc_loss(PAIRS, {"dominance": 2}), "loss"))
@@ -245,7 +246,10 @@ def offset_rebase(spark, sf):
 
 
 @query(
-    "WITH s AS (SELECT doc_id AS utt_id, n_chars * 37 AS n FROM documents), a AS (SELECT utt_id, n, floor((n - 10) / 5.0) + 1 AS x FROM s), b AS (SELECT utt_id, n, floor((x - 3) / 2.0) + 1 AS x FROM a), c AS (SELECT utt_id, n, floor((x - 3) / 2.0) + 1 AS x FROM b), d AS (SELECT utt_id, n, floor((x - 3) / 2.0) + 1 AS x FROM c), e AS (SELECT utt_id, n, floor((x - 3) / 2.0) + 1 AS x FROM d), f AS (SELECT utt_id, n, floor((x - 2) / 2.0) + 1 AS x FROM e) SELECT utt_id, n AS n_samples, (floor((x - 2) / 2.0) + 1)::BIGINT AS n_frames FROM f"
+    "WITH s AS (SELECT doc_id AS utt_id, n_chars * 37 AS n FROM documents), a AS (SELECT utt_id, n, floor((n - 10) / 5.0) + 1 AS x FROM s), b AS (SELECT "
+        "utt_id, n, floor((x - 3) / 2.0) + 1 AS x FROM a), c AS (SELECT utt_id, n, floor((x - 3) / 2.0) + 1 AS x FROM b), d AS (SELECT utt_id, n, floor((x - "
+        "3) / 2.0) + 1 AS x FROM c), e AS (SELECT utt_id, n, floor((x - 3) / 2.0) + 1 AS x FROM d), f AS (SELECT utt_id, n, floor((x - 2) / 2.0) + 1 AS x FROM "
+        "e) SELECT utt_id, n AS n_samples, (floor((x - 2) / 2.0) + 1)::BIGINT AS n_frames FROM f"
 )
 def conv_out_lengths(spark, sf):
     s = X.table(spark, sf, "documents").select(F.col("doc_id").alias("utt_id"), (F.col("n_chars") * 37).alias("n_samples"))
@@ -344,7 +348,8 @@ def argmax_label(spark, sf):
 
 
 @query(
-    "WITH " + LOGITS + ", r AS (SELECT *, row_number() OVER (PARTITION BY utt_id ORDER BY logit DESC, c) AS r FROM logits) SELECT utt_id, max(c) FILTER (r = 1) AS top, max(c) FILTER (r = 2) AS runner_up, round(max(logit) FILTER (r = 1) - max(logit) FILTER (r = 2), 6) AS margin FROM r GROUP BY utt_id"
+    "WITH " + LOGITS + ", r AS (SELECT *, row_number() OVER (PARTITION BY utt_id ORDER BY logit DESC, c) AS r FROM logits) SELECT utt_id, max(c) FILTER (r = 1) AS top, "
+        "max(c) FILTER (r = 2) AS runner_up, round(max(logit) FILTER (r = 1) - max(logit) FILTER (r = 2), 6) AS margin FROM r GROUP BY utt_id"
 )
 def top2_margin(spark, sf):
     r = _predicted(spark, sf).select("utt_id", A.ranked(F.col("logits")).alias("r"))
@@ -373,7 +378,9 @@ def logit_contributions(spark, sf):
 @query(
     "WITH "
     + TERMS
-    + ", r AS (SELECT *, row_number() OVER (PARTITION BY utt_id ORDER BY round(z, 9) DESC, class_idx) AS r FROM x) SELECT s.utt_id, s.class_idx, t.class_idx AS next_class_idx, round(s.b - t.b, 6) AS delta_bias, round(s.v - t.v, 6) AS delta_valence, round(s.a - t.a, 6) AS delta_arousal, round(s.d - t.d, 6) AS delta_dominance, round(s.z - t.z, 6) AS margin FROM r s JOIN r t ON t.utt_id = s.utt_id AND s.r = 1 AND t.r = 2"
+    + ", r AS (SELECT *, row_number() OVER (PARTITION BY utt_id ORDER BY round(z, 9) DESC, class_idx) AS r FROM x) SELECT s.utt_id, s.class_idx, t.class_idx "
+        "AS next_class_idx, round(s.b - t.b, 6) AS delta_bias, round(s.v - t.v, 6) AS delta_valence, round(s.a - t.a, 6) AS delta_arousal, round(s.d - t.d, 6) "
+        "AS delta_dominance, round(s.z - t.z, 6) AS margin FROM r s JOIN r t ON t.utt_id = s.utt_id AND s.r = 1 AND t.r = 2"
 )
 def contrast_runner_up(spark, sf):
     c = A.contrast(_explained(spark, sf), EXPLAIN_W, EXPLAIN_B, M.DIMS)

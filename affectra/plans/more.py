@@ -195,7 +195,9 @@ def split_lookup(spark, sf):
     return a.select("utt_id", "speaker").join(a.select("speaker", "split").distinct(), "speaker").select("utt_id", "split")
 
 
-@query("SELECT split, CAST(n AS DOUBLE) AS n FROM (SELECT 'train' AS split, (SELECT count(*) FROM events) - greatest(1, round_even((SELECT count(*) FROM events) * 0.1, 0)) - greatest(1, round_even((SELECT count(*) FROM events) * 0.2, 0)) AS n UNION ALL SELECT 'test', greatest(1, round_even((SELECT count(*) FROM events) * 0.1, 0)) UNION ALL SELECT 'valid', greatest(1, round_even((SELECT count(*) FROM events) * 0.2, 0)))")
+@query("SELECT split, CAST(n AS DOUBLE) AS n FROM (SELECT 'train' AS split, (SELECT count(*) FROM events) - greatest(1, round_even((SELECT count(*) FROM "
+    "events) * 0.1, 0)) - greatest(1, round_even((SELECT count(*) FROM events) * 0.2, 0)) AS n UNION ALL SELECT 'test', greatest(1, round_even((SELECT "
+    "count(*) FROM events) * 0.1, 0)) UNION ALL SELECT 'valid', greatest(1, round_even((SELECT count(*) FROM events) * 0.2, 0)))")
 def exact_split_sizes(spark, sf):
     """A seeded split by rows has the asked-for numbers exactly."""
     s = S.by_row(X.table(spark, sf, "events"), "event_id", 0.2, seed=11, test=0.1)
@@ -211,7 +213,10 @@ def predictions_with_targets(spark, sf):
 # batches, permutations, masks
 
 
-@query("WITH " + X.FRAMES + ", n AS (SELECT utt_idx, count(*) AS n, max(count(*)) OVER (PARTITION BY utt_idx // 4) AS most FROM frames GROUP BY utt_idx) SELECT n.utt_idx // 4 AS batch, n.utt_idx, n.n AS size, i AS frame_idx, round(coalesce(f.feat[1], 0), 6) AS first, round(coalesce(f.feat[64], 0), 6) AS last, i >= n.n AS padded, n.utt_idx % 5 AS emotion_target FROM n JOIN range(0, 4000) AS t(i) ON i < n.most LEFT JOIN frames f ON f.utt_idx = n.utt_idx AND f.frame_idx = i")
+@query("WITH " + X.FRAMES + ", n AS (SELECT utt_idx, count(*) AS n, max(count(*)) OVER (PARTITION BY utt_idx // 4) AS most FROM frames GROUP BY utt_idx) SELECT n.utt_idx // 4 AS "
+    "batch, n.utt_idx, n.n AS size, i AS frame_idx, round(coalesce(f.feat[1], 0), 6) AS first, round(coalesce(f.feat[64], 0), 6) AS last, i >= n.n AS "
+    "padded, n.utt_idx % 5 AS emotion_target FROM n JOIN range(0, 4000) AS t(i) ON i < n.most LEFT JOIN frames f ON f.utt_idx = n.utt_idx AND f.frame_idx "
+    "= i")
 def padded_batch(spark, sf):
     f = X.frames(spark, sf).withColumn("emotion_target", F.col("utt_idx") % 5)
     b = B.padded_batches(f, F.floor(F.col("utt_idx") / 4), ("emotion_target",))
@@ -219,7 +224,9 @@ def padded_batch(spark, sf):
     return long.select("batch", "utt_idx", "size", F.col("frame_idx").cast("long").alias("frame_idx"), r6(F.get("x.feats", F.lit(0)), "first"), r6(F.get("x.feats", F.lit(63)), "last"), F.col("x.padding_mask").alias("padded"), "emotion_target")
 
 
-@query("WITH " + X.FRAMES + ", r AS (SELECT utt_idx, frame_idx, row_number() OVER (PARTITION BY utt_idx ORDER BY (frame_idx * 7919) % 101, frame_idx) - 1 AS rank FROM frames) SELECT utt_idx, frame_idx, rank, source FROM r JOIN (SELECT utt_idx AS u, rank AS at, frame_idx AS source FROM r) s ON s.u = utt_idx AND s.at = frame_idx")
+@query("WITH " + X.FRAMES + ", r AS (SELECT utt_idx, frame_idx, row_number() OVER (PARTITION BY utt_idx ORDER BY (frame_idx * 7919) % 101, frame_idx) - 1 AS rank FROM frames) "
+    "SELECT utt_idx, frame_idx, rank, source FROM r JOIN (SELECT utt_idx AS u, rank AS at, frame_idx AS source FROM r) s ON s.u = utt_idx AND s.at = "
+    "frame_idx")
 def inverse_permutation(spark, sf):
     """A permutation and its inverse in one row a place."""
     ranks = B.shuffle_ranks(X.frames(spark, sf), "frame_idx", F.col("frame_idx") * 7919 % 101, "utt_idx")
@@ -227,7 +234,9 @@ def inverse_permutation(spark, sf):
     return ranks.join(source, ["utt_idx", "frame_idx"]).select("utt_idx", "frame_idx", F.col("rank").cast("long").alias("rank"), "source")
 
 
-@query("WITH " + X.FRAMES + ", r AS (SELECT utt_idx, frame_idx, row_number() OVER (PARTITION BY utt_idx ORDER BY (frame_idx * 7919) % 101, frame_idx) - 1 AS rank, count(*) OVER (PARTITION BY utt_idx) AS n FROM frames) SELECT utt_idx, count(*) FILTER (rank < floor(n * 0.25)) AS kept, count(*) FILTER (rank >= floor(n * 0.25)) AS masked, sum(frame_idx) FILTER (rank < floor(n * 0.25)) AS kept_sum FROM r GROUP BY utt_idx")
+@query("WITH " + X.FRAMES + ", r AS (SELECT utt_idx, frame_idx, row_number() OVER (PARTITION BY utt_idx ORDER BY (frame_idx * 7919) % 101, frame_idx) - 1 AS rank, count(*) OVER "
+    "(PARTITION BY utt_idx) AS n FROM frames) SELECT utt_idx, count(*) FILTER (rank < floor(n * 0.25)) AS kept, count(*) FILTER (rank >= floor(n * 0.25)) "
+    "AS masked, sum(frame_idx) FILTER (rank < floor(n * 0.25)) AS kept_sum FROM r GROUP BY utt_idx")
 def random_mask(spark, sf):
     ranks = B.shuffle_ranks(X.frames(spark, sf), "frame_idx", F.col("frame_idx") * 7919 % 101, "utt_idx")
     m = B.keep_first(ranks, 0.75, "utt_idx")
@@ -307,7 +316,9 @@ def categorical_baseline(spark, sf):
 
 
 @query(
-    "WITH " + HID + ", n AS (SELECT utt_id, list_transform(h, lambda x: greatest(0, (x - list_avg(h)) / sqrt(list_var_pop(h) + 1e-5))) AS h FROM h), o AS (SELECT utt_id, list_transform(" + _out("{}") + ", lambda x: tanh(x)) AS o FROM n) SELECT utt_id, c AS class_idx, round(o[1] * 0.2 * (c % 4) + o[2] * 0.2 * ((c + 1) % 4) + o[3] * 0.2 * ((c + 2) % 4), 6) + 0.0 AS logit FROM o, range(4) AS t(c)"
+    "WITH " + HID + ", n AS (SELECT utt_id, list_transform(h, lambda x: greatest(0, (x - list_avg(h)) / sqrt(list_var_pop(h) + 1e-5))) AS h FROM h), o AS (SELECT utt_id, "
+        "list_transform(" + _out("{}") + ", lambda x: tanh(x)) AS o FROM n) SELECT utt_id, c AS class_idx, round(o[1] * 0.2 * (c % 4) + o[2] * 0.2 * ((c + 1) % 4) + o[3] * 0.2 * ((c + 2) % "
+        "4), 6) + 0.0 AS logit FROM o, range(4) AS t(c)"
 )
 def two_stage_classifier(spark, sf):
     """Dimensions from a pooled vector, then classes from the dimensions."""

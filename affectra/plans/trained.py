@@ -55,9 +55,14 @@ class Training:
             check_training_arguments(self.lambda_vad, self.lambda_emo, self.epochs, self.batch_size or 1, self.learning_rate, self.weight_decay)
         except ValueError as e:
             faults.append(str(e))
-        for bad, what in ((self.kind not in KINDS, f"kind {self.kind!r} is none of {KINDS}"), (self.hidden_dim < 1 or self.input_dim < 1, "hidden_dim or input_dim below 1"), (self.min_length < 0, "min_length below 0"), (self.max_length is not None and self.max_length < self.min_length, "max_length below min_length"), (self.initial is not None and self.kind != KIND, f"only {KIND} goes on from another model")):
-            if bad:
-                faults.append(what)
+        rules = {
+            f"kind {self.kind!r} is none of {KINDS}": self.kind in KINDS,
+            "hidden_dim or input_dim below 1": min(self.hidden_dim, self.input_dim) >= 1,
+            "min_length below 0": self.min_length >= 0,
+            "max_length below min_length": self.max_length is None or self.max_length >= self.min_length,
+            f"only {KIND} goes on from another model": self.initial is None or self.kind == KIND,
+        }
+        faults += [what for what, ok in rules.items() if not ok]
         if faults:
             raise ValueError("; ".join(faults))
 
