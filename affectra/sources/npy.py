@@ -1,12 +1,13 @@
 """Matrices in .npy files as a Spark data source, format "npy": rows are (row long, feat array<float>).
 
 Reading gives each task a range of rows, of which it reads those bytes alone.
-Writing is positional: every row goes to the place that its number says, so
-tasks write side by side, in any order, and again after a loss, and no bytes
-pass through the driver. Appended rows lie beyond what the header counts until
-the header alone is replaced when all are there; a new file takes its name then.
-So whoever reads meanwhile, or after a failure, sees the old file whole. One
-writer at a time; the file lies on a folder that all executors mount.
+Writing is positional: every row goes to the place that its number says, in a
+file of the attempt's own, so tasks write side by side, in any order, and again
+after a loss, and what a lost attempt still writes touches nothing. A new file
+takes its name when all rows are there. Appended rows are copied behind the old
+ones then, file to file, and the header, which alone makes them count, is
+replaced last. So whoever reads meanwhile, or after a failure, sees the old file
+whole. One writer at a time; the file lies on a folder that all executors mount.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import ast
 import io
 import os
+import shutil
 import struct
 import uuid
 from dataclasses import dataclass
@@ -118,21 +120,17 @@ class Writer(DataSourceArrowWriter):
         if system.type_name != "local":
             raise ValueError(f"{path}: rows are put at their places on a mounted folder only")
         self.old = None if overwrite or not os.path.exists(self.path) else Header.read(self.path)
+        self.base, self.width = self.old.matrix(self.path, width) if self.old else (0, width)
+        if self.old and self.old.dtype != np.dtype("<f4"):
+            raise ValueError(f"{path} holds {self.old.dtype}, not 32-bit floats")
+        if self.width is None:
+            raise ValueError("a new .npy file needs the option width")
         if self.old:
-            self.base, self.width = self.old.matrix(self.path, width)
-            self.start, self.target = self.old.start, self.path
-            self.length = self.start + self.base * self.width * self.old.dtype.itemsize
-            if self.old.dtype != np.dtype("<f4"):
-                raise ValueError(f"{path} holds {self.old.dtype}, not 32-bit floats")
-            Header((1 << 62, self.width), self.old.dtype, self.start).bytes()  # there is room to count any rows
-        else:
-            if width is None:
-                raise ValueError("a new .npy file needs the option width")
-            self.base, self.width, self.start = 0, width, HEADER
-            os.makedirs(os.path.dirname(self.path) or ".", exist_ok=True)
-            self.target = f"{self.path}.{uuid.uuid4().hex}"
-            with open(self.target, "wb"):
-                pass
+            Header((1 << 62, self.width), self.old.dtype, self.old.start).bytes()  # there is room to count any rows
+        os.makedirs(os.path.dirname(self.path) or ".", exist_ok=True)
+        self.target = f"{self.path}.{uuid.uuid4().hex}"
+        with open(self.target, "wb"):
+            pass
 
     def write(self, batches) -> Wrote:
         n = total = squares = 0
@@ -147,7 +145,7 @@ class Writer(DataSourceArrowWriter):
                     raise ValueError(f"rows need a number from 0 and {self.width} values")
                 x = x.reshape(len(rows), self.width).astype("<f4")
                 for part in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(rows) != 1) + 1):
-                    f.seek(self.start + (self.base + int(rows[part[0]])) * self.width * 4)
+                    f.seek(HEADER + int(rows[part[0]]) * self.width * 4)
                     f.write(x[part].tobytes())
                 n += len(rows)
                 numbers = rows.tolist()
@@ -162,21 +160,32 @@ class Writer(DataSourceArrowWriter):
         if total != n * (n - 1) // 2 or squares != (n - 1) * n * (2 * n - 1) // 6:
             self.abort(messages)
             raise ValueError(f"{self.path}: rows are not numbered 0 to {n - 1}, each once")
+        size_ = n * self.width * 4
         with open(self.target, "r+b") as f:
-            f.truncate(self.start + (self.base + n) * self.width * 4)
-            f.write(Header((self.base + n, self.width), np.dtype("<f4"), self.start).bytes())
+            f.truncate(HEADER + size_)
+            f.write(Header((n, self.width), np.dtype("<f4"), HEADER).bytes())
             f.flush()
             os.fsync(f.fileno())
-        if self.target != self.path:
+        if self.old is None:
             os.replace(self.target, self.path)
+            return
+        with open(self.target, "rb") as new, open(self.path, "r+b") as f:
+            end = self.old.start + self.base * self.width * 4
+            new.seek(HEADER)
+            f.seek(end)
+            shutil.copyfileobj(new, f, PIECE)
+            f.truncate(end + size_)
+            f.flush()
+            os.fsync(f.fileno())
+            f.seek(0)
+            f.write(Header((self.base + n, self.width), np.dtype("<f4"), self.old.start).bytes())
+            f.flush()
+            os.fsync(f.fileno())
+        os.remove(self.target)
 
     def abort(self, messages: list) -> None:
-        if self.target != self.path:
-            if os.path.exists(self.target):
-                os.remove(self.target)
-        else:
-            with open(self.path, "r+b") as f:
-                f.truncate(self.length)
+        if os.path.exists(self.target):
+            os.remove(self.target)
 
 
 class NpySource(DataSource):
