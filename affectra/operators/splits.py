@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from affectra.functions.cluster import ship
+from affectra.functions.storage import Tables, written
+
 from .profile import order_statistics
 
 
@@ -52,8 +59,10 @@ def by_speaker(df: DataFrame, speaker: str, label: str, valid: float, test: floa
     raise ValueError("no split covers every label in training")
 
 
-#: Speakers or rows that a split in the drawn order of a random generator may list on the driver.
+#: Speakers or rows that a split in the drawn order of a random generator lists on the driver; more rows are drawn in tasks.
 LISTED = 1_000_000
+#: Steps of a shuffle that a task draws at once.
+DRAWN = 1 << 18
 
 
 def by_speaker_drawn(df: DataFrame, speaker: str, label: str, valid: float = 0.2, test: float = 0.2, seed: int = 42, tries: int = 2000) -> DataFrame:
@@ -133,21 +142,75 @@ def exact_sample(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
     return df if at is None or at.v0 is None else df.where(h <= int(at.v0))
 
 
+def _draws(spark: SparkSession, n: int, seed: int) -> DataFrame:
+    """(i, j): in NumPy's shuffle of n places, step i (n - 1 down to 1) swaps places i and j <= i; 0 stays.
+
+    A step may take several of the generator's numbers, so where a block of steps
+    begins is only known by drawing those before: the driver draws them all, a
+    block at a time, and keeps the generator's state at each block's beginning.
+    """
+    ship(spark)
+    block = DRAWN
+    # RandomState draws as the shuffle does (bits masked until they are in range), over whichever generator
+    generator = np.random.default_rng(seed).bit_generator
+    source, states = np.random.RandomState(generator), []
+    for top in range(n - 1, 0, -block):
+        states.append((top, json.dumps(generator.state)))
+        source.randint(0, np.arange(top, max(top - block, 0), -1) + 1, dtype=np.int64)
+
+    def run(batches):
+        for b in batches:
+            for top, state in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                of = np.random.PCG64(0)
+                of.state = json.loads(state)
+                i = np.arange(top, max(top - block, 0), -1)
+                j = np.random.RandomState(of).randint(0, i + 1, dtype=np.int64)
+                last = [0] if top <= block else []
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(x, last).astype(np.int64)) for x in (i, j)], names=["i", "j"])
+
+    blocks = spark.createDataFrame(states, "top long, state string")
+    return blocks.repartition(min(len(states), 4096)).mapInArrow(run, "i long, j long")
+
+
+def _drawn_places(spark: SparkSession, n: int, seed: int, tables: Tables) -> DataFrame:
+    """(row, place): where each of n rows stands after NumPy's shuffle of that seed, without the shuffled list.
+
+    A row waits at its place until a step picks that place: the largest step that
+    does so is where it ends. If none does, its own step swaps it down to place j,
+    where the next smaller step that picks j ends its way; if none does, step j
+    moves it on. Such ways are followed by doubling: they halve with each move, so
+    few rounds close all.
+    """
+    draws = tables.put(_draws(spark, n, seed), "draws")
+    smaller = F.lag("i").over(Window.partitionBy("j").orderBy("i"))  # a place is picked log(n) times or so
+    place = F.coalesce(smaller, F.when(F.col("i") == F.col("j"), F.col("i")))
+    ways = tables.put(draws.select(F.col("i").alias("row"), place.alias("place"), "j"), "ways")
+    while not ways.where("place is null").isEmpty():
+        on = ways.select(F.col("row").alias("j"), F.col("place").alias("end"), F.col("j").alias("next"))
+        ahead = ways.where("place is null").select("row", "j").join(on, "j").select("row", F.col("end").alias("place"), F.col("next").alias("j"))
+        ways = tables.put(ways.where("place is not null").unionByName(ahead), "ways")
+    picked = draws.groupBy(F.col("j").alias("row")).agg(F.max("i").alias("picked"))
+    return ways.join(picked, "row", "left").select("row", F.coalesce("picked", "place").alias("place"))
+
+
 def by_row_drawn(df: DataFrame, index: str, seed: int = 42, valid: float = 0.1, test: float = 0.1) -> DataFrame:
     """split of rows 0 to n - 1 by a NumPy permutation of that seed: its first are tested, the next are for validation ("val").
 
-    For tables of at most LISTED rows whose split must be the known one; by_row has no such bound.
+    Up to LISTED rows the permutation is a list; beyond that Spark follows each
+    row through the same shuffle, and only the generator's states reach the driver.
     """
-    import numpy as np
-
-    n = df.count()
-    if n > LISTED:
-        raise ValueError(f"{n} rows; by_row takes more than {LISTED}")
-    order = np.arange(n)
-    np.random.default_rng(seed).shuffle(order)
+    spark, n = df.sparkSession, df.count()
     n_valid, n_test = _bounds(n, valid, test)
-    rows = [(int(i), "test" if k < n_test else "val") for k, i in enumerate(order[: n_test + n_valid])]
-    table = df.sparkSession.createDataFrame(rows, "_i long, _split string")
+    split = F.when(F.col("place") < n_test, "test").otherwise("val").alias("_split")
+    if n <= LISTED:
+        order = np.arange(n)
+        np.random.default_rng(seed).shuffle(order)
+        places = spark.createDataFrame([(int(i), k) for k, i in enumerate(order[: n_test + n_valid])], "row long, place long")
+        table = places.select(F.col("row").alias("_i"), split)
+    else:
+        with Tables(spark) as tables:
+            places = _drawn_places(spark, n, seed, tables).where(F.col("place") < n_test + n_valid)
+            table = written(places.select(F.col("row").alias("_i"), split), "drawn")
     return df.drop("split").join(table, F.col(index) == F.col("_i"), "left").withColumn("split", F.coalesce("_split", F.lit("train"))).drop("_i", "_split")
 
 

@@ -370,6 +370,20 @@ def test_drawn_splits_are_the_known_ones(spark, seed):
     assert [split[i] for i in index] == ["test"] * 9 + ["val"] * 9 + ["train"] * 72
 
 
+@pytest.mark.parametrize(("n", "block"), [(5, 1), (65, 64), (3000, 256)])
+def test_drawn_rows_beyond_the_list(spark, monkeypatch, n, block):
+    monkeypatch.setattr(S, "LISTED", 3)
+    monkeypatch.setattr(S, "DRAWN", block)
+    index = np.arange(n)
+    np.random.default_rng(7).shuffle(index)
+    with S.Tables(spark) as tables:
+        place = {r.row: r.place for r in S._drawn_places(spark, n, 7, tables).collect()}
+    assert [place[i] for i in index] == list(range(n)) and len(place) == n
+    split = {r.id: r.split for r in S.by_row_drawn(spark.range(n), "id", seed=7).collect()}
+    held = max(1, round(n * 0.1))
+    assert [split[i] for i in index] == ["test"] * held + ["val"] * held + ["train"] * (n - 2 * held)
+
+
 @pytest.mark.parametrize("n", [0, 2, 3, 4, 10])
 def test_row_splits_have_exact_numbers(spark, n):
     got = S.by_row(spark.range(n), "id", 0.2, seed=3, test=0.2).groupBy("split").count().collect()
