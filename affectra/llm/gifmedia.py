@@ -82,61 +82,85 @@ def lzw_decode(data: bytes, bits: int, most: int) -> bytes:
     together; each code's string is a stretch of what is already out.
     """
     clear = 1 << bits
-    raw = np.frombuffer(data + b"\0\0\0", dtype=np.uint8).astype(np.int64)
-    width, start = _widths(bits)
-    full = False  # whether the table has stayed full since the last clear code
+    raw = np.frombuffer(data + b"\0\0\0", dtype=np.uint8).astype(np.int32)
     room = len(data) * 8
     out = bytearray()
-    at = 0
-    pos: list[int] = []
-    lens: list[int] = []
-    while at < room and len(out) < most:
-        if full:
-            width, start = _FULL
-        n = min(int(np.searchsorted(start, room - at, "right")) - 1, len(width))
-        if n <= 0:
-            break
-        first = at + start[:n]
-        k = first >> 3
-        codes = (raw[k] | raw[k + 1] << 8 | raw[k + 2] << 16) >> (first & 7) & (1 << width[:n]) - 1
-        stop = np.flatnonzero((codes == clear) | (codes == clear + 1))
-        n = int(stop[0]) if len(stop) else n
-        if not full:
-            pos, lens = [], []
-        put, measure = pos.append, lens.append
-        o = len(out)
-        for j, c in enumerate(codes[:n].tolist(), len(pos)):
-            put(o)
-            if c < clear:
-                measure(1)
-                out.append(c)
-                o += 1
-            else:
-                e = c - clear - 2
-                if e >= j or e < 0:
-                    return bytes(out[:most])
-                p, k = pos[e], lens[e] + 1
-                measure(k)
-                if p + k <= o:
-                    out += out[p : p + k]
-                else:  # the string's last sample is its own first
-                    out += out[p : p + k - 1]
-                    out.append(out[p])
-                o += k
-        if len(stop):
-            if codes[n] == clear + 1:
+    at, going = 0, True
+    while going and at < room and len(out) < most:
+        width, start = _widths(bits)
+        parts = []
+        while True:  # codes up to the next clear code; a table that stays full keeps its width
+            n = min(int(np.searchsorted(start, room - at, "right")) - 1, len(width))
+            if n <= 0:
+                going = False
                 break
-            at += int(start[n + 1])
-            full = False
-            width, start = _widths(bits)
-        else:
+            first = at + start[:n]
+            k = first >> 3
+            codes = (raw[k] | raw[k + 1] << 8 | raw[k + 2] << 16) >> (first & 7) & (1 << width[:n]) - 1
+            stop = np.flatnonzero(codes - clear >> 1 == 0)  # clear or end
+            if len(stop):
+                n = int(stop[0])
+                going = codes[n] == clear
+                parts.append(codes[:n])
+                at += int(start[n + 1])
+                break
+            parts.append(codes)
             at += int(start[n])
-            full = True
             if n < len(width):
+                going = False
                 break
+            width, start = _FULL
+        if parts:
+            got, whole = _strings(np.concatenate(parts) if len(parts) > 1 else parts[0], clear, most - len(out))
+            out += got
+            going = going and whole
     return bytes(out[:most])
 
 
+def _strings(codes: np.ndarray, clear: int, most: int) -> tuple[bytes, bool]:
+    """What the codes after a clear code stand for, up to `most` samples and the code that passes them; and whether all have a meaning.
+
+    A code repeats an earlier code's string and the sample behind it, so lengths
+    are depths in a forest, and each sample is a copy of an earlier one, down to
+    a single sample's code: both are found by doubling.
+    """
+    of = codes - (clear + 2)
+    wrong = np.flatnonzero(of >= np.arange(len(codes)))
+    whole = not len(wrong)
+    if not whole:
+        codes, of = codes[: wrong[0]], of[: wrong[0]]
+    size = np.ones(len(codes), dtype=np.int64)
+    longer = np.flatnonzero(of >= 0)
+    up, rest = of.copy(), longer
+    while len(rest):
+        by = up[rest]
+        size[rest] += size[by]
+        up[rest] = by = up[by]
+        rest = rest[by >= 0]
+    ends = np.cumsum(size)
+    n = int(np.searchsorted(ends, most)) + 1
+    if n < len(codes):
+        codes, of, size, ends = codes[:n], of[:n], size[:n], ends[:n]
+        longer = longer[: np.searchsorted(longer, n)]
+    begin = ends - size
+    back = np.zeros(len(codes), dtype=np.int64)
+    back[longer] = begin[longer] - begin[of[longer]]
+    back = np.repeat(back, size)
+    rest = np.flatnonzero(back)
+    source = np.arange(len(back)) - back
+    got = rest
+    while len(got):
+        by = source[got]
+        to = source[by]
+        source[got] = to
+        got = got[to != by]
+    out = np.zeros(len(back), dtype=np.uint8)
+    single = np.ones(len(codes), dtype=bool)
+    single[longer] = False
+    out[begin[single]] = codes[single]
+    return out[source].tobytes(), whole
+
+
 def _blocks(data: bytes) -> bytes:
     return b"".join(bytes([len(x)]) + x for x in (data[i : i + 255] for i in range(0, len(data), 255))) + b"\0"
 
@@ -210,17 +234,19 @@ def each_frame(gif: bytes) -> Iterator[dict]:
             got = lzw_decode(body, bits, fw * fh)
             idx = np.frombuffer(got + bytes(fw * fh - len(got)), dtype=np.uint8).reshape(fh, fw)
             idx = _deinterlace(idx) if f & 0x40 else idx
-            colours = np.zeros((256, 3), dtype=np.uint8)
+            colours = np.zeros((256, 4), dtype=np.uint8)
+            colours[:, 3] = 255
             if table:
                 t = np.frombuffer(table[: len(table) // 3 * 3], dtype=np.uint8).reshape(-1, 3)[:256]
-                colours[: len(t)] = t
+                colours[: len(t), :3] = t
             before = canvas.copy() if disposal == 3 else None
             ch, cw = max(0, min(fh, h - y)), max(0, min(fw, w - x))
             seen = idx[:ch, :cw]
             area = canvas[y : y + ch, x : x + cw]
-            drawn = np.ones(seen.shape, dtype=bool) if clear is None else seen != clear
-            area[drawn, :3] = colours[seen[drawn]]
-            area[drawn, 3] = 255
+            if clear is None:
+                area[:] = colours[seen]
+            else:
+                area[seen != clear] = colours[seen[seen != clear]]
             yield {"start_ms": start, "delay_ms": delay, "disposal": disposal, "indices": idx, "canvas": canvas}
             start += delay
             if disposal == 2:

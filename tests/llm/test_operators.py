@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import sys
 import zlib
 from collections import Counter
 
@@ -197,6 +198,19 @@ def test_gif_round_trip_and_rules():
     assert gif.frames(b"") == [] and gif.frames(b"GIF89a" + bytes(7)) == []
 
 
+def test_lzw_is_decoded_without_a_step_a_code():
+    rng = np.random.default_rng(5)
+    for data in (bytes(rng.integers(97, 100, 20_000, dtype=np.uint8)), bytes(5000), b"ab" * 4000):
+        for defer in (False, True):
+            code, calls = gif.lzw_encode(data, 8, defer), []
+            sys.setprofile(lambda *e: calls.append(e[1]))  # noqa: B023
+            got = [gif.lzw_decode(code, 8, most) for most in (len(data), 777)]
+            sys.setprofile(None)
+            assert got == [data, data[:777]] and len(calls) < len(code) / 4 + 1500
+            cut = gif.lzw_decode(code[: len(code) // 2], 8, len(data))
+            assert 0 < len(cut) < len(data) and data.startswith(cut)
+
+
 def plain_gif(data):
     """Frames (indices, delay in hundredths) of a GIF with a global palette, and the palette, by the textbook."""
     at = 13 + (3 << (data[10] & 7) + 1)
