@@ -61,7 +61,7 @@ def repeated_runs(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_
         every = F.concat(every, F.transform("long", lambda s: window(s, 1, F.xxhash64(F.get(F.col("h"), s), F.lit(1)), F.lit(True))))
     windows = written(hashed.select("place", F.explode(every).alias("w")).select("place", "w.*"), "windows")
     repeated = written(windows.groupBy("f").agg(F.sum(F.col("fresh").cast("int")).alias("n")).where("n > 1").select("f"), "fingerprints")
-    around = windows.join(repeated, "f", "left_semi")
+    around = written(windows.join(repeated, "f", "left_semi").drop("f", "fresh"), "around")  # read twice below
     firsts = written(around.groupBy("k1", "k2").agg(F.min(F.struct("place", "s")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "firsts")
     joined = around.join(firsts, ["k1", "k2"]).where(F.struct("place", "s") > F.col("first")).select("place", "s", "size", F.col("first.place").alias("source"), F.col("first.s").alias("at"))
     # windows on one diagonal that follow without a gap are one match

@@ -175,6 +175,14 @@ def test_line_dedup_of_one_long_line(spark, run):
     assert got[3] == ("", 1) and got[6] == ("", 2) and (run == 1 or got[5] == (plain[5], 0)) and got[9] == (None, 0)
 
 
+def test_windows_are_joined_with_fingerprints_once(spark):
+    docs = spark.createDataFrame([(1, "a\nb\nc"), (2, "x\na\nb")], "doc_id long, text string")
+    runs = repeated_runs(docs, 2)
+    read = {f.split("/tables/")[1].split("-")[0] for f in runs.inputFiles()}
+    assert read == {"around", "firsts"}  # what is left to do needs no other table
+    assert [(r.place.b, r.start, r.stop, r.source.b, r.source_start) for r in runs.collect()] == [(2, 1, 3, 1, 0)]
+
+
 def test_gif_round_trip_and_rules():
     r = random.Random(0)
     for n in (1, 2, 63, 64, 700, 4096, 70_000):
