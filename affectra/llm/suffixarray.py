@@ -58,13 +58,14 @@ class Stretches:
         for c in range(0, max(0, len(self.bytes) - length + 1), CHUNK):
             a = self.bytes[c : c + CHUNK + length - 1]
             least = _windows_min(mix(rolling(BYTES[a], gram, BASES[0])), length - gram + 1)
-            at = np.arange(c, c + len(least))
-            doc = np.searchsorted(ends, at, "right")
-            ok = np.flatnonzero(ends[np.minimum(doc, len(ends) - 1)] - at >= length)
+            share = np.diff(np.clip(ends, c, c + len(least)), prepend=c)  # of each text
+            doc = np.repeat(np.arange(len(ends)), share)
+            ok = np.flatnonzero(np.repeat(ends - c, share) - np.arange(len(least)) >= length)
             if not len(ok):
                 continue
             new = np.ones(len(ok), dtype=bool)
-            new[1:] = (least[ok][1:] != least[ok][:-1]) | (ok[1:] != ok[:-1] + 1) | (doc[ok][1:] != doc[ok][:-1])
+            value = least[ok]
+            new[1:] = (value[1:] != value[:-1]) | (ok[1:] != ok[:-1] + 1)  # places of two texts aren't neighbours
             place = np.arange(len(ok))
             new |= (place - np.maximum.accumulate(np.where(new, place, 0))) % WINDOWS == 0  # one gram over and over
             first = np.flatnonzero(new)
@@ -190,20 +191,40 @@ def cut(word: np.ndarray, left: np.ndarray) -> np.ndarray:
 
 def suffix_order(blob: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order of the strings of `size` bytes from each start, and of each two neighbours in it the common prefix (0 for the first)."""
-    padded = words(blob)
-    keys = [cut(padded[start + k], size - k) for k in range(0, int(size.max(initial=0)), 8)]
-    order = np.lexsort((size, *keys[::-1]))
-    lcp, going = np.zeros(len(order), dtype=np.int64), np.ones(max(0, len(order) - 1), dtype=bool)
-    for k in keys:
-        k = k[order]
-        differ = k[1:] ^ k[:-1]
-        agree = sum((differ < U(1 << bits)).astype(np.int64) for bits in range(0, 64, 8))  # leading bytes
-        lcp[1:][going] += agree[going]
-        going &= differ == 0
-    lcp[1:] = np.minimum(lcp[1:], np.minimum(size[order][1:], size[order][:-1]))
+    padded, n = words(blob).astype(np.uint64), len(start)
+    order, tied, group = np.arange(n), np.arange(n), np.zeros(n, dtype=np.uint64)
+    room = max(1, n.bit_length())
+    step = (64 - room) // 8
+    for k in range(0, int(size.max(initial=0)), step):  # places that are tied so far: their group and the next bytes in one number
+        tied, group = _parted(order, tied, group << U(64 - room), lambda o, k=k: cut(padded[start[o] + k], np.minimum(size[o] - k, step)) >> U(room))
+        if not len(tied):
+            break
+    _parted(order, tied, group << U(64 - room), lambda o: size[o].astype(np.uint64))
+    lcp, going = np.zeros(n, dtype=np.int64), np.arange(1, n)
+    least = np.minimum(size[order][1:], size[order][:-1])
+    for k in range(0, int(size.max(initial=0)), 8):
+        differ = padded[start[order[going]] + k] ^ padded[start[order[going - 1]] + k]
+        stop = (differ != 0) | (least[going - 1] <= k + 8)
+        differ = differ[stop]
+        lcp[going[stop]] = k + sum((differ < U(1 << bits)).astype(np.int64) for bits in range(0, 64, 8))  # leading bytes
+        going = going[~stop]
+    lcp[1:] = np.minimum(lcp[1:], least)
     return order, lcp
 
 
+def _parted(order: np.ndarray, tied: np.ndarray, group: np.ndarray, key) -> tuple[np.ndarray, np.ndarray]:
+    """Sorts the tied places of order, in place, by group and key, which share no bit; the places that are tied still, and their groups."""
+    of = order[tied]
+    both = group | key(of)
+    by = np.argsort(both)
+    order[tied], both = of[by], both[by]
+    same = both[1:] == both[:-1]
+    still = np.append(same, False)
+    still[1:] |= same
+    number = np.cumsum(np.append(True, ~same))[: len(tied)]
+    return tied[still[: len(tied)]], (number[still[: len(tied)]] - 1).astype(np.uint64)
+
+
 def longest_previous(lcp: np.ndarray, value: np.ndarray, least: int) -> np.ndarray:
     """Longest previous factors, in suffix order: the longest prefix shared with a suffix of smaller value; 0 where it is below `least`.
 

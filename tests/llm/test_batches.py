@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from affectra.llm import batches as B
+from affectra.llm import suffixarray as A
 from affectra.llm.substrings import remove_repeated_windows
 from affectra.llm.suffixarray import remove_earlier_strings
 from affectra.llm.suffixtree import score_texts
@@ -155,3 +156,18 @@ def test_one_line_in_many_contexts_is_dealt_to_many_buckets():
 
     before, after = largest(sa.Travelling(s, again, np.zeros(len(again), dtype=bool))), largest(sa.Travelling(s, again, np.ones(len(again), dtype=bool)))
     assert before > 500_000 and after < before / 20, (before, after)
+
+
+def test_suffixes_are_sorted_by_what_is_tied(monkeypatch):
+    r = np.random.default_rng(3)
+    text = bytes(r.integers(97, 99, 600, dtype=np.uint8)) * 2 + b"\0\0" * 40
+    start = np.arange(0, len(text) - 90)
+    size = r.integers(25, 90, len(start))
+    many = lambda *_: pytest.fail("all keys of all suffixes")
+    monkeypatch.setattr(np, "lexsort", many)
+    order, lcp = A.suffix_order(np.frombuffer(text, dtype=np.uint8), start, size)
+    got = [text[start[i] : start[i] + size[i]] for i in order]
+    assert sorted(order) == list(range(len(start))) and got == sorted(got)
+    shared = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    assert lcp.tolist() == [0, *(shared(a, b) for a, b in zip(got[:-1], got[1:], strict=True))]
+    assert [len(x) for x in A.suffix_order(np.frombuffer(text, dtype=np.uint8), start[:0], size[:0])] == [0, 0]
